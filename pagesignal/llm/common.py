@@ -47,6 +47,14 @@ def unit_hash(*columns: Column | str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def small(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20, most_rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches small enough that Python copies of their texts take little memory."""
+    for batch in batches:
+        rows = max(1, min(most_rows, batch.num_rows * most_bytes // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import small, texts_of
 
 BUCKETS = 256
 #: Fixed random permutations of a byte, one for each place in a triplet.
@@ -95,7 +95,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
         return np.where(np.asarray(ids.is_null().to_numpy(zero_copy_only=False)), len(cuts), np.searchsorted(cuts, -known, "left"))
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([pa.array(place(batch.column(0)).astype(np.int32)), batch.column(0)], names=["part", "doc_id"])
 
     tops = dict(tuple(r) for r in rows.select("doc_id").mapInArrow(top, f"part int, doc_id {kind}").groupBy("part").agg(F.max("doc_id")).collect())
@@ -103,7 +103,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     lender = {part: before for part, before in zip(order, order[-1:] + order[:-1])}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             part, ids = place(batch.column(0)), batch.column(0).to_pylist()
             lent = [i for i, (p, x) in enumerate(zip(part.tolist(), ids)) if x == tops[p]]
             take = pa.array([*range(len(ids)), *lent], pa.int64())
@@ -126,7 +126,7 @@ def compare_with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # a row that waits for the one after it
         out: list[tuple] = []
-        for batch in batches:
+        for batch in small(batches):
             columns = [batch.column(i).to_pylist() for i in range(4)]
             for part, borrowed, doc_id, text in zip(*columns):
                 text = text or ""

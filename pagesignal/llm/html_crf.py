@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts_of, with_columns
+from .common import small, texts_of, with_columns
 
 # Element names by kind.
 BLOCK = frozenset("address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li link main menu meta nav noframes noscript object ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul video".split())
@@ -370,7 +370,7 @@ def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(model or default_field())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = []
             for page in texts_of(batch, "html"):
                 blocks = leaves(page)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_by_size, crc32_mod, texts_of, unit_hash, with_columns
+from .common import chunks_by_size, crc32_mod, small, texts_of, unit_hash, with_columns
 
 UNKNOWN = "und"
 
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, train: Column, *, bits: int = 16, per_class: int = 4000
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(number) * size, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             of_label = [number[x] for x in texts_of(batch, "lang")]
             for at, run in chunks_by_size(texts_of(batch), 400_000):
                 ids, of = gram_ids(run, bits)
@@ -142,7 +142,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             names, p = shared.value.score(texts_of(batch))
             yield with_columns(batch, ["doc_id"], lang_pred=pa.array(names, pa.string()), score=pa.array(p, pa.float64()))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32, texts_of
+from .common import crc32, small, texts_of
 from .tokens import encoder
 
 
@@ -94,7 +94,7 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 1024, end_id: int = 2, g
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, row = encoder(path), 0
-        for batch in batches:
+        for batch in small(batches):
             of, rows = [], []
             for i, text in enumerate(texts_of(batch)):
                 ids = np.array([*(encode(text) if text else ()), end_id], "<u4")

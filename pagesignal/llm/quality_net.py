@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of, with_columns
+from .common import cut, small, texts_of, with_columns
 from .language_id import drawn
 
 SHAPES = ("<lower>", "<upper>", "<title>", "<digits>", "<mixed>", "<none>")
@@ -66,32 +66,24 @@ class Numbering:
     """Words to (core, tail) numbers; remembers up to a bounded number of different words."""
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
-        self.vocabulary, self.held, self.pairs = vocabulary, {}, []
+        self.vocabulary, self.held, self.pairs = vocabulary, {}, np.zeros((1 << 12, 2), np.int32)
 
     def __call__(self, words: list[str]) -> np.ndarray:
         held = self.held
-        if len(held) > 400_000:
+        if len(held) > 100_000:
             held.clear()
-            self.pairs.clear()
         ids = np.fromiter((held[w] if w in held else self._add(w) for w in words), np.int64, len(words))
-        return np.array(self.pairs, np.int64).reshape(-1, 2)[ids] if len(words) < 2000 and len(self.pairs) < 4000 else self._table()[ids]
+        return self.pairs[ids]
 
     def _add(self, word: str) -> int:
         core, tail = parts(word)
         v = self.vocabulary
-        self.held[word] = n = len(self.pairs)
-        self.pairs.append((v.get(core, v[shape(core)]) if core else v["<none>"], v.get("~" + tail, v["<none>"])))
+        self.held[word] = n = len(self.held)
+        if n == len(self.pairs):
+            self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
+        self.pairs[n] = v.get(core, v[shape(core)]) if core else v["<none>"], v.get("~" + tail, v["<none>"])
         return n
 
-    def _table(self) -> np.ndarray:
-        table = getattr(self, "_made", None)
-        if table is None or len(table) > len(self.pairs):
-            table = np.empty((0, 2), np.int64)
-        if len(table) < len(self.pairs):
-            table = np.concatenate([table, np.array(self.pairs[len(table) :], np.int64).reshape(-1, 2)])
-            self._made = table
-        return table
-
 
 def index_vectors(names: list[str], width: int) -> np.ndarray:
     """A fixed sparse vector of +1 and -1 for each name."""
@@ -185,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, per_class: int = 3
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
-        for batch in batches:
+        for batch in small(batches):
             for text in texts_of(batch):
                 for word in set((text or "").split()):
                     core, tail = parts(word)
@@ -201,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, per_class: int = 3
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, numbering = np.zeros_like(fixed), Numbering(vocabulary)
-        for batch in batches:
+        for batch in small(batches):
             for text in texts_of(batch):
                 ids = numbering((text or "").split())[:, 0]
                 for step in range(1, window + 1):
@@ -220,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, per_class: int = 3
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbering = Numbering(vocabulary)
-        for batch in batches:
+        for batch in small(batches):
             x = shared.value.pool(texts_of(batch), numbering)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
 
@@ -241,7 +233,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbering = Numbering(shared.value.vocabulary)
-        for batch in batches:
+        for batch in small(batches):
             yield with_columns(batch, ["doc_id"], score=pa.array(shared.value.score(texts_of(batch), numbering), pa.float64()))
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")

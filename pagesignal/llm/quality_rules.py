@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts_of, with_columns
+from .common import small, texts_of, with_columns
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _WINDOW = 8
@@ -129,7 +129,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             got = list(zip(*(measure(t, limits) for t in texts_of(batch)))) or [()] * 7
             names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
             yield with_columns(batch, ["doc_id"], **{k: pa.array(v, pa.bool_() if k in ("base_failed", "kept") else pa.int64()) for k, v in zip(names, got)})
@@ -141,7 +141,7 @@ def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The kept rows of ``docs`` with failed lines taken out of ``text``; ``n_chars``, if there, is counted anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = texts_of(batch)
             stay = [i for i, t in enumerate(texts) if measure(t, limits)[-1]]
             batch = batch.take(pa.array(stay, pa.int64()))

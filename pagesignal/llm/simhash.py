@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of, with_columns
+from .common import cut, small, texts_of, with_columns
 
 SEED = 42
 
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             fp = np.array([fingerprint(t, width) for t in texts_of(batch)], np.uint64).view(np.int64)
             yield with_columns(batch, ["doc_id"], fp=pa.array(fp))
 
@@ -193,7 +193,7 @@ def link_edges(nodes: DataFrame, *, reach: int = 2, leaf_size: int = 4000, sampl
     shared = nodes.sparkSession.sparkContext.broadcast(tree)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             x = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             shard, fp = [], []
             for leaf, blocks, own in route(x, shared.value, reach):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import small, texts_of
 
 
 @lru_cache(maxsize=4)
@@ -64,7 +64,7 @@ def length_counts(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             n, k = np.unique(np.array([len(encode(t)) if t else 0 for t in texts_of(batch)], np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(k)], names=["n_tokens", "n_docs"])
 
