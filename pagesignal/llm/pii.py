@@ -25,7 +25,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts_of, with_columns
+from .common import small, texts_of, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -86,8 +86,9 @@ _HAS_SPELLED = re.compile(rf"\b{_ONE}[ ,.-]", re.I)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _BRACKET_AT = re.compile(rf"[ ]{{0,3}}{_OPEN} ?(?:at|@) ?{_CLOSE}[ ]{{0,3}}", re.I)
 _BRACKET_DOT = re.compile(rf"[ ]{{0,3}}{_OPEN} ?(?:dot|punkt|punto|point|\.) ?{_CLOSE}[ ]{{0,3}}", re.I)
-# name at host dot tld: bare words count only together, in one run of labels.
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: dot [A-Za-z0-9._%+-]{1,64}){0,3}(?P<at> at |@)(?P<host>[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,4})(?![A-Za-z0-9-])", re.I)
+# Top-level names that end a spoken address. With any last word, "looked at the dot on" would be one.
+_TOP = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|nl|ch|ca|au|jp|br|pl|se"
+_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: dot [A-Za-z0-9._%+-]{1,64}){0,3}(?P<at> at |@)(?P<host>[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){0,3} dot (?:" + _TOP + r"))(?![A-Za-z0-9-])", re.I)
 _SPOKEN_DOT = re.compile(" dot ", re.I)
 
 
@@ -203,7 +204,7 @@ def detect(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             counts, digests, spans, added = {k: [] for k in KINDS}, [], [], []
             for text in texts_of(batch):
                 base, full = find(text)
@@ -222,7 +223,7 @@ def mask_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with personal data in ``text`` masked; ``n_chars``, if there, is counted anew where a text changed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             old = texts_of(batch)
             new = [mask(t) for t in old]
             i, n = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
