@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ def tokenize(s: Column) -> Column:
 
 def sentences(s: Column) -> Column:
     """Runs up to and with ``.``, ``!`` or ``?``; what follows the last of these is dropped."""
-    return F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit("([^.!?]+[.!?])"), F.lit(1))
+    # The end mark is optional in the pattern, so a long text without one is read once, not from each of its places.
+    runs = F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit("([^.!?]++[.!?]?)"), F.lit(1))
+    return F.filter(runs, lambda x: F.right(x, F.lit(1)).isin(".", "!", "?"))
 
 
 def split_sentences(s: Column) -> Column:
@@ -25,11 +29,11 @@ def split_sentences(s: Column) -> Column:
 
 
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
+    return F.trim(s, F.lit(" \t\n\x0b\f\r"))
 
 
 def word_count(s: Column) -> Column:
-    return F.size(F.regexp_extract_all(s, F.lit(r"(\S+)"), F.lit(1)))
+    return F.regexp_count(s, F.lit(r"\S+"))
 
 
 def alphabetic_words(s: Column) -> Column:
@@ -43,15 +47,32 @@ def syllables(word: Column) -> Column:
     return F.when(w == "", 0).otherwise(F.greatest(F.lit(1), groups - ((groups > 1) & w.endswith("e")).cast("int")))
 
 
-def grade(s: Column) -> Column:
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, also where ``then`` uses it inside a lambda for each element."""
+    return F.transform(F.array(value), then)[0]
+
+
+def total_syllables(words: Column) -> Column:
+    """Syllables of all words of an array, counted by three patterns over the joined words rather than word by word."""
+    joined = F.lower(F.replace(F.array_join(words, " "), F.lit("'"), F.lit("")))
+    consonant = "[b-df-hj-np-tv-xz]"
+    groups = F.regexp_count(joined, F.lit("[aeiouy]+"))
+    silent = F.regexp_count(joined, F.lit(f"[aeiouy][a-z]*{consonant}[aeiouy]*e(?= |$)"))
+    without = F.regexp_count(joined, F.lit(f"(?:^|(?<= )){consonant}+(?= |$)"))
+    return groups - silent + without
+
+
+def grade_of(words: Column, n_sentences: Column) -> Column:
     """Flesch-Kincaid grade, unrounded; 0 without words."""
-    words = alphabetic_words(s)
-    n = F.size(words)
-    total = F.aggregate(words, F.lit(0), lambda a, w: a + syllables(w))
-    per_sentence = n / F.greatest(F.lit(1), F.size(split_sentences(s)))
+    n, total = F.size(words), total_syllables(words)
+    per_sentence = n / F.greatest(F.lit(1), n_sentences)
     return F.when(n == 0, F.lit(0.0)).otherwise(0.39 * per_sentence + 11.8 * (total / n) - 15.59)
 
 
+def grade(s: Column) -> Column:
+    return grade_of(alphabetic_words(s), F.size(split_sentences(s)))
+
+
 def highlight(s: Column, terms: Column) -> Column:
     """``<em>`` around each term, longest first, any case, inside words too."""
     unique = F.array_distinct(terms)

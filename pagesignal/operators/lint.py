@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import grade, sentences, split_sentences, strip, word_count
+from ..functions.text import alphabetic_words, grade_of, let, sentences, split_sentences, strip, word_count
 
 
 @dataclass(frozen=True)
@@ -32,6 +32,9 @@ class Rules:
     window: int = 3
     number: str = r"(?:\$\d[\d,]*(?:\.\d+)?|\b\d{4}\b|\b\d+(?:%|x)\b)"
     citation: str = r"(?:\[[0-9]+\])|(?:https?://[^ )\]]+)"
+    # What every number and every citation holds: quick to look for, so the patterns run on few sentences.
+    number_hint: str = "[0-9]"
+    citation_hint: str = r"\[|http"
     units: tuple[str, ...] = ("ft", "%", "$", "in", "mph", "psi")
     severity: dict[str, str] = field(default_factory=lambda: {"tldr.missing": "error", "comparison.table_missing": "error"})
 
@@ -66,15 +69,18 @@ def offset_in_line(text: Column, at: Column) -> Column:
 
 def hits_ci(text: Column, needle: Column) -> Column:
     """Offsets of all hits without regard to case, overlapping ones too."""
-    low, small = F.lower(text), F.lower(needle)
-    # Splitting before each hit leaves parts whose lengths add up to the hits' places.
-    parts = F.split(low, F.concat(F.lit("(?=\\Q"), small, F.lit("\\E)")))
-    step = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
-    )
-    return F.filter(step["starts"], lambda s: F.substring(low, s + 1, F.length(small)) == small)
+
+    def starts(z: Column) -> Column:
+        # Splitting before each hit leaves parts whose lengths add up to the hits' places.
+        parts = F.split(z["low"], F.concat(F.lit("(?=\\Q"), z["small"], F.lit("\\E)")))
+        step = F.aggregate(
+            parts,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+            lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
+        )
+        return F.filter(step["starts"], lambda s: F.substring(z["low"], s + 1, F.length(z["small"])) == z["small"])
+
+    return let(F.struct(F.lower(text).alias("low"), F.lower(needle).alias("small")), starts)
 
 
 def lint_tldr(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
@@ -147,8 +153,11 @@ def lint_readability(texts: DataFrame, targets: dict[str, int] | None = None, ru
     for kind, value in (targets or {}).items():
         if value > 0:
             target = F.when(F.col("page_type") == kind, value).otherwise(target)
-    words = F.transform(split_sentences(_text()), word_count)
-    rows = texts.select("doc_id", F.round(grade(_text()), 2).alias("grade"), target.alias("target"), F.size(F.filter(words, lambda n: n > rules.long_words)).alias("n_long"), F.size(F.filter(words, lambda n: n > rules.very_long_words)).alias("n_very_long"))
+    # In steps, so that no array is worked out twice.
+    parts = texts.select("doc_id", target.alias("target"), alphabetic_words(_text()).alias("words"), split_sentences(_text()).alias("parts"))
+    sizes = parts.select("doc_id", "target", "words", F.transform("parts", word_count).alias("sizes"))
+    longer = lambda n: F.size(F.filter("sizes", lambda x: x > n))
+    rows = sizes.select("doc_id", F.round(grade_of(F.col("words"), F.size("sizes")), 2).alias("grade"), "target", longer(rules.long_words).alias("n_long"), longer(rules.very_long_words).alias("n_very_long"))
     notes = F.array_compact(F.array(
         F.when(F.col("grade") > F.col("target"), F.concat(F.lit("Aim for grade "), F.col("target"), F.lit(" or less."))),
         F.when(F.col("n_long") > 0, F.concat("n_long", F.lit(f" sentences over {rules.long_words} words: split them."))),
@@ -162,12 +171,12 @@ def numeric_claims(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
 
     The window is read off the row's own array of sentences, so no document's sentences are shuffled.
     """
-    cited = F.transform("sentences", lambda s: s.rlike(rules.citation))
+    cited = F.transform("sentences", lambda s: s.rlike(rules.citation_hint) & s.rlike(rules.citation))
     rows = texts.select("doc_id", sentences(_text()).alias("sentences")).select("doc_id", "sentences", cited.alias("cited"))
     each = rows.select("doc_id", "cited", F.posexplode("sentences").alias("sentence", "s"))
     near = F.exists(F.slice("cited", F.greatest(F.lit(1), F.col("sentence") + 1 - rules.window), F.least(F.col("sentence"), F.lit(rules.window)) + rules.window + 1), lambda c: c)
     claims = F.regexp_extract_all("s", F.lit(f"({rules.number})"), F.lit(1))
-    return each.where(F.size(claims) > 0).select("doc_id", "sentence", F.posexplode(claims).alias("nth", "claim"), near.alias("supported"))
+    return each.where(F.col("s").rlike(rules.number_hint) & (F.size(claims) > 0)).select("doc_id", "sentence", F.posexplode(claims).alias("nth", "claim"), near.alias("supported"))
 
 
 def unit_note(claim: Column, rules: Rules = DEFAULT) -> Column:
@@ -183,14 +192,16 @@ def lint_citations(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
 
 def citation_scores(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """``doc_id, has_citation, total, supported, score``; 1.0 where there are no claims. All in the row, without a shuffle."""
-    cited = F.transform("sentences", lambda s: s.rlike(rules.citation))
-    counts = F.transform("sentences", lambda s: F.size(F.regexp_extract_all(s, F.lit(f"({rules.number})"), F.lit(1))))
+    cited = F.transform("sentences", lambda s: s.rlike(rules.citation_hint) & s.rlike(rules.citation))
+    counts = F.transform("sentences", lambda s: F.when(s.rlike(rules.number_hint), F.regexp_count(s, F.lit(rules.number))).otherwise(0))
     rows = texts.select("doc_id", _text().rlike(rules.citation).alias("has_citation"), sentences(_text()).alias("sentences")).select("doc_id", "has_citation", cited.alias("cited"), counts.alias("counts"))
     w = rules.window
-    supported = F.aggregate(
-        F.transform("counts", lambda c, i: F.when((c > 0) & F.exists(F.slice("cited", F.greatest(F.lit(1), i + 1 - w), F.least(i, F.lit(w)) + w + 1), lambda x: x), c).otherwise(0)),
-        F.lit(0), lambda a, x: a + x,
-    )
+
+    def near(z: Column) -> Column:
+        return F.transform(z["counts"], lambda c, i: F.when((c > 0) & F.exists(F.slice(z["cited"], F.greatest(F.lit(1), i + 1 - w), F.least(i, F.lit(w)) + w + 1), lambda x: x), c).otherwise(0))
+
+    # Bound by let(): else both arrays would be worked out anew for each sentence.
+    supported = F.aggregate(let(F.struct(F.col("cited").alias("cited"), F.col("counts").alias("counts")), near), F.lit(0), lambda a, x: a + x)
     total = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
     scored = rows.select("doc_id", "has_citation", total.alias("total"), supported.alias("supported"))
     return scored.withColumn("score", F.when(F.col("total") == 0, 1.0).otherwise(F.round(F.col("supported") / F.col("total"), 3)))

@@ -52,7 +52,7 @@ def corpus_stats(corpus: DataFrame) -> DataFrame:
 
 def term_idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
     """``term, idf``; a negative value becomes a quarter of the mean over all terms, negatives included."""
-    n = stats.select("n_docs").scalar()
+    n = stats.select(F.struct("n_docs", "avg_dl")).scalar()["n_docs"]
     raw = frequencies.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw")).scalar()
     return raw.select("term", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
@@ -69,18 +69,18 @@ def split_blank_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return queries.where(ok), queries.where(~ok)
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, id, score`` of documents that hold a term of the query."""
+def bm25_parts(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, id, score``: what each term of the query adds to the score of each document that holds it."""
     wanted = query_terms(queries)
     stats, frequencies = corpus_stats(corpus), document_frequencies(corpus)
     terms = broadcast_if_small(wanted.select("term").distinct())
     # Only matched terms are counted within their document; no postings list is built or moved.
-    tf = F.size(F.filter("tokens", lambda t: t == F.col("term")))
+    tf = F.col("dl") - F.size(F.array_remove("tokens", F.col("term")))
     hits = document_tokens(corpus).select("id", "dl", "tokens", F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term", "left_semi").select("id", "dl", "term", tf.alias("tf"))
     weights = wanted.join(term_idf(frequencies, stats), "term").select("query_id", "term", (F.col("repeats") * F.col("idf")).alias("weight"))
-    length = 1 - B + B * F.col("dl") / stats.select("avg_dl").scalar()
+    length = 1 - B + B * F.col("dl") / stats.select(F.struct("n_docs", "avg_dl")).scalar()["avg_dl"]
     part = F.col("weight") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length))
-    return hits.join(broadcast_if_small(weights), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    return hits.join(broadcast_if_small(weights), "term").select("query_id", "id", part.alias("score"))
 
 
 def rank_within(scored: DataFrame, score: str = "score", digits: int = 9) -> Column:
@@ -100,11 +100,11 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFr
     tokens give nothing. With a negative mean idf (most terms in most documents; corpora of a few documents)
     hits can fall below 0: there the corpus has no more than those ids, or its zero scores fill the list.
     """
-    hits = bm25_scores(corpus, queries)
     smallest = corpus.select("id").orderBy("id").limit(2 * k).agg(F.array_sort(F.collect_list("id"))).scalar()
     asked = queries.where(F.size(tokenize(F.col("q"))) > 0).select("query_id")
     fill = asked.select("query_id", F.explode(smallest).alias("id"), F.lit(0.0).alias("score"))
-    both = hits.unionByName(fill).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+    # Filled ids join the parts before they are summed, so one aggregation serves both.
+    both = bm25_parts(corpus, queries).unionByName(fill).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
     return top_by_score(both, k)
 
 

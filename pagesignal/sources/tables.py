@@ -10,6 +10,15 @@ KPI = "seq long, metric string, t string, v string, geo string, src string"
 PRESENCE = "seq long, query string, engine string, geo string, serp_surface string, engine_flavor string, seen boolean, citations string, position string, details string, ts string, definition_version string"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all cores if it has fewer partitions than that, as small single files have.
+
+    A table of many files is left as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_corpus(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with missing url, title and text as empty text, and the rows without an id."""
     filled = df.withColumns({c: F.coalesce(c, F.lit("")) for c in ("url", "title", "text")})
