@@ -267,16 +267,31 @@ def result_columns(df: DataFrame, vector_score: Column | None = None) -> DataFra
     )
 
 
-def with_documents(ranked: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Ranked rows with their documents' columns and their query. Candidates are few a query, so they go to the corpus."""
+def with_documents(ranked: DataFrame, corpus: DataFrame, queries: DataFrame, most_per_query: int) -> DataFrame:
+    """Ranked rows with their documents' columns and their query.
+
+    Candidates are at most ``most_per_query`` a query, so counting the queries bounds them: they go to the corpus
+    while that bound is small, and meet it in a shuffle beyond.
+    """
     asked = ranked.join(broadcast_if_small(queries.select("query_id", "q")), "query_id")
-    return corpus.join(broadcast_if_small(asked), "id")
+    small = queries.limit(500_001).count() * most_per_query <= 500_000
+    return corpus.join(F.broadcast(asked) if small else asked, "id")
+
+
+def both_lists(bm25: DataFrame, vector: DataFrame, method: str = "none") -> DataFrame:
+    """One row for each document of either list, with the rank, score and normalised score (``part``) it has in each, null where it has none."""
+
+    def named(ranked: DataFrame, name: str) -> DataFrame:
+        part = normalize_scores(ranked.select("query_id", "id", "rank", "score", F.col("score").alias("own")), method)
+        return part.select("query_id", "id", F.col("rank").alias(f"{name}_rank"), F.col("own").alias(f"{name}_score"), F.col("score").alias(f"{name}_part"))
+
+    return named(bm25, "bm25").join(named(vector, "vector"), ["query_id", "id"], "full")
 
 
 def search_query(corpus: DataFrame, queries: DataFrame, *, k: int | None = None, offset: int = 0, names: list[str] = (), **filters) -> DataFrame:
     """BM25 candidates, local boost, filters, paging, snippets, in that order."""
     k = clamp_top_k(k)
-    found = with_documents(bm25_search(corpus, queries, OVERFETCH * k).drop("rank"), corpus, queries)
+    found = with_documents(bm25_search(corpus, queries, OVERFETCH * k).drop("rank"), corpus, queries, OVERFETCH * k)
     boosted = found.withColumn("score", F.col("score") + geo_boost(F.col("title"), F.col("q"), list(names)))
     return result_columns(page(apply_filters(boosted, **filters), offset, k))
 
@@ -289,10 +304,15 @@ def search_hybrid(corpus: DataFrame, queries: DataFrame, *, mode: str = "rrf", m
     """
     k = clamp_top_k(k)
     bm25, vector = bm25_search(corpus, queries, OVERFETCH * k), vector_search(corpus, queries, OVERFETCH * k)
-    fused = rrf_fuse([bm25, vector]) if mode == "rrf" else weighted_fuse(bm25, vector, method)
-    shown = page(apply_filters(with_documents(fused, corpus, queries), **filters), offset, k)
-    shown = shown.join(bm25.select("query_id", "id", F.round("score", 6).alias("bm25_score")), ["query_id", "id"], "left")
-    shown = shown.join(vector.select("query_id", "id", F.round("score", 6).alias("vector_score")), ["query_id", "id"], "left")
+    # Each list is worked out once: its ranks and scores travel together through fusion to the result.
+    lists = both_lists(bm25, vector, "none" if mode == "rrf" else method)
+
+    def of(name: str) -> Column:
+        return F.lit(1.0) / (RRF_K + F.col(f"{name}_rank")) if mode == "rrf" else 0.5 * F.col(f"{name}_part")
+
+    fused = lists.withColumn("score", F.coalesce(of("bm25"), F.lit(0.0)) + F.coalesce(of("vector"), F.lit(0.0)))
+    shown = page(apply_filters(with_documents(fused, corpus, queries, 2 * OVERFETCH * k), **filters), offset, k)
+    shown = shown.withColumns({c: F.round(c, 6) for c in ("bm25_score", "vector_score")})
     return result_columns(shown, F.col("vector_score")).withColumn("fusion", F.lit("rrf" if mode == "rrf" else "weighted"))
 
 
