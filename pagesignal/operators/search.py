@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hash_bucket, snippet, tokenize
 from ..functions.urls import host_matches_site, parse_host
-from .sizes import broadcast_if_small
+from .sizes import broadcast_if_small, is_small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 OVERFETCH, TOP_K, MOST_TOP_K = 6, 10, 100
@@ -73,14 +73,17 @@ def bm25_parts(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, id, score``: what each term of the query adds to the score of each document that holds it."""
     wanted = query_terms(queries)
     stats, frequencies = corpus_stats(corpus), document_frequencies(corpus)
-    terms = broadcast_if_small(wanted.select("term").distinct())
+    # The queries' terms bound both sides that meet the corpus, and are cheaper to count than their weights.
+    small = is_small(wanted)
+    terms = wanted.select("term").distinct()
+    terms = F.broadcast(terms) if small else terms
     # Only matched terms are counted within their document; no postings list is built or moved.
     tf = F.col("dl") - F.size(F.array_remove("tokens", F.col("term")))
     hits = document_tokens(corpus).select("id", "dl", "tokens", F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term", "left_semi").select("id", "dl", "term", tf.alias("tf"))
     weights = wanted.join(term_idf(frequencies, stats), "term").select("query_id", "term", (F.col("repeats") * F.col("idf")).alias("weight"))
     length = 1 - B + B * F.col("dl") / stats.select(F.struct("n_docs", "avg_dl")).scalar()["avg_dl"]
     part = F.col("weight") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length))
-    return hits.join(broadcast_if_small(weights), "term").select("query_id", "id", part.alias("score"))
+    return hits.join(F.broadcast(weights) if small else weights, "term").select("query_id", "id", part.alias("score"))
 
 
 def rank_within(scored: DataFrame, score: str = "score", digits: int = 9) -> Column:
@@ -274,7 +277,7 @@ def with_documents(ranked: DataFrame, corpus: DataFrame, queries: DataFrame, mos
     while that bound is small, and meet it in a shuffle beyond.
     """
     asked = ranked.join(broadcast_if_small(queries.select("query_id", "q")), "query_id")
-    small = queries.limit(500_001).count() * most_per_query <= 500_000
+    small = is_small(queries, 500_000 // most_per_query)
     return corpus.join(F.broadcast(asked) if small else asked, "id")
 
 
