@@ -23,7 +23,7 @@ gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -261,15 +261,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, reach: int = 2, leaf_siz
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of each near-duplicate group of ``docs``, all columns as they were.
+def keep_one(docs: DataFrame, mark: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
+    """One row of each group that ``mark`` finds in ``docs``, all columns as they were.
 
     The row with the group's smallest doc_id stays; of rows that share that doc_id the one
     with the smallest text (nulls last). Rows without a doc_id can't be named by another
     row's component: of them one stays for each different text.
     """
     names = docs.columns
-    marked = near_duplicates(docs.select("doc_id", "text"), **options)
+    marked = mark(docs.select("doc_id", "text"), **options)
     wanted = marked.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
     found = docs.where(F.col("doc_id").isNotNull()).join(wanted, "doc_id", "left_semi").select(*names)
     found = found.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -18,7 +18,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pagesignal.llm import digest, html_crf, language_id, mixing, packing, pii, quality_net, quality_rules, queries, simhash, tokens
+from pagesignal.llm import digest, html_crf, language_id, mixing, near_copies, packing, pii, quality_net, quality_rules, queries, simhash, tokens
 
 SF = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 HAS_DATA = pytest.mark.skipif(not SF.exists(), reason="no test tables")
@@ -572,6 +572,50 @@ def test_classifier_edges(spark, odd):
 # --- the pipeline --------------------------------------------------------------------------
 
 
+def brute_alike(a, b):
+    a, b = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words_of(t.lower()) for t in (a, b)))
+    return 10 * len(a & b) >= 8 * len(a | b)
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_near_copies_match_brute_force(spark, block):
+    random_ = random.Random(block)
+    texts = []
+    for k in range(12):
+        base = [f"w{random_.randrange(5000)}" for _ in range(random_.choice([3, 8, 60, 150]))]
+        for edits in (0, 0, 1, 1, 2, 4, 6):
+            edited = list(base)
+            for _ in range(edits):
+                edited[random_.randrange(len(edited))] = f"new{random_.randrange(5000)}"
+            texts.append(" ".join(edited))
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if up[i] != up[j] and brute_alike(texts[i], texts[j]):
+                up = [up[j] if x == up[i] else x for x in up]
+    want = {i: up.index(up[i]) for i in range(len(texts))}
+    got = near_copies.mark(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline as p
+
+    words = [f"w{i}" for i in range(200)]
+    edited = [*words[:70], "x", *words[71:150], "y", *words[151:]]
+    other = [f"v{i}" if i % 9 == 0 else w for i, w in enumerate(words)]
+    texts = [" ".join(t) for t in (words, edited, other)]
+    assert (brute_fingerprint(texts[0]) ^ brute_fingerprint(texts[1])).bit_count() > 2
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id for r in p.near_duplicates(spark, docs, "").collect()} == {0, 2}
+
+
+def test_near_copies_edges(spark, odd):
+    got = {(r.doc_id, r.component_id) for r in near_copies.mark(odd).collect()}
+    assert {(0, 0), (1, 0), (2, 0), (3, 0), (6, 6), (10, 6), (None, None)} <= got
+    assert near_copies.mark(odd).count() == odd.count() and near_copies.mark(nothing(spark)).count() == 0
+
+
 @HAS_DATA
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
