@@ -5,7 +5,8 @@ overlapping within a kind; a match that fails its check is dropped and not retri
 
 Deobfuscating pass: transducers rewrite the text and keep, for each character they write, the
 place it came from: look-alike letters, full-width forms and invisible characters; runs of
-spelled digits; ``(at)``, ``[dot]`` and `` at ... dot ...`` disguises. The plain patterns then run
+spelled digits, with ``plus`` before and ``dot`` between; ``(at)``, ``[dot]`` and `` at ... dot ...``
+disguises, guarded against prose by the words around them. The plain patterns then run
 over the rewritten text, and what they find is mapped back to a span of the source. A
 found span is added if it overlaps no plain span of its kind. A text that no transducer
 changes is not searched twice.
@@ -79,19 +80,61 @@ _FOLDABLE = re.compile("[" + "".join(map(re.escape, map(chr, _FOLD))) + "]")
 # Spelled digits.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _ONE = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_SPELLED_RUN = re.compile(rf"\b{_ONE}(?:[ ,.-]{{1,2}}{_ONE}){{2,}}\b", re.I)
+_SPELLED_RUN = re.compile(rf"\b{_ONE}(?:(?: dot |[ ,.-]{{1,2}}){_ONE}){{2,}}\b", re.I)
 _SPELLED_ONE = re.compile(_ONE, re.I)
 _HAS_SPELLED = re.compile(rf"\b{_ONE}[ ,.-]", re.I)
+_PLUS_BEFORE = re.compile(r"\bplus[ -]\Z", re.I)
+# "plus" before a number as long as a phone's, and not between two numbers.
+_PLUS_DIGITS = re.compile(r"(?<![0-9] )(?<![0-9])\bplus (?=[0-9][0-9 ().-]{7})", re.I)
+_PART = rf"(?:[0-9]{{1,3}}|{_ONE}(?:[ -]{_ONE}){{0,2}})"
+_DOT_QUAD = re.compile(rf"(?<![0-9A-Za-z.]){_PART}(?:(?: dot |\.){_PART}){{3}}(?![0-9A-Za-z])", re.I)
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _BRACKET_AT = re.compile(rf"[ ]{{0,3}}{_OPEN} ?(?:at|@) ?{_CLOSE}[ ]{{0,3}}", re.I)
 _BRACKET_DOT = re.compile(rf"[ ]{{0,3}}{_OPEN} ?(?:dot|punkt|punto|point|\.) ?{_CLOSE}[ ]{{0,3}}", re.I)
-# Top-level names that end a spoken address. With any last word, "looked at the dot on" would be one.
+_LABEL = r"[A-Za-z0-9-]{1,63}"
+_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]{{1,64}}(?: dot [A-Za-z0-9._%+-]{{1,64}}){{0,3}})(?P<at> at |@)(?P<host>{_LABEL}(?:(?:\.| dot ){_LABEL}){{0,6}}(?:\.| dot )[A-Za-z]{{2,24}})(?![A-Za-z0-9-])", re.I)
+_HAS_HOST = re.compile(rf"(?: [aA][tT] |@){_LABEL}(?:\.{_LABEL}){{0,6}}(?: [dD][oO][tT] |\.[A-Za-z])")
+# With these top-level names a spoken address needs no guard.
 _TOP = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|nl|ch|ca|au|jp|br|pl|se"
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: dot [A-Za-z0-9._%+-]{1,64}){0,3}(?P<at> at |@)(?P<host>[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){0,3} dot (?:" + _TOP + r"))(?![A-Za-z0-9-])", re.I)
+_SURE = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]{{1,64}}(?: dot [A-Za-z0-9._%+-]{{1,64}}){{0,3}})(?P<at> at |@)(?P<host>[A-Za-z0-9-]{{1,63}}(?: dot [A-Za-z0-9-]{{1,63}}){{0,3}} dot (?:{_TOP}))(?![A-Za-z0-9-])", re.I)
+# Words of prose before "at", at the head of a noun ("at the dot ...") and after its "dot".
+_BEFORE_AT = frozenset("a all also am and are arrive arrives as ask aim be been begin both buy call can check come do down each end ends even find for found free get glance go had happen has have he held her here him his home i in is it its join just kept left listen live look looks made me meet meets met more now of off on online only open or order out over people point points read register sat see seen set she shop shown sit sits so sold start starts stay stays stop stops store stand stands stood that them there they this time today up us view visit was watch we were what which who with work works you".split())
+_DETERMINERS = frozenset("a all an another any both each either every few first her his its last many my neither no one our same second several some that the their these this those three two what which your".split())
+_AFTER_DOT = frozenset("a an and appeared appears are at-the because but by for from had has he if marked of on or she than that the then there they this was we were when where which while who will with you".split())
+_ENDINGS = ("ed", "ing", "able", "ible")
+_CUE = re.compile(r"(?:\be-?mails?|\bmail|\bcontact|\bwrite(?: to)?|\breach|\baddress(?: is)?|\bmailto)[ :]{1,2}\Z|:[ ]\Z", re.I)
+_SHAPED = re.compile(r"[0-9._%+-]| dot ", re.I)
 _SPOKEN_DOT = re.compile(" dot ", re.I)
 
 
+def spoken_address(m: re.Match) -> bool:
+    """Whether the words in and before a match of ``_SPOKEN`` make it an address rather than prose."""
+    local, host = m["local"].lower(), m["host"].lower()
+    labels = re.split(r" dot |\.", host)
+    if m["at"] == "@":
+        return " dot " in host and labels[-1] not in _AFTER_DOT
+    if labels[0] in _DETERMINERS or labels[-1] in _AFTER_DOT:
+        return False
+    before = m.string[max(0, m.start() - 16) : m.start()]
+    if _SHAPED.search(local) and local[-1] not in ".-" or _CUE.search(before):
+        return True
+    if local in _BEFORE_AT or local.endswith(_ENDINGS):
+        return False
+    # A host as it is written is common in prose ("tickets at example.com"): there the local part opens a line.
+    return " dot " in host or not before.strip(" ") or before.rstrip(" ")[-1] in "\n(<,;"
+
+
+def spoken_addresses(text: str) -> Iterator[re.Match]:
+    at = 0
+    while m := _SPOKEN.search(text, at):
+        own = m if spoken_address(m) else _SURE.match(text, m.start())
+        if own:
+            yield own
+        # A word that is no local part may stand before one.
+        at = own.end() if own else m.end("local")
+
+
 class Rewrite:
     """A text and, for each of its characters, where in the source it begins and ends."""
 
@@ -121,6 +164,12 @@ class Rewrite:
         return (self.starts[start], self.ends[end - 1]) if self.changed else (start, end)
 
 
+def digits_of(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Edits that write the spelled digits of a span as digits; gaps between them close up."""
+    words = list(_SPELLED_ONE.finditer(text, start, end))
+    return [(w.start(), after.start() if after and after.start() == w.end() + 1 and text[w.end()] != "." else w.end(), _SPELLED[w[0].lower()]) for w, after in zip(words, [*words[1:], None])]
+
+
 def deobfuscate(text: str) -> Rewrite:
     out = Rewrite(text)
     if not text.isascii():
@@ -132,8 +181,12 @@ def deobfuscate(text: str) -> Rewrite:
             for word, after in zip(words, [*words[1:], None]):
                 # A dot between digits may part an address; other gaps close up.
                 gap = out.text[word.end() : after.start()] if after else ""
-                edits.append((word.start(), after.start() if after else word.end(), _SPELLED[word[0].lower()] + ("." if "." in gap else "")))
+                digit = _SPELLED[word[0].lower()] + ("." if "." in gap or "dot" in gap.lower() else "")
+                plus = _PLUS_BEFORE.search(out.text, max(0, word.start() - 6), word.start()) if word is words[0] else None
+                edits.append((plus.start() if plus else word.start(), after.start() if after else word.end(), "+" + digit if plus else digit))
         out.replace(edits)
+    if "plus " in out.text.lower():
+        out.replace([(m.start(), m.end(), "+") for m in _PLUS_DIGITS.finditer(out.text)])
     low = out.text
     if any(c in low for c in "[({<"):
         marks = [(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(out.text)]
@@ -142,9 +195,15 @@ def deobfuscate(text: str) -> Rewrite:
             out.replace([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(out.text)])
         elif out.changed or "@" in low or _DIGIT.search(low):
             out.replace([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(out.text)])
-    if " dot " in out.text or " DOT " in out.text or " Dot " in out.text:
+    if " dot " in out.text.lower():
+        edits = []
+        for m in _DOT_QUAD.finditer(out.text):
+            if _SPOKEN_DOT.search(m[0]):
+                edits += sorted([*((d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(out.text, *m.span())), *digits_of(out.text, *m.span())])
+        out.replace(edits)
+    if _HAS_HOST.search(out.text):
         edits = []
-        for m in _SPOKEN.finditer(out.text):
+        for m in spoken_addresses(out.text):
             dots = [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(out.text, *m.span())]
             edits += sorted([*dots, (*m.span("at"), "@")])
         out.replace(edits)

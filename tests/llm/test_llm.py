@@ -274,6 +274,31 @@ def test_disguises_map_back_to_the_source(text, kind, found):
         assert not base[kind] and found not in pii.mask(text)
 
 
+@pytest.mark.parametrize(("text", "kind", "found"), [
+    *((f"ask {a} today", "email", a) for a in ("jane at example dot it", "jane at example dot ru", "jane at example dot in", "jane at mail.example dot com", "jane@example dot museum", "j.doe at example.com", "jane dot doe at mail dot example dot it")),
+    ("jane at example.com", "email", "jane at example.com"),
+    ("please email jane at example.com now", "email", "jane at example.com"),
+    ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+    ("host one nine two dot one six eight dot zero dot one is up", "ip", "one nine two dot one six eight dot zero dot one"),
+    ("host 10 dot zero dot 0 dot one is up", "ip", "10 dot zero dot 0 dot one"),
+    ("call plus one nine one zero five five five zero one two three ok", "phone", "plus one nine one zero five five five zero one two three"),
+    ("call plus 1 910 555 0123 ok", "phone", "plus 1 910 555 0123"),
+])
+def test_any_last_label_spoken_dots_and_plus(text, kind, found):
+    base, full = pii.find(text)
+    assert not base[kind] and [text[a:b] for a, b in full[kind]] == [found] and found not in pii.mask(text)
+
+
+def test_prose_about_dots_is_left_alone():
+    for text in (
+        "She stared at one dot in the picture.", "We looked at a dot it was red.", "They met at noon dot and dash followed.", "Find us at example.com or visit at shop.example.org today.",
+        "It is hosted at example.com.", "Get tickets at example.com now.", "two plus 3 is five", "It is 3 dot 5 high", "12 plus 100 200 300 400", "He pointed at that dot on it.",
+    ):
+        assert not any(pii.find(text)[1].values()), text
+    for text in ("a at b" * 50_000, "a at b dot " * 30_000, "1 dot " * 50_000, "plus " * 50_000, "a dot " * 50_000):
+        pii.find(text)
+
+
 def test_clean_prose_has_no_added_spans():
     for text in ("He looked at the dot on the map. One two three four.", "Meet at noon (at home) [dot] 5", "f(x) = [1.2] at {3}", "oh one two"):
         assert not any(pii.find(text)[1].values()), text
