@@ -3,9 +3,11 @@
 Counts over the whole text: words, characters in words, symbols, lines that repeat an
 earlier one, words in eight-word windows that occur more than once.
 
-Line rules: a line fails if it is navigation (parts set off by bars, or many short parts in a
-row), shouting, thick with symbols, one word over and over, a copy of an earlier line, or a line of
-known boilerplate. Lines that pass make the cleaned text. A document is kept unless the count
+Line rules: a line fails if it is navigation (parts set off by bars; short parts set off by wide
+gaps; or one of many short lines in a row that end no sentence, hold no digit or list mark and
+follow no colon), shouting, thick with symbols, one word over and over, a copy of an earlier line, or a
+short line of known boilerplate. A longer line loses just the short sentences of boilerplate that
+it opens with. Lines that pass make the cleaned text. A document is kept unless the count
 rules reject it or more than half of its words stood on failed lines.
 
 Nulls and edges: a null text has no words, so it is not kept. The empty line never fails.
@@ -28,6 +30,11 @@ _SYMBOL = re.compile(r"[#*$%&|<>]")
 _WINDOW = 8
 # Openings of lines that many pages share and that are no prose.
 _BOILERPLATE = re.compile(r"^\s*(?:share (?:this|on)\b|click here\b|read more\b|sign (?:in|up)\b|log in\b|subscribe (?:to|now)\b|all rights reserved\b|copyright ©|© ?\d{4}|terms of (?:use|service)\b|privacy policy\b|cookie (?:policy|settings)\b|we use cookies\b|skip to (?:main )?content\b|back to top\b|home\s*[>»|/])", re.I)
+_OPENING = re.compile(_BOILERPLATE.pattern.removeprefix("^"), re.I)
+_PARTS = re.compile(r"\t+| {2,}|\u3000+")
+_SENTENCE = re.compile(r"[.!?。！？]+(?:\s+|$)")
+# Marks of lists, and of text that goes on or ends.
+_LISTED = re.compile(r"\s*[-*+•–—>|#\"'“„«(\[]|.*[0-9]|.*[.!?:;,…。！？：；，、][\"'”»)]*\s*$")
 _SHOUT = re.compile(r"!{2,}$|\?{2,}$")
 
 
@@ -42,6 +49,11 @@ class Limits:
     symbols: int = 30
     shouts: int = 30
     same_word: int = 50
+    short_words: int = 3
+    short_chars: int = 30
+    short_lines: int = 5
+    short_parts: int = 4
+    boilerplate_words: int = 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -72,6 +84,34 @@ def repeated_words(words: list[bytes], width: int = _WINDOW) -> int:
     return int((np.cumsum(covered) > 0).sum())
 
 
+def short_part(part: str, limits: Limits) -> bool:
+    """Whether a line or a part of one could be an item of a menu."""
+    return 0 < len(part) <= limits.short_chars and 0 < len(part.split()) <= limits.short_words and not _LISTED.match(part)
+
+
+def menu_lines(lines: list[str], limits: Limits) -> set[int]:
+    """The lines in runs of short ones; blank lines don't part a run. Repeats count: a run has at least two different lines."""
+    found, run, led = set(), [], False
+    for i, line in enumerate([*lines, "."]):
+        if not line.strip():
+            continue
+        if short_part(line.strip(), limits):
+            run.append(i)
+            continue
+        if len(run) >= limits.short_lines and not led and len({lines[k] for k in run}) > 1:
+            found.update(run)
+        run, led = [], line.rstrip().endswith((":", "："))
+    return found
+
+
+def without_opening(line: str, limits: Limits) -> str:
+    """A long line without the short sentences of boilerplate that it opens with."""
+    at = 0
+    while (m := _OPENING.match(line, at)) and (end := _SENTENCE.search(line, m.end())) and len(line[at : end.end()].split()) <= limits.boilerplate_words:
+        at = end.end()
+    return line[at:]
+
+
 def failed_line(line: str, words: list[str], limits: Limits) -> str | None:
     """The rule that a line fails, if any."""
     n = len(words)
@@ -79,13 +119,16 @@ def failed_line(line: str, words: list[str], limits: Limits) -> str | None:
         return None
     if 100 * sum(w in ("|", "»", "›", "•", "·", "/", ">") for w in words) > limits.bars * n:
         return "navigation"
+    parts = _PARTS.split(line.strip()) if "  " in line or "\t" in line or "\u3000" in line else ()
+    if len(parts) >= limits.short_parts and all(short_part(p, limits) for p in parts):
+        return "navigation"
     if 100 * sum(len(_SYMBOL.findall(w)) >= 2 for w in words) > limits.symbols * n:
         return "symbols"
     if n >= 4 and 100 * sum(bool(_SHOUT.search(w)) for w in words) > limits.shouts * n:
         return "shouting"
     if n >= 8 and 100 * sum(a == b for a, b in zip(words, words[1:])) > limits.same_word * n:
         return "same word"
-    if _BOILERPLATE.match(line):
+    if n <= limits.boilerplate_words and _BOILERPLATE.match(line):
         return "boilerplate"
     return None
 
@@ -93,10 +136,16 @@ def failed_line(line: str, words: list[str], limits: Limits) -> str | None:
 def clean_lines(text: str | None, limits: Limits = Limits()) -> tuple[str, int, int]:
     """The lines that pass, joined; words on them; words on all lines."""
     kept, passed, total, seen = [], 0, 0, set()
-    for line in (text or "").split("\n"):
+    lines = (text or "").split("\n")
+    menu = menu_lines(lines, limits) if len(lines) >= limits.short_lines else ()
+    for i, line in enumerate(lines):
         words = line.split()
         n, total = len(words), total + len(words)
-        if failed_line(line, words, limits) or (n > 2 and line in seen):
+        if n > limits.boilerplate_words and _BOILERPLATE.match(line):
+            line = without_opening(line, limits)
+            words = line.split()
+            n = len(words)
+        if i in menu or failed_line(line, words, limits) or (n > 2 and line in seen):
             continue
         seen.add(line)
         kept.append(line)

@@ -355,6 +355,24 @@ def test_lines():
     assert quality_rules.measure("\n".join(" ".join(f"word{i}{j}" for j in range(9)) + "." for i in range(5)))[-1]
 
 
+def test_menus_without_bars_and_long_lines_of_prose():
+    good = "This is a line of plain prose that any reader would want to keep here."
+    menu = ["Home", "Products", "", "About us", "Contact", "Our team", "Log out"]
+    assert quality_rules.clean_lines("\n".join([good, *menu, good + " Indeed."]))[0] == f"{good}\n\n{good} Indeed."
+    assert quality_rules.clean_lines("Home  Products  About us  Contact\nHome\tProducts\tHelp\tContact")[0] == ""
+    assert not quality_rules.measure("\n".join(f"Item {a}{b}" for a in "abcdef" for b in "uvwxyz"))[-1]
+    for clean in (
+        "You will need:\napples\npears\nplums\nsugar\nbutter\nflour", "- apples\n- pears\n- plums\n- sugar\n- flour\n- eggs", "1. apples\n2. pears\n3. plums\n4. sugar\n5. flour",
+        "apples,\npears,\nplums,\nsugar,\nflour.", "Yes.\nNo.\nWhy?\nWell.\nGo!", "apples\npears\nplums\n" + good,
+    ):
+        assert quality_rules.clean_lines(clean)[0] == clean, clean
+    prose = " ".join(f"word{i}" for i in range(60)) + "."
+    for opening in ("Read more", "Log in", "Share this"):
+        assert quality_rules.measure(f"{opening} {prose}")[-1] and quality_rules.clean_lines(f"{opening} {prose}")[0] == f"{opening} {prose}"
+        assert quality_rules.clean_lines(f"{opening} today. {prose}") == (prose, 60, 60 + len(opening.split()) + 1)
+        assert quality_rules.clean_lines(f"{opening} today.")[0] == ""
+
+
 def test_rule_edges(spark, odd):
     assert quality_rules.judge(odd).count() == odd.count() and quality_rules.judge(nothing(spark)).count() == 0
     kept = quality_rules.clean(odd)
