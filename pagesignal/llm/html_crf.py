@@ -59,6 +59,8 @@ def leaves(page: str | None) -> list[Leaf]:
     """The leaf blocks of a page in order."""
     page = page or ""
     stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    where: dict[str, list[int]] = {}  # the stack positions of each open name
+    blocks: list[int] = []  # and of the open blocks
     out: list[Leaf] = []
     parts: list[str] = []
     linked = anchors = 0
@@ -69,7 +71,7 @@ def leaves(page: str | None) -> list[Leaf]:
             text = "".join(parts)
             text = " ".join((_html.unescape(text) if "&" in text else text).split())
             if text:
-                tag = next((t for t, _ in reversed(stack) if t in BLOCK), "")
+                tag = stack[blocks[-1]][0] if blocks else ""
                 out.append(Leaf(text, linked, stack[-1][1], tag))
             parts.clear()
         linked = 0
@@ -78,7 +80,13 @@ def leaves(page: str | None) -> list[Leaf]:
         nonlocal anchors
         for name, _ in stack[i:]:
             anchors -= name == "a"
+            where[name].pop()
         del stack[i:]
+        while blocks and blocks[-1] >= i:
+            blocks.pop()
+
+    def nearest(*names: str) -> int:
+        return max((where[t][-1] for t in names if where.get(t)), default=0)
 
     at, n = 0, len(page)
     lower = None
@@ -101,17 +109,11 @@ def leaves(page: str | None) -> list[Leaf]:
         if not name:
             continue
         if m["close"]:
-            if name == "p" and all(t != "p" for t, _ in stack):
+            i = nearest(name)
+            if name in BLOCK and (i or name == "p"):
                 flush()
-                continue
-            for i in range(len(stack) - 1, max(0, len(stack) - 64), -1):
-                if stack[i][0] == name:
-                    if name in BLOCK:
-                        flush()
-                    elif any(t in BLOCK for t, _ in stack[i + 1 :]):
-                        break  # an inline end tag doesn't close blocks
-                    pop_to(i)
-                    break
+            if i and (name in BLOCK or not blocks or blocks[-1] < i):  # an inline end tag doesn't close blocks
+                pop_to(i)
             continue
         if name == "br":
             parts.append(" ")
@@ -127,20 +129,12 @@ def leaves(page: str | None) -> list[Leaf]:
             continue
         if name in BLOCK:
             flush()
-            if name in CLOSES_P:
-                for i in range(len(stack) - 1, max(0, len(stack) - 32), -1):
-                    if stack[i][0] == "p":
-                        pop_to(i)
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
+            if name in CLOSES_P and blocks and stack[blocks[-1]][0] == "p":
+                pop_to(blocks[-1])
             if name in SIBLINGS:
-                for i in range(len(stack) - 1, max(0, len(stack) - 64), -1):
-                    if stack[i][0] in SIBLINGS[name]:
-                        pop_to(i)
-                        if name not in ("tr", "tbody", "tfoot", "thead"):
-                            break
-                    elif stack[i][0] in SCOPE.get(name, ()):
+                while (i := nearest(*SIBLINGS[name])) > nearest(*SCOPE.get(name, ())):
+                    pop_to(i)
+                    if name not in ("tr", "tbody", "tfoot", "thead"):
                         break
         if name in VOID:
             continue
@@ -154,6 +148,9 @@ def leaves(page: str | None) -> list[Leaf]:
         if m["rest"].endswith("/") and name not in BLOCK:
             continue
         anchors += name == "a"
+        where.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            blocks.append(len(stack))
         stack.append((name, stack[-1][1] | own if own else stack[-1][1]))
     flush()
     return out

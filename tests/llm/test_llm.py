@@ -491,6 +491,15 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
 <article><h1>Title &amp; more</h1><p><b>First   one.<br><p>Second\n one &lt;x&gt;.</p><p>Third.</p></article><footer>&copy; x &middot; Words here."""
 
 
+def test_blocks_close_over_any_number_of_open_inline_tags():
+    for n in (10, 62, 63, 64, 500):
+        page = "<article><nav>" + "<a href=x><b>Menu" * n + "</nav><p>Body." + "<i>" * n + "<p>More." + "</article><table><tr><td>One" + "<u>" * n + "<td>Two</table><div>End"
+        menu, body, more, one, two, end = html_crf.leaves(page)
+        assert menu.marks >= {"article", "nav"} and (body.marks, more.marks) == ({"article", "p"}, {"article", "p"}), n
+        assert (one.marks, two.marks, end.marks) == ({"table", "tr", "td"}, {"table", "tr", "td"}, {"div"}), n
+        assert [x.tag for x in (body, more, one, two, end)] == ["p", "p", "td", "td", "div"] and body.linked == 0
+
+
 def test_main_text_of_a_page(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p>" * 500 + "a < b & c"), (5, "u", "<" * 50), (5, "u", PAGE + "<scr"), (6, "u", "<script>never closed")]
     got = {(r.page_id, i): (r.text, r.n_chars) for i, r in enumerate(html_crf.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("own")).coalesce(1)).collect())}
