@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,21 +21,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate data that all executors see.
+    """The folder for intermediate data that all executors see: the one named by ``spark.checkpoint.dir``.
 
-    It is the one named by ``spark.checkpoint.dir``. A temporary folder is set only where the
-    session names none (tests, one machine).
+    Only on one machine may the session name none; then a temporary folder is set for it.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+_written: list[str] = []
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read from there, and the path of the table."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from the files, so that lost executors cost no more than they held."""
+    return written(df)[0]
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context.hadoopConfiguration()).delete(at, True)
+        if path in _written:
+            _written.remove(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside the block are deleted at its end."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        remove(spark, *[p for p in _written if p not in before])
+
+
+def fresh(names: Iterable[str], wanted: str) -> str:
+    """``wanted``, with underscores added until no column has that name."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def join_split(rows: DataFrame, few: DataFrame, key: str, total: int, most: int = 2000) -> DataFrame:
+    """``rows`` with the columns of ``few(key, n, ...)``, where ``n`` says how many of the rows have the key.
+
+    Keys of more than ``total / most`` rows, of which there are at most ``most``, are broadcast; only the rest
+    meets in a shuffle, so the rows of a hot key stay where they are. Rows whose key ``few`` lacks go.
+    """
+    limit = max(16, total // most)
+    held = F.struct(*[c for c in few.columns if c not in (key, "n")]).alias("__held")
+    marked = rows.join(F.broadcast(few.where(F.col("n") > limit).select(key, held)), key, "left")
+    near = marked.where(F.col("__held").isNotNull())
+    far = marked.where(F.col("__held").isNull()).drop("__held").join(few.where(F.col("n") <= limit).select(key, held), key)
+    return near.unionByName(far).select(*rows.columns, "__held.*")
 
 
 def crc32_mod(column: Column | str, n: int) -> Column:

@@ -13,12 +13,18 @@ pairs of blocks. Each task finds its shard's links exactly, with the same tree i
 gives a spanning forest of them rather than all pairs.
 
 Components: the forests' edges are contracted by alternating large-star and small-star steps
-on DataFrames, each step written to the shared checkpoint folder.
+on DataFrames, each step written to the shared folder.
+
+Hot fingerprints: documents get their component by a join on the fingerprint. Fingerprints of more than
+1/2000 of the rows, at most 2000 of them, are broadcast; only the others are shuffled. The same holds for
+the links of a hub and the members of a large component.
 
 Nulls and edges: a null or wordless text has fingerprint zero and is linked like any other.
 A null doc_id is fingerprinted too; its component is the smallest doc_id that it reaches, or
 null if it reaches none. Repeated rows come out as often as they came in. An empty table
-gives an empty result. Other columns are not read.
+gives an empty result. Other columns are not read, whatever their names. A text of tens of millions
+of characters is hashed in slices of 100,000 shingles; what it needs besides its words is small. Ties can't
+arise: components are named by their smallest doc_id.
 """
 
 from __future__ import annotations
@@ -30,10 +36,10 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, texts_of, with_columns
+from .common import cut, fresh, join_split, remove, small, texts_of, with_columns, written
 
 SEED = 42
 
@@ -215,65 +221,86 @@ def link_edges(nodes: DataFrame, *, reach: int = 2, leaf_size: int = 4000, sampl
     return dealt.groupBy("shard").applyInArrow(link, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node that each node of ``edges(a, b)`` reaches; roots included.
 
-    Large-star and small-star steps in turn until nothing changes; each node's minimum is
-    aggregated before the shuffle, so a node with very many links is no single task's load.
+    Large-star and small-star steps in turn until nothing changes, which takes about as many rounds as the
+    logarithm of the longest chain. Each node's minimum is aggregated before the shuffle, and it goes to the links
+    of a hub by broadcast, so a node with very many links is no single task's load. A round's table is deleted
+    once the next one stands.
     """
+    spark = edges.sparkSession
 
-    def signature(df: DataFrame) -> tuple:
+    def size(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    def star(df: DataFrame, large: bool) -> DataFrame:
+    def star(df: DataFrame, large: bool, links: int) -> DataFrame:
         both = df.select(F.col("a").alias("u"), F.col("b").alias("v")).union(df.select(F.col("b").alias("u"), F.col("a").alias("v")))
         seen = both if large else both.where("v < u")
-        least = seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = (both.where("v > u") if large else seen).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = seen.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", "n", F.least("u", "m").alias("m"))
+        moved = join_split(both.where("v > u") if large else seen, least, "u", 2 * links).select(F.col("v").alias("a"), F.col("m").alias("b"))
         if not large:
             moved = moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = signature(now)
-    for _ in range(most):
-        if not before[0]:
-            break
-        now = cut(star(star(now, large=True), large=False))
-        after = signature(now)
-        if after == before:
+    now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = size(now)
+    while before[0]:
+        larger, middle = written(star(now, True, before[0]))
+        after, next_path = written(star(larger, False, before[0]))
+        remove(spark, path, middle)
+        now, path, last = after, next_path, before
+        before = size(now)
+        if before == last:
             break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 3, reach: int = 2, leaf_size: int = 4000) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row of ``docs(doc_id, text)``."""
+def named_classes(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``key, n, component_id`` of ``nodes(key, n, least)``: the smallest ``least`` in the component that ``roots`` puts it in."""
+    linked = nodes.join(roots.withColumnRenamed("node", key), key)
+    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = join_split(linked.select(key, "root"), of_root, "root", nodes.count()).select(key, "component_id")
+    return nodes.join(named, key, "left").select(key, "n", F.coalesce("component_id", "least").alias("component_id"))
+
+
+def fingerprint_classes(docs: DataFrame, *, width: int = 3, reach: int = 2, leaf_size: int = 4000) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp`` for every row, and ``fp, n, component_id`` for every different fingerprint, ``n`` its rows."""
     prints = cut(fingerprints(docs, width))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(link_edges(nodes, reach=reach, leaf_size=leaf_size))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(of_root, "root").select("fp", "component_id")
-    classes = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints, named_classes(nodes, roots, "fp")
 
 
-def keep_one(docs: DataFrame, mark: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
-    """One row of each group that ``mark`` finds in ``docs``, all columns as they were.
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row of ``docs(doc_id, text)``."""
+    prints, classes = fingerprint_classes(docs, **options)
+    found = join_split(prints, cut(classes), "fp", prints.count())
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-    The row with the group's smallest doc_id stays; of rows that share that doc_id the one
-    with the smallest text (nulls last). Rows without a doc_id can't be named by another
-    row's component: of them one stays for each different text.
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """The ``doc_id`` that stands for each component: a matter of the classes, so no document is joined."""
+    return fingerprint_classes(docs, **options)[1].where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
+
+
+def keep_one(docs: DataFrame, choose: Callable[..., DataFrame] = representatives, **options) -> DataFrame:
+    """One row for each doc_id that ``choose`` gives for ``docs(doc_id, text)``, all columns as they were.
+
+    Of rows that share a doc_id the one with the smallest text (nulls last) stays. Rows without a
+    doc_id can't be named by another row's component: of them one stays for each different text. Columns of
+    any name pass through. Repeated rows are thinned out before the shuffle, so a doc_id that many rows share
+    is no single task's load; the texts are shuffled once.
     """
     names = docs.columns
-    marked = mark(docs.select("doc_id", "text"), **options)
-    wanted = marked.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
-    found = docs.where(F.col("doc_id").isNotNull()).join(wanted, "doc_id", "left_semi").select(*names)
-    found = found.unionByName(docs.where(F.col("doc_id").isNull()))
-    # Rows of one doc_id meet here anyway, so repeated ids cost no further shuffle of the texts.
-    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    order = Window.partitionBy("doc_id", nameless).orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*[c for c in names if c not in ("doc_id", "text")], F.lit(0)))
-    return found.withColumn("__dedup_n", F.row_number().over(order)).where("__dedup_n = 1").select(*names)
+    wanted = choose(docs.select("doc_id", "text"), **options)
+    number = fresh(names, "__dedup_n")
+    ties = F.xxhash64(*[c for c in names if c not in ("doc_id", "text")], F.lit(0))
+
+    def first(rows: DataFrame, key: Column) -> DataFrame:
+        order = Window.partitionBy(key).orderBy(F.col("text").asc_nulls_last(), ties)
+        return rows.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).select(*names)
+
+    known = first(docs.where(F.col("doc_id").isNotNull()), F.col("doc_id")).join(wanted, "doc_id", "left_semi")
+    nameless = first(docs.where(F.col("doc_id").isNull()), F.xxhash64("text"))
+    return known.select(*names).unionByName(nameless)
