@@ -12,6 +12,7 @@ Nulls and edges: a null text or one without a letter gives ``und`` with score 0.
 a null label or null text are never learned from. With no learnable row every text is
 ``und``. Repeated rows are scored alike. Ties go to the first label by code point. Columns
 other than those named in the call are not read.
+A text of tens of millions of characters is scored in slices like any other.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import chunks_by_size, crc32_mod, small, texts_of, unit_hash, with_columns
 
 UNKNOWN = "und"
+#: The model's table has at most this power of two of cells.
+MOST_CELLS_BITS = 24
 
 
 @lru_cache(maxsize=1)
@@ -111,9 +114,10 @@ def fit(docs: DataFrame, train: Column, *, bits: int = 16, per_class: int = 4000
     """
     learnable = docs.select("doc_id", "text", "lang").where(train & F.col("lang").isNotNull())
     labels, chosen = drawn(learnable.select("doc_id", "lang"), "lang", "doc_id", per_class)
-    if len(labels) > 2000:
-        raise ValueError(f"{len(labels)} labels: the model's table is meant for at most 2000")
-    rows = learnable.where(chosen & F.col("text").isNotNull()).select("lang", "text")
+    # The table is bounded: with more labels than 256 it has fewer buckets for each.
+    bits = min(bits, max(8, MOST_CELLS_BITS - max(0, len(labels) - 1).bit_length()))
+    # All tasks look for the sample; only then is it dealt to a few, as its size is bounded.
+    rows = learnable.where(chosen & F.col("text").isNotNull()).select("lang", "text").repartition(16)
     size, number = 1 << bits, {x: i for i, x in enumerate(labels)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +131,7 @@ def fit(docs: DataFrame, train: Column, *, bits: int = 16, per_class: int = 4000
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["k", "n"])
 
-    got = rows.coalesce(16).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    got = rows.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     n = np.zeros(len(labels) * size)
     # Bounded by labels x buckets, whatever the size of the corpus.
     pdf = got.toPandas()

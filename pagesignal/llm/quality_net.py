@@ -22,7 +22,9 @@ in slices of bounded size.
 
 Nulls and edges: null and empty texts are scored as documents of no words. Null labels and ids without
 a label are not learned from. With fewer than two classes every score is the share of class 1,
-or 0.5 with no labels at all. Repeated rows are scored alike.
+or 0.5 with no labels at all. Repeated rows are scored alike. An id with labels of both classes counts as
+class 1. Words of equal frequency enter the vocabulary in code point order. Extra columns of any name are not read.
+A text of tens of millions of characters is pooled in slices of 200,000 words.
 """
 
 from __future__ import annotations
@@ -173,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, per_class: int = 3
     _, chosen = drawn(known, "quality", "doc_id", per_class)
     # About two classes' rows at most, so the side that is broadcast is bounded.
     few = known.where(chosen).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = cut(docs.select("doc_id", "text").where(train).join(F.broadcast(few), "doc_id").select("quality", "text").coalesce(24))
+    # All tasks look for the sample; only then is it dealt to a few, as its size is bounded.
+    sample = cut(docs.select("doc_id", "text").where(train).join(F.broadcast(few), "doc_id").select("quality", "text").repartition(24))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
