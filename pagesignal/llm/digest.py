@@ -9,7 +9,9 @@ Likeness: 1 less the difference score over its bound. Codes that differ by 1, 2,
 
 Nulls and edges: null and empty texts have the digest of no triplets (all codes zero, length
 zero), as have texts of under three bytes but for the length. Two such digests have likeness 1.
-Ties among counts share a code. Equal texts have equal digests.
+Ties among counts share a code. Equal texts have equal digests. Rows of one doc_id follow each other by
+text and lie in one range. Repeated rows come out each time; an empty table gives an empty result; other columns
+are not read. A text of tens of millions of characters is counted in slices of a mebibyte.
 """
 
 from __future__ import annotations
@@ -76,52 +78,88 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
+def cut_points(rows: DataFrame, range_bytes: int, fine: int) -> np.ndarray:
+    """Ids, in descending order and negated, that part ``rows(doc_id, text)`` into ranges of about ``range_bytes`` of text.
+
+    Two narrow passes: up to ``fine`` quantiles of the ids, then the bytes between them; neighbours are put together
+    until a range is full. What comes to the driver is bounded by ``fine``, not by the rows.
+    """
+    tasks = max(2, min(fine, 16 * rows.rdd.getNumPartitions()))
+    quantiles = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / tasks for i in range(1, tasks)], 10 * tasks)).first()[0] or []), reverse=True)
+    below = -np.array(quantiles, np.int64)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(below) + 1)
+        for batch in batches:
+            total += np.bincount(place_of(batch.column(0), below), batch.column(1).fill_null(0).to_numpy(zero_copy_only=False), len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["k", "n"])
+
+    held = {r.k: r.n for r in rows.select("doc_id", F.octet_length("text").cast("long").alias("n")).mapInArrow(weigh, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    kept, full = [], 0
+    for k, at in enumerate(below):
+        full += held.get(k, 0)
+        if full >= range_bytes:
+            kept.append(at)
+            full = 0
+    return np.array(kept, np.int64)
+
+
+def place_of(ids: pa.Array, cuts: np.ndarray) -> np.ndarray:
+    """The range of each id: ids from a cut upward come before it, nulls last."""
+    known = np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    return np.where(np.asarray(ids.is_null().to_numpy(zero_copy_only=False)), len(cuts), np.searchsorted(cuts, -known, "left"))
+
+
+def with_next(docs: DataFrame, range_bytes: int, fine: int = 1 << 16) -> DataFrame:
     """The rows of ``docs(doc_id, text)`` sorted in ranges, each range followed by its neighbour's first row.
 
     Columns ``part, borrowed, doc_id, text``: in a part, rows come by descending doc_id (nulls
-    last), ties by text (nulls last). The texts are shuffled once. What a part borrows is the
-    row that follows its last one: the first of the next part that has rows, and for the last
-    part the first row of all.
+    last), ties by text (nulls last). Part i is partition i. The texts are shuffled once. What a part
+    borrows is the row that follows its last one: the first of the next part that has rows, and for the
+    last part the first row of all; of rows that share that id each task lends just the first.
     """
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else []
-    # What comes to the driver is bounded by the number of parts, not of rows.
-    cuts = -np.array(sorted(set(found or []), reverse=True), np.int64)
-
-    def place(ids: pa.Array) -> np.ndarray:
-        known = np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-        return np.where(np.asarray(ids.is_null().to_numpy(zero_copy_only=False)), len(cuts), np.searchsorted(cuts, -known, "left"))
+    cuts = cut_points(rows, range_bytes, fine)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(place(batch.column(0)).astype(np.int32)), batch.column(0)], names=["part", "doc_id"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(place_of(batch.column(0), cuts).astype(np.int32)), batch.column(0)], names=["part", "doc_id"])
 
     tops = dict(tuple(r) for r in rows.select("doc_id").mapInArrow(top, f"part int, doc_id {kind}").groupBy("part").agg(F.max("doc_id")).collect())
     order = sorted(tops)
-    lender = {part: before for part, before in zip(order, order[-1:] + order[:-1])}
+    number = {part: k for k, part in enumerate(order)}
+    lender = {part: number[before] for part, before in zip(order, order[-1:] + order[:-1])}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lent: dict[int, tuple] = {}
+
+        def rows_of(part: list[int], borrowed: bool, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([borrowed] * len(part)), ids, texts], names=["part", "borrowed", "doc_id", "text"])
+
         for batch in small(batches):
-            part, ids = place(batch.column(0)), batch.column(0).to_pylist()
-            lent = [i for i, (p, x) in enumerate(zip(part.tolist(), ids)) if x == tops[p]]
-            take = pa.array([*range(len(ids)), *lent], pa.int64())
-            to = np.concatenate([part, [lender[part[i]] for i in lent]]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.arange(len(to)) >= len(ids)), batch.column(0).take(take), batch.column(1).take(take)], names=["part", "borrowed", "doc_id", "text"])
+            part, ids = place_of(batch.column(0), cuts).tolist(), batch.column(0).to_pylist()
+            for i, (p, x) in enumerate(zip(part, ids)):
+                if x == tops[p]:
+                    text = batch.column(1)[i].as_py()
+                    own = text is None, text or "", x
+                    lent[p] = min(lent.get(p, own), own, key=lambda r: r[:2])
+            yield rows_of([number[p] for p in part], False, batch.column(0), batch.column(1))
+        for p, (is_null, text, x) in lent.items():
+            yield rows_of([lender[p]], True, pa.array([x], pa.int64()), pa.array([None if is_null else text], pa.string()))
 
     dealt = rows.mapInArrow(deal, f"part int, borrowed boolean, doc_id {kind}, text string")
-    return dealt.repartition(max(1, len(tops)), "part").sortWithinPartitions("part", "borrowed", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_last())
+    return dealt.repartitionById(max(1, len(tops)), "part").sortWithinPartitions("part", "borrowed", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_last())
 
 
-def compare_with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def compare_with_edits(docs: DataFrame, range_bytes: int = 16 << 20) -> DataFrame:
     """Digest each row's text, its edited text and the next document's, and how alike they are.
 
     The next document is the one that follows by descending doc_id, after the last the first;
     rows of one doc_id follow each other by text. A lone row is its own next.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # a row that waits for the one after it
@@ -143,4 +181,4 @@ def compare_with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
             out = []
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    return with_next(docs, parts).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs, range_bytes).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
