@@ -1,8 +1,9 @@
 """Main text of web pages by a linear-chain conditional random field over leaf blocks.
 
 A page is read into leaf blocks: runs of text with no block-level tag inside, each with the
-tags, classes, ids and roles above it. A block's features are those ancestors and simple
-facts of its text. The field scores each block as article or not and each pair of neighbours;
+tags, classes, ids and roles above it. A block's features are those ancestors, simple
+facts of its text, and how much prose stands around it: near it, before and after it, and in the
+container that holds most of the page's. The field scores each block as article or not and each pair of neighbours;
 Viterbi picks the best labelling of the page, and the article blocks are its text.
 
 Training: ``labelled_pages`` writes a bounded set of pages of many layouts with known labels, and
@@ -11,8 +12,11 @@ forward-backward recursion over all pages at once. The model is one small table
 
 Nulls and edges: null and empty pages have no blocks and give empty text. Scripts, styles,
 templates, comments, and the head never make blocks. Broken markup (unclosed, stray, misnested
-tags, a file cut off in a tag) is read leniently and never fails. Repeated rows are treated
-alike. Time is linear in the page's length.
+tags, a file cut off in a tag) is read leniently and never fails; attributes are read as HTML reads
+them, so a quote inside an unquoted value opens nothing. Character references are decoded within
+each run of text. Formulas (``math``) are text. Repeated rows are treated alike; an empty table gives an empty
+result; other columns than ``page_id``, ``url`` and ``html`` are not read. Ties in Viterbi go to the article. Time is
+linear in the page's length, also for pages of tens of millions of characters.
 """
 
 from __future__ import annotations
@@ -34,31 +38,38 @@ from .common import small, texts_of, with_columns
 # Element names by kind.
 BLOCK = frozenset("address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li link main menu meta nav noframes noscript object ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style title noscript template svg math iframe noframes".split())
+SILENT = frozenset("script style title noscript template svg iframe noframes".split())
 #: Tags that end an open paragraph, and what an opening tag closes of its own kind.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_NAMES = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# A tag's attributes: a value after "=" is quoted, or runs to the next blank or ">" whatever quotes it holds.
+_VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+_MARKUP = re.compile(rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>=]++|{_VALUE})*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/=>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 _WORDS = re.compile(r"[a-z]+")
+#: Marks of what is no running text of the page.
+ASIDE = frozenset("nav footer aside form hidden button select option textarea".split())
 
 
 @dataclass
 class Leaf:
-    """A block's text, the characters of it inside links, and the marks above it (tags, classes)."""
+    """A block's text, the characters of it inside links, the marks above it (tags, classes), and the numbers of its nearest containers."""
 
     text: str
     linked: int
     marks: frozenset[str]
     tag: str
+    up: tuple[int, ...] = ()
 
 
 def leaves(page: str | None) -> list[Leaf]:
     """The leaf blocks of a page in order."""
     page = page or ""
-    stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    stack: list[tuple[str, frozenset[str], int]] = [("", frozenset(), 0)]
+    opened = 0
     where: dict[str, list[int]] = {}  # the stack positions of each open name
     blocks: list[int] = []  # and of the open blocks
     out: list[Leaf] = []
@@ -68,17 +79,16 @@ def leaves(page: str | None) -> list[Leaf]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = "".join(parts)
-            text = " ".join((_html.unescape(text) if "&" in text else text).split())
+            text = " ".join("".join(parts).split())
             if text:
                 tag = stack[blocks[-1]][0] if blocks else ""
-                out.append(Leaf(text, linked, stack[-1][1], tag))
+                out.append(Leaf(text, linked, stack[-1][1], tag, tuple(stack[i][2] for i in blocks[-4:])))
             parts.clear()
         linked = 0
 
     def pop_to(i: int) -> None:
         nonlocal anchors
-        for name, _ in stack[i:]:
+        for name, *_ in stack[i:]:
             anchors -= name == "a"
             where[name].pop()
         del stack[i:]
@@ -94,7 +104,8 @@ def leaves(page: str | None) -> list[Leaf]:
         upto = page.find("<", at)
         upto = n if upto < 0 else upto
         if upto > at:
-            parts.append(page[at:upto])
+            run = page[at:upto]
+            parts.append(_html.unescape(run) if "&" in run else run)
             if anchors:
                 linked += upto - at
         if upto == n:
@@ -139,10 +150,10 @@ def leaves(page: str | None) -> list[Leaf]:
         if name in VOID:
             continue
         own = {name} if name in BLOCK or name in ("a", "label", "time") else set()
-        for key, *value in _NAMES.findall(m["rest"]) if m["rest"] else ():
+        for key, *value in _ATTRIBUTE.findall(m["rest"]) if _TELLING.search(m["rest"]) else ():
             key, value = key.lower(), next((v for v in value if v), "").lower()
             if key in ("class", "id", "role"):
-                own |= {f"{'is'}={w}" for w in _WORDS.findall(value)}
+                own |= {f"is={w}" for w in _WORDS.findall(value)}
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                 own.add("hidden")
         if m["rest"].endswith("/") and name not in BLOCK:
@@ -151,7 +162,8 @@ def leaves(page: str | None) -> list[Leaf]:
         where.setdefault(name, []).append(len(stack))
         if name in BLOCK:
             blocks.append(len(stack))
-        stack.append((name, stack[-1][1] | own if own else stack[-1][1]))
+        opened += 1
+        stack.append((name, stack[-1][1] | own if own else stack[-1][1], opened))
     flush()
     return out
 
@@ -171,7 +183,7 @@ def _above(marks: frozenset[str]) -> list[int]:
 
 
 def features(leaf: Leaf) -> list[int]:
-    """Hashed features of a block."""
+    """Hashed features of a block by itself."""
     text = leaf.text
     n, words = len(text), text.count(" ") + 1
     link = leaf.linked / max(1, n)
@@ -184,6 +196,38 @@ def features(leaf: Leaf) -> list[int]:
     return [*_above(leaf.marks), *map(_bucket, names)]
 
 
+def prose_of(leaf: Leaf) -> int:
+    """Characters of running text: a block of several words that is not mostly links and not marked as something else."""
+    n = len(leaf.text)
+    return n - leaf.linked if leaf.text.count(" ") >= 5 and 3 * leaf.linked < n and not leaf.marks & ASIDE else 0
+
+
+def page_features(blocks: list[Leaf]) -> list[list[int]]:
+    """Hashed features of each block of a page, with those of where it stands among the others."""
+    prose = [prose_of(b) for b in blocks]
+    sums = [0]
+    for x in prose:
+        sums.append(sums[-1] + x)
+    held: dict[int, int] = {}
+    for b, x in zip(blocks, prose):
+        # A block's text counts for what holds the block, and half for what holds that.
+        for k, at in enumerate(reversed(b.up[:-1])):
+            if x and k < 2:
+                held[at] = held.get(at, 0) + (x >> k)
+    best = max(held, key=lambda at: (held[at], -at), default=-1)
+    filled = [i for i, x in enumerate(prose) if x >= 60]
+    first, last = (filled[0], filled[-1]) if filled else (len(blocks), -1)
+    out = []
+    for i, b in enumerate(blocks):
+        near = sums[min(len(blocks), i + 4)] - sums[max(0, i - 3)] - prose[i]
+        sides = [f"{name}:{blocks[j].tag}:{min(2, len(blocks[j].text) // 50)}:{2 * blocks[j].linked > len(blocks[j].text)}" if 0 <= j < len(blocks) else name for name, j in (("prev", i - 1), ("next", i + 1))]
+        level = b.up[::-1].index(best) if best in b.up else 9
+        place = "before" if i < first else "after" if i > last else "within"
+        names = [f"near:{min(6, near.bit_length() // 2)}", f"best:{level}", f"place:{place}", f"place:{place}:best:{level < 9}", f"own:{min(4, prose[i].bit_length() // 2)}:best:{level < 9}", *sides]
+        out.append([*features(b), *map(_bucket, names)])
+    return out
+
+
 @dataclass(frozen=True)
 class Field:
     """Weights of a block's features for the article label, and of each pair of neighbouring labels."""
@@ -201,7 +245,7 @@ class Field:
         if not blocks:
             return []
         w = self._list
-        emit = [sum([w[i] for i in features(b)]) for b in blocks]
+        emit = [sum([w[i] for i in f]) for f in page_features(blocks)]
         p = self.pairs.tolist()
         best, back = [self.ends[0], self.ends[1] + emit[0]], []
         for e in emit[1:]:
@@ -220,7 +264,7 @@ def fit(pages: list[tuple[list[Leaf], list[bool]]], *, rounds: int = 120, rate:
     """Maximise the conditional likelihood of labelled pages by Adam steps."""
     pages = [p for p in pages if p[0]]
     most, size = max(len(b) for b, _ in pages), 1 << BITS
-    feats = [features(x) for blocks, _ in pages for x in blocks]
+    feats = [f for blocks, _ in pages for f in page_features(blocks)]
     row = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
     col = np.concatenate([np.asarray(f) for f in feats])
     place = np.concatenate([k * most + np.arange(len(b)) for k, (b, _) in enumerate(pages)])
@@ -264,7 +308,7 @@ def fit(pages: list[tuple[list[Leaf], list[bool]]], *, rounds: int = 120, rate:
     return Field(theta[:size], theta[size : size + 4].reshape(2, 2), theta[size + 4 :])
 
 
-def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[list[Leaf], list[bool]]]:
+def labelled_pages(n: int = 600, seed: int = 3) -> list[tuple[list[Leaf], list[bool]]]:
     """``n`` written pages of varied layout, read into blocks, each with whether it is of the article.
 
     Article text carries a mark character that is taken out again once the blocks are read.
@@ -333,9 +377,34 @@ def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[list[Leaf], list[b
             return f"<blockquote>{own(prose(3))}</blockquote>"
         return pick(f"<pre>{own(say(6))}</pre>", f"<table><tr><td>{own(say(2))}</td><td>{own(say(3))}</td></tr></table>", f"<figure><figcaption>{own(say(6))}</figcaption></figure>", f"<p>{own(say(2))} <a href='/'>{say(3)}</a> {say(4)}</p>", f"<p>{own(say(1))}</p>", f"<div>{own(prose(3))}</div>")
 
+    def plain(inner: str) -> str:
+        """A container whose name tells nothing."""
+        name = pick("col-md-8", "row", "container", "wrapper", "inner", "block", "box", "left", "right", "grid", f"css-{word()}", f"x{r.randrange(99)}", "")
+        return pick(f'<div class="{name}">{inner}</div>', f"<div>{inner}</div>", f'<section id="{name}">{inner}</section>', f'<div class="{name}"><div class="inner">{inner}</div></div>')
+
+    def links() -> str:
+        k = r.randrange(2, 9)
+        return pick("<ul>" + "".join(f'<li><a href="/{word()}">{say(r.randrange(1, 5))}</a></li>' for _ in range(k)) + "</ul>", "".join(f'<a href="/{word()}">{say(r.randrange(1, 3))}</a> ' for _ in range(k)), "".join(f'<div><a href="/{word()}">{say(r.randrange(1, 4))}</a></div>' for _ in range(k)))
+
+    def small_print() -> str:
+        return pick(f"{pick('&copy;', '©')} {r.randrange(1990, 2030)} {word()} {say(r.randrange(1, 6))}", f"© {word()}.example &middot; {prose(3)}", say(r.randrange(1, 5)))
+
+    def unnamed() -> str:
+        """A page whose classes tell nothing: only its text does."""
+        title = pick(f"<h1>{own(say(6))}</h1>", f"<h1>{own(say(6))}</h1>", f"<h2>{own(say(5))}</h2>", "")
+        body = title + "".join(para() if r.random() < 0.6 else f"<p>{own(prose(9) + ' ' + prose(9))}</p>" for _ in range(r.randrange(2, 10)))
+        head = "".join(x() for x in (lambda: plain(say(2)), lambda: plain(links()), lambda: plain(say(4)), form) if r.random() < 0.6)
+        tail = "".join(x() for x in (lambda: plain(links()), lambda: plain(f"<h3>{say(2)}</h3>{links()}"), replies, side) if r.random() < 0.4)
+        end = pick(f"<div>{small_print()}</div>", f"<p>{small_print()}</p>", plain(small_print()), f"<footer>{small_print()}</footer>", "")
+        if r.random() < 0.2:
+            return f"<table><tr><td>{links()}</td><td>{body}</td></tr></table>{end}"
+        return head + pick(plain(body), plain(body), body) + tail + end
+
     out = []
-    for _ in range(n):
+    for number in range(n):
         body = "".join(para() for _ in range(r.randrange(1, 12)))
+        if r.random() < 0.25:
+            body = "".join(f"<p>{own(say(r.randrange(1, 5)))}</p>" for _ in range(r.randrange(1, 4)))
         title = pick(f"<h1>{own(say(6))}</h1>", f"<h1>{own(say(6))}</h1>", f"<header><h1>{own(say(5))}</h1></header>", "")
         within = pick("", "", "", advert(), side(), replies(), notice())
         core = title + body + within
@@ -350,9 +419,10 @@ def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[list[Leaf], list[b
             core = f'<main><article class="{pick("post", "entry")}"><div class="{pick("body", "content", "text")}">{core}</div></article></main>'
         before = "".join(x() for x in (menu, header, notice, advert, form, side) if r.random() < 0.45)
         after = "".join(x() for x in (side, replies, advert, form, menu, notice) if r.random() < 0.35)
-        blocks = leaves(f"<!DOCTYPE html><html><head><title>{say(5)}</title></head><body>{before}{core}{after}{pick(footer(), footer(), '')}" + pick("</body></html>", ""))
+        inside = f"{before}{core}{after}{pick(footer(), footer(), '')}" if number % 3 else unnamed()
+        blocks = leaves(f"<!DOCTYPE html><html><head><title>{say(5)}</title></head><body>{inside}" + pick("</body></html>", ""))
         labels = [mark in b.text for b in blocks]
-        out.append(([Leaf(b.text.replace(mark, "") or "x", b.linked, b.marks, b.tag) for b in blocks], labels))
+        out.append(([Leaf(b.text.replace(mark, "") or "x", b.linked, b.marks, b.tag, b.up) for b in blocks], labels))
     return out
 
 
