@@ -4,7 +4,8 @@ Plain pass: e-mail, IPv4, card and phone patterns over the text as it is, leftmo
 overlapping within a kind; a match that fails its check is dropped and not retried.
 
 Deobfuscating pass: transducers rewrite the text and keep, for each character they write, the
-place it came from: look-alike letters, full-width forms and invisible characters; runs of
+place it came from: look-alike letters, the compatibility forms and digits of all scripts that Unicode knows
+(full-width, mathematical, circled) and invisible characters; runs of
 spelled digits, with ``plus`` before and ``dot`` between; ``(at)``, ``[dot]`` and `` at ... dot ...``
 disguises, guarded against prose by the words around them. The plain patterns then run
 over the rewritten text, and what they find is mapped back to a span of the source. A
@@ -12,14 +13,22 @@ found span is added if it overlaps no plain span of its kind. A text that no tra
 changes is not searched twice.
 
 Nulls and edges: null and empty texts have no spans. Offsets are code points, ends
-exclusive. Every pattern takes time in proportion to the text. Repeated rows are
-treated alike. Masking leaves a null text null.
+exclusive. Every pattern takes time in proportion to the text; a text of tens of millions of characters is read whole, and
+only its edits are kept beside it. Where spans of two kinds overlap both are given; ties of place go by kind as
+listed. Repeated rows are treated alike; an empty table gives an empty result. Detection reads ``doc_id`` and ``text``
+alone; masking keeps all columns, whatever their names, and leaves a null text null.
+
+Not found: numbers spelled as words over nine, disguises in other languages than English but for their dots,
+accented letters standing for plain ones.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -69,13 +78,29 @@ def plain_spans(text: str) -> dict[str, list[Span]]:
 
 
 # Letters of other scripts drawn like Latin ones.
-_ALIKE = dict(zip("АВЕЅІЈКМНОРСТХУаеорсухіјѕԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοɡıℓ", "ABESIJKMHOPCTXYaeopcyxijsdhqwABEZHIKMNOPTYXogil"))
+_ALIKE = dict(zip("АВЕЅІЈКМНОРСТХУаеорсухіјѕԁһԛԝӏѵкΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικρυχɑɡıℓᴄᴏᴜᴠᴡᴢօ", "ABESIJKMHOPCTXYaeopcyxijsdhqwlvkABEZHIKMNOPTYXoavikpuxagilcouvwzo"))
 #: Characters that show nothing.
 _HIDDEN = "­​‌‍⁠﻿"
-_FOLD = {ord(a): b for a, b in _ALIKE.items()} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {ord(c): "-" for c in "‐‑‒–−"} | {0x3002: ".", 0xA0: " ", 0x2009: " ", 0x202F: " "} | {ord(c): "" for c in _HIDDEN}
-# Digits of other scripts.
-_FOLD |= {start + i: str(i) for start in (0x0660, 0x06F0, 0x0966) for i in range(10)}
-_FOLDABLE = re.compile("[" + "".join(map(re.escape, map(chr, _FOLD))) + "]")
+
+
+def _plain_of(c: str) -> str | None:
+    """The ASCII character that a character stands for by Unicode's compatibility forms or digit values; raised and lowered ones stand for themselves."""
+    if unicodedata.decomposition(c).startswith(("<super>", "<sub>", "<fraction>")):
+        return None
+    digit = unicodedata.decimal(c, None)
+    plain = str(digit) if digit is not None else unicodedata.normalize("NFKC", c)
+    return plain if len(plain) == 1 and plain.isascii() and plain != c else None
+
+
+@lru_cache(maxsize=1)
+def _folds() -> dict[str, str]:
+    """Characters to fold to one ASCII character each."""
+    table = {chr(c): p for c in range(0x80, 0x1FC00) if not 0x3400 <= c < 0xA000 and not 0xAC00 <= c < 0xF900 and (p := _plain_of(chr(c)))}
+    return table | _ALIKE | dict.fromkeys("‐‑‒–−", "-") | {"\u3002": "."}
+
+
+_OTHERS = re.compile(r"[^\x00-\x7f]")
+_HIDDEN_ONES = re.compile(f"[{_HIDDEN}]+")
 
 # Spelled digits.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
@@ -136,32 +161,39 @@ def spoken_addresses(text: str) -> Iterator[re.Match]:
 
 
 class Rewrite:
-    """A text and, for each of its characters, where in the source it begins and ends."""
+    """A text and the edits that made it; a place in it is looked up among them, so what is kept grows with the edits, not the text."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.starts, self.ends, self.changed = text, None, None, False
+        self.text, self.layers, self.changed = text, [], False
+
+    def fold(self, table: dict[int, str]) -> None:
+        """Replace characters one for one, which moves nothing."""
+        self.text, self.changed = self.text.translate(table), True
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace spans of the present text, in order and apart from each other."""
         if not edits:
             return
-        starts = self.starts if self.starts is not None else range(len(self.text))
-        ends = self.ends if self.ends is not None else range(1, len(self.text) + 1)
-        text, new_starts, new_ends, at = [], [], [], 0
+        text, at, moved = [], 0, 0
+        starts, ends, olds, old_ends = (array("q") for _ in range(4))
         for a, b, by in edits:
             text += [self.text[at:a], by]
-            new_starts.extend(starts[at:a])
-            new_ends.extend(ends[at:a])
-            new_starts.extend([starts[a]] * len(by))
-            new_ends.extend([ends[b - 1]] * len(by))
+            starts.append(a + moved)
+            ends.append(a + moved + len(by))
+            olds.append(a)
+            old_ends.append(b)
+            moved += len(by) - (b - a)
             at = b
         text.append(self.text[at:])
-        new_starts.extend(starts[at:])
-        new_ends.extend(ends[at:])
-        self.text, self.starts, self.ends, self.changed = "".join(text), new_starts, new_ends, True
+        self.layers.append((starts, ends, olds, old_ends))
+        self.text, self.changed = "".join(text), True
 
     def source(self, start: int, end: int) -> Span:
-        return (self.starts[start], self.ends[end - 1]) if self.changed else (start, end)
+        for starts, ends, olds, old_ends in reversed(self.layers):
+            i, j = bisect_right(starts, start) - 1, bisect_right(starts, end - 1) - 1
+            start = start if i < 0 else olds[i] if start < ends[i] else start - ends[i] + old_ends[i]
+            end = end if j < 0 else old_ends[j] if end - 1 < ends[j] else end - ends[j] + old_ends[j]
+        return start, end
 
 
 def digits_of(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
@@ -173,7 +205,12 @@ def digits_of(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
 def deobfuscate(text: str) -> Rewrite:
     out = Rewrite(text)
     if not text.isascii():
-        out.replace([(m.start(), m.end(), _FOLD[ord(m[0])]) for m in _FOLDABLE.finditer(out.text)])
+        # Few different characters of a text aren't ASCII, and of those few are folded.
+        table = _folds()
+        found = {ord(c): table[c] for c in set(_OTHERS.findall(text)) if c in table}
+        if found:
+            out.fold(found)
+        out.replace([(*m.span(), "") for m in _HIDDEN_ONES.finditer(out.text)])
     if _HAS_SPELLED.search(out.text):
         edits = []
         for run in _SPELLED_RUN.finditer(out.text):
@@ -259,12 +296,12 @@ def _nothing() -> str:
 
 def detect(docs: DataFrame) -> DataFrame:
     """For every row of ``docs(doc_id, text)``: how many plain spans of each kind (``n_email`` and so on), the SHA-256 of
-    their list, all spans as text, and ``n_added``, how many of those the deobfuscating pass found."""
+    their list, all spans as text, ``n_added``, how many of those the deobfuscating pass found, and ``n_found``, how many there are."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            counts, digests, spans, added = {k: [] for k in KINDS}, [], [], []
+            counts, digests, spans, added, total = {k: [] for k in KINDS}, [], [], [], []
             for text in texts_of(batch):
                 base, full = find(text)
                 for k in KINDS:
@@ -272,10 +309,11 @@ def detect(docs: DataFrame) -> DataFrame:
                 plain, all_of = joined(base), joined(full)
                 digests.append(hashlib.sha256(plain.encode()).hexdigest() if plain else _nothing())
                 spans.append(all_of)
-                added.append(sum(map(len, full.values())) - sum(map(len, base.values())))
-            yield with_columns(batch, ["doc_id"], **{f"n_{k}": pa.array(counts[k], pa.int64()) for k in KINDS}, base_sha256=pa.array(digests), spans=pa.array(spans, pa.string()), n_added=pa.array(added, pa.int64()))
+                total.append(sum(map(len, full.values())))
+                added.append(total[-1] - sum(map(len, base.values())))
+            yield with_columns(batch, ["doc_id"], **{f"n_{k}": pa.array(counts[k], pa.int64()) for k in KINDS}, base_sha256=pa.array(digests), spans=pa.array(spans, pa.string()), n_added=pa.array(added, pa.int64()), n_found=pa.array(total, pa.int64()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_found long")
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
