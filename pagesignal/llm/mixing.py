@@ -19,8 +19,10 @@ middle of a taken copy is the copy's position. Rows are range-sorted by position
 
 Nulls and edges: a null text has size 0; null sources are one source, the last. Sources of
 no words have target 0. Rows of one source and doc_id follow each other by size; identical rows
-are alike. An empty table gives an empty result. Other columns pass through; helper columns
-begin with ``__mix``.
+are alike. Rows without a doc_id are ordered by text. Rows that share a doc_id lie in one range, whose size they may
+raise. An empty table gives an empty result. Other columns pass through; helper columns begin with ``__mix``, and
+columns named like the results are replaced. Words are counted in place, so a text of tens of millions of characters
+costs no more than its bytes. Sources are few against documents: their prefix sums are one window each.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, join_split
 
 
 def word_count(text: Column) -> Column:
@@ -65,18 +67,24 @@ def mix(docs: DataFrame, *, weight: Column | None = None, ramp: Column | None =
     number = F.col("__mix_source")
     weight = number % 3 + 1 if weight is None else weight
     ramp = (number % 3 - 1) * F.lit(-0.5) if ramp is None else ramp
-    sized = docs.drop("size", "source_size", "target", "taken", "positions").withColumn("size", word_count(F.col("text")))
+    # Rows without an id are ordered by their text, so that they don't all share one place in the order.
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
+    sized = docs.drop("size", "source_size", "target", "taken", "positions").withColumn("size", word_count(F.col("text"))).withColumn("__mix_order", order)
     if narrow:
         sized = cut(sized.drop("text"))
     sources = cut(source_targets(sized.select("source", "size"), weight, most_repeats).withColumn("__mix_ramp", ramp.cast("double")))
-    small = sources.count() <= 20_000
-    right = sources.withColumnRenamed("source", "__mix_name")
-    # Rows are joined to their source's few figures; the side is broadcast only while it is known to be small.
-    full = sized.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col("__mix_name")), "inner").drop("__mix_name")
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    right = sources.withColumn("__mix_name", key).withColumn("n", F.col("__mix_rows")).drop("source")
+    # Rows are joined to their source's few figures; the side is broadcast while it is known to be small, and else for hot sources alone.
+    named = sized.withColumn("__mix_name", key)
+    if sources.count() <= 20_000:
+        full = named.join(F.broadcast(right.drop("n")), "__mix_name")
+    else:
+        full = join_split(named, right, "__mix_name", sources.agg(F.sum("__mix_rows")).first()[0])
+    full = full.drop("__mix_name")
 
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     ranges = F.ceil(F.col("__mix_rows") / float(range_rows))
-    placed = full.withColumn("__mix_order", order).withColumn("__mix_range", F.floor(F.conv(F.substring("__mix_order", 1, 8), 16, 10).cast("double") / float(1 << 32) * ranges))
+    placed = full.withColumn("__mix_range", F.floor(F.conv(F.substring("__mix_order", 1, 8), 16, 10).cast("double") / float(1 << 32) * ranges))
     narrow_sums = placed.groupBy("__mix_source", "__mix_range").agg(F.sum("size").alias("__mix_sum"))
     ahead = Window.partitionBy("__mix_source").orderBy("__mix_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = narrow_sums.select("__mix_source", "__mix_range", F.coalesce(F.sum("__mix_sum").over(ahead), F.lit(0)).alias("__mix_ahead"))
@@ -96,7 +104,7 @@ def mix(docs: DataFrame, *, weight: Column | None = None, ramp: Column | None =
         return F.when(b == 0, y).otherwise((b - 1 + F.sqrt((1 - b) * (1 - b) + 4 * b * y)) / (2 * b))
 
     taken = summed.withColumn("__mix_copies", copies).withColumn("positions", F.when(F.col("__mix_copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("__mix_copies") - 1), when_of)).otherwise(F.array().cast("array<double>")))
-    own = [c for c in sized.columns if c != "size"]
+    own = [c for c in sized.columns if c not in ("size", "__mix_order")]
     return taken.select(*own, "size", F.col("__mix_size").alias("source_size"), F.col("__mix_target").alias("target"), (F.col("__mix_copies") * F.col("size")).alias("taken"), "positions")
 
 

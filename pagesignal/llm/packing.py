@@ -8,9 +8,14 @@ sequences are kept by room, with a segment tree over the rooms that finds the ti
 log2(capacity) steps. Only lengths are shuffled. Each group leaves at most a few
 sequences part empty, so the groups cost almost nothing against packing all at once.
 
+Training order: given each row's position (``file_positions`` reads it off ordered files), a group is a
+range of positions rather than a share of a hash, so sequences stand in training order, and the position tells
+copies of a document apart.
+
 Nulls and edges: a null text is an empty one, a document of the end id alone. Repeated rows
 are packed each time. The result has no more rows than pieces; an empty table gives none.
-Columns but ``doc_id`` and ``text`` are not read.
+Columns but ``doc_id`` and ``text`` are not read, whatever their names. Pieces of equal length keep the order of
+doc_id, piece and row. A very long text is encoded whole and cut into pieces; its ids take a few times its size.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32, small, texts_of
@@ -83,14 +88,29 @@ def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(n, first)), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def pack(docs: DataFrame, path: str, *, capacity: int = 1024, end_id: int = 2, group_docs: int = 8000) -> DataFrame:
+RANGE_BITS, ROW_BITS, FILE_BITS, SEQUENCE_BITS = 13, 29, 20, 27
+
+
+def file_positions(docs: DataFrame) -> Column:
+    """Where each row of a table read from Parquet files stands: the number in its file's name, then its place in the file.
+
+    Spark numbers the files of a sorted table in its order. A file without such a number has a hash of its name.
+    """
+    name = F.col("_metadata.file_name")
+    number = F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), F.xxhash64(name))
+    return F.shiftleft(F.pmod(number, F.lit(1 << FILE_BITS)), ROW_BITS) + F.col("_metadata.row_index")
+
+
+def pack(docs: DataFrame, path: str, *, capacity: int = 1024, end_id: int = 2, group_docs: int = 8000, position: Column | None = None) -> DataFrame:
     """One row for each piece of each row of ``docs(doc_id, text)``.
 
     ``path``: a byte-level BPE file of the tokenizers library. Result columns: ``doc_id, piece, start, length,
-    ids_crc32, sequence_id, offset``.
+    ids_crc32, sequence_id, offset``; with ``position`` (a long from 0, under 2^49) also that, and groups are ranges of 8,192
+    positions, numbered in their order.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    groups = max(1, -(-docs.count() // group_docs))
+    groups = 1 if position is not None else max(1, -(-docs.count() // group_docs))
+    shift = SEQUENCE_BITS if position is not None else 40
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, row = encoder(path), 0
@@ -103,14 +123,17 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 1024, end_id: int = 2, g
                     of.append(i)
                     rows.append((piece, start, n, crc32(ids[start : start + n].tobytes()), row))
             piece, start, n, crc, salt = np.array(rows, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(n), pa.array(crc), pa.array(salt)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(n), pa.array(crc), pa.array(salt), batch.column(2).take(take)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt", "position"])
 
     def place(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(x, "ascending") for x in ("doc_id", "piece", "salt", "ids_crc32")])
+        group = group.sort_by([(x, "ascending") for x in ("position", "doc_id", "piece", "salt", "ids_crc32")])
         sequence, offset = best_fit_decreasing(group.column("length").to_numpy(), capacity)
-        base = group.column("group")[0].as_py() << 40
-        return group.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", pa.array(sequence + base)).append_column("offset", pa.array(offset))
-
-    cut = docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, salt long")
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(groups)))
-    return dealt.groupBy("group").applyInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        base = group.column("group")[0].as_py() << shift
+        return group.select(["doc_id", "piece", "start", "length", "ids_crc32", "position"]).append_column("sequence_id", pa.array(sequence + base)).append_column("offset", pa.array(offset))
+
+    at = F.lit(0).cast("long") if position is None else position
+    cut = docs.select("doc_id", "text", at.alias("position")).mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, salt long, position long")
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(groups)) if position is None else F.shiftright("position", RANGE_BITS))
+    packed = dealt.groupBy("group").applyInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, position long, sequence_id long, offset long")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *([] if position is None else ["position"]))

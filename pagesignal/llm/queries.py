@@ -71,7 +71,7 @@ def queries() -> dict:
 #: Shares of the sources by water-filling, then whole passes and part of a last one in hash order.
 _OP6 = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS mark FROM documents
 ), named AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM sized GROUP BY source
 ), weighed AS (
@@ -85,7 +85,7 @@ WITH sized AS (
   SELECT source, source_size, b, least(cap, coalesce((SELECT arg_min(level, ratio) FROM leveled WHERE level <= ratio), 0) * w) AS target FROM leveled
 ), placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.b,
-    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
+    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.mark, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), passed AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM placed
