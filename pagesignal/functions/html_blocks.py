@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_right
 from html.parser import HTMLParser
 
 # Elements without content, and what an opening tag closes.
@@ -20,22 +21,20 @@ WANTED = HEADINGS | {"p", "ul", "ol", "table"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "same")
+    __slots__ = ("tag", "attrs", "parent", "children", "same", "gone")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None) -> None:
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-        self.same = 1
+        self.tag, self.attrs, self.parent, self.children, self.same, self.gone = tag, attrs, parent, [], 1, False
         if parent is not None:
-            self.same += sum(isinstance(c, Node) and c.tag == tag for c in parent.children)
             parent.children.append(self)
 
     def walk(self):
-        """Elements below, in document order."""
-        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
+        """Elements below that aren't gone, in document order."""
+        todo = [c for c in reversed(self.children) if isinstance(c, Node) and not c.gone]
         while todo:
             at = todo.pop()
             yield at
-            todo.extend(c for c in reversed(at.children) if isinstance(c, Node))
+            todo.extend(c for c in reversed(at.children) if isinstance(c, Node) and not c.gone)
 
     def strings(self):
         todo = list(reversed(self.children))
@@ -43,7 +42,7 @@ class Node:
             at = todo.pop()
             if isinstance(at, str):
                 yield at
-            else:
+            elif not at.gone:
                 todo.extend(reversed(at.children))
 
     def text(self) -> str:
@@ -58,30 +57,38 @@ class Node:
 
 
 class _Builder(HTMLParser):
-    def __init__(self, keep_toc: bool) -> None:
+    """Builds the tree. Open elements are known by name, so the nearest one is found at any depth at once."""
+
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("[document]", {}, None)
-        self.at, self.keep_toc, self.skipped = self.root, keep_toc, None
+        self.stack, self.where, self.has_html = [self.root], {}, False
+
+    def _pop_to(self, i: int) -> None:
+        for node in self.stack[i:]:
+            self.where[node.tag].pop()
+        del self.stack[i:]
 
     def _close(self, tags: set[str] | frozenset[str], until: set[str]) -> None:
-        node, target = self.at, None
-        while node.parent is not None and node.tag not in until:
-            if node.tag in tags:
-                target = node
-            node = node.parent
-        if target is not None:
-            self.at = target.parent
+        """Close the outermost of ``tags`` inside the nearest of ``until``."""
+        limit = max((self.where[t][-1] for t in until if self.where.get(t)), default=0)
+        open_ = [own[k] for t in tags if (own := self.where.get(t)) and (k := bisect_right(own, limit)) < len(own)]
+        if open_:
+            self._pop_to(min(open_))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "html" and any(isinstance(c, Node) and c.tag == "html" for c in self.root.children):
-            return
+        if tag == "html":
+            if self.has_html:
+                return
+            self.has_html = True
         if tag in ENDS_P:
             self._close({"p"}, {"td", "th", "li", "div", "section", "article", "body", "button"})
         if tag in ENDS:
             self._close(*ENDS[tag])
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.stack[-1])
         if tag not in VOID:
-            self.at = node
+            self.where.setdefault(tag, []).append(len(self.stack))
+            self.stack.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -89,14 +96,11 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        if own := self.where.get(tag):
+            self._pop_to(own[-1])
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        self.stack[-1].children.append(data)
 
 
 def _is_toc(node: Node) -> bool:
@@ -104,7 +108,7 @@ def _is_toc(node: Node) -> bool:
 
 
 def tree(html: str | None) -> Node:
-    builder = _Builder(True)
+    builder = _Builder()
     builder.feed(html or "")
     builder.close()
     return builder.root
@@ -128,8 +132,14 @@ def blocks(html: str | None, keep_toc: bool = True) -> list[dict]:
     root = tree(html)
     for n in list(root.walk()):
         if n.tag in DROPPED or not keep_toc and _is_toc(n):
-            n.parent.children = [c for c in n.parent.children if c is not n]
+            n.gone = True
     out = []
+    for n in [root, *root.walk()]:
+        # Siblings are numbered by name among those that are left.
+        seen: dict[str, int] = {}
+        for c in n.children:
+            if isinstance(c, Node) and not c.gone:
+                c.same = seen[c.tag] = seen.get(c.tag, 0) + 1
     for n in root.walk():
         if n.tag not in WANTED:
             continue
@@ -150,9 +160,55 @@ def blocks(html: str | None, keep_toc: bool = True) -> list[dict]:
     return out
 
 
-def address_text(html: str | None) -> str | None:
-    """Text of the first postal address element, else of the first ``address``."""
-    root = tree(html)
-    nodes = list(root.walk())
-    found = next((n for n in nodes if "postaladdress" in n.attrs.get("itemtype", "").lower()), None) or next((n for n in nodes if n.tag == "address"), None)
-    return found.text() if found else None
+def _complete(item: object) -> bool:
+    return isinstance(item, dict) and "@context" in item and "@type" in item
+
+
+def jsonld_ok(text: str | None) -> bool:
+    """Whether a JSON text is an object, or a list of objects, with @context and @type."""
+    try:
+        held = json.loads(text or "")
+    except (ValueError, RecursionError):
+        return False
+    return all(map(_complete, held)) if isinstance(held, list) else _complete(held)
+
+
+def scripts(root: Node) -> list[str]:
+    """Texts of the JSON-LD scripts, however their type is quoted."""
+    return ["".join(n.strings()) for n in root.walk() if n.tag == "script" and n.attrs.get("type", "").lower() == "application/ld+json"]
+
+
+def jsonld_objects(root: Node) -> list[tuple[int, int, str]]:
+    """``(script, place, JSON text)`` of each object: a list gives one for each item, what can't be read none. Keys are sorted."""
+    out = []
+    for n, text in enumerate(scripts(root)):
+        try:
+            held = json.loads(text)
+            out += [(n, i, json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))) for i, x in enumerate(held if isinstance(held, list) else [held])]
+        except (ValueError, RecursionError):
+            continue
+    return out
+
+
+def page_meta(root: Node) -> dict:
+    """Metadata by the first element of each kind; what is absent or empty is None."""
+    first: dict[str, Node] = {}
+    for n in root.walk():
+        a = n.attrs
+        href = a.get("href", "")
+        for kind, hit in (
+            ("canonical", n.tag == "link" and "canonical" in a.get("rel", "").split()), ("robots", n.tag == "meta" and "robots" in a.get("name", "").lower()), ("html", n.tag == "html"),
+            ("tel", n.tag == "a" and href.startswith("tel:")), ("postal", "postaladdress" in a.get("itemtype", "").lower()), ("address", n.tag == "address"),
+            ("map", n.tag == "a" and ("goo.gl/maps" in href or "google.com/maps" in href)),
+        ):
+            if hit:
+                first.setdefault(kind, n)
+
+    def of(kind: str, name: str) -> str | None:
+        return first[kind].attrs.get(name) or None if kind in first else None
+
+    robots, place = (of("robots", "content") or "").lower(), first.get("postal") or first.get("address")
+    return {
+        "canonical": of("canonical", "href"), "noindex": "noindex" in robots if robots else None, "nofollow": "nofollow" in robots if robots else None, "lang": of("html", "lang"),
+        "telephone": first["tel"].attrs["href"].replace("tel:", "") if "tel" in first else None, "address_text": place.text() if place else None, "has_map": of("map", "href"),
+    }

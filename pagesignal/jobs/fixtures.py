@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
 from ..sources.tables import spread
 
 
@@ -86,7 +85,7 @@ FETCHES = {
 CONTENT = {
     "seq": "page_id",
     "path": "'/p/' || CAST(page_id % 150 AS STRING) || CASE page_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.html' ELSE '/index.md' END",
-    "markdown": "CASE WHEN page_id % 3 = 1 THEN NULL ELSE substr(html, 1, 200) END",
+    "markdown": "CASE WHEN page_id % 3 = 1 THEN NULL ELSE html END",
     "html": "CASE WHEN page_id % 3 = 1 THEN html WHEN page_id % 11 = 0 THEN html END",
     "jsonld": "CASE WHEN page_id % 4 = 0 THEN '{\"@type\":\"WebPage\"}' END",
     "embed_jsonld": "page_id % 8 = 0",
@@ -115,12 +114,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items' first three tokens."""
-    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), F.array_join(F.slice(tokenize(F.col("text")), 1, 3), " ").alias("q"))
+    """Benchmark items, each whole text a query."""
+    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("q"))
 
 
 CORPUS_SQL = f"corpus AS ({sql('documents', CORPUS)})"
-QUERIES_SQL = "queries AS (SELECT 'q' || item_id AS query_id, array_to_string(list_slice(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), 1, 3), ' ') AS q FROM benchmark)"
+QUERIES_SQL = "queries AS (SELECT 'q' || item_id AS query_id, text AS q FROM benchmark)"
 TEXTS_SQL = f"texts AS ({sql('documents', LINT)})"
 
 

@@ -40,7 +40,7 @@ def presence_query(spark, sf_dir):
 
 def presence_query_limit(spark, sf_dir):
     table = P.presence_upsert(_events(spark, sf_dir, "day"), null_geo="merge")
-    return P.presence_query(table.where("geo IS NOT NULL"), limit=100).select("query", "engine", "geo", "ts", "seen")
+    return P.presence_query(table, limit=100).select("query", "engine", "geo", "ts", "seen")
 
 
 def presence_minute_counts(spark, sf_dir):
@@ -59,10 +59,21 @@ def kpi_rejects(spark, sf_dir):
 def kpi_series(spark, sf_dir):
     points = P.kpi_upsert(_points(spark, sf_dir)[0])
     wanted = points.select("metric").distinct().unionByName(spark.createDataFrame([("no such metric",)], "metric string"))
-    series = P.kpi_series(wanted, points, "1996-01-01", "1996-03-31")
+    series = P.kpi_series(wanted, points, "1996-01-01", "1996-03-31", include_src=True)
     return series.select("metric", F.size("points").alias("n"), F.array_join(F.transform("points", lambda p: F.concat_ws("|", p["t"], F.format_string("%.2f", p["v"]), p["src"])), ",").alias("points"))
 
 
+def kpi_series_of_geo(spark, sf_dir):
+    points = P.kpi_upsert(_points(spark, sf_dir)[0])
+    series = P.kpi_series(points.select("metric"), points, geo="c1", src=["csv", "F"])
+    return series.select("metric", F.size("points").alias("n"), F.array_join(F.transform("points", lambda p: F.concat_ws("|", p["t"], F.format_string("%.2f", p["v"]))), ",").alias("points"))
+
+
+def kpi_points(spark, sf_dir):
+    points = P.kpi_upsert(_points(spark, sf_dir)[0])
+    return P.kpi_points_of(points.select("metric"), points, src="O").select("metric", "t", "v", "src")
+
+
 def fetch_classes(spark, sf_dir):
     from ..functions.urls import detect_mime, detect_mode
 
@@ -89,7 +100,7 @@ def plan_recrawl(spark, sf_dir):
     return G.plan_recrawl(frontier, state, F.lit("2024-01-30 22:00:00").cast("timestamp"))
 
 
-QUERIES = {f.__name__: f for f in (presence_upsert, presence_upsert_merged, presence_rejects, presence_query, presence_query_limit, presence_minute_counts, kpi_upsert, kpi_rejects, kpi_series, fetch_classes, recrawl_state, recrawl_attempts, plan_recrawl)}
+QUERIES = {f.__name__: f for f in (presence_upsert, presence_upsert_merged, presence_rejects, presence_query, presence_query_limit, presence_minute_counts, kpi_upsert, kpi_rejects, kpi_series, kpi_series_of_geo, kpi_points, fetch_classes, recrawl_state, recrawl_attempts, plan_recrawl)}
 
 _RAW = f"raw AS ({X.sql('events', X.PRESENCE)})"
 _SURFACE = "coalesce(CASE " + " ".join(f"WHEN lower(trim(serp_surface)) = '{a}' THEN '{b}'" for a, b in P.SURFACES.items()) + " END, lower(serp_surface))"
@@ -121,12 +132,15 @@ SQL = {
     "presence_upsert_merged": f"WITH {_normal('day')}, {_upsert('merge')} SELECT {_COLUMNS} FROM upserted",
     "presence_rejects": f"WITH {_RAW} SELECT seq, 'citations not an integer' AS reason FROM raw WHERE citations = 'x'",
     "presence_query": f"WITH {_normal('day')}, {_upsert('distinct')} SELECT {_COLUMNS} FROM upserted WHERE query IN ('query 1', 'query 2', 'query 7') AND engine = 'click' AND serp_surface = 'ai_overview' AND ts >= '2024-01-05' AND ts <= '2024-01-20'",
-    "presence_query_limit": f"WITH {_normal('day')}, {_upsert('merge')} SELECT query, engine, geo, ts, seen FROM upserted WHERE geo IS NOT NULL ORDER BY ts, query, engine, geo LIMIT 100",
+    "presence_query_limit": f"WITH {_normal('day')}, {_upsert('merge')} SELECT query, engine, geo, ts, seen FROM upserted ORDER BY ts, query, engine, geo NULLS FIRST LIMIT 100",
     "presence_minute_counts": f"WITH {_normal('minute')} SELECT ts, engine, count(*) AS events, sum(seen)::BIGINT AS seen, sum(citations)::BIGINT AS citations FROM rows GROUP BY ts, engine",
     "kpi_upsert": f"WITH {_KPI} SELECT metric, t, geo, src, v FROM points",
     "kpi_rejects": f"WITH {_KPI} SELECT seq, CASE WHEN metric = '' THEN 'metric missing' ELSE 'v not a number' END AS reason FROM raw WHERE metric = '' OR try_cast(v AS DOUBLE) IS NULL",
     "kpi_series": f"""WITH {_KPI}, wanted AS (SELECT DISTINCT metric FROM points UNION ALL SELECT 'no such metric')
 SELECT metric, count(t) AS n, coalesce(string_agg(t || '|' || printf('%.2f', v) || '|' || src, ',' ORDER BY t, v, src) FILTER (WHERE t IS NOT NULL), '') AS points FROM wanted LEFT JOIN (SELECT * FROM points WHERE t BETWEEN '1996-01-01' AND '1996-03-31') USING (metric) GROUP BY metric""",
+    "kpi_series_of_geo": f"""WITH {_KPI} SELECT m.metric, count(t) AS n, coalesce(string_agg(t || '|' || printf('%.2f', v), ',' ORDER BY t, v, src) FILTER (WHERE t IS NOT NULL), '') AS points
+FROM (SELECT DISTINCT metric FROM points) m LEFT JOIN (SELECT * FROM points WHERE geo = 'c1' AND src IN ('csv', 'F')) p ON p.metric = m.metric GROUP BY m.metric""",
+    "kpi_points": f"WITH {_KPI} SELECT m.metric, t, v, src FROM (SELECT DISTINCT metric FROM points) m LEFT JOIN (SELECT * FROM points WHERE src = 'O') p ON p.metric = m.metric",
     "fetch_classes": f"WITH {_LOG} SELECT seq, outcome, CASE seq % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime, CASE WHEN seq % 3 = 1 THEN 'pdf' ELSE 'html' END AS mode FROM log",
     "recrawl_state": f"WITH {_LOG}, {_HISTORY}, {_STATE} SELECT url, etag, last_modified, last_status, attempts, strftime(backoff_until, '%Y-%m-%d %H:%M:%S') AS backoff_until, strftime(last_success_at, '%Y-%m-%d %H:%M:%S') AS last_success_at FROM state",
     "recrawl_attempts": f"WITH {_LOG}, {_HISTORY} SELECT seq, attempts, etag, last_modified FROM history",

@@ -20,7 +20,16 @@ def lint_readability(spark, sf_dir):
 
 
 def lint_citation_issues(spark, sf_dir):
-    return L.lint_citations(X.texts(spark, sf_dir))
+    return L.lint_citations(X.texts(spark, sf_dir)).select("doc_id", "rule", "severity", "line", "start", F.col("end").alias("stop"), "sentence", "nth", "claim", "unit", "reason")
+
+
+def lint_citation_suggestions(spark, sf_dir):
+    return L.citation_suggestions(_tails(spark, sf_dir)).select("doc_id", "nth", "claim", "suggestion")
+
+
+def _tails(spark, sf_dir):
+    """Documents whose numbers may stand behind the last whole sentence."""
+    return X.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 2 == 0, " since 2024, 3x").otherwise(" in 1999.")).alias("text"))
 
 
 def lint_citation_score(spark, sf_dir):
@@ -36,13 +45,13 @@ def lint_geo(spark, sf_dir):
 
 
 def lint_style_ordered(spark, sf_dir):
-    ordered = L.ordered_issues(L.lint_style(X.texts(spark, sf_dir)))
+    ordered = L.ordered_issues(X.texts(spark, sf_dir))
     return ordered.select("doc_id", F.size("issues").alias("n_issues"), F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["line"].cast("string"), i["start"].cast("string"), i["rule"])), ",").alias("issues"))
 
 
 QUERIES = {
     "lint_tldr": _rule(L.lint_tldr), "lint_forbidden": _rule(L.lint_forbidden), "lint_comparison": _rule(L.lint_comparison), "lint_brand": _rule(L.lint_brand), "lint_quotables": _rule(L.lint_quotables), "lint_h2": _rule(L.lint_h2),
-    "lint_readability": lint_readability, "lint_citation_issues": lint_citation_issues, "lint_citation_score": lint_citation_score, "lint_geo": lint_geo, "lint_style_ordered": lint_style_ordered,
+    "lint_readability": lint_readability, "lint_citation_issues": lint_citation_issues, "lint_citation_suggestions": lint_citation_suggestions, "lint_citation_score": lint_citation_score, "lint_geo": lint_geo, "lint_style_ordered": lint_style_ordered,
 }
 
 _T = X.TEXTS_SQL
@@ -79,6 +88,13 @@ _NUMBER, _CITE = _R.number.replace("(?:\\$", "(?:\\$"), _R.citation
 _CLAIMS = f"""sents AS (SELECT doc_id, n - 1 AS sentence, s[n] AS s FROM (SELECT doc_id, {_SENTENCES} AS s, unnest(range(1, len({_SENTENCES}) + 1)) AS n FROM texts)),
 windowed AS (SELECT doc_id, sentence, s, max(regexp_matches(s, '{_CITE}')::INT) OVER (PARTITION BY doc_id ORDER BY sentence ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 1 AS supported FROM sents),
 claims AS (SELECT doc_id, sentence, k - 1 AS nth, c[k] AS claim, supported FROM (SELECT doc_id, sentence, supported, regexp_extract_all(s, '({_NUMBER})', 1) AS c, unnest(range(1, len(regexp_extract_all(s, '({_NUMBER})', 1)) + 1)) AS k FROM windowed))"""
+# All parts of a text in order, lone end marks too, so that lengths add up to places.
+_SPANS = f"""parts AS (SELECT doc_id, text, p, n, s, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
+  FROM (SELECT doc_id, text, p, n, p[n] AS s FROM (SELECT doc_id, text, p, unnest(range(1, len(p) + 1)) AS n FROM (SELECT doc_id, text, regexp_extract_all(text, '([^.!?]+[.!?]?|[.!?])', 1) AS p FROM texts)))),
+sents AS (SELECT doc_id, text, s, begins, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS sentence FROM parts WHERE length(s) > 1 AND right(s, 1) IN ('.', '!', '?')),
+windowed AS (SELECT *, max(regexp_matches(s, '{_CITE}')::INT) OVER (PARTITION BY doc_id ORDER BY sentence ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 1 AS supported FROM sents),
+listed AS (SELECT *, regexp_extract_all(s, '({_NUMBER})', 1) AS c, string_split(regexp_replace(s, '{_NUMBER}', chr(1), 'g'), chr(1)) AS g FROM windowed WHERE NOT supported),
+claims AS (SELECT doc_id, text, sentence, k - 1 AS nth, c[k] AS claim, begins + length(array_to_string(g[1:k], '')) + length(array_to_string(c[1:k - 1], '')) AS p0 FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k FROM listed))"""
 _UNIT = r"lower(regexp_extract(claim, '^\$?\d[\d,]*(?:\.\d+)?\s*([A-Za-z%$]+)', 1))"
 _WORDS = "regexp_extract_all(text, '([A-Za-z]+(?:''[A-Za-z]+)?)', 1)"
 _SYL = "len(regexp_extract_all(lower(replace(w, '''', '')), '([aeiouy]+)', 1))"
@@ -99,7 +115,12 @@ counted AS (SELECT doc_id, CASE WHEN page_type = 'guide' THEN 6 ELSE 8 END AS ta
     len(list_filter(parts, lambda p: len(regexp_extract_all(p, '(\\S+)', 1)) > 28)) AS n_long, len(list_filter(parts, lambda p: len(regexp_extract_all(p, '(\\S+)', 1)) > 40)) AS n_very_long FROM parts),
 graded AS (SELECT *, CASE WHEN nw = 0 THEN 0.0::DOUBLE ELSE round(0.39::DOUBLE * (nw::DOUBLE / greatest(1, ns)) + 11.8::DOUBLE * (syl::DOUBLE / nw) - 15.59::DOUBLE, 2) END AS grade FROM counted)
 SELECT doc_id, grade, target, n_long, n_very_long, (grade > target)::INT + (n_long > 0)::INT + (n_very_long > 0)::INT AS n_notes FROM graded""",
-    "lint_citation_issues": f"WITH {_T}, {_CLAIMS} SELECT doc_id, sentence, nth, claim, CASE WHEN {_UNIT} NOT IN ('', {', '.join(f"'{u}'" for u in _R.units)}) THEN {_UNIT} END AS unit FROM claims WHERE NOT supported",
+    "lint_citation_issues": f"""WITH {_T}, {_SPANS}, noted AS (SELECT *, CASE WHEN {_UNIT} NOT IN ('', {', '.join(f"'{u}'" for u in _R.units)}) THEN {_UNIT} END AS unit FROM claims)
+SELECT doc_id, 'citations.numeric_claim_missing' AS rule, 'warn' AS severity, {_AT[0]} AS line, {_AT[1]} AS start, {_AT[1]} + length(claim) AS stop, sentence, nth, claim, unit,
+  'No citation within 3 sentences of ' || claim || CASE WHEN unit IS NULL THEN '' ELSE ' (unit ' || unit || ' is not among the allowed ones)' END || '.' AS reason FROM noted""",
+    "lint_citation_suggestions": f"""WITH texts AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' since 2024, 3x' ELSE ' in 1999.' END AS text FROM documents),
+numbered AS (SELECT doc_id, regexp_extract_all(text, '({_NUMBER})', 1) AS c FROM texts WHERE NOT regexp_matches(text, '{_CITE}') AND len(list_filter({_SENTENCES}, lambda s: regexp_matches(s, '{_NUMBER}'))) = 0)
+SELECT doc_id, k - 1 AS nth, c[k] AS claim, 'Cite a source for ' || c[k] || '.' AS suggestion FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k FROM numbered)""",
     "lint_citation_score": f"""WITH {_T}, {_CLAIMS}, summed AS (SELECT doc_id, count(*) AS total, count_if(supported) AS supported FROM claims GROUP BY doc_id)
 SELECT t.doc_id, regexp_matches(text, '{_CITE}') AS has_citation, coalesce(total, 0) AS total, coalesce(supported, 0) AS supported, CASE WHEN total IS NULL THEN 1.0::DOUBLE ELSE round(supported::DOUBLE / total, 3) END AS score FROM texts t LEFT JOIN summed USING (doc_id)""",
     "lint_geo": f"""WITH {_T}, keyed AS (SELECT doc_id, text FROM texts WHERE coalesce(geo_key, 'wilmington_nc') = 'wilmington_nc')

@@ -54,11 +54,46 @@ def page_meta(spark, sf_dir):
     return G.extract_page_meta(_built(spark, sf_dir))
 
 
-def raw_page_blocks(spark, sf_dir):
-    return G.extract_blocks(X.table(spark, sf_dir, "pages")).select("page_id", F.col("order").alias("n"), "id", "type", "text", "xpath")
+#: The same facts in markup as it comes: quoted in each way or not at all, commented out, coded, in capitals, broken.
+WILD = {
+    "page_id": "p_partkey",
+    "html": """'<!-- <link rel=canonical href=/no><meta name=robots content=nofollow> --><HTML data-lang="xx" lang=' || CASE p_partkey % 3 WHEN 0 THEN 'de' WHEN 1 THEN '"en"' ELSE chr(39) || 'fr' || chr(39) END || '><head>'
+      || CASE p_partkey % 4 WHEN 0 THEN '<link rel="alternate canonical" data-href="/no" href=/p/' || CAST(p_partkey AS STRING) || '?a&amp;b>' WHEN 1 THEN '<LINK HREF="/q"  REL=canonical>' WHEN 2 THEN '<link rel=canonical><link rel=canonical href=/late>' ELSE '<link rel="canonicals" href="/no">' END
+      || CASE p_partkey % 5 WHEN 0 THEN '<meta content="NoFollow" name=GoogleRobots>' WHEN 1 THEN '<meta name="robots" content=>' ELSE '' END
+      || '<script type=' || CASE p_partkey % 3 WHEN 0 THEN 'application/ld+json' WHEN 1 THEN chr(39) || 'application/ld+json' || chr(39) ELSE '"Application/LD+JSON" id="x"' END || '>' || CASE p_partkey % 6 WHEN 0 THEN '{broken' WHEN 1 THEN '[{"@context":"c","@type":"A"},{"@type":"B"}]' WHEN 2 THEN '5' ELSE '{"@type":"A","@context":"c"}' END || '</script>'
+      || '</head><body><a title="tel:1" href=' || chr(39) || 'tel:+1&#45;2' || chr(39) || '>x</a><a href=https://www.google.com/maps?q=' || CAST(p_partkey AS STRING) || '>m</a><p itemtype="https://schema.org/POSTALADDRESS">1 St<br> <b>X</b></p><address>other</address>'""",
+    "jsonld": """CASE p_partkey % 7 WHEN 0 THEN '{"@context":"c","@type":"A"}' WHEN 1 THEN '[]' WHEN 2 THEN 'no json' WHEN 3 THEN '[{"@type":"A"}]' END""",
+    "url": "CASE WHEN p_partkey % 2 = 0 THEN 'https://s.example.com/' || CAST(p_partkey AS STRING) END",
+}
+
+
+def page_meta_wild(spark, sf_dir):
+    return G.extract_page_meta(X.shaped(spark, sf_dir, "part", WILD))
+
+
+def page_jsonld_wild(spark, sf_dir):
+    return G.extract_jsonld(X.shaped(spark, sf_dir, "part", WILD)).select("page_id", "i", "jsonld")
+
 
+def precheck(spark, sf_dir):
+    return G.precheck(X.shaped(spark, sf_dir, "part", WILD)).select("page_id", "schema_ok", "render_ok", F.size("google_warnings").alias("n_warnings"), "rich_results_test_url")
 
 
+def raw_page_meta(spark, sf_dir):
+    return G.extract_page_meta(X.table(spark, sf_dir, "pages"))
+
+
+def raw_page_text(spark, sf_dir):
+    return G.page_text(X.table(spark, sf_dir, "pages"))
+
+
+def raw_precheck(spark, sf_dir):
+    return G.precheck(X.table(spark, sf_dir, "pages")).select("page_id", "schema_ok", "render_ok", F.size("google_warnings").alias("n_warnings"), "rich_results_test_url")
+
+
+def raw_page_blocks(spark, sf_dir):
+    return G.extract_blocks(X.table(spark, sf_dir, "pages")).select("page_id", F.col("order").alias("n"), "id", "type", "text", "xpath")
+
 
 def _robots(spark, sf_dir):
     body = F.when(F.col("n_nationkey") % 2 == 0, "User-agent: OurBot\nDisallow: /p/1\nDisallow:").otherwise("User-agent: other\nDisallow: /q")
@@ -75,7 +110,7 @@ def robots_filter(spark, sf_dir):
     return G.robots_filter(urls, _robots(spark, sf_dir)).select("event_id")
 
 
-QUERIES = {f.__name__: f for f in (page_blocks, page_blocks_with_menu, page_tables, page_text, page_jsonld, page_meta, raw_page_blocks, robots_rules, robots_filter)}
+QUERIES = {f.__name__: f for f in (page_blocks, page_blocks_with_menu, page_tables, page_text, page_jsonld, page_meta, page_meta_wild, page_jsonld_wild, precheck, raw_page_meta, raw_page_text, raw_precheck, raw_page_blocks, robots_rules, robots_filter)}
 
 _BODY = "/[document][1]/html[1]/body[1]"
 _BLOCKS = f"""blocks AS (
@@ -94,6 +129,15 @@ SQL = {
 UNION ALL SELECT p_partkey, 0, '{"@context":"https://schema.org","@type":"Product","name":"' || p_name || '"}' FROM part WHERE p_partkey % 5 > 1""",
     "page_meta": """SELECT p_partkey AS page_id, 'https://shop.example.com/' || p_partkey AS canonical, CASE WHEN p_partkey % 3 = 0 THEN true END AS noindex, CASE WHEN p_partkey % 3 = 0 THEN false END AS nofollow, 'en' AS lang, '+1-555-' || p_partkey AS telephone,
   CASE WHEN p_partkey % 4 = 0 THEN '1 Main St Springfield' END AS address_text, CASE WHEN p_partkey % 4 = 0 THEN 'https://goo.gl/maps/' || p_partkey END AS has_map FROM part""",
+    "page_meta_wild": """SELECT p_partkey AS page_id, CASE p_partkey % 4 WHEN 0 THEN '/p/' || p_partkey || '?a&b' WHEN 1 THEN '/q' END AS canonical, CASE WHEN p_partkey % 5 = 0 THEN false END AS noindex, CASE WHEN p_partkey % 5 = 0 THEN true END AS nofollow,
+  CASE p_partkey % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'en' ELSE 'fr' END AS lang, '+1-2' AS telephone, '1 St X' AS address_text, 'https://www.google.com/maps?q=' || p_partkey AS has_map FROM part""",
+    "page_jsonld_wild": """SELECT p_partkey AS page_id, 0 AS i, CASE p_partkey % 6 WHEN 2 THEN '5' ELSE '{"@context":"c","@type":"A"}' END AS jsonld FROM part WHERE p_partkey % 6 > 0
+UNION ALL SELECT p_partkey, 1, '{"@type":"B"}' FROM part WHERE p_partkey % 6 = 1""",
+    "precheck": """SELECT p_partkey AS page_id, p_partkey % 6 > 2 AND p_partkey % 7 NOT IN (2, 3) AS schema_ok, true AS render_ok, (p_partkey % 6 < 3)::INT + (p_partkey % 7 IN (2, 3))::INT AS n_warnings,
+  CASE WHEN p_partkey % 2 = 0 THEN 'https://search.google.com/test/rich-results?url=https%3A%2F%2Fs.example.com%2F' || p_partkey END AS rich_results_test_url FROM part""",
+    # The given pages hold none of the facts but a language.
+    "raw_page_meta": r"""SELECT page_id, NULL::VARCHAR AS canonical, NULL::BOOLEAN AS noindex, NULL::BOOLEAN AS nofollow, nullif(regexp_extract(html, '(?i)<html[^>]*\slang="([^"]*)"', 1), '') AS lang, NULL::VARCHAR AS telephone, NULL::VARCHAR AS address_text, NULL::VARCHAR AS has_map FROM pages""",
+    "raw_precheck": "SELECT page_id, true AS schema_ok, contains(html, '<') AS render_ok, 0 AS n_warnings, 'https://search.google.com/test/rich-results?url=' || replace(url_encode(url), '%20', '+') AS rich_results_test_url FROM pages",
     "robots_rules": "SELECT 'h' || n_nationkey || '.example.com' AS host, CASE WHEN n_nationkey % 2 = 0 THEN '/p/1' ELSE '/p/2' END AS rule FROM nation",
     "robots_filter": "SELECT event_id FROM events WHERE left(event_id::VARCHAR, 1) <> CASE WHEN user_id % 25 % 2 = 0 THEN '1' ELSE '2' END",
 }

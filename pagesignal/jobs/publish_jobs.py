@@ -16,13 +16,18 @@ def _batch(spark, sf_dir):
 
 
 def _existing(spark, sf_dir):
-    """What an earlier run of the lower half of the pages left, with some texts changed since."""
-    good = _batch(spark, sf_dir)[0].where("seq % 5 < 3")
-    return P.prepare_batch(good.withColumn("markdown", F.when(F.col("seq") % 2 == 0, F.concat("markdown", F.lit("!"))).otherwise(F.col("markdown"))))
+    """What an earlier run of the same pages left: some were new since, some have changed since."""
+    good = _batch(spark, sf_dir)[0]
+    marked = F.when(F.col("seq") % 2 == 0, F.concat("markdown", F.lit("!"))).otherwise(F.col("markdown"))
+    return P.prepare_batch(good.withColumn("markdown", marked).withColumn("path", F.when(F.col("seq") % 5 == 0, F.concat(F.lit("/old"), "path")).otherwise(F.col("path"))))
 
 
 def content_version_merge(spark, sf_dir):
-    return P.content_merge(_existing(spark, sf_dir), P.prepare_batch(_batch(spark, sf_dir)[0].where("seq % 5 > 0")))
+    return P.content_merge(_existing(spark, sf_dir), P.prepare_batch(_batch(spark, sf_dir)[0]))
+
+
+def content_state(spark, sf_dir):
+    return P.content_state(P.prepared_rows(_batch(spark, sf_dir)[0])).select("path", "version", "status")
 
 
 def publish_rejects(spark, sf_dir):
@@ -30,7 +35,7 @@ def publish_rejects(spark, sf_dir):
 
 
 def content_history(spark, sf_dir):
-    new = P.prepare_batch(_batch(spark, sf_dir)[0].where("seq % 5 > 0"))
+    new = P.prepare_batch(_batch(spark, sf_dir)[0])
     return P.history_append(new, P.content_merge(_existing(spark, sf_dir), new), F.lit("2024-02-01")).select("path", "version", F.length("content").alias("n_chars"), "committed_at")
 
 
@@ -40,8 +45,8 @@ def _history(spark, sf_dir):
 
 
 def rollback_version(spark, sf_dir):
-    wanted = _history(spark, sf_dir).where("committed_at % 3 = 0").select("path", "version").distinct()
-    return P.rollback_version(_history(spark, sf_dir), wanted, depth=8)
+    wanted = _history(spark, sf_dir).select("path", "version").distinct()
+    return P.rollback_version(_history(spark, sf_dir), wanted)
 
 
 def map_url(spark, sf_dir):
@@ -56,13 +61,15 @@ def path_validation(spark, sf_dir):
 
 def sitemap_touch(spark, sf_dir):
     pages = X.table(spark, sf_dir, "pages")
-    sitemap = pages.where("page_id % 2 = 0").selectExpr("' ' || url || ' ' AS loc", "'2023-12-31T00:00:00Z' AS lastmod")
-    return P.sitemap_touch(sitemap, pages.where("page_id % 3 = 0").select("url"), F.lit("2024-02-01T00:00:00Z"))
+    sitemap = pages.selectExpr("' ' || url || ' ' AS loc", "'2023-12-31T00:00:00Z' AS lastmod")
+    # Changed pages by another table: those that an event's number names; some of its urls are in no sitemap.
+    changed = X.table(spark, sf_dir, "events").selectExpr("user_id AS page_id").distinct().join(pages.select("page_id", "url"), "page_id", "left").select(F.coalesce("url", F.lit("https://elsewhere.example.com/")).alias("url"))
+    return P.sitemap_touch(sitemap, changed, F.lit("2024-02-01T00:00:00Z"))
 
 
 def indexnow_payload(spark, sf_dir):
     payload = P.indexnow_payload(X.table(spark, sf_dir, "pages").select("url"))
-    return payload.select("host", F.array_join("url_list", " ").alias("urls"))
+    return payload.select("host", "part", F.array_join("url_list", " ").alias("urls"))
 
 
 def embed_jsonld(spark, sf_dir):
@@ -85,20 +92,24 @@ def line_diff(spark, sf_dir):
     return pages.select("page_id", P.line_diff(F.col("url"), F.replace(after, F.lit("the"), F.lit("a")), after).alias("diff"))
 
 
-QUERIES = {f.__name__: f for f in (content_version_merge, publish_rejects, content_history, rollback_version, map_url, path_validation, sitemap_touch, indexnow_payload, embed_jsonld, jsonld_sidecars, slugs, line_diff)}
+QUERIES = {f.__name__: f for f in (content_version_merge, content_state, publish_rejects, content_history, rollback_version, map_url, path_validation, sitemap_touch, indexnow_payload, embed_jsonld, jsonld_sidecars, slugs, line_diff)}
 
 _EMBED = """CASE WHEN coalesce(jsonld, '') = '' THEN html WHEN contains(html, '</head>') THEN replace(html, '</head>', '<script type="application/ld+json">' || jsonld || '</script>' || chr(10) || '</head>')
   WHEN contains(html, '</body>') THEN replace(html, '</body>', '<script type="application/ld+json">' || jsonld || '</script>' || chr(10) || '</body>')
   ELSE html || CASE WHEN html LIKE '%' || chr(10) THEN '' ELSE chr(10) END || '<script type="application/ld+json">' || jsonld || '</script>' || chr(10) END"""
 
 
-def _prepared(name: str, where: str, markdown: str = "markdown") -> str:
-    return f"""{name} AS (SELECT path, arg_max_null(content, seq) AS content, arg_max_null(jsonld, seq) AS jsonld, left(sha256(path || coalesce(arg_max_null(content, seq), '') || coalesce(arg_max_null(jsonld, seq), '')), 7) AS version
-  FROM (SELECT seq, CASE WHEN preview THEN 'preview/' || ltrim(path, '/') ELSE path END AS path, coalesce({markdown}, CASE WHEN embed_jsonld THEN {_EMBED} ELSE html END) AS content, jsonld FROM batch WHERE (markdown IS NULL) <> (html IS NULL) AND {where}) GROUP BY path)"""
+def _rows(name: str, markdown: str = "markdown", path: str = "path") -> str:
+    return f"""{name} AS (SELECT *, left(sha256(path || coalesce(content, '') || coalesce(jsonld, '')), 7) AS version
+  FROM (SELECT seq, CASE WHEN preview THEN 'preview/' || ltrim({path}, '/') ELSE {path} END AS path, coalesce({markdown}, CASE WHEN embed_jsonld THEN {_EMBED} ELSE html END) AS content, jsonld FROM batch WHERE (markdown IS NULL) <> (html IS NULL)))"""
+
+
+def _last(name: str, rows: str) -> str:
+    return f"{name} AS (SELECT path, arg_max_null(content, seq) AS content, arg_max_null(version, seq) AS version FROM {rows} GROUP BY path)"
 
 
 _BATCH = f"batch AS ({X.sql('pages', X.CONTENT)})"
-_MERGE = f"""{_BATCH}, {_prepared('old', 'seq % 5 < 3', "CASE WHEN seq % 2 = 0 THEN markdown || '!' ELSE markdown END")}, {_prepared('new', 'seq % 5 > 0')},
+_MERGE = f"""{_BATCH}, {_rows('old_rows', "CASE WHEN seq % 2 = 0 THEN markdown || '!' ELSE markdown END", "CASE WHEN seq % 5 = 0 THEN '/old' || path ELSE path END")}, {_last('old', 'old_rows')}, {_rows('new_rows')}, {_last('new', 'new_rows')},
 merged AS (SELECT path, CASE WHEN new.version IS NULL THEN 'kept' WHEN old.version IS NULL THEN 'inserted' WHEN old.version = new.version THEN 'not_modified' ELSE 'changed' END AS status, coalesce(new.version, old.version) AS version FROM old FULL JOIN new USING (path))"""
 _HISTORY = "history AS (SELECT '/p/' || page_id % 20 AS path, 'v' || page_id % 70 AS version, page_id AS committed_at FROM pages)"
 _HOST = "string_split(string_split(regexp_extract(url, '(?i)^[a-z]+://([^/]+)', 1), '@')[-1], ':')[1]"
@@ -107,16 +118,18 @@ _NAME = "'Ümläut & Straße ' || c_name || '!'"
 
 SQL = {
     "content_version_merge": f"WITH {_MERGE} SELECT path, status, version FROM merged",
+    "content_state": f"""WITH {_BATCH}, {_rows('rows')}, ranked AS (SELECT path, version, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS n, lead(version) OVER (PARTITION BY path ORDER BY seq DESC) AS before FROM rows)
+SELECT path, version, CASE WHEN before IS NULL THEN 'inserted' WHEN before = version THEN 'not_modified' ELSE 'changed' END AS status FROM ranked WHERE n = 1""",
     "publish_rejects": f"WITH {_BATCH} SELECT seq, 'exactly one of markdown and html' AS reason FROM batch WHERE (markdown IS NULL) = (html IS NULL)",
     "content_history": f"WITH {_MERGE} SELECT path, new.version, length(content) AS n_chars, '2024-02-01' AS committed_at FROM new JOIN merged USING (path) WHERE status IN ('inserted', 'changed')",
-    "rollback_version": f"""WITH {_HISTORY}, wanted AS (SELECT DISTINCT path, version FROM history WHERE committed_at % 3 = 0),
+    "rollback_version": f"""WITH {_HISTORY}, wanted AS (SELECT DISTINCT path, version FROM history),
 recent AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY committed_at DESC, version) AS age FROM history)
-SELECT path, version, min(age) AS age, max(committed_at) AS committed_at FROM recent JOIN wanted USING (path, version) WHERE age <= 8 GROUP BY path, version""",
+SELECT path, version, min(age) AS age, max(committed_at) AS committed_at FROM recent JOIN wanted USING (path, version) WHERE age <= 200 GROUP BY path, version""",
     "map_url": f"""WITH {_BATCH} SELECT seq, CASE seq % 3 WHEN 0 THEN '{BASE}p/' || seq % 150 || '/' WHEN 1 THEN '{BASE}p/' || seq % 150 || '.html' ELSE '{BASE}p/' || seq % 150 || '/' END AS url,
   'https://search.google.com/test/rich-results?url=a+b~%2A%C3%A9%2F' || replace(url_encode(path), '%20', '+') AS test_url FROM batch""",
     "path_validation": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN '../x' WHEN 1 THEN 'a/../../x' WHEN 2 THEN '/a' WHEN 3 THEN 'a/./../b' ELSE ' ' END AS path, page_id % 5 IN (2, 3) AS safe, CASE page_id % 5 WHEN 0 THEN 'preview/../x' WHEN 1 THEN 'preview/a/../../x' WHEN 2 THEN 'preview/a' WHEN 3 THEN 'preview/a/./../b' ELSE 'preview/ ' END AS preview FROM pages",
-    "sitemap_touch": "SELECT ' ' || url || ' ' AS loc, CASE WHEN url IN (SELECT url FROM pages WHERE page_id % 3 = 0) THEN '2024-02-01T00:00:00Z' ELSE '2023-12-31T00:00:00Z' END AS lastmod FROM pages WHERE page_id % 2 = 0",
-    "indexnow_payload": f"SELECT host, string_agg(url, ' ' ORDER BY url) AS urls FROM (SELECT DISTINCT {_HOST} AS host, url FROM pages) GROUP BY host",
+    "sitemap_touch": "SELECT ' ' || url || ' ' AS loc, CASE WHEN url IN (SELECT url FROM pages WHERE page_id IN (SELECT user_id FROM events)) THEN '2024-02-01T00:00:00Z' ELSE '2023-12-31T00:00:00Z' END AS lastmod FROM pages",
+    "indexnow_payload": f"SELECT host, 0 AS part, string_agg(url, ' ' ORDER BY url) AS urls FROM (SELECT DISTINCT {_HOST} AS host, url FROM pages) GROUP BY host",
     "embed_jsonld": f"WITH {_BATCH} SELECT seq, sha256({_EMBED}) AS sha, contains(html, '<') AS render_ok FROM batch WHERE html IS NOT NULL",
     "jsonld_sidecars": f"WITH {_BATCH} SELECT path || '.jsonld' AS path, jsonld FROM batch WHERE jsonld IS NOT NULL AND NOT embed_jsonld",
     "slugs": f"SELECT c_custkey, {_SLUG.format(_NAME)} AS slug, {_SLUG.format('c_mktsegment')} || '/' || {_SLUG.format(_NAME)} AS path FROM customer",

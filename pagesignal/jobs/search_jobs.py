@@ -36,6 +36,19 @@ def bm25_topk(spark, sf_dir):
     return _ranked(S.bm25_search(*_both(spark, sf_dir), 10))
 
 
+def bm25_dense_corpus(spark, sf_dir):
+    """Items of orders as documents of a few words each, so that most terms are in most documents: the mean idf is negative."""
+    rows = X.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("m"), F.month("l_shipdate").cast("string")))), " ").alias("months"), F.min("l_linestatus").alias("status"))
+    corpus = rows.select(F.col("l_suppkey").cast("string").alias("id"), F.col("status").alias("title"), F.col("months").alias("text"))
+    queries = spark.createDataFrame([(f"q{m}", f"m{m} m{m + 1} o") for m in range(1, 12)], "query_id string, q string")
+    return _ranked(S.bm25_search(corpus, queries, 10))
+
+
+def rejected_queries(spark, sf_dir):
+    asked = X.table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.when(F.col("turn") % 3 == 0, F.lit("  ")).otherwise(F.col("text")).alias("q"))
+    return S.split_blank_queries(asked)[1].select("query_id")
+
+
 def vector_topk(spark, sf_dir):
     return _ranked(S.vector_search(*_both(spark, sf_dir), 10))
 
@@ -80,7 +93,7 @@ def corpus_upsert(spark, sf_dir):
 
 QUERIES = {
     "corpus_term_stats": corpus_term_stats, "term_frequencies": term_frequencies, "hashed_norms": hashed_norms, "bm25_topk": bm25_topk, "vector_topk": vector_topk,
-    "hybrid_rrf": _hybrid("rrf"), "hybrid_weighted_zscore": _hybrid("weighted"), "hybrid_weighted_minmax": _hybrid("weighted", "minmax"),
+    "hybrid_rrf": _hybrid("rrf"), "hybrid_weighted_zscore": _hybrid("weighted"), "hybrid_weighted_minmax": _hybrid("weighted", "minmax"), "hybrid_weighted_none": _hybrid("weighted", "none"), "bm25_dense_corpus": bm25_dense_corpus, "rejected_queries": rejected_queries,
     "search_geo_boost_paged": search_geo_boost_paged, "search_filters": search_filters, "site_filter": site_filter, "snippets": snippets, "corpus_upsert": corpus_upsert,
 }
 
@@ -93,11 +106,13 @@ raw AS (SELECT term, df, ln((SELECT n FROM stats) - df + 0.5::DOUBLE) - ln(df +
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 asked AS (SELECT query_id, term, count(*) AS repeats FROM (SELECT query_id, unnest(regexp_extract_all(lower(q), '([a-z0-9]+)', 1)) AS term FROM queries) GROUP BY ALL)"""
 #: All documents with their score for each query that has tokens.
-_BM25 = f"""{_TOKENS},
+_SCORES = """
 hits AS (SELECT query_id, tf.id, sum(repeats * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(tokens) / (SELECT avg_dl FROM stats))))) AS score
   FROM asked JOIN idf USING (term) JOIN tf USING (term) JOIN doc_tokens ON doc_tokens.id = tf.id GROUP BY ALL),
 scored AS (SELECT a.query_id, d.id, coalesce(h.score, 0) AS score FROM (SELECT DISTINCT query_id FROM asked) a CROSS JOIN doc_tokens d LEFT JOIN hits h ON h.query_id = a.query_id AND h.id = d.id),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored) WHERE rank <= 60)"""
+_BM25 = f"{_TOKENS},{_SCORES}"
+_DENSE = _TOKENS.replace(X.CORPUS_SQL, """corpus AS (SELECT l_suppkey::VARCHAR AS id, min(l_linestatus) AS title, string_agg(DISTINCT 'm' || month(l_shipdate), ' ') AS text FROM lineitem GROUP BY l_suppkey)""").replace(X.QUERIES_SQL, "queries AS (SELECT 'q' || m AS query_id, 'm' || m || ' m' || (m + 1) || ' o' AS q FROM range(1, 12) r(m))")
 _VECTOR = f"""
 token_bucket AS (SELECT term, ('0x' || right(sha1(term), 3))::INT % 512 AS bucket FROM (SELECT term FROM df UNION SELECT term FROM asked)),
 doc_bucket AS (SELECT id, bucket, sum(tf) AS n FROM tf JOIN token_bucket USING (term) GROUP BY ALL),
@@ -150,6 +165,9 @@ SQL = {
     "term_frequencies": f"WITH {_TOKENS} SELECT id, term, tf FROM tf",
     "hashed_norms": f"WITH {_TOKENS}, {_VECTOR} SELECT id, round(norm, 6) AS norm FROM doc_norm",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, rank, id, round(score, 6) AS score FROM bm25 WHERE rank <= 10",
+    "bm25_dense_corpus": f"WITH {_DENSE},{_SCORES} SELECT query_id, rank, id, round(score, 6) AS score FROM bm25 WHERE rank <= 10",
+    "rejected_queries": "SELECT conv_id || '-' || turn AS query_id FROM conversations WHERE turn % 3 = 0 OR trim(coalesce(text, '')) = ''",
+    "hybrid_weighted_none": _hybrid_sql(_weighted("score")),
     "vector_topk": f"WITH {_TOKENS}, {_VECTOR} SELECT query_id, rank, id, round(score, 6) AS score FROM vector WHERE rank <= 10",
     "hybrid_rrf": _hybrid_sql("fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM bm25 UNION ALL SELECT * FROM vector) GROUP BY ALL)"),
     "hybrid_weighted_zscore": _hybrid_sql(_weighted(_Z)),

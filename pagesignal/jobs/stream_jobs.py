@@ -1,29 +1,37 @@
-"""Streaming queries run to their end over the given tables; the SQL is that of the batch twin."""
+"""Streaming queries run to their end over the given tables, and round trips through the readers and writers; the SQL is that of the batch twin."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import presence as P
+from ..operators import publish
+from ..sources import tables as T
 from ..streaming import streams as S
 from . import fixtures as X
-from . import ingest_jobs
+from . import ingest_jobs, publish_jobs
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _folder(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared one; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        root = tempfile.mkdtemp(prefix="streams-")
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
 def _as_stream(df: DataFrame, folder: str, files: int = 4) -> DataFrame:
-    """The rows as a file stream that arrives in several batches, in order of ``seq``."""
+    """The rows as a file stream that arrives in several batches, in whatever order the files come."""
     df.repartitionByRange(files, "seq").write.parquet(f"{folder}/in")
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
 
@@ -51,12 +59,23 @@ def stream_presence_counts(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select(F.date_format("minute", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), "engine", "events", "seen", "citations")
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting that holds inside the block alone."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stream_recrawl_state(spark, sf_dir):
     folder = _folder(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    stream = _as_stream(X.shaped(spark, sf_dir, "events", X.FETCHES), folder)
-    out = S.stream_recrawl_state(stream).writeStream.outputMode("update").foreachBatch(lambda b, n: b.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
-    out.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKS):
+        stream = _as_stream(X.shaped(spark, sf_dir, "events", X.FETCHES), folder)
+        out = S.stream_recrawl_state(stream).writeStream.outputMode("update").foreachBatch(lambda b, n: b.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+        out.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     last = spark.read.parquet(f"{folder}/out").groupBy("url").agg(F.max_by(F.struct("etag", "last_modified", "last_status", "attempts", "backoff_until", "last_success_at"), "n").alias("r"))
     stamp = lambda c: F.date_format(f"r.{c}", "yyyy-MM-dd HH:mm:ss").alias(c)
     return last.select("url", "r.etag", "r.last_modified", "r.last_status", "r.attempts", stamp("backoff_until"), stamp("last_success_at"))
@@ -66,13 +85,54 @@ def stream_content_changes(spark, sf_dir):
     folder = _folder(spark)
     table = S.VersionedTable(spark, f"{folder}/table")
     S.stream_content_changes(_as_stream(X.shaped(spark, sf_dir, "pages", X.CONTENT), folder), table, f"{folder}/checkpoint").awaitTermination()
-    return table.read().select("path", "version")
+    return table.read().select("path", "version", "status")
+
+
+def read_presence_stream(spark, sf_dir):
+    """Events written as JSON files and taken in as a stream."""
+    folder = _folder(spark)
+    X.shaped(spark, sf_dir, "events", X.PRESENCE).write.json(f"{folder}/in")
+    T.read_presence_stream(spark, f"{folder}/in").writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("seq", "query", "engine", "geo", "seen", "citations", "ts")
+
+
+def read_kpi_points(spark, sf_dir):
+    folder = _folder(spark)
+    X.shaped(spark, sf_dir, "orders", X.KPI).write.option("header", "true").csv(f"{folder}/csv")
+    return T.read_kpi_points(spark, f"{folder}/csv").select("seq", "t", "v", "geo", "src")
+
+
+def read_raw_pages(spark, sf_dir):
+    """Pages as files of bytes, one for each page with a line feed at its end, and read back."""
+    folder = _folder(spark)
+    X.table(spark, sf_dir, "pages").select(F.col("html").alias("value"), F.concat(F.lit("p"), "page_id").alias("page")).repartition("page").write.partitionBy("page").text(f"{folder}/pages")
+    pages = T.read_raw_pages(spark, f"{folder}/pages")
+    return pages.select(F.regexp_extract("url", "page=p([0-9]+)", 1).cast("long").alias("page_id"), F.sha2(F.expr("left(html, length(html) - 1)").cast("binary"), 256).alias("sha"))
+
+
+def write_keyed_table(spark, sf_dir):
+    folder = _folder(spark)
+    points = P.kpi_upsert(P.validate_kpi(X.shaped(spark, sf_dir, "orders", X.KPI))[0])
+    T.write_keyed_table(points, f"{folder}/kpi", "metric")
+    return spark.read.parquet(f"{folder}/kpi").select("metric", "t", "geo", "src", "v")
+
+
+def write_sitemap(spark, sf_dir):
+    folder = _folder(spark)
+    publish.write_sitemap(X.table(spark, sf_dir, "pages").select(F.col("url").alias("loc"), F.lit("2024-02-01T00:00:00Z").alias("lastmod")), f"{folder}/sitemap")
+    return spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(f"{folder}/sitemap")
 
 
-QUERIES = {f.__name__: f for f in (stream_presence_upsert, stream_kpi_upsert, stream_presence_counts, stream_recrawl_state, stream_content_changes)}
+QUERIES = {f.__name__: f for f in (read_presence_stream, read_kpi_points, read_raw_pages, write_keyed_table, write_sitemap, stream_presence_upsert, stream_kpi_upsert, stream_presence_counts, stream_recrawl_state, stream_content_changes)}
 SQL = {
     "stream_presence_upsert": ingest_jobs.SQL["presence_upsert"],
     "stream_kpi_upsert": ingest_jobs.SQL["kpi_upsert"],
     "stream_presence_counts": ingest_jobs.SQL["presence_minute_counts"],
+    "read_presence_stream": f"SELECT seq, query, engine, geo, seen, citations, ts FROM ({X.sql('events', X.PRESENCE)})",
+    "read_kpi_points": f"SELECT seq, t, v, geo, coalesce(nullif(src, ''), 'csv') AS src FROM ({X.sql('orders', X.KPI)})",
+    "read_raw_pages": "SELECT page_id, sha256(html) AS sha FROM pages",
+    "write_keyed_table": ingest_jobs.SQL["kpi_upsert"],
+    "write_sitemap": "SELECT url AS loc, '2024-02-01T00:00:00Z' AS lastmod FROM pages",
     "stream_recrawl_state": ingest_jobs.SQL["recrawl_state"],
+    "stream_content_changes": publish_jobs.SQL["content_state"],
 }

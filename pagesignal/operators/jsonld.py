@@ -128,7 +128,7 @@ def normalize(objects: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """What a path must be: kinds as schema_of_variant starts, a fixed value, a least length."""
+    """What a path must be: kinds as schema_of_variant starts, a fixed value (or, ``listed``, a list that holds it), a least length or number."""
 
     path: str
     kinds: tuple[str, ...] = ()
@@ -136,9 +136,11 @@ class Rule:
     value: str | None = None
     least: int = 0
     within: str | None = None
+    listed: bool = False
 
 
 TEXT, NUMBER, OBJECT, ARRAY = "STRING", ("BIGINT", "DECIMAL", "DOUBLE"), "OBJECT", "ARRAY"
+INTEGER = "INTEGER"
 _ANY_NAME = [Rule("name", (TEXT,), True, least=1)]
 # The contract of each type.
 CONTRACTS: dict[str, list[Rule]] = {
@@ -148,7 +150,7 @@ CONTRACTS: dict[str, list[Rule]] = {
         *[Rule(f"address.{k}", (TEXT,), True, within="address") for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry")],
         Rule("geo.@type", (), True, "GeoCoordinates", within="geo"), *[Rule(f"geo.{k}", (TEXT, *NUMBER), True, within="geo") for k in ("latitude", "longitude")],
     ],
-    "Product": [*_ANY_NAME, Rule("sku", (TEXT,)), Rule("brand", (TEXT, OBJECT)), Rule("offers", (OBJECT,)), Rule("offers.@type", (), True, "Offer", within="offers"), Rule("offers.price", (TEXT, *NUMBER), True, within="offers"), Rule("offers.priceCurrency", (TEXT,), True, within="offers")],
+    "Product": [*_ANY_NAME, Rule("sku", (TEXT,)), Rule("brand", (TEXT, OBJECT)), Rule("offers", (OBJECT,)), Rule("offers.@type", (), True, "Offer", within="offers"), Rule("offers.price", (TEXT, *NUMBER), True, within="offers"), Rule("offers.priceCurrency", (TEXT,), True, within="offers"), Rule("offers.availability", (TEXT,), within="offers")],
     "Article": [Rule("headline", (TEXT,), True, least=1), Rule("datePublished", (TEXT,), True), Rule("author", (TEXT, OBJECT)), Rule("image", (TEXT, ARRAY)), Rule("mainEntityOfPage", (TEXT, OBJECT))],
     "FAQPage": [Rule("mainEntity", (ARRAY,), True, least=1)],
     "BreadcrumbList": [Rule("itemListElement", (ARRAY,), True, least=1)],
@@ -157,7 +159,7 @@ CONTRACTS: dict[str, list[Rule]] = {
 #: What each item of a type's list must hold.
 ITEM_CONTRACTS: dict[str, tuple[str, list[Rule]]] = {
     "FAQPage": ("mainEntity", [Rule("@type", (), True, "Question"), Rule("name", (TEXT,), True), Rule("acceptedAnswer", (OBJECT,), True), Rule("acceptedAnswer.@type", (), True, "Answer", within="acceptedAnswer"), Rule("acceptedAnswer.text", (TEXT,), True, within="acceptedAnswer")]),
-    "BreadcrumbList": ("itemListElement", [Rule("@type", (), True, "ListItem"), Rule("position", ("BIGINT",), True), Rule("item", (TEXT, OBJECT), True)]),
+    "BreadcrumbList": ("itemListElement", [Rule("@type", (), True, "ListItem"), Rule("position", (INTEGER,), True, least=1), Rule("item", (TEXT, OBJECT), True)]),
 }
 
 
@@ -169,35 +171,66 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _broken(v: Column, rule: Rule) -> Column:
-    """Whether a value breaks a rule; an absent one only if it is required."""
+def _is_kind(own: Column, kind: str) -> Column:
+    if kind != INTEGER:
+        return F.startswith(_kind(own), F.lit(kind))
+    number = F.try_variant_get(own, "$", "double")
+    return F.coalesce(F.rlike(_kind(own), F.lit("^(?:" + "|".join(NUMBER) + ")")) & (number == F.floor(number)), F.lit(False))
+
+
+def _faults(v: Column, rule: Rule) -> tuple[Column, Column]:
+    """Whether a required value is absent, and whether one that is there breaks the rule; never where what holds it is no object."""
     own = _at(v, rule.path)
     bad = F.lit(False)
     if rule.value is not None:
-        bad = bad | ~F.coalesce(F.try_variant_get(own, "$", "string") == rule.value, F.lit(False))
+        same = F.coalesce(_is_kind(own, TEXT) & (F.try_variant_get(own, "$", "string") == rule.value), F.lit(False))
+        if rule.listed:
+            same = same | F.coalesce(F.exists(F.try_variant_get(own, "$", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$", "string") == rule.value, F.lit(False))), F.lit(False))
+        bad = bad | ~same
     if rule.kinds:
         fits = F.lit(False)
         for k in rule.kinds:
-            fits = fits | F.startswith(_kind(own), F.lit(k))
+            fits = fits | _is_kind(own, k)
         bad = bad | ~fits
     if rule.least and ARRAY in rule.kinds:
-        bad = bad | (F.startswith(_kind(own), F.lit(ARRAY)) & (F.size(F.try_variant_get(own, "$", "array<variant>")) < rule.least))
+        bad = bad | (_is_kind(own, ARRAY) & (F.size(F.try_variant_get(own, "$", "array<variant>")) < rule.least))
+    elif rule.least and INTEGER in rule.kinds:
+        bad = bad | F.coalesce(F.try_variant_get(own, "$", "double") < rule.least, F.lit(False))
     elif rule.least:
-        bad = bad | (F.startswith(_kind(own), F.lit(TEXT)) & (F.length(F.try_variant_get(own, "$", "string")) < rule.least))
-    result = F.when(own.isNull(), F.lit(rule.required)).otherwise(bad)
-    return result if rule.within is None else F.startswith(_kind(_at(v, rule.within)), F.lit(OBJECT)) & result
+        bad = bad | (_is_kind(own, TEXT) & (F.length(F.try_variant_get(own, "$", "string")) < rule.least))
+    held = F.lit(True) if rule.within is None else F.coalesce(_is_kind(_at(v, rule.within), OBJECT), F.lit(False))
+    return held & own.isNull() & F.lit(rule.required), held & own.isNotNull() & bad
 
 
 def _errors_of(v: Column, rules: list[Rule], prefix: Column | None = None) -> Column:
-    def path(rule: Rule) -> Column:
-        own = F.lit("/" + rule.path.replace(".", "/"))
-        return own if prefix is None else F.concat(prefix, own)
+    """What is absent is an error of what should hold it, what is wrong one of its own place."""
 
-    return F.array_compact(F.array(*[F.when(_broken(v, r), F.struct(path(r).alias("path"), F.lit("schema.validation").alias("rule"))) for r in rules]))
+    def place(path: str) -> Column:
+        own = "/" + path.replace(".", "/") if path else ""
+        return F.lit(own or "/") if prefix is None else F.concat(prefix, F.lit(own))
+
+    found = []
+    for r in rules:
+        absent, wrong = _faults(v, r)
+        found.append(F.when(absent, F.struct(place(r.path.rpartition(".")[0]).alias("path"), F.lit("schema.validation").alias("rule"))).when(wrong, F.struct(place(r.path).alias("path"), F.lit("schema.validation").alias("rule"))))
+    return F.array_compact(F.array(*found))
 
 
 def _item_errors(name: str, rules: list[Rule]) -> Callable[[Column, Column], Column]:
-    return lambda x, i: _errors_of(x, rules, F.concat(F.lit(f"/{name}/"), i.cast("string")))
+    """Errors of one item of a list: it must be an object, and an object keeps the rules."""
+
+    def errors(x: Column, i: Column) -> Column:
+        place = F.concat(F.lit(f"/{name}/"), i.cast("string"))
+        wrong = F.array(F.struct(place.alias("path"), F.lit("schema.validation").alias("rule")))
+        return F.when(_is_kind(x, OBJECT), _errors_of(x, rules, place)).otherwise(wrong)
+
+    return errors
+
+
+def _text_items(v: Column, name: str) -> Column:
+    """Errors of the items of a list that are no texts."""
+    items = F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+    return F.array_compact(F.transform(items, lambda x, i: F.when(~_is_kind(x, TEXT), F.struct(F.concat(F.lit(f"/{name}/"), i.cast("string")).alias("path"), F.lit("schema.validation").alias("rule")))))
 
 
 def primary_type(v: Column) -> Column:
@@ -212,8 +245,8 @@ def parsed(objects: DataFrame) -> DataFrame:
     return objects.withColumn("v", F.try_parse_json("jsonld")).withColumn("kind", F.when(F.startswith(_kind(F.col("v")), F.lit(OBJECT)), primary_type(F.col("v"))))
 
 
-def validate_jsonld(objects: DataFrame) -> DataFrame:
-    """``object_id, path, rule``: one row for each broken rule, ordered by path within an object."""
+def error_arrays(objects: DataFrame) -> DataFrame:
+    """``object_id, errors``: the broken rules of each object, by path."""
     v = F.col("v")
     no_error = F.array().cast("array<struct<path:string,rule:string>>")
 
@@ -223,21 +256,27 @@ def validate_jsonld(objects: DataFrame) -> DataFrame:
     core = F.array_compact(F.array(*[F.when(_at(v, k).isNull(), one("/", "core.required")) for k in ("@context", "@type")]))
     found = no_error
     for kind, rules in CONTRACTS.items():
-        errors = _errors_of(v, [Rule("@context", (), True, CONTEXT), *rules])
+        errors = _errors_of(v, [Rule("@context", (), True, CONTEXT), Rule("@type", (), True, kind, listed=kind == "LocalBusiness"), *rules])
         if kind in ITEM_CONTRACTS:
             name, of_item = ITEM_CONTRACTS[kind]
             items = F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
             errors = F.concat(errors, F.flatten(F.transform(items, _item_errors(name, of_item))))
+        if kind == "LocalBusiness":
+            errors = F.concat(errors, _text_items(v, "sameAs"))
         found = F.when(F.col("kind") == kind, errors).otherwise(found)
     is_object = F.coalesce(F.startswith(_kind(v), F.lit(OBJECT)), F.lit(False))
     result = F.when(~is_object, F.array(one("/", "core.type"))).when(F.size(core) > 0, core).otherwise(found)
-    return parsed(objects).select("object_id", F.explode(F.array_sort(result)).alias("e")).select("object_id", "e.path", "e.rule")
+    return parsed(objects).select("object_id", F.array_sort(result).alias("errors"))
+
+
+def validate_jsonld(objects: DataFrame) -> DataFrame:
+    """``object_id, path, rule``: one row for each broken rule, ordered by path within an object."""
+    return error_arrays(objects).select("object_id", F.explode("errors").alias("e")).select("object_id", "e.path", "e.rule")
 
 
 def validity(objects: DataFrame) -> DataFrame:
     """``object_id, valid`` for every object."""
-    errors = validate_jsonld(objects).select("object_id").distinct().withColumn("bad", F.lit(True))
-    return objects.select("object_id").join(errors, "object_id", "left").select("object_id", F.col("bad").isNull().alias("valid"))
+    return error_arrays(objects).select("object_id", (F.size("errors") == 0).alias("valid"))
 
 
 def suggestions(objects: DataFrame) -> DataFrame:
@@ -250,20 +289,26 @@ def suggestions(objects: DataFrame) -> DataFrame:
             out = out & _at(v, k).isNull()
         return out
 
+    def empty(key: str) -> Column:
+        return lacks(key) | F.to_json(_at(v, key)).isin("{}", "[]", '""', "null", "0", "false")
+
     items = F.try_variant_get(v, "$.itemListElement", "array<variant>")
-    positions = F.filter(F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda x: F.try_variant_get(x, "$.position", "int")), lambda p: p.isNotNull())
+    # The position of each item that is an object; one that is no whole number is null.
+    objects_of = F.filter(F.coalesce(items, F.array().cast("array<variant>")), lambda x: _is_kind(x, OBJECT))
+    positions = F.transform(objects_of, lambda x: F.when(_is_kind(_at(x, "position"), INTEGER), F.try_variant_get(x, "$.position", "int")))
+    in_order = F.forall(F.transform(positions, lambda p, i: F.coalesce(p == i + 1, F.lit(False))), lambda ok: ok)
     advice = F.array_compact(F.array(
         F.when(kind.isNull(), "set @type"),
         F.when((kind == "LocalBusiness") & lacks("telephone"), "add telephone"),
         F.when((kind == "LocalBusiness") & ~F.coalesce(F.try_variant_get(v, '$.address["@type"]', "string") == "PostalAddress", F.lit(False)), "add a postal address"),
         F.when((kind == "LocalBusiness") & lacks("geo", "hasMap"), "add geo or hasMap"),
         F.when((kind == "LocalBusiness") & lacks("sameAs"), "add sameAs"),
-        F.when((kind == "Product") & ~lacks("offers") & lacks("offers.priceCurrency"), "add priceCurrency"),
+        F.when((kind == "Product") & ~empty("offers") & lacks("offers.priceCurrency"), "add priceCurrency"),
         F.when((kind == "Product") & lacks("brand"), "add brand"),
         F.when((kind == "Article") & lacks("author", "publisher"), "add author or publisher"),
         F.when((kind == "Article") & lacks("image"), "add image"),
-        F.when((kind == "FAQPage") & (F.coalesce(F.size(F.try_variant_get(v, "$.mainEntity", "array<variant>")), F.lit(0)) < 1) & (lacks("mainEntity") | F.startswith(_kind(_at(v, "mainEntity")), F.lit(ARRAY))), "add a question"),
-        F.when((kind == "BreadcrumbList") & (F.size(positions) > 0) & (positions != F.when(F.size(positions) > 0, F.sequence(F.lit(1), F.greatest(F.size(positions), F.lit(1))))), "number positions from 1"),
+        F.when((kind == "FAQPage") & empty("mainEntity"), "add a question"),
+        F.when((kind == "BreadcrumbList") & (F.size(positions) > 0) & ~in_order, "number positions from 1"),
         F.when((kind == "ItemList") & (F.size(items) > 5) & lacks("itemListOrder"), "add itemListOrder"),
     ))
     return parsed(objects).select("object_id", F.explode(advice).alias("advice"))
@@ -298,9 +343,3 @@ def enrich_organizations(organizations: DataFrame, registry: DataFrame, services
     joined = organizations.join(broadcast_if_small(places), key, "left")
     return joined.withColumn("jsonld", F.when(top.isNull(), F.col("jsonld")).otherwise(F.to_json(F.map_concat(top, served, offered)))).drop("places")
 
-
-def precheck(pages: DataFrame, objects: DataFrame) -> DataFrame:
-    """``page_id, schema_ok, render_ok``: all embedded objects of ``objects(page_id, jsonld)`` carry @context and @type, and the page renders."""
-    v = F.try_parse_json("jsonld")
-    whole = objects.groupBy("page_id").agg(F.bool_and(_at(v, "@context").isNotNull() & _at(v, "@type").isNotNull()).alias("schema_ok"))
-    return pages.join(whole, "page_id", "left").select("page_id", F.coalesce("schema_ok", F.lit(True)).alias("schema_ok"), F.coalesce(F.col("html").contains("<"), F.lit(False)).alias("render_ok"))

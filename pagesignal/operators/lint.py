@@ -112,9 +112,13 @@ def lint_brand(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     return _phrases(texts, {v: f"Write '{rules.brand}'." for v in rules.brand_variants}, "brand.glossary.mismatch", rules)
 
 
+# Fixed value: the row of dashes between the head and the body of a Markdown table.
+SEPARATOR_ROW = r"\s*\|?\s*:?-{3,}\s*(\|\s*:?-{3,}\s*)+\|?\s*"
+
+
 def has_table(text: Column) -> Column:
     """An HTML table, a Markdown table, or a bar anywhere with a line of dashes."""
-    markdown = text.rlike(r"(?m)^[^\n]*\|[^\n]*\n\s*\|?\s*:?-{3,}\s*(\|\s*:?-{3,}\s*)+\|?\s*$")
+    markdown = text.rlike(rf"(?m)^[^\n]*\|[^\n]*\n{SEPARATOR_ROW}$")
     return text.rlike(r"(?i)<table\b") | markdown | (text.contains("|") & text.rlike(r"(?dm)^-{3,}"))
 
 
@@ -185,9 +189,41 @@ def unit_note(claim: Column, rules: Rules = DEFAULT) -> Column:
     return F.when((unit != "") & ~unit.isin(*rules.units), unit)
 
 
+def _claim_places(s: Column, claims: Column, pattern: str) -> Column:
+    """Offsets of the claims in their sentence: what stands between them is what is left when they are cut out."""
+    gaps = F.split(F.regexp_replace(F.translate(s, "\x01", " "), pattern, "\x01"), "\x01", -1)
+    return F.transform(claims, lambda c, i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(claims, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)))
+
+
 def lint_citations(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """``doc_id, sentence, claim, unit``: numbers without a citation nearby."""
-    return numeric_claims(texts, rules).where(~F.col("supported")).select("doc_id", "sentence", "nth", "claim", unit_note(F.col("claim"), rules).alias("unit"))
+    """Issues ``doc_id, rule, severity, line, start, end, reason, fix`` of numbers without a citation nearby, with ``sentence, nth, claim, unit``."""
+    cited = F.transform("sentences", lambda s: s.rlike(rules.citation_hint) & s.rlike(rules.citation))
+    rows = texts.where(_text().rlike(rules.number_hint)).select("doc_id", _text().alias("text"), sentences(_text()).alias("sentences")).select("doc_id", "text", "sentences", cited.alias("cited"))
+    # A sentence begins at the first place, from the end of the one before, where it can be found: all before it are end marks.
+    place = F.aggregate(
+        "sentences",
+        F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda a, s: let(F.call_function("locate", s, F.col("text"), a["at"]), lambda p: F.struct((p + F.length(s)).alias("at"), F.concat(a["starts"], F.array(p - 1)).alias("starts"))),
+    )
+    each = rows.select("doc_id", "text", "cited", place["starts"].alias("starts"), F.posexplode("sentences").alias("sentence", "s"))
+    near = F.exists(F.slice("cited", F.greatest(F.lit(1), F.col("sentence") + 1 - rules.window), F.least(F.col("sentence"), F.lit(rules.window)) + rules.window + 1), lambda c: c)
+    claims = F.regexp_extract_all("s", F.lit(f"({rules.number})"), F.lit(1))
+    missing = each.where(F.col("s").rlike(rules.number_hint) & (F.size(claims) > 0) & ~near).select("doc_id", "text", "sentence", "s", F.col("starts")[F.col("sentence")].alias("begins"), claims.alias("claims"))
+    placed = missing.withColumn("places", _claim_places(F.col("s"), F.col("claims"), rules.number)).select("doc_id", "text", "sentence", "begins", "places", F.posexplode("claims").alias("nth", "claim"))
+    at = (F.col("begins") + F.col("places")[F.col("nth")]).alias("at")
+    found = placed.select("doc_id", "text", "sentence", "nth", "claim", at, unit_note(F.col("claim"), rules).alias("unit"))
+    start = offset_in_line(F.col("text"), F.col("at"))
+    note = F.when(F.col("unit").isNotNull(), F.concat(F.lit(" (unit "), F.col("unit"), F.lit(" is not among the allowed ones)"))).otherwise("")
+    reason = F.concat(F.lit("No citation within "), F.lit(rules.window), F.lit(" sentences of "), F.col("claim"), note, F.lit("."))
+    return found.select("doc_id", *issue("citations.numeric_claim_missing", rules, line_of(F.col("text"), F.col("at")), start, start + F.length("claim"), F.lit("Put a footnote or a source address near the number.")), reason.alias("reason"), "sentence", "nth", "claim", "unit")
+
+
+def citation_suggestions(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """``doc_id, nth, claim, suggestion`` for texts with numbers, no citation, and no number in a whole sentence (which would be an issue)."""
+    numbers = F.regexp_extract_all(_text(), F.lit(f"({rules.number})"), F.lit(1))
+    in_sentences = F.exists(sentences(_text()), lambda s: s.rlike(rules.number))
+    rows = texts.where(_text().rlike(rules.number_hint) & ~_text().rlike(rules.citation) & ~in_sentences)
+    return rows.select("doc_id", F.posexplode(numbers).alias("nth", "claim")).withColumn("suggestion", F.concat(F.lit("Cite a source for "), F.col("claim"), F.lit(".")))
 
 
 def citation_scores(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
@@ -230,14 +266,55 @@ def lint_geo(texts: DataFrame, truth: DataFrame, default_key: str, rules: Rules
     return found.select("doc_id", F.col("c.rule").alias("rule"), F.lit("warn").alias("severity"), F.lit(1).alias("line"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.col("c.fix").alias("fix"))
 
 
-def lint_style(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """All style issues of all texts, one row each."""
-    out = lint_tldr(texts, rules)
-    for one in (lint_forbidden, lint_comparison, lint_brand, lint_quotables, lint_h2):
-        out = out.unionByName(one(texts, rules))
-    return out
+_ISSUES = "array<struct<line:int,start:int,rule:string,fix:string,end:int,severity:string>>"
 
 
-def ordered_issues(issues: DataFrame) -> DataFrame:
-    """``doc_id, issues``: each text's issues by line, start, rule, fix, as one array."""
-    return issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "start", "rule", "fix", "end", "severity"))).alias("issues"))
+def style_issues(text: Column, rules: Rules = DEFAULT) -> Column:
+    """All style issues of a text in one array, by line, start, rule, fix: one projection of the row."""
+    none = F.array().cast(_ISSUES)
+    low = F.lower(text)
+
+    def one(rule: str, line: Column, start: Column, end: Column, fix: Column) -> Column:
+        return F.struct(line.cast("int").alias("line"), start.cast("int").alias("start"), F.lit(rule).alias("rule"), fix.alias("fix"), end.cast("int").alias("end"), F.lit(rules.severity_for(rule)).alias("severity"))
+
+    def whole(rule: str, fix: str, test: Column) -> Column:
+        return F.when(test, F.array(one(rule, F.lit(1), F.lit(0), F.lit(0), F.lit(fix)))).otherwise(none)
+
+    def at_place(rule: str, at: Column, size: Column, fix: Column) -> Column:
+        start = offset_in_line(text, at)
+        return one(rule, line_of(text, at), start, start + size, fix)
+
+    def phrase(rule: str, needle: str, fix: str) -> Column:
+        hits = F.transform(hits_ci(text, F.lit(needle)), lambda at: at_place(rule, at, F.lit(len(needle)), F.lit(fix)))
+        return F.when(low.contains(needle.lower()), hits).otherwise(none)
+
+    def phrases(rule: str, needles: dict[str, str]) -> list[Column]:
+        return [phrase(rule, needle, fix) for needle, fix in needles.items()]
+
+    missing = F.lit(True)
+    for marker in rules.markers:
+        missing = missing & ~F.lower(F.substring(text, 1, rules.marker_window)).contains(marker)
+    trigger, size = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for t in reversed(rules.triggers):
+        hit = F.instr(low, t) > 0
+        trigger, size = F.when(hit, F.instr(low, t) - 1).otherwise(trigger), F.when(hit, len(t)).otherwise(size)
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    headings = F.filter(lines, lambda z: z["x"].rlike(r"^##\s+.+$") & ~strip(z["x"]).endswith("?"))
+    parts = [
+        whole("tldr.missing", f"Put a summary marker into the first {rules.marker_window} characters.", missing),
+        *phrases("forbidden.phrase", rules.forbidden), *phrases("brand.glossary.mismatch", {v: f"Write '{rules.brand}'." for v in rules.brand_variants}),
+        F.when(trigger.isNotNull() & ~has_table(text), F.array(at_place("comparison.table_missing", trigger, size, F.lit("Sum the comparison up in a table.")))).otherwise(none),
+        whole("quotables.too_few", f"Write at least {rules.least_quotables} sentences of at most {rules.quotable_chars} characters.", count_quotables(text, rules.quotable_chars) < rules.least_quotables),
+        F.when(text.contains("##"), F.transform(headings, lambda z: one("scannability.h2_question", z["i"] + 1, F.lit(0), F.length(z["x"]), F.lit("Word second-level headings as questions.")))).otherwise(none),
+    ]
+    return F.array_sort(F.concat(*parts))
+
+
+def ordered_issues(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """``doc_id, issues`` for texts with any: each text's issues by line, start, rule, fix, as one array. One scan, no shuffle."""
+    return texts.select("doc_id", style_issues(_text(), rules).alias("issues")).where(F.size("issues") > 0)
+
+
+def lint_style(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """All style issues of all texts, one row each."""
+    return ordered_issues(texts, rules).select("doc_id", F.inline("issues")).select("doc_id", "rule", "severity", "line", "start", "end", "fix")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import html_blocks
-from ..functions.urls import parse_host
+from ..functions.urls import parse_host, rich_results_url
 from .sizes import broadcast_if_small
 
 MOST_BYTES = 8 * 1024 * 1024
@@ -19,8 +19,8 @@ BACKOFF_CAP = 60.0
 _BLOCK = pa.struct([("order", pa.int32()), ("id", pa.string()), ("type", pa.string()), ("text", pa.string()), ("items", pa.list_(pa.string())), ("cells", pa.list_(pa.list_(pa.string()))), ("xpath", pa.string())])
 
 
-def extract_blocks(pages: DataFrame, keep_toc: bool = True) -> DataFrame:
-    """``page_id, order, id, type, text, items, cells, xpath``: one row for each block of ``pages(page_id, html)``."""
+def block_arrays(pages: DataFrame, keep_toc: bool = True) -> DataFrame:
+    """``page_id, blocks``: the blocks of each page of ``pages(page_id, html)`` in one array, as long as the page."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,7 +29,12 @@ def extract_blocks(pages: DataFrame, keep_toc: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_BLOCK))], names=["page_id", "blocks"])
 
     block = "struct<order:int,id:string,type:string,text:string,items:array<string>,cells:array<array<string>>,xpath:string>"
-    return pages.select("page_id", "html").mapInArrow(read, f"page_id {kind}, blocks array<{block}>").select("page_id", F.inline("blocks"))
+    return pages.select("page_id", "html").mapInArrow(read, f"page_id {kind}, blocks array<{block}>")
+
+
+def extract_blocks(pages: DataFrame, keep_toc: bool = True) -> DataFrame:
+    """``page_id, order, id, type, text, items, cells, xpath``: one row for each block of ``pages(page_id, html)``."""
+    return block_arrays(pages, keep_toc).select("page_id", F.inline("blocks"))
 
 
 def table_cells(blocks: DataFrame) -> DataFrame:
@@ -39,47 +44,53 @@ def table_cells(blocks: DataFrame) -> DataFrame:
 
 
 def page_text(pages: DataFrame) -> DataFrame:
-    """``page_id, text``: block texts of each page in order, one a line."""
-    return extract_blocks(pages).where("text IS NOT NULL").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "text"))), lambda b: b["text"]), "\n").alias("text"))
+    """``page_id, text``: block texts of each page with blocks in order, one a line. All in the row."""
+    texts = F.filter(F.transform("blocks", lambda b: b["text"]), lambda t: t.isNotNull())
+    return block_arrays(pages).select("page_id", texts.alias("texts")).where(F.size("texts") > 0).select("page_id", F.array_join("texts", "\n").alias("text"))
 
 
-def extract_jsonld(pages: DataFrame) -> DataFrame:
-    """``page_id, n, jsonld``: each JSON-LD object of a page as JSON text; a list gives one row each, what can't be parsed none."""
-    scripts = F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
-    each = pages.select("page_id", F.posexplode(scripts).alias("n", "raw"))
-    parsed = each.select("page_id", "n", F.try_parse_json("raw").alias("v")).where("v IS NOT NULL")
-    listed = F.try_variant_get("v", "$", "array<variant>")
-    return parsed.select("page_id", "n", F.posexplode(F.coalesce(listed, F.array("v"))).alias("i", "o")).select("page_id", "n", "i", F.to_json("o").alias("jsonld"))
+def _read_pages(pages: DataFrame, columns: list[str], schema: str, read: Callable[[html_blocks.Node, dict], dict]) -> DataFrame:
+    """``page_id`` and what ``read`` makes of each page's tree and row."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [read(html_blocks.tree(row["html"]), row) for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[c] for f in found]).cast(t) for c, t in zip(names, types))], names=["page_id", *names])
 
-@F.pandas_udf(T.StringType())
-def _address(pages: pd.Series) -> pd.Series:
-    return pages.map(html_blocks.address_text)
+    types = [to_arrow_type(f.dataType) for f in T._parse_datatype_string(schema)]
+    return pages.select("page_id", *columns).mapInArrow(run, f"page_id {kind}, {schema}")
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
+def extract_jsonld(pages: DataFrame) -> DataFrame:
+    """``page_id, n, i, jsonld``: each JSON-LD object of a page as JSON text; a list gives one row each, what can't be parsed none."""
+    listed = _read_pages(pages, ["html"], "objects array<struct<n:int,i:int,jsonld:string>>", lambda root, row: {"objects": [{"n": n, "i": i, "jsonld": x} for n, i, x in html_blocks.jsonld_objects(root)]})
+    return listed.select("page_id", F.inline("objects"))
 
 
 def extract_page_meta(pages: DataFrame) -> DataFrame:
-    """``page_id, canonical, noindex, nofollow, lang, telephone, address_text, has_map``: the first match of each, null if there is none."""
-    html = F.coalesce("html", F.lit(""))
-
-    def first(pattern: str) -> Column:
-        return F.regexp_extract(html, pattern, 0)
-
-    robots = F.lower(_attribute(first(r"(?is)<meta\b[^>]*\bname\s*=\s*[\"'][^\"']*robots[^\"']*[\"'][^>]*>"), "content"))
-    has_address = html.rlike(r"(?i)<address\b|postaladdress")
-    return pages.select(
-        "page_id",
-        _attribute(first(r"(?is)<link\b[^>]*\brel\s*=\s*[\"'][^\"']*canonical[^\"']*[\"'][^>]*>"), "href").alias("canonical"),
-        robots.contains("noindex").alias("noindex"),
-        robots.contains("nofollow").alias("nofollow"),
-        _attribute(first(r"(?is)<html\b[^>]*>"), "lang").alias("lang"),
-        F.replace(_attribute(first(r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']tel:[^>]*>"), "href"), F.lit("tel:"), F.lit("")).alias("telephone"),
-        F.when(has_address, _address(html)).alias("address_text"),
-        _attribute(first(r"(?is)<a\b[^>]*\bhref\s*=\s*[\"'][^\"']*(?:goo\.gl/maps|google\.com/maps)[^>]*>"), "href").alias("has_map"),
-    )
+    """``page_id, canonical, noindex, nofollow, lang, telephone, address_text, has_map``: the first match of each, null if there is none.
+
+    Read off the page's elements, so quoting, comments and character references are those of HTML.
+    """
+    return _read_pages(pages, ["html"], "canonical string, noindex boolean, nofollow boolean, lang string, telephone string, address_text string, has_map string", lambda root, row: html_blocks.page_meta(root))
+
+
+def precheck(pages: DataFrame) -> DataFrame:
+    """``page_id, schema_ok, render_ok, google_warnings, rich_results_test_url`` for ``pages(page_id, html)``, with ``jsonld`` and ``url`` if there.
+
+    The schema is right if every embedded script, and the given JSON-LD, can be read and all their objects carry @context and
+    @type; each that isn't gives a warning. The page renders if it holds a tag.
+    """
+    has = [c for c in ("jsonld", "url") if c in pages.columns]
+
+    def read(root: html_blocks.Node, row: dict) -> dict:
+        return {"embedded": all(map(html_blocks.jsonld_ok, html_blocks.scripts(root))), "given": row.get("jsonld") is None or html_blocks.jsonld_ok(row["jsonld"]), "renders": "<" in (row["html"] or ""), "at": row.get("url")}
+
+    found = _read_pages(pages, ["html", *has], "embedded boolean, given boolean, renders boolean, at string", read)
+    warnings = F.array_compact(F.array(F.when(~F.col("embedded"), "embedded JSON-LD lacks @context or @type or can't be read"), F.when(~F.col("given"), "given JSON-LD lacks @context or @type or can't be read")))
+    return found.select("page_id", (F.col("embedded") & F.col("given")).alias("schema_ok"), F.col("renders").alias("render_ok"), warnings.alias("google_warnings"), rich_results_url(F.col("at")).alias("rich_results_test_url"))
 
 
 def classify_fetch(log: DataFrame) -> DataFrame:

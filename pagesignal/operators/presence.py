@@ -48,19 +48,30 @@ def _keys(names: list[str], order: str, null_geo: str) -> list[Column]:
     return [*map(F.col, names), *own]
 
 
-def presence_upsert(rows: DataFrame, order: str = "seq", null_geo: str = "distinct") -> DataFrame:
-    """One row for each (query, engine, geo, ts): first surface and flavor, last seen, last non-null of the rest."""
-    key = ["query", "engine", "geo", "ts"]
+FIRST, LAST = ("serp_surface", "engine_flavor"), ("citations", "details", "position", "definition_version")
+
 
-    def last(c: str) -> Column:
-        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
+def presence_state(rows: DataFrame, order: str = "seq") -> DataFrame:
+    """Rows with, for each value, the place in the order that it has: ``seq_<column>``, null where a last non-null value is null."""
+    places = {f"seq_{c}": F.col(order) for c in (*FIRST, "seen")} | {f"seq_{c}": F.when(F.col(c).isNotNull(), F.col(order)) for c in LAST}
+    return rows.withColumns(places)
 
-    kept = [F.min_by(c, order).alias(c) for c in ("serp_surface", "engine_flavor")]
-    return rows.groupBy(*_keys(key, order, null_geo)).agg(*kept, F.max_by("seen", order).alias("seen"), *map(last, ("citations", "details", "position", "definition_version")), F.max(order).alias(order)).drop("__own")
+
+def merge_presence(state: DataFrame, order: str = "seq", null_geo: str = "distinct") -> DataFrame:
+    """One row for each key of ``presence_state`` rows, in the same form. As each value has its own place, any split into merges gives the same."""
+    first = [F.min_by(c, f"seq_{c}").alias(c) for c in FIRST] + [F.min(f"seq_{c}").alias(f"seq_{c}") for c in FIRST]
+    last = [F.max_by(c, f"seq_{c}").alias(c) for c in ("seen", *LAST)] + [F.max(f"seq_{c}").alias(f"seq_{c}") for c in ("seen", *LAST)]
+    return state.groupBy(*_keys(["query", "engine", "geo", "ts"], order, null_geo)).agg(*first, *last, F.max(order).alias(order)).drop("__own")
+
+
+def presence_upsert(rows: DataFrame, order: str = "seq", null_geo: str = "distinct") -> DataFrame:
+    """One row for each (query, engine, geo, ts): first surface and flavor, last seen, last non-null of the rest."""
+    merged = merge_presence(presence_state(rows, order), order, null_geo)
+    return merged.select("query", "engine", "geo", "ts", *FIRST, "seen", *LAST, order)
 
 
 def presence_query(rows: DataFrame, *, queries: list[str] | None = None, engine: str | None = None, geo: str | None = None, surface: str | None = None, flavor: str | None = None, since: str | None = None, until: str | None = None, limit: int | None = None) -> DataFrame:
-    """Rows that meet all given conditions. Time bounds are inclusive and compare as text."""
+    """Rows that meet all given conditions, by time. Time bounds are inclusive and compare as text."""
     conditions = [
         F.col("query").isin(*queries) if queries else None,
         F.col("engine") == engine.lower() if engine else None,
@@ -72,8 +83,8 @@ def presence_query(rows: DataFrame, *, queries: list[str] | None = None, engine:
     ]
     for condition in conditions:
         rows = rows if condition is None else rows.where(condition)
-    rest = [c for c in ("query", "engine", "geo") if c in rows.columns]
-    return rows.orderBy("ts", *rest).limit(limit) if limit and limit > 0 else rows
+    ordered = rows.orderBy("ts", *[c for c in ("query", "engine", "geo") if c in rows.columns])
+    return ordered.limit(limit) if limit and limit > 0 else ordered
 
 
 def validate_kpi(points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,15 +100,20 @@ def kpi_upsert(points: DataFrame, order: str = "seq", null_geo: str = "distinct"
     return points.groupBy(*_keys(["metric", "t", "geo", "src"], order, null_geo)).agg(F.max_by("v", order).alias("v"), F.max(order).alias(order)).drop("__own")
 
 
-def kpi_points_of(metrics: DataFrame, points: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Long form ``metric, t, v, src``; a metric without points has one row of nulls."""
-    for bound, test in ((since, F.col("t") >= since), (until, F.col("t") <= until)):
-        points = points.where(test) if bound else points
+def kpi_points_of(metrics: DataFrame, points: DataFrame, since: str | None = None, until: str | None = None, geo: str | None = None, src: str | list[str] | None = None) -> DataFrame:
+    """Long form ``metric, t, v, src``; a metric without points has one row of nulls. Conditions that aren't given don't count.
+
+    The form for any number of points: nothing is gathered.
+    """
+    given = [(since, F.col("t") >= since), (until, F.col("t") <= until), (geo, F.col("geo") == geo), (src, F.col("src").isin([src] if isinstance(src, str) else list(src or [])))]
+    for value, test in given:
+        points = points.where(test) if value else points
     return metrics.select("metric").distinct().join(points.select("metric", "t", "v", "src"), "metric", "left")
 
 
-def kpi_series(metrics: DataFrame, points: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    """``metric, points``: each metric's points by time in one array. For bounded ranges; see ``kpi_points_of``."""
-    rows = kpi_points_of(metrics, points, since, until)
+def kpi_series(metrics: DataFrame, points: DataFrame, since: str | None = None, until: str | None = None, geo: str | None = None, src: str | list[str] | None = None, include_src: bool = False) -> DataFrame:
+    """``metric, points``: each metric's points by time in one array, with their source if asked. For bounded ranges; see ``kpi_points_of``."""
+    rows = kpi_points_of(metrics, points, since, until, geo, src)
     held = F.when(F.col("t").isNotNull(), F.struct("t", "v", "src"))
-    return rows.groupBy("metric").agg(F.array_sort(F.collect_list(held)).alias("points"))
+    listed = F.array_sort(F.collect_list(held))
+    return rows.groupBy("metric").agg((listed if include_src else F.transform(listed, lambda p: F.struct(p["t"].alias("t"), p["v"].alias("v")))).alias("points"))

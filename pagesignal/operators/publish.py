@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.stamps import content_version
 from ..functions.urls import parse_host, path_is_safe, preview_path
+from .sizes import broadcast_if_small
 
 
 def validate_publish(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,14 +39,37 @@ def render_ok(html: Column) -> Column:
     return F.coalesce(html.contains("<"), F.lit(False))
 
 
-def prepare_batch(batch: DataFrame, preview_folder: str = "preview", order: str = "seq") -> DataFrame:
-    """``path, content, jsonld, version`` of the last row for each path, previews under their folder."""
+def prepared_rows(batch: DataFrame, preview_folder: str = "preview", order: str = "seq") -> DataFrame:
+    """``path, content, jsonld, version`` and the order of every row, previews under their folder."""
     path = F.when(F.coalesce("preview", F.lit(False)), preview_path(F.lit(preview_folder), F.col("path"))).otherwise(F.col("path"))
     content = F.coalesce("markdown", F.when(F.coalesce("embed_jsonld", F.lit(False)), embed_jsonld(F.col("html"), F.col("jsonld"))).otherwise(F.col("html")))
-    rows = batch.select(path.alias("path"), content.alias("content"), "jsonld", order)
-    # Only the row's number travels with the key; each path's last row is picked by it.
-    last = rows.groupBy("path").agg(F.max_by(F.struct("content", "jsonld"), order).alias("r")).select("path", "r.content", "r.jsonld")
-    return last.withColumn("version", content_version(F.col("path"), F.col("content"), F.col("jsonld")))
+    return batch.select(path.alias("path"), content.alias("content"), "jsonld", order).withColumn("version", content_version(F.col("path"), F.col("content"), F.col("jsonld")))
+
+
+def prepare_batch(batch: DataFrame, preview_folder: str = "preview", order: str = "seq") -> DataFrame:
+    """``path, content, jsonld, version`` of the last row for each path."""
+    rows = prepared_rows(batch, preview_folder, order)
+    return rows.groupBy("path").agg(F.max_by(F.struct("content", "jsonld", "version"), order).alias("r")).select("path", "r.content", "r.jsonld", "r.version")
+
+
+def content_state(rows: DataFrame, order: str = "seq") -> DataFrame:
+    """The newest of the prepared rows of each path, what it did to the path, and the version before it.
+
+    ``status``: inserted without a row before it, else not_modified or changed by the versions. Only the two newest rows of a
+    path count, so states merge in any order.
+    """
+    newest = Window.partitionBy("path").orderBy(F.col(order).desc())
+    two = rows.dropDuplicates(["path", order]).withColumn("__n", F.row_number().over(newest)).where("__n <= 2")
+    last, before = F.when(F.col("__n") == 1, F.struct(order, "version", "content", "jsonld")), F.when(F.col("__n") == 2, F.struct(order, "version"))
+    held = two.groupBy("path").agg(F.max(last).alias("a"), F.max(before).alias("b"))
+    status = F.when(F.col("b").isNull(), "inserted").when(F.col("a.version") == F.col("b.version"), "not_modified").otherwise("changed")
+    return held.select("path", "a.*", status.alias("status"), F.col(f"b.{order}").alias("before"), F.col("b.version").alias("version_before"))
+
+
+def state_rows(state: DataFrame, order: str = "seq") -> DataFrame:
+    """The rows that a content state stands for."""
+    old = state.where(F.col("before").isNotNull()).select("path", F.col("before").alias(order), F.col("version_before").alias("version"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("jsonld"))
+    return state.select("path", order, "version", "content", "jsonld").unionByName(old)
 
 
 def content_merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -84,9 +108,16 @@ def sitemap_touch(sitemap: DataFrame, changed: DataFrame, now: Column) -> DataFr
     return sitemap.join(touched, F.trim("loc") == F.col("__url"), "left").select("loc", F.when(F.col("__hit"), now).otherwise(F.col("lastmod")).alias("lastmod"))
 
 
-def indexnow_payload(urls: DataFrame) -> DataFrame:
-    """``host, url_list``: changed urls of each host, each once, in order."""
-    return urls.select(parse_host(F.col("url")).alias("host"), "url").distinct().groupBy("host").agg(F.array_sort(F.collect_list("url")).alias("url_list"))
+def indexnow_payload(urls: DataFrame, most: int = 10_000) -> DataFrame:
+    """``host, part, url_list``: changed urls of each host, each once and in order, in lists of about ``most``, the protocol's own bound.
+
+    Hosts of more urls than that have several parts, dealt by a hash of the url, so no host is gathered into one row.
+    """
+    each = urls.select(parse_host(F.col("url")).alias("host"), "url").distinct()
+    parts = each.groupBy("host").agg(F.ceil(F.count("*") / (0.9 * most)).cast("int").alias("n"))
+    # Hosts of one part need no more than their urls; few have more.
+    many = each.join(broadcast_if_small(parts.where("n > 1")), "host", "left").withColumn("part", F.pmod(F.xxhash64("url"), F.coalesce("n", F.lit(1))).cast("int"))
+    return many.groupBy("host", "part").agg(F.array_sort(F.collect_list("url")).alias("url_list"))
 
 
 def jsonld_sidecars(batch: DataFrame) -> DataFrame:

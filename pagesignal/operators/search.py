@@ -7,8 +7,10 @@ lies, so postings are never shuffled by term, and only (query, document, partial
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -69,19 +71,41 @@ def split_blank_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return queries.where(ok), queries.where(~ok)
 
 
-def bm25_parts(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, id, score``: what each term of the query adds to the score of each document that holds it."""
+@dataclass(frozen=True)
+class CorpusStats:
+    """Documents, their mean length, and the mean raw idf of the corpus's terms. One corpus needs them once."""
+
+    n_docs: int
+    avg_dl: float
+    mean_idf: float
+
+
+def measure_corpus(corpus: DataFrame) -> CorpusStats:
+    """The figures of a corpus in one pass: each document gives its distinct terms, and one row without a term for itself."""
+    rows = document_tokens(corpus).select(F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"), "dl")
+    counted = rows.groupBy("term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
+    by_df = counted.groupBy(F.col("term").isNull().alias("whole"), "n").agg(F.count("*").alias("terms"), F.sum("dl").alias("dl"))
+    # One row for each df that occurs: their number is bounded by the longest list of postings, and mostly small.
+    whole = by_df.where("whole").select("n", "dl")
+    n_docs, dl = whole.first() or (0, 0)
+    raw = F.log(n_docs - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
+    mean = by_df.where(~F.col("whole")).agg(F.sum(raw * F.col("terms")) / F.sum("terms")).first()[0] if n_docs else None
+    return CorpusStats(n_docs, (dl or 0) / max(1, n_docs), mean or 0.0)
+
+
+def bm25_parts(corpus: DataFrame, queries: DataFrame, stats: CorpusStats) -> DataFrame:
+    """``query_id, id, score``: what each term of the query adds to the score of each document that holds it.
+
+    Tokens meet the queries' terms one by one as they leave the row, without the rest of it; only what matches is counted.
+    """
     wanted = query_terms(queries)
-    stats, frequencies = corpus_stats(corpus), document_frequencies(corpus)
-    # The queries' terms bound both sides that meet the corpus, and are cheaper to count than their weights.
     small = is_small(wanted)
     terms = wanted.select("term").distinct()
-    terms = F.broadcast(terms) if small else terms
-    # Only matched terms are counted within their document; no postings list is built or moved.
-    tf = F.col("dl") - F.size(F.array_remove("tokens", F.col("term")))
-    hits = document_tokens(corpus).select("id", "dl", "tokens", F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term", "left_semi").select("id", "dl", "term", tf.alias("tf"))
-    weights = wanted.join(term_idf(frequencies, stats), "term").select("query_id", "term", (F.col("repeats") * F.col("idf")).alias("weight"))
-    length = 1 - B + B * F.col("dl") / stats.select(F.struct("n_docs", "avg_dl")).scalar()["avg_dl"]
+    hits = document_tokens(corpus).select("id", "dl", F.explode("tokens").alias("term")).join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    raw = F.log(stats.n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    idf = F.when(raw < 0, EPSILON * stats.mean_idf).otherwise(raw)
+    weights = wanted.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term").select("query_id", "term", (F.col("repeats") * idf).alias("weight"))
+    length = 1 - B + B * F.col("dl") / (stats.avg_dl or 1.0)
     part = F.col("weight") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length))
     return hits.join(F.broadcast(weights) if small else weights, "term").select("query_id", "id", part.alias("score"))
 
@@ -95,20 +119,42 @@ def top_by_score(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank_within(scored)).where(F.col("rank") <= k)
 
 
-def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+def first_without_hits(corpus: DataFrame, asked: DataFrame, hits: DataFrame, k: int, n_docs: int, range_docs: int = 50_000) -> DataFrame:
+    """``query_id, id``: for each query the k smallest ids without a hit, and maybe more: each share of the ids gives its own k."""
+    shares = max(1, n_docs // range_docs)
+    share = F.pmod(F.xxhash64("id"), F.lit(shares))
+    names = asked.sparkSession.sparkContext.broadcast([r.query_id for r in asked.select("query_id").collect()])
+
+    def first(ids: pa.Table, found: pa.Table) -> pa.Table:
+        held: dict[str, set] = {}
+        for name, i in zip(found.column("query_id").to_pylist(), found.column("id").to_pylist()):
+            held.setdefault(name, set()).add(i)
+        own = sorted(ids.column("doc").to_pylist())
+        out = [(name, i) for name in names.value for i in islice((i for i in own if i not in held.get(name, ())), k)]
+        return pa.table({"query_id": pa.array([a for a, _ in out], pa.string()), "id": pa.array([b for _, b in out], pa.string())})
+
+    docs = corpus.select(F.col("id").alias("doc"), share.alias("doc_share")).groupBy("doc_share")
+    return docs.cogroup(hits.select("query_id", F.col("id").alias("id"), share.alias("share")).groupBy("share")).applyInArrow(first, "query_id string, id string")
+
+
+def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, stats: CorpusStats | None = None) -> DataFrame:
     """``query_id, id, score, rank``: the first ``k`` of all documents.
 
     Documents without a query term score 0 and fill the list in order of id. When fewer than k
-    documents hit, the 2k smallest ids hold enough of them, so only those are added. Queries without
-    tokens give nothing. With a negative mean idf (most terms in most documents; corpora of a few documents)
-    hits can fall below 0: there the corpus has no more than those ids, or its zero scores fill the list.
+    documents hit, the 2k smallest ids hold enough of them, so only those are added. With a negative mean idf
+    (most terms in most documents) hits can fall below 0 and documents without any come before them: there the smallest ids
+    without a hit are found for each query. Queries without tokens give nothing. ``stats``: those of the corpus, if known.
     """
-    smallest = corpus.select("id").orderBy("id").limit(2 * k).agg(F.array_sort(F.collect_list("id"))).scalar()
+    stats = stats or measure_corpus(corpus)
     asked = queries.where(F.size(tokenize(F.col("q"))) > 0).select("query_id")
-    fill = asked.select("query_id", F.explode(smallest).alias("id"), F.lit(0.0).alias("score"))
+    parts = bm25_parts(corpus, queries, stats)
+    if stats.mean_idf < 0:
+        fill = first_without_hits(corpus, asked, parts.select("query_id", "id").distinct(), k, stats.n_docs).select("query_id", "id", F.lit(0.0).alias("score"))
+    else:
+        smallest = corpus.select("id").orderBy("id").limit(2 * k).agg(F.array_sort(F.collect_list("id"))).scalar()
+        fill = asked.select("query_id", F.explode(smallest).alias("id"), F.lit(0.0).alias("score"))
     # Filled ids join the parts before they are summed, so one aggregation serves both.
-    both = bm25_parts(corpus, queries).unionByName(fill).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
-    return top_by_score(both, k)
+    return top_by_score(parts.unionByName(fill).groupBy("query_id", "id").agg(F.sum("score").alias("score")), k)
 
 
 def hashed_norms(corpus: DataFrame, width: int = VECTOR_DIM) -> DataFrame:
@@ -118,60 +164,54 @@ def hashed_norms(corpus: DataFrame, width: int = VECTOR_DIM) -> DataFrame:
     return counted.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
 
 
-def vector_search(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, width: int = VECTOR_DIM, most_queries: int = 5000) -> DataFrame:
+def vector_search(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, width: int = VECTOR_DIM, block: int = 2000) -> DataFrame:
     """``query_id, id, score, rank`` by cosine of hashed token counts.
 
-    Each task multiplies batches of documents by the matrix of the queries and keeps its own best k
-    for each; only those are shuffled. Counts and their products are whole numbers, so equal texts tie
-    exactly and ties go by id. Queries without tokens tie all documents at 0.
+    Each task multiplies batches of documents by the matrix of a block of queries and keeps its own best k
+    for each; only those are shuffled. More queries than ``block`` are dealt out by a hash to as many blocks as they need.
+    Counts and their products are whole numbers, so equal texts tie exactly and ties go by id. Queries without
+    tokens tie all documents at 0.
     """
-    asked = queries.where(F.col("q").isNotNull()).select("query_id", tokenize(F.col("q")).alias("tokens"))
-    rows = asked.limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries: pass them in blocks")
-    names = [r.query_id for r in rows]
-    held: dict[str, int] = {}
-
-    def bucket(term: str) -> int:
-        at = held.get(term)
-        if at is None:
-            if len(held) > 500_000:
-                held.clear()
-            at = held[term] = int(hashlib.sha1(term.encode()).hexdigest(), 16) % width
-        return at
-
-    def count(token_lists: list[list[str]]) -> np.ndarray:
-        out = np.zeros((len(token_lists), width))
-        for i, tokens in enumerate(token_lists):
-            out[i] = np.bincount([bucket(t) for t in tokens], minlength=width) if tokens else 0
-        return out
-
-    asked_for = count([list(r.tokens) for r in rows])
-    held.clear()
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_norm = np.sqrt((asked_for**2).sum(1))
-        ids, scores = [np.empty(0, object)] * len(names), [np.empty(0)] * len(names)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                doc_ids = np.array(part.column(0).to_pylist(), object)
-                m = count(part.column(1).to_pylist())
-                over = np.sqrt((m**2).sum(1))[:, None] * own_norm[None, :]
-                cosine = np.divide(m @ asked_for.T, over, out=np.zeros((len(m), len(names))), where=over > 0)
-                for j in range(len(names)):
-                    merged, whose = np.concatenate([scores[j], cosine[:, j]]), np.concatenate([ids[j], doc_ids])
-                    if len(merged) > k:
-                        near = np.flatnonzero(merged >= np.partition(merged, -k)[-k])
-                        near = near[np.lexsort((whose[near].astype(str), -merged[near]))][:k]
-                        merged, whose = merged[near], whose[near]
-                    scores[j], ids[j] = merged, whose
-        for j, name in enumerate(names):
-            if len(ids[j]):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids[j]), pa.string()), pa.array(ids[j].tolist(), pa.string()), pa.array(scores[j])], names=["query_id", "id", "score"])
-
-    found = document_tokens(corpus).select(F.col("id").cast("string").alias("id"), "tokens").mapInArrow(best, "query_id string, id string, score double")
-    return top_by_score(found, k)
+    buckets = F.transform("tokens", lambda t: hash_bucket(t, width)).alias("buckets")
+    asked = queries.where(F.col("q").isNotNull()).select("query_id", tokenize(F.col("q")).alias("tokens")).select("query_id", buckets)
+    blocks = -(-asked.count() // block)
+    docs = document_tokens(corpus).select(F.col("id").cast("string").alias("id"), buckets)
+
+    def count(lists: pa.ListArray) -> np.ndarray:
+        sizes = lists.value_lengths().to_numpy()
+        at = np.repeat(np.arange(len(lists)), sizes) * width + lists.flatten().to_numpy()
+        return np.bincount(at, minlength=len(lists) * width).reshape(len(lists), width).astype(np.float64)
+
+    def search(part: DataFrame) -> DataFrame:
+        rows = part.toArrow().combine_chunks()
+        names = rows.column("query_id").to_pylist()
+        asked_for = count(pa.chunked_array(rows.column("buckets")).combine_chunks()) if names else np.zeros((0, width))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own_norm = np.sqrt((asked_for**2).sum(1))
+            ids, scores = [np.empty(0, object)] * len(names), [np.empty(0)] * len(names)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2000):
+                    own = batch.slice(at, 2000)
+                    doc_ids = np.array(own.column(0).to_pylist(), object)
+                    m = count(own.column(1))
+                    over = np.sqrt((m**2).sum(1))[:, None] * own_norm[None, :]
+                    cosine = np.divide(m @ asked_for.T, over, out=np.zeros((len(m), len(names))), where=over > 0)
+                    for j in range(len(names)):
+                        merged, whose = np.concatenate([scores[j], cosine[:, j]]), np.concatenate([ids[j], doc_ids])
+                        if len(merged) > k:
+                            near = np.flatnonzero(merged >= np.partition(merged, -k)[-k])
+                            near = near[np.lexsort((whose[near].astype(str), -merged[near]))][:k]
+                            merged, whose = merged[near], whose[near]
+                        scores[j], ids[j] = merged, whose
+            for j, name in enumerate(names):
+                if len(ids[j]):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids[j]), pa.string()), pa.array(ids[j].tolist(), pa.string()), pa.array(scores[j])], names=["query_id", "id", "score"])
+
+        return docs.mapInArrow(best, "query_id string, id string, score double")
+
+    found = [search(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked) for b in range(max(1, blocks))]
+    return top_by_score(reduce(DataFrame.unionByName, found), k)
 
 
 def rrf_fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:

@@ -1,7 +1,7 @@
 """Streaming forms of the keyed upserts, counts and recrawl state.
 
-Keyed tables are kept as Parquet versions in one folder: each micro-batch merges into the newest
-version and writes the next, named by the batch, so a batch that is run again writes the same.
+All of them give the same result in whatever order and batches the rows arrive: what is kept of a key says, for
+each value, which row it came from, so a late row finds its place.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -19,57 +19,86 @@ from ..operators import pages, presence, publish
 
 
 class VersionedTable:
-    """A table as a folder of versions ``v=<batch>``; readers take the newest whole one."""
+    """A keyed table in buckets: ``v=<batch>/bucket=<k>`` holds what the batch made of bucket k.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    A batch reads and writes only the buckets of its own keys. Readers take the newest whole version of each
+    bucket. What a newer version has replaced is deleted once the batch after that begins, so a batch that is run
+    again finds what it found before.
+    """
 
-    def versions(self) -> list[int]:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _files(self) -> tuple[Any, Any]:
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        whole = [s.getPath() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName().removeprefix("v=")) for p in whole)
-
-    def read(self, below: int | None = None) -> DataFrame | None:
-        own = [v for v in self.versions() if below is None or v < below]
-        return self.spark.read.parquet(f"{self.path}/v={own[-1]}") if own else None
-
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
-
-
-def _merge_stream(stream: DataFrame, table: VersionedTable, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+        return jvm.org.apache.hadoop.fs.Path, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def newest(self, below: int | None = None) -> tuple[dict[int, str], list[str]]:
+        """The folder of each bucket's newest version, and the folders of older ones."""
+        path, fs = self._files()
+        if not fs.exists(path(self.path)):
+            return {}, []
+        whole = [s.getPath() for s in fs.listStatus(path(self.path)) if fs.exists(path(s.getPath(), "_SUCCESS"))]
+        found, old = {}, []
+        for _, at in sorted(((int(p.getName().removeprefix("v=")), p) for p in whole), key=lambda x: -x[0]):
+            if below is None or int(at.getName().removeprefix("v=")) < below:
+                for s in fs.listStatus(at):
+                    if s.getPath().getName().startswith("bucket="):
+                        k = int(s.getPath().getName().removeprefix("bucket="))
+                        (old.append if k in found else lambda f, k=k: found.update({k: f}))(s.getPath().toString())
+        return found, old
+
+    def read(self, below: int | None = None, buckets: set[int] | None = None) -> DataFrame | None:
+        own = [f for k, f in self.newest(below)[0].items() if buckets is None or k in buckets]
+        return self.spark.read.parquet(*own) if own else None
+
+    def merge(self, rows: DataFrame, key: list[Column], merged: Callable[[DataFrame], DataFrame], batch: int) -> None:
+        """Put ``rows`` into the table; ``merged`` makes one row for each key of old and new rows."""
+        bucket = F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
+        rows = rows.persist()
+        touched = {r[0] for r in rows.select(bucket).distinct().collect()}  # no more than there are buckets
+        path, fs = self._files()
+        for old in self.newest(batch)[1]:
+            fs.delete(path(old), True)
+        held = self.read(batch, touched)
+        both = rows if held is None else held.unionByName(rows)
+        merged(both).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={batch}")
+        rows.unpersist()
+
+
+def _upsert_stream(stream: DataFrame, table: VersionedTable, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], key: list[str], merged: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     def step(batch: DataFrame, number: int) -> None:
-        rows, held = prepare(batch), table.read(below=number)
-        table.write(merge(rows if held is None else held.unionByName(rows, allowMissingColumns=True)), number)
+        table.merge(prepare(batch), [F.col(c) for c in key], merged, number)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_presence_upsert(stream: DataFrame, table: VersionedTable, checkpoint: str, granularity: str = "second", null_geo: str = "distinct") -> StreamingQuery:
-    """Presence events merged into the keyed table, as ``presence_upsert`` does for a batch."""
+    """Presence events merged into the keyed table, as ``presence_upsert`` does for a batch; the table has ``presence_state``'s columns too."""
+
     def prepare(batch: DataFrame) -> DataFrame:
-        return presence.normalize_presence(presence.validate_presence(batch)[0], granularity)
+        rows = presence.normalize_presence(presence.validate_presence(batch)[0], granularity)
+        return presence.merge_presence(presence.presence_state(rows), null_geo=null_geo)
 
-    return _merge_stream(stream, table, checkpoint, prepare, lambda rows: presence.presence_upsert(rows, null_geo=null_geo))
+    return _upsert_stream(stream, table, checkpoint, prepare, ["query", "engine", "geo", "ts"], lambda rows: presence.merge_presence(rows, null_geo=null_geo))
 
 
 def stream_kpi_upsert(stream: DataFrame, table: VersionedTable, checkpoint: str, null_geo: str = "distinct") -> StreamingQuery:
-    return _merge_stream(stream, table, checkpoint, lambda b: presence.validate_kpi(b)[0], lambda rows: presence.kpi_upsert(rows, null_geo=null_geo))
+    def prepare(batch: DataFrame) -> DataFrame:
+        return presence.kpi_upsert(presence.validate_kpi(batch)[0], null_geo=null_geo)
+
+    return _upsert_stream(stream, table, checkpoint, prepare, ["metric", "t", "geo", "src"], lambda rows: presence.kpi_upsert(rows, null_geo=null_geo))
 
 
 def stream_content_changes(stream: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Page batches merged into the content table; each version of the table says what its batch did to each path."""
-    def step(batch: DataFrame, number: int) -> None:
-        new, held = publish.prepare_batch(publish.validate_publish(batch)[0]), table.read(below=number)
-        old = new.where(F.lit(False)) if held is None else held
-        status = publish.content_merge(old, new).select("path", "status")
-        table.write(publish.merged_content(old, new).join(status, "path"), number)
+    """Page batches merged into the content table: each path's newest row, its version, and its status against the row before it."""
+    names = ["path", "seq", "version", "content", "jsonld", "status", "before", "version_before"]
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def prepare(batch: DataFrame) -> DataFrame:
+        return publish.content_state(publish.prepared_rows(publish.validate_publish(batch)[0])).select(names)
+
+    return _upsert_stream(stream, table, checkpoint, prepare, ["path"], lambda rows: publish.content_state(publish.state_rows(rows)).select(names))
 
 
 def presence_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
@@ -78,6 +107,25 @@ def presence_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
     return rows.groupBy(F.window("ts", width).alias("w"), "engine").agg(F.count("*").alias("events"), F.sum(F.col("seen").cast("int")).alias("seen"), F.sum("citations").alias("citations")).select(F.col("w.start").alias("minute"), "engine", "events", "seen", "citations")
 
 
+def fold_fetch(held: dict, row: dict) -> None:
+    """Take one fetch into a url's state, wherever it comes in the url's history.
+
+    Kept: the newest success, the places of the failures after it, the newest fetch, and each validator's newest place.
+    """
+    seq, at = int(row["seq"]), pd.Timestamp(row["fetched_at"]).isoformat()
+    if row["outcome"] in ("ok", "not_modified"):
+        if held.get("good") is None or seq > held["good"][0]:
+            held["good"] = [seq, at]
+            held["failed"] = [s for s in held.get("failed", []) if s > seq]
+    elif (held.get("good") is None or seq > held["good"][0]) and seq not in held.get("failed", []):
+        held.setdefault("failed", []).append(seq)
+    if held.get("last") is None or seq > held["last"][0]:
+        held["last"] = [seq, at, int(row["status"])]
+    for c in ("etag", "last_modified"):
+        if isinstance(row[c], str) and (held.get(c) is None or seq > held[c][0]):
+            held[c] = [seq, row[c]]
+
+
 class RecrawlProcessor(StatefulProcessor):
     """Keeps one row of recrawl state for each url and gives it out after each batch that touched it."""
 
@@ -85,23 +133,15 @@ class RecrawlProcessor(StatefulProcessor):
         self._state = handle.getValueState("state", "held string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        held = json.loads(self._state.get()[0]) if self._state.exists() else {"seq": -1, "attempts": 0}
-        for r in sorted((x for pdf in rows for x in pdf.to_dict("records")), key=lambda x: x["seq"]):
-            if r["seq"] <= held["seq"]:
-                continue  # seen before
-            held |= {"seq": int(r["seq"]), "last_status": int(r["status"])}
-            for c in ("etag", "last_modified"):
-                if isinstance(r[c], str):
-                    held[c] = r[c]
-            at = pd.Timestamp(r["fetched_at"])
-            if r["outcome"] in ("ok", "not_modified"):
-                held |= {"attempts": 0, "backoff_until": None, "last_success_at": at.isoformat()}
-            else:
-                held["attempts"] += 1
-                held["backoff_until"] = (at + pd.Timedelta(seconds=min(pages.BACKOFF_CAP, 2.0 ** held["attempts"]))).isoformat()
+        held = json.loads(self._state.get()[0]) if self._state.exists() else {}
+        for pdf in rows:
+            for row in pdf.to_dict("records"):
+                fold_fetch(held, row)
         self._state.update((json.dumps(held),))
-        stamp = lambda c: pd.Timestamp(held[c]) if held.get(c) else pd.NaT
-        yield pd.DataFrame({"url": [key[0]], "etag": [held.get("etag")], "last_modified": [held.get("last_modified")], "last_status": [held.get("last_status")], "attempts": [held["attempts"]], "backoff_until": [stamp("backoff_until")], "last_success_at": [stamp("last_success_at")]})
+        attempts, good = len(held.get("failed", [])), held.get("good")
+        until = pd.Timestamp(held["last"][1]) + pd.Timedelta(seconds=min(pages.BACKOFF_CAP, 2.0 ** min(attempts, 6))) if attempts else pd.NaT
+        value = lambda c: held[c][1] if held.get(c) else None
+        yield pd.DataFrame({"url": [key[0]], "etag": [value("etag")], "last_modified": [value("last_modified")], "last_status": [held["last"][2]], "attempts": [attempts], "backoff_until": [until], "last_success_at": [pd.Timestamp(good[1]) if good else pd.NaT]})
 
     def close(self) -> None:
         pass

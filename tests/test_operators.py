@@ -9,6 +9,7 @@ from pagesignal.functions import stamps, text, urls
 from pagesignal.functions.html_blocks import blocks
 from pagesignal.operators import jsonld, lint, pages, presence, publish, search
 from pagesignal.sources.tables import read_corpus
+from pagesignal.streaming import streams
 
 
 def one(spark, column):
@@ -171,7 +172,7 @@ def test_kpi(spark):
     rows = [(1, "m", "2024-01-02", "1", "g", ""), (2, "m", "2024-01-02", "2", "g", None), (3, "m", "2024-01-01", "x", None, None), (4, "", "t", "1", None, None)]
     good, bad = presence.validate_kpi(spark.createDataFrame(rows, "seq long, metric string, t string, v string, geo string, src string"))
     assert bad.count() == 2
-    series = {r.metric: [tuple(p) for p in r.points] for r in presence.kpi_series(spark.createDataFrame([("m",), ("none",)], "metric string"), presence.kpi_upsert(good)).collect()}
+    series = {r.metric: [tuple(p) for p in r.points] for r in presence.kpi_series(spark.createDataFrame([("m",), ("none",)], "metric string"), presence.kpi_upsert(good), include_src=True).collect()}
     assert series == {"m": [("2024-01-02", 2.0, "csv")], "none": []}
 
 
@@ -215,3 +216,90 @@ def test_jsonld_checks(spark):
     got = sorted((r.object_id, r.path, r.rule) for r in jsonld.validate_jsonld(objects).collect())
     assert got == [(1, "/name", "schema.validation"), (2, "/", "core.type"), (3, "/", "core.required"), (3, "/", "core.required"), (5, "/", "core.type")]
     assert {r.object_id for r in jsonld.validity(objects).where("valid").collect()} == {4}
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_keyed_streams_take_batches_in_any_order(spark, tmp_path, order):
+    """Rows in three files, delivered one batch each in every order, against the batch forms."""
+    raw = [(i, f"q{i % 3}", "E", "g", ("aio", "web", "x")[i % 3], f"f{i}", i % 2 == 0, str(i) if i % 4 else None, None, f"d{i}" if i % 5 == 0 else None, "2024-01-01", None) for i in range(12)]
+    rows = spark.createDataFrame(raw, PRESENCE)
+    kpi = spark.createDataFrame([(i, "m", f"t{i % 3}", str(i), "g", "s") for i in range(12)], "seq long, metric string, t string, v string, geo string, src string")
+    pages_ = spark.createDataFrame([(i, f"/p{i % 2}", ("x", "x", "y", "z")[i % 4], None, None, None, None) for i in range(12)], "seq long, path string, markdown string, html string, jsonld string, embed_jsonld boolean, preview boolean")
+    plain = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    cases = [
+        (rows, lambda s, t, c: streams.stream_presence_upsert(s, t, c), presence.presence_upsert(presence.normalize_presence(presence.validate_presence(rows)[0]))),
+        (kpi, lambda s, t, c: streams.stream_kpi_upsert(s, t, c), presence.kpi_upsert(presence.validate_kpi(kpi)[0])),
+        (pages_, lambda s, t, c: streams.stream_content_changes(s, t, c), publish.content_state(publish.prepared_rows(publish.validate_publish(pages_)[0]))),
+    ]
+    for n, (df, start, want) in enumerate(cases):
+        folder = f"{tmp_path}/{n}"
+        table = streams.VersionedTable(spark, f"{folder}/table", buckets=4)
+        for k in order:
+            df.where(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+            start(spark.readStream.schema(df.schema).parquet(f"{folder}/in"), table, f"{folder}/checkpoint").awaitTermination()
+        assert plain(table.read().select(want.columns)) == plain(want)
+        assert len({v for v in table.newest()[0].values()}) == len(table.newest()[0])
+
+
+def test_recrawl_state_in_any_order():
+    """A success, 2,000 failures after it, and rows that come late or twice."""
+    import itertools
+    import random
+
+    log = [{"seq": 0, "status": 200, "outcome": "ok", "etag": "e0", "last_modified": None, "fetched_at": "2024-01-01"}] + [{"seq": i, "status": 503, "outcome": "retryable", "etag": None, "last_modified": f"m{i}" if i < 5 else None, "fetched_at": f"2024-01-01T00:00:{i % 60:02d}"} for i in range(1, 2001)]
+    random.Random(3).shuffle(log)
+    held: dict = {}
+    for row in itertools.chain(log, log[:50]):
+        streams.fold_fetch(held, row)
+    assert len(held["failed"]) == 2000 and held["good"][0] == 0 and held["etag"][1] == "e0" and held["last_modified"][1] == "m4" and held["last"][0] == 2000
+    for rows in itertools.permutations([(1, "ok"), (2, "retryable"), (3, "ok"), (4, "retryable")]):
+        held = {}
+        for seq, outcome in rows:
+            streams.fold_fetch(held, {"seq": seq, "status": 1, "outcome": outcome, "etag": f"e{seq}", "last_modified": None, "fetched_at": "2024-01-01"})
+        assert (held["failed"], held["good"][0], held["etag"][1]) == ([4], 3, "e4")
+
+
+def test_late_rows_are_dropped_from_counts(spark, tmp_path):
+    """Rows later than the watermark, which follows the batches before."""
+    schema = "ts timestamp, engine string, seen int, citations int"
+    seen = {}
+    for n, ts in enumerate(["2024-01-01 00:00:30", "2024-01-01 01:00:00", "2024-01-01 02:00:00", "2024-01-01 00:00:40"]):
+        spark.createDataFrame([(ts, "e", 1, 1)], "ts string, engine string, seen int, citations int").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "engine", "seen", "citations").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        counts = streams.presence_counts(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        counts.writeStream.outputMode("update").foreachBatch(lambda b, k: seen.update({str(r.minute): r.events for r in b.collect()})).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert seen == {"2024-01-01 00:00:00": 1, "2024-01-01 01:00:00": 1, "2024-01-01 02:00:00": 1}
+
+
+def test_first_without_hits_matches_brute_force(spark):
+    """A corpus whose queries' words are in most documents: those without any come first, by id."""
+    texts = {str(i): "common words " + ("rare" if i % 3 else "") for i in range(30)} | {str(i): "nothing" for i in (7, 21, 28)}
+    corpus = spark.createDataFrame([(i, "", "", t, None, None, None, None) for i, t in texts.items()], CORPUS)
+    queries = spark.createDataFrame([("a", "common"), ("b", "rare words"), ("c", "nothing")], "query_id string, q string")
+    for name, q in (("a", "common"), ("b", "rare words"), ("c", "nothing")):
+        want = bm25_by_hand([(i, "", t) for i, t in texts.items()], q)
+        top = sorted(want, key=lambda i: (-round(want[i], 9), i))[:4]
+        got = search.bm25_search(corpus, queries, 4).where(F.col("query_id") == name).orderBy("rank").collect()
+        assert [r.id for r in got] == top, name
+
+
+def test_vector_search_in_blocks_of_queries(spark):
+    corpus = spark.createDataFrame([(str(i), "", f"w{i}", f"w{i} shared", None, None, None, None) for i in range(20)], CORPUS)
+    queries = spark.createDataFrame([(f"q{i}", f"w{i} shared") for i in range(9)], "query_id string, q string")
+    rows = lambda df: sorted((r.query_id, r.rank, r.id) for r in df.collect())
+    assert rows(search.vector_search(corpus, queries, 3, block=2)) == rows(search.vector_search(corpus, queries, 3))
+
+
+def test_flat_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert len(blocks("<p>x" * 100_000)) == 100_000
+    assert time.perf_counter() - began < 20
+    assert len(blocks("<i>" * 3000 + "<div><p>a</p></div>" * 3000)) == 3000
+
+
+def test_urls_of_a_large_host_come_in_parts(spark):
+    urls_ = spark.range(50).selectExpr("concat('https://h/', id) AS url").unionByName(spark.createDataFrame([("https://k/1",), ("https://k/1",)], "url string"))
+    got = publish.indexnow_payload(urls_, most=10).collect()
+    assert sorted(u for r in got for u in r.url_list) == sorted({r.url for r in urls_.collect()}) and len([r for r in got if r.host == "h"]) > 3
+    assert [r.url_list for r in got if r.host == "k"] == [["https://k/1"]]
