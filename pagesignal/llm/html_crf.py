@@ -308,7 +308,7 @@ def fit(pages: list[tuple[list[Leaf], list[bool]]], *, rounds: int = 120, rate:
     return Field(theta[:size], theta[size : size + 4].reshape(2, 2), theta[size + 4 :])
 
 
-def labelled_pages(n: int = 600, seed: int = 3) -> list[tuple[list[Leaf], list[bool]]]:
+def labelled_pages(n: int = 450, seed: int = 3) -> list[tuple[list[Leaf], list[bool]]]:
     """``n`` written pages of varied layout, read into blocks, each with whether it is of the article.
 
     Article text carries a mark character that is taken out again once the blocks are read.
