@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import let
+
 CONTEXT = "https://schema.org"
 
 
@@ -245,9 +247,7 @@ def parsed(objects: DataFrame) -> DataFrame:
     return objects.withColumn("v", F.try_parse_json("jsonld")).withColumn("kind", F.when(F.startswith(_kind(F.col("v")), F.lit(OBJECT)), primary_type(F.col("v"))))
 
 
-def error_arrays(objects: DataFrame) -> DataFrame:
-    """``object_id, errors``: the broken rules of each object, by path."""
-    v = F.col("v")
+def _errors(v: Column, type_of: Column) -> Column:
     no_error = F.array().cast("array<struct<path:string,rule:string>>")
 
     def one(path: str, rule: str) -> Column:
@@ -263,20 +263,25 @@ def error_arrays(objects: DataFrame) -> DataFrame:
             errors = F.concat(errors, F.flatten(F.transform(items, _item_errors(name, of_item))))
         if kind == "LocalBusiness":
             errors = F.concat(errors, _text_items(v, "sameAs"))
-        found = F.when(F.col("kind") == kind, errors).otherwise(found)
+        found = F.when(type_of == kind, errors).otherwise(found)
     is_object = F.coalesce(F.startswith(_kind(v), F.lit(OBJECT)), F.lit(False))
-    result = F.when(~is_object, F.array(one("/", "core.type"))).when(F.size(core) > 0, core).otherwise(found)
-    return parsed(objects).select("object_id", F.array_sort(result).alias("errors"))
+    return F.array_sort(F.when(~is_object, F.array(one("/", "core.type"))).when(F.size(core) > 0, core).otherwise(found))
+
+
+def errors_of(jsonld: Column) -> Column:
+    """The broken rules of a JSON text by path, as an array of (path, rule). The text is parsed once."""
+    typed = lambda v: F.struct(v.alias("v"), F.when(F.startswith(_kind(v), F.lit(OBJECT)), primary_type(v)).alias("kind"))
+    return let(F.try_parse_json(jsonld), lambda v: let(typed(v), lambda z: _errors(z["v"], z["kind"])))
 
 
 def validate_jsonld(objects: DataFrame) -> DataFrame:
     """``object_id, path, rule``: one row for each broken rule, ordered by path within an object."""
-    return error_arrays(objects).select("object_id", F.explode("errors").alias("e")).select("object_id", "e.path", "e.rule")
+    return objects.select("object_id", F.explode(errors_of(F.col("jsonld"))).alias("e")).select("object_id", "e.path", "e.rule")
 
 
 def validity(objects: DataFrame) -> DataFrame:
     """``object_id, valid`` for every object."""
-    return error_arrays(objects).select("object_id", (F.size("errors") == 0).alias("valid"))
+    return objects.select("object_id", (F.size(errors_of(F.col("jsonld"))) == 0).alias("valid"))
 
 
 def suggestions(objects: DataFrame) -> DataFrame:

@@ -271,8 +271,11 @@ _ISSUES = "array<struct<line:int,start:int,rule:string,fix:string,end:int,severi
 
 def style_issues(text: Column, rules: Rules = DEFAULT) -> Column:
     """All style issues of a text in one array, by line, start, rule, fix: one projection of the row."""
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), lambda z: _style_issues(z["text"], z["low"], rules))
+
+
+def _style_issues(text: Column, low: Column, rules: Rules) -> Column:
     none = F.array().cast(_ISSUES)
-    low = F.lower(text)
 
     def one(rule: str, line: Column, start: Column, end: Column, fix: Column) -> Column:
         return F.struct(line.cast("int").alias("line"), start.cast("int").alias("start"), F.lit(rule).alias("rule"), fix.alias("fix"), end.cast("int").alias("end"), F.lit(rules.severity_for(rule)).alias("severity"))
@@ -312,7 +315,9 @@ def style_issues(text: Column, rules: Rules = DEFAULT) -> Column:
 
 def ordered_issues(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """``doc_id, issues`` for texts with any: each text's issues by line, start, rule, fix, as one array. One scan, no shuffle."""
-    return texts.select("doc_id", style_issues(_text(), rules).alias("issues")).where(F.size("issues") > 0)
+    # A list of none or one array, so that a text without issues gives no row and none is looked through twice.
+    found = F.filter(F.array(style_issues(_text(), rules)), lambda x: F.size(x) > 0)
+    return texts.select("doc_id", F.explode(found).alias("issues"))
 
 
 def lint_style(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hash_bucket, snippet, tokenize
+from ..functions.text import hash_bucket, let, snippet, tokenize
 from ..functions.urls import host_matches_site, parse_host
 from .sizes import broadcast_if_small, is_small
 
@@ -71,6 +71,16 @@ def split_blank_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return queries.where(ok), queries.where(~ok)
 
 
+def term_counts(tokens: Column) -> Column:
+    """An array of (term, tf) from an array of tokens: sorted, a term is a run, and runs begin where neighbours differ."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        return let(begins, lambda at: F.transform(at, lambda i, k: F.struct(F.element_at(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i).alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs))
+
+
 @dataclass(frozen=True)
 class CorpusStats:
     """Documents, their mean length, and the mean raw idf of the corpus's terms. One corpus needs them once."""
@@ -96,15 +106,18 @@ def measure_corpus(corpus: DataFrame) -> CorpusStats:
 def bm25_parts(corpus: DataFrame, queries: DataFrame, stats: CorpusStats) -> DataFrame:
     """``query_id, id, score``: what each term of the query adds to the score of each document that holds it.
 
-    Tokens meet the queries' terms one by one as they leave the row, without the rest of it; only what matches is counted.
+    Terms are counted within their row and leave it with nothing but their count, to meet the queries' terms where they are; a
+    document's parts stay in one task, so sums by document are whole before they are shuffled.
     """
     wanted = query_terms(queries)
     small = is_small(wanted)
     terms = wanted.select("term").distinct()
-    hits = document_tokens(corpus).select("id", "dl", F.explode("tokens").alias("term")).join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    terms = F.broadcast(terms) if small else terms
+    df = document_tokens(corpus).select(F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log(stats.n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     idf = F.when(raw < 0, EPSILON * stats.mean_idf).otherwise(raw)
-    weights = wanted.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term").select("query_id", "term", (F.col("repeats") * idf).alias("weight"))
+    weights = wanted.join(df, "term").select("query_id", "term", (F.col("repeats") * idf).alias("weight"))
+    hits = document_tokens(corpus).select("id", "dl", F.inline(term_counts(F.col("tokens"))))
     length = 1 - B + B * F.col("dl") / (stats.avg_dl or 1.0)
     part = F.col("weight") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length))
     return hits.join(F.broadcast(weights) if small else weights, "term").select("query_id", "id", part.alias("score"))
@@ -153,8 +166,9 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, stats: Co
     else:
         smallest = corpus.select("id").orderBy("id").limit(2 * k).agg(F.array_sort(F.collect_list("id"))).scalar()
         fill = asked.select("query_id", F.explode(smallest).alias("id"), F.lit(0.0).alias("score"))
-    # Filled ids join the parts before they are summed, so one aggregation serves both.
-    return top_by_score(parts.unionByName(fill).groupBy("query_id", "id").agg(F.sum("score").alias("score")), k)
+    # The best hits of a query are all of them where it has fewer than k: so a filled id that is a hit is among them, and its score counts.
+    best = top_by_score(parts.groupBy("query_id", "id").agg(F.sum("score").alias("score")), k).drop("rank")
+    return top_by_score(best.unionByName(fill).groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
 
 
 def hashed_norms(corpus: DataFrame, width: int = VECTOR_DIM) -> DataFrame:
