@@ -91,16 +91,19 @@ class CorpusStats:
 
 
 def measure_corpus(corpus: DataFrame) -> CorpusStats:
-    """The figures of a corpus in one pass: each document gives its distinct terms, and one row without a term for itself."""
+    """The figures of a corpus: its rows are counted without their texts, then one pass gives the rest.
+
+    In that pass each document gives its distinct terms, and one row without a term for its length.
+    """
+    n_docs = corpus.count()
     rows = document_tokens(corpus).select(F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"), "dl")
-    counted = rows.groupBy("term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
-    by_df = counted.groupBy(F.col("term").isNull().alias("whole"), "n").agg(F.count("*").alias("terms"), F.sum("dl").alias("dl"))
-    # One row for each df that occurs: their number is bounded by the longest list of postings, and mostly small.
-    whole = by_df.where("whole").select("n", "dl")
-    n_docs, dl = whole.first() or (0, 0)
-    raw = F.log(n_docs - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
-    mean = by_df.where(~F.col("whole")).agg(F.sum(raw * F.col("terms")) / F.sum("terms")).first()[0] if n_docs else None
-    return CorpusStats(n_docs, (dl or 0) / max(1, n_docs), mean or 0.0)
+    is_term = F.col("term").isNotNull()
+    counted = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
+    # Terms of one df share a raw idf: summed by df, the mean doesn't depend on the order of many terms.
+    by_df = counted.groupBy(is_term.alias("is_term"), "df").agg(F.count("*").alias("terms"), F.sum("dl").alias("dl"))
+    raw = F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    dl, weighed, terms = by_df.agg(F.sum("dl"), F.sum(F.when(F.col("is_term"), raw * F.col("terms"))), F.sum(F.when(F.col("is_term"), F.col("terms")))).first()
+    return CorpusStats(n_docs, (dl or 0) / max(1, n_docs), weighed / terms if terms else 0.0)
 
 
 def bm25_parts(corpus: DataFrame, queries: DataFrame, stats: CorpusStats) -> DataFrame:
