@@ -1,23 +1,23 @@
 """Ranking a corpus for a table of queries.
 
 Corpus: ``id, url, title, text, anchor, last_modified, jurisdiction, place_ids``; queries:
-``query_id, q``. The queries are the stated, small side: their terms meet the corpus where it
-lies, so postings are never shuffled by term, and only (query, document, partial score) rows move.
+``query_id, q``. The queries are the stated, small side, taken in blocks: they meet the corpus where it
+lies, and only each task's best documents for each query move.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hash_bucket, let, snippet, tokenize
+from ..functions.text import hash_bucket, snippet, tokenize
 from ..functions.urls import host_matches_site, parse_host
 from .sizes import broadcast_if_small, is_small
 
@@ -71,59 +71,41 @@ def split_blank_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return queries.where(ok), queries.where(~ok)
 
 
-def term_counts(tokens: Column) -> Column:
-    """An array of (term, tf) from an array of tokens: sorted, a term is a run, and runs begin where neighbours differ."""
-
-    def runs(s: Column) -> Column:
-        begins = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
-        return let(begins, lambda at: F.transform(at, lambda i, k: F.struct(F.element_at(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i).alias("tf"))))
-
-    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs))
-
-
 @dataclass(frozen=True)
 class CorpusStats:
-    """Documents, their mean length, and the mean raw idf of the corpus's terms. One corpus needs them once."""
+    """Documents, their mean length, and the mean raw idf of the corpus's terms."""
 
     n_docs: int
     avg_dl: float
     mean_idf: float
 
 
-def measure_corpus(corpus: DataFrame) -> CorpusStats:
-    """The figures of a corpus: its rows are counted without their texts, then one pass gives the rest.
+def corpus_terms(corpus: DataFrame) -> DataFrame:
+    """``term, df, dl`` in one pass over the texts. The row without a term stands for all documents: their number and total length."""
+    terms = F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))
+    rows = document_tokens(corpus).select(F.explode(terms).alias("term"), "dl")
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
 
-    In that pass each document gives its distinct terms, and one row without a term for its length.
-    """
-    n_docs = corpus.count()
-    rows = document_tokens(corpus).select(F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"), "dl")
-    is_term = F.col("term").isNotNull()
-    counted = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
-    # Terms of one df share a raw idf: summed by df, the mean doesn't depend on the order of many terms.
-    by_df = counted.groupBy(is_term.alias("is_term"), "df").agg(F.count("*").alias("terms"), F.sum("dl").alias("dl"))
-    raw = F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    dl, weighed, terms = by_df.agg(F.sum("dl"), F.sum(F.when(F.col("is_term"), raw * F.col("terms"))), F.sum(F.when(F.col("is_term"), F.col("terms")))).first()
-    return CorpusStats(n_docs, (dl or 0) / max(1, n_docs), weighed / terms if terms else 0.0)
 
+def raw_idf(n_docs: int) -> Column:
+    return F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
-def bm25_parts(corpus: DataFrame, queries: DataFrame, stats: CorpusStats) -> DataFrame:
-    """``query_id, id, score``: what each term of the query adds to the score of each document that holds it.
 
-    Terms are counted within their row and leave it with nothing but their count, to meet the queries' terms where they are; a
-    document's parts stay in one task, so sums by document are whole before they are shuffled.
-    """
-    wanted = query_terms(queries)
-    small = is_small(wanted)
-    terms = wanted.select("term").distinct()
-    terms = F.broadcast(terms) if small else terms
-    df = document_tokens(corpus).select(F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log(stats.n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+def measure_corpus(terms: DataFrame) -> CorpusStats:
+    """The figures of a corpus from its terms."""
+    n_docs, dl = terms.where("term IS NULL").agg(F.sum("df"), F.sum("dl")).first()
+    n_docs = n_docs or 0
+    # Terms of one df share a raw idf: summed by df, the mean doesn't depend on the order of many terms.
+    by_df = terms.where("term IS NOT NULL").groupBy("df").agg(F.count("*").alias("terms"))
+    total, n_terms = by_df.agg(F.sum(raw_idf(n_docs) * F.col("terms")), F.sum("terms")).first()
+    return CorpusStats(n_docs, (dl or 0) / max(1, n_docs), total / n_terms if n_terms else 0.0)
+
+
+def term_weights(terms: DataFrame, queries: DataFrame, stats: CorpusStats) -> DataFrame:
+    """``query_id, term, weight``: idf times the term's repeats in the query; 0 for a term that no document holds."""
+    raw = raw_idf(stats.n_docs)
     idf = F.when(raw < 0, EPSILON * stats.mean_idf).otherwise(raw)
-    weights = wanted.join(df, "term").select("query_id", "term", (F.col("repeats") * idf).alias("weight"))
-    hits = document_tokens(corpus).select("id", "dl", F.inline(term_counts(F.col("tokens"))))
-    length = 1 - B + B * F.col("dl") / (stats.avg_dl or 1.0)
-    part = F.col("weight") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length))
-    return hits.join(F.broadcast(weights) if small else weights, "term").select("query_id", "id", part.alias("score"))
+    return query_terms(queries).join(terms.where("term IS NOT NULL"), "term", "left").select("query_id", "term", F.coalesce(F.col("repeats") * idf, F.lit(0.0)).alias("weight"))
 
 
 def rank_within(scored: DataFrame, score: str = "score", digits: int = 9) -> Column:
@@ -135,43 +117,94 @@ def top_by_score(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank_within(scored)).where(F.col("rank") <= k)
 
 
-def first_without_hits(corpus: DataFrame, asked: DataFrame, hits: DataFrame, k: int, n_docs: int, range_docs: int = 50_000) -> DataFrame:
-    """``query_id, id``: for each query the k smallest ids without a hit, and maybe more: each share of the ids gives its own k."""
-    shares = max(1, n_docs // range_docs)
-    share = F.pmod(F.xxhash64("id"), F.lit(shares))
-    names = asked.sparkSession.sparkContext.broadcast([r.query_id for r in asked.select("query_id").collect()])
-
-    def first(ids: pa.Table, found: pa.Table) -> pa.Table:
-        held: dict[str, set] = {}
-        for name, i in zip(found.column("query_id").to_pylist(), found.column("id").to_pylist()):
-            held.setdefault(name, set()).add(i)
-        own = sorted(ids.column("doc").to_pylist())
-        out = [(name, i) for name in names.value for i in islice((i for i in own if i not in held.get(name, ())), k)]
-        return pa.table({"query_id": pa.array([a for a, _ in out], pa.string()), "id": pa.array([b for _, b in out], pa.string())})
+def best_of_task(score: Callable[[pa.RecordBatch], np.ndarray], names: list[str], k: int, digits: int = 9) -> Callable:
+    """For ``mapInArrow``: the best ``k`` of a task's documents for each query, by score to ``digits`` places, then id.
 
-    docs = corpus.select(F.col("id").alias("doc"), share.alias("doc_share")).groupBy("doc_share")
-    return docs.cogroup(hits.select("query_id", F.col("id").alias("id"), share.alias("share")).groupBy("share")).applyInArrow(first, "query_id string, id string")
+    ``score`` gives the scores of a batch, documents by queries; a batch's first column is the id. Batches are cut so that a
+    matrix of scores holds 400,000 at most, or one document's.
+    """
+    step = max(1, 400_000 // max(1, len(names)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scores = [np.empty(0, object)] * len(names), [np.empty(0)] * len(names)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                own = batch.slice(at, step)
+                doc_ids = np.array(own.column(0).to_pylist(), object)
+                by_id = np.argsort(doc_ids.astype(str), kind="stable")
+                doc_ids, found = doc_ids[by_id], np.ascontiguousarray(score(own)[by_id].T)
+                for j, (new, rounded) in enumerate(zip(found, np.round(found, digits))):
+                    if len(new) > k:
+                        # Rows lie by id, so of those that tie for the last places the first ones count.
+                        last = np.partition(rounded, -k)[-k]
+                        over = np.flatnonzero(rounded > last)
+                        at_last = np.flatnonzero(rounded == last)[: k - len(over)]
+                        keep = np.concatenate([over, at_last])
+                    else:
+                        keep = np.arange(len(new))
+                    merged, whose = np.concatenate([scores[j], new[keep]]), np.concatenate([ids[j], doc_ids[keep]])
+                    first = np.lexsort((whose.astype(str), -np.round(merged, digits)))[:k]
+                    scores[j], ids[j] = merged[first], whose[first]
+        for name, own_ids, own_scores in zip(names, ids, scores):
+            if len(own_ids):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own_ids), pa.string()), pa.array(own_ids.tolist(), pa.string()), pa.array(own_scores)], names=["query_id", "id", "score"])
+
+    return best
+
+
+def by_block(asked: DataFrame, search: Callable[[DataFrame], DataFrame], k: int, block: int) -> DataFrame:
+    """The best ``k`` of each query from ``search`` over the queries; more than ``block`` are dealt out by a hash to as many blocks as they need."""
+    blocks = max(1, -(-asked.count() // block))
+    found = [search(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked) for b in range(blocks)]
+    return top_by_score(reduce(DataFrame.unionByName, found), k)
 
 
-def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, stats: CorpusStats | None = None) -> DataFrame:
+def bm25_of(weights: pa.Table, names: list[str], avg_dl: float) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """Scores of a batch of (id, tokens): each distinct term of a document meets the queries that ask for it."""
+    terms = weights.column("term").unique()
+    term = pc.index_in(weights.column("term"), value_set=terms).to_numpy()
+    order = np.argsort(term, kind="stable")
+    asker = pc.index_in(weights.column("query_id"), value_set=pa.array(names, pa.string())).to_numpy()[order]
+    weight = weights.column("weight").to_numpy()[order]
+    begins = np.searchsorted(term[order], np.arange(len(terms) + 1))
+
+    def score(batch: pa.RecordBatch) -> np.ndarray:
+        tokens, n = batch.column(1), batch.num_rows
+        dl = tokens.value_lengths().to_numpy()
+        held = pc.index_in(tokens.flatten(), value_set=terms)
+        pairs = np.repeat(np.arange(n), dl)[held.is_valid().to_numpy(zero_copy_only=False)] * len(terms) + held.drop_null().to_numpy()
+        pairs, tf = np.unique(pairs, return_counts=True)
+        doc, which = np.divmod(pairs, max(1, len(terms)))
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / (avg_dl or 1.0)))
+        askers = begins[which + 1] - begins[which]
+        at = np.arange(askers.sum()) + np.repeat(begins[which] - (np.cumsum(askers) - askers), askers)
+        where = np.repeat(doc, askers) * len(names) + asker[at]
+        return np.bincount(where, np.repeat(part, askers) * weight[at], n * len(names)).reshape(n, len(names))
+
+    return score
+
+
+def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, block: int = 2000) -> DataFrame:
     """``query_id, id, score, rank``: the first ``k`` of all documents.
 
-    Documents without a query term score 0 and fill the list in order of id. When fewer than k
-    documents hit, the 2k smallest ids hold enough of them, so only those are added. With a negative mean idf
-    (most terms in most documents) hits can fall below 0 and documents without any come before them: there the smallest ids
-    without a hit are found for each query. Queries without tokens give nothing. ``stats``: those of the corpus, if known.
+    Documents without a query term score 0 and take their place among the others, in order of id where scores tie; with a
+    negative mean idf hits can come after them. Each task scores its documents for a block of queries and keeps its own best k
+    for each, so neither postings nor (query, document) sums are shuffled; the table of terms is worked out once for all blocks.
+    Queries without tokens give nothing.
     """
-    stats = stats or measure_corpus(corpus)
-    asked = queries.where(F.size(tokenize(F.col("q"))) > 0).select("query_id")
-    parts = bm25_parts(corpus, queries, stats)
-    if stats.mean_idf < 0:
-        fill = first_without_hits(corpus, asked, parts.select("query_id", "id").distinct(), k, stats.n_docs).select("query_id", "id", F.lit(0.0).alias("score"))
-    else:
-        smallest = corpus.select("id").orderBy("id").limit(2 * k).agg(F.array_sort(F.collect_list("id"))).scalar()
-        fill = asked.select("query_id", F.explode(smallest).alias("id"), F.lit(0.0).alias("score"))
-    # The best hits of a query are all of them where it has fewer than k: so a filled id that is a hit is among them, and its score counts.
-    best = top_by_score(parts.groupBy("query_id", "id").agg(F.sum("score").alias("score")), k).drop("rank")
-    return top_by_score(best.unionByName(fill).groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
+    docs = document_tokens(corpus).select(F.col("id").cast("string").alias("id"), "tokens")
+    terms = corpus_terms(corpus).persist()
+    try:
+        stats = measure_corpus(terms)
+
+        def search(part: DataFrame) -> DataFrame:
+            weights = term_weights(terms, part, stats).toArrow().combine_chunks()
+            names = weights.column("query_id").unique().to_pylist()
+            return docs.mapInArrow(best_of_task(bm25_of(weights, names, stats.avg_dl), names, k), "query_id string, id string, score double")
+
+        return by_block(queries.where(F.size(tokenize(F.col("q"))) > 0), search, k, block)
+    finally:
+        terms.unpersist()
 
 
 def hashed_norms(corpus: DataFrame, width: int = VECTOR_DIM) -> DataFrame:
@@ -191,7 +224,6 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, width:
     """
     buckets = F.transform("tokens", lambda t: hash_bucket(t, width)).alias("buckets")
     asked = queries.where(F.col("q").isNotNull()).select("query_id", tokenize(F.col("q")).alias("tokens")).select("query_id", buckets)
-    blocks = -(-asked.count() // block)
     docs = document_tokens(corpus).select(F.col("id").cast("string").alias("id"), buckets)
 
     def count(lists: pa.ListArray) -> np.ndarray:
@@ -203,32 +235,16 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, width:
         rows = part.toArrow().combine_chunks()
         names = rows.column("query_id").to_pylist()
         asked_for = count(pa.chunked_array(rows.column("buckets")).combine_chunks()) if names else np.zeros((0, width))
+        own_norm = np.sqrt((asked_for**2).sum(1))
 
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own_norm = np.sqrt((asked_for**2).sum(1))
-            ids, scores = [np.empty(0, object)] * len(names), [np.empty(0)] * len(names)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    own = batch.slice(at, 2000)
-                    doc_ids = np.array(own.column(0).to_pylist(), object)
-                    m = count(own.column(1))
-                    over = np.sqrt((m**2).sum(1))[:, None] * own_norm[None, :]
-                    cosine = np.divide(m @ asked_for.T, over, out=np.zeros((len(m), len(names))), where=over > 0)
-                    for j in range(len(names)):
-                        merged, whose = np.concatenate([scores[j], cosine[:, j]]), np.concatenate([ids[j], doc_ids])
-                        if len(merged) > k:
-                            near = np.flatnonzero(merged >= np.partition(merged, -k)[-k])
-                            near = near[np.lexsort((whose[near].astype(str), -merged[near]))][:k]
-                            merged, whose = merged[near], whose[near]
-                        scores[j], ids[j] = merged, whose
-            for j, name in enumerate(names):
-                if len(ids[j]):
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids[j]), pa.string()), pa.array(ids[j].tolist(), pa.string()), pa.array(scores[j])], names=["query_id", "id", "score"])
-
-        return docs.mapInArrow(best, "query_id string, id string, score double")
-
-    found = [search(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked) for b in range(max(1, blocks))]
-    return top_by_score(reduce(DataFrame.unionByName, found), k)
+        def cosine(batch: pa.RecordBatch) -> np.ndarray:
+            m = count(batch.column(1))
+            over = np.sqrt((m**2).sum(1))[:, None] * own_norm[None, :]
+            return np.divide(m @ asked_for.T, over, out=np.zeros((len(m), len(names))), where=over > 0)
+
+        return docs.mapInArrow(best_of_task(cosine, names, k), "query_id string, id string, score double")
+
+    return by_block(asked, search, k, block)
 
 
 def rrf_fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,7 +272,7 @@ def test_late_rows_are_dropped_from_counts(spark, tmp_path):
     assert seen == {"2024-01-01 00:00:00": 1, "2024-01-01 01:00:00": 1, "2024-01-01 02:00:00": 1}
 
 
-def test_first_without_hits_matches_brute_force(spark):
+def test_bm25_of_common_words_matches_brute_force(spark):
     """A corpus whose queries' words are in most documents: those without any come first, by id."""
     texts = {str(i): "common words " + ("rare" if i % 3 else "") for i in range(30)} | {str(i): "nothing" for i in (7, 21, 28)}
     corpus = spark.createDataFrame([(i, "", "", t, None, None, None, None) for i, t in texts.items()], CORPUS)
@@ -289,6 +291,34 @@ def test_vector_search_in_blocks_of_queries(spark):
     assert rows(search.vector_search(corpus, queries, 3, block=2)) == rows(search.vector_search(corpus, queries, 3))
 
 
+def test_bm25_in_blocks_of_queries(spark):
+    """Rare, common and unknown words, repeated ones, an empty text, and a query without tokens."""
+    texts = {str(i): f"w{i % 7} shared " * (i % 4) for i in range(40)}
+    corpus = spark.createDataFrame([(i, "", "", t, None, None, None, None) for i, t in texts.items()], CORPUS)
+    asked = {"a": "w1 w1 shared", "b": "w2 nowhere", "c": "nowhere", "d": "w3", "e": "w6 w5"}
+    queries = spark.createDataFrame([*asked.items(), ("f", " . "), ("g", None)], "query_id string, q string")
+    for block in (2, 2000):
+        got = {}
+        for r in search.bm25_search(corpus, queries, 12, block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        for name, q in asked.items():
+            want = bm25_by_hand([(i, "", t) for i, t in texts.items()], q)
+            assert got[name] == sorted(want, key=lambda i: (-round(want[i], 9), i))[:12], (name, block)
+        assert set(got) == set(asked)
+    assert search.bm25_search(corpus.limit(0), queries, 3).count() == 0
+
+
+def test_best_of_task_keeps_ties_by_id():
+    """Scores in three batches, more of them equal than places; differences after the ninth digit are none."""
+    rng = np.random.default_rng(3)
+    rows = [(f"d{i:03}", [float(v) for v in rng.integers(0, 3, 2) + rng.uniform(0, 1e-11, 2)]) for i in rng.permutation(90)]
+    batches = [pa.RecordBatch.from_pydict({"id": [i for i, _ in rows[at : at + 30]], "v": [v for _, v in rows[at : at + 30]]}) for at in (0, 30, 60)]
+    keep = search.best_of_task(lambda b: np.array(b.column(1).to_pylist()), ["x", "y"], 7)
+    got = [(q, i) for b in keep(iter(batches)) for q, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    want = [(q, i) for j, q in enumerate("xy") for i, _ in sorted(rows, key=lambda r: (-round(r[1][j], 9), r[0]))[:7]]
+    assert got == want
+
+
 def test_flat_pages_take_linear_time():
     import time
 
