@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, html_crf, language_id, mixing, packing, pii, quality_net, quality_rules, simhash, tokens
+from . import digest, html_crf, language_id, lexical, mixing, packing, pii, quality_net, quality_rules, simhash, tokens
 from .common import table
 
 
@@ -63,8 +63,12 @@ def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", language_id.held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    own = (op1_language_id, op2_simhash, op3_digest, op4_pii, op5_quality_rules, op6_mixing, op7_token_lengths, op8_main_text, op9_packing, op10_quality_net)
+    own = (op1_language_id, op2_simhash, op3_digest, op4_pii, op5_quality_rules, op6_mixing, op7_token_lengths, op8_main_text, op9_packing, op10_quality_net, op11_lexical)
     return {f.__name__: f for f in own}
 
 
@@ -100,5 +104,29 @@ FROM copied
 """
 
 
+#: Every document against every item, term by term.
+_OP11 = r"""
+WITH folded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms,
+    row_number() OVER () AS row FROM documents
+), sized AS (
+  SELECT doc_id, row, terms, len(terms)::BIGINT AS n FROM folded WHERE len(terms) > 0
+), figures AS (
+  SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM sized
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), counted AS (
+  SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY row, term
+), weighed AS (
+  SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, figures GROUP BY term, nn
+), scored AS (
+  SELECT a.item_id, s.doc_id, s.row, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT AS score
+  FROM asked a JOIN counted c USING (term) JOIN weighed USING (term) JOIN sized s ON s.row = c.row, figures GROUP BY a.item_id, s.doc_id, s.row
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": _OP6}
+    return {"op6_mixing": _OP6, "op11_lexical": _OP11}
