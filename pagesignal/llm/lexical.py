@@ -30,6 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,7 +180,7 @@ def shards(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.Table]:
     """The documents of the batches that hold some asked term, in tables of ``step`` rows, the last one shorter."""
     waiting, rows = [], 0
     for batch in batches:
-        batch = batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column(2)), 0))
+        batch = batch.filter(pc.greater(pc.list_value_length(batch.column(2)), 0))
         while batch.num_rows:
             part = batch.slice(0, step - rows)
             waiting.append(part)
