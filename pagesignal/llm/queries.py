@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, html_crf, language_id, lexical, mixing, packing, pii, quality_net, quality_rules, simhash, tokens
+from . import chat, digest, html_crf, language_id, lexical, mixing, packing, pii, quality_net, quality_rules, simhash, tokens, turn_repair
 from .common import table
 
 
@@ -67,8 +67,18 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(turn_repair.damaged(conversations), conversations)
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.windows(conversations.unionByName(chat.probe(spark)), tokenizer_path()))
+
+
 def queries() -> dict:
-    own = (op1_language_id, op2_simhash, op3_digest, op4_pii, op5_quality_rules, op6_mixing, op7_token_lengths, op8_main_text, op9_packing, op10_quality_net, op11_lexical)
+    own = (op1_language_id, op2_simhash, op3_digest, op4_pii, op5_quality_rules, op6_mixing, op7_token_lengths, op8_main_text, op9_packing, op10_quality_net, op11_lexical, op12_turn_repair, op13_chat)
     return {f.__name__: f for f in own}
 
 
