@@ -7,6 +7,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-_written: list[str] = []
+#: The tables cut in the innermost ``temporary`` block. Threads have blocks of their own.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
@@ -42,7 +44,8 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if (own := _written.get()) is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -57,18 +60,20 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(context.hadoopConfiguration()).delete(at, True)
-        if path in _written:
-            _written.remove(path)
+        if path in (own := _written.get() or []):
+            own.remove(path)
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables cut inside the block are deleted at its end."""
-    before = set(_written)
+    own: list[str] = []
+    outer = _written.set(own)
     try:
         yield
     finally:
-        remove(spark, *[p for p in _written if p not in before])
+        remove(spark, *list(own))
+        _written.reset(outer)
 
 
 def fresh(names: Iterable[str], wanted: str) -> str:

@@ -8,13 +8,13 @@ sequences are kept by room, with a segment tree over the rooms that finds the ti
 log2(capacity) steps. Only lengths are shuffled. Each group leaves at most a few
 sequences part empty, so the groups cost almost nothing against packing all at once.
 
-Training order: given each row's position (``file_positions`` reads it off ordered files), a group is a
+Training order: given each row's position (``with_file_positions`` reads it off ordered files), a group is a
 range of positions rather than a share of a hash, so sequences stand in training order, and the position tells
 copies of a document apart.
 
 Nulls and edges: a null text is an empty one, a document of the end id alone. Repeated rows
 are packed each time. The result has no more rows than pieces; an empty table gives none.
-Columns but ``doc_id`` and ``text`` are not read, whatever their names. Pieces of equal length keep the order of
+Columns but ``doc_id`` and ``text`` are not read, whatever their names. Files without a number, or with the same one, are ordered by path. Pieces of equal length keep the order of
 doc_id, piece and row. A very long text is encoded whole and cut into pieces; its ids take a few times its size.
 """
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc32, small, texts_of
@@ -88,17 +88,21 @@ def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(n, first)), *((at, capacity) for at in range(first, n, capacity))]
 
 
-RANGE_BITS, ROW_BITS, FILE_BITS, SEQUENCE_BITS = 13, 29, 20, 27
+RANGE_BITS, SEQUENCE_BITS = 13, 27
 
 
-def file_positions(docs: DataFrame) -> Column:
-    """Where each row of a table read from Parquet files stands: the number in its file's name, then its place in the file.
+def with_file_positions(docs: DataFrame, name: str = "position") -> DataFrame:
+    """A table read from Parquet files with each row's place in it: the files in the order of their numbers, then of their names.
 
-    Spark numbers the files of a sorted table in its order. A file without such a number has a hash of its name.
+    Spark numbers the files of a sorted table in its order. The rows of each file are counted, so places are gapless and no two rows
+    share one, whatever the files are called; the counts, one for each file, are all that is broadcast.
     """
-    name = F.col("_metadata.file_name")
-    number = F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), F.xxhash64(name))
-    return F.shiftleft(F.pmod(number, F.lit(1 << FILE_BITS)), ROW_BITS) + F.col("_metadata.row_index")
+    # By path, as folders of a table may hold files of one name.
+    counts = docs.groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count("*").alias("__rows"))
+    order = Window.orderBy(F.regexp_extract("__file", r"/part-(\d+)[^/]*$", 1).try_cast("long").asc_nulls_last(), "__file").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("__file", F.coalesce(F.sum("__rows").over(order), F.lit(0)).alias("__begins"))
+    placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")).join(F.broadcast(begins), "__file")
+    return placed.withColumn(name, F.col("__begins") + F.col("__row")).drop("__file", "__row", "__begins")
 
 
 def pack(docs: DataFrame, path: str, *, capacity: int = 1024, end_id: int = 2, group_docs: int = 8000, position: Column | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, texts_of, with_columns
+from .common import remove, small, texts_of, with_columns, written
 from .language_id import drawn
 
 SHAPES = ("<lower>", "<upper>", "<title>", "<digits>", "<mixed>", "<none>")
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, per_class: int = 3
     # About two classes' rows at most, so the side that is broadcast is bounded.
     few = known.where(chosen).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # All tasks look for the sample; only then is it dealt to a few, as its size is bounded.
-    sample = cut(docs.select("doc_id", "text").where(train).join(F.broadcast(few), "doc_id").select("quality", "text").repartition(24))
+    sample, path = written(docs.select("doc_id", "text").where(train).join(F.broadcast(few), "doc_id").select("quality", "text").repartition(24))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
@@ -199,9 +199,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, per_class: int = 3
         for batch in small(batches):
             for text in texts_of(batch):
                 ids = numbering((text or "").split())[:, 0]
-                for step in range(1, window + 1):
-                    np.add.at(sums, ids[:-step], fixed[ids[step:]])
-                    np.add.at(sums, ids[step:], fixed[ids[:-step]])
+                for at in range(0, len(ids), 65_536):  # slices keep the arrays of vectors small
+                    for step in range(1, window + 1):
+                        own, next_to = ids[at : at + 65_536], ids[at + step : at + step + 65_536]
+                        own = own[: len(next_to)]
+                        np.add.at(sums, own, fixed[next_to])
+                        np.add.at(sums, next_to, fixed[own])
         used = np.flatnonzero(np.abs(sums).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(sums[used].astype(np.float64)), pa.list_(pa.float64()))], names=["i", "v"])
 
@@ -220,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, per_class: int = 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
 
     rows = sample.select("quality", "text").mapInArrow(pooled, "quality int, x array<double>").toArrow()
+    remove(sample.sparkSession, path)
     y = rows.column("quality").to_numpy()
     if len(set(y)) < 2:
         return QualityModel(vocabulary, model.vectors, constant=float(y.mean()) if len(y) else 0.5)

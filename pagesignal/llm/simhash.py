@@ -264,43 +264,45 @@ def named_classes(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     return nodes.join(named, key, "left").select(key, "n", F.coalesce("component_id", "least").alias("component_id"))
 
 
-def fingerprint_classes(docs: DataFrame, *, width: int = 3, reach: int = 2, leaf_size: int = 4000) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, fp`` for every row, and ``fp, n, component_id`` for every different fingerprint, ``n`` its rows."""
+def class_leads(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """The ``key`` that stands for each component of ``nodes(key, least)``: that of the smallest ``least``, nulls last, ties by key."""
+    rooted = nodes.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+    return rooted.groupBy("root").agg(F.min_by(key, F.struct(F.col("least").isNull(), "least", key)).alias(key)).select(key)
+
+
+def fingerprint_links(docs: DataFrame, *, width: int = 3, reach: int = 2, leaf_size: int = 4000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``doc_id, fp`` for every row, ``fp, least, n`` for every different fingerprint, ``n`` its rows, and the roots of the linked ones."""
     prints = cut(fingerprints(docs, width))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    roots = components(link_edges(nodes, reach=reach, leaf_size=leaf_size))
-    return prints, named_classes(nodes, roots, "fp")
+    return prints, nodes, components(link_edges(nodes, reach=reach, leaf_size=leaf_size))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs(doc_id, text)``."""
-    prints, classes = fingerprint_classes(docs, **options)
-    found = join_split(prints, cut(classes), "fp", prints.count())
+    prints, nodes, roots = fingerprint_links(docs, **options)
+    found = join_split(prints, cut(named_classes(nodes, roots, "fp")), "fp", prints.count())
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The ``doc_id`` that stands for each component: a matter of the classes, so no document is joined."""
-    return fingerprint_classes(docs, **options)[1].where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
+    """The text, as ``node``, that stands for each group of linked fingerprints: of its smallest doc_id (nulls last) the one of the smallest hash."""
+    row = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64("text").alias("node"))
+    _, nodes, roots = fingerprint_links(docs.select("text", row.alias("doc_id")), **options)
+    return class_leads(nodes, roots, "fp").join(nodes, "fp").select(F.col("least.node").alias("node"))
 
 
 def keep_one(docs: DataFrame, choose: Callable[..., DataFrame] = representatives, **options) -> DataFrame:
-    """One row for each doc_id that ``choose`` gives for ``docs(doc_id, text)``, all columns as they were.
+    """One row for each group of near copies in ``docs(doc_id, text)``, all columns as they were.
 
-    Of rows that share a doc_id the one with the smallest text (nulls last) stays. Rows without a
-    doc_id can't be named by another row's component: of them one stays for each different text. Columns of
-    any name pass through. Repeated rows are thinned out before the shuffle, so a doc_id that many rows share
-    is no single task's load; the texts are shuffled once.
+    ``choose`` gives the texts that stand for the groups, as ``node``: ``xxhash64`` of each. Of the rows with such a text
+    the one with the smallest doc_id (nulls last) stays. So each group keeps a row, whether or not rows share a doc_id or have none, and
+    only copies go. Columns of any name pass through. Repeated rows are thinned out before the shuffle, so a text that many rows
+    share is no single task's load; the texts are shuffled once.
     """
     names = docs.columns
-    wanted = choose(docs.select("doc_id", "text"), **options)
-    number = fresh(names, "__dedup_n")
+    wanted = choose(docs.select("doc_id", "text"), **options).select("node")
+    number, node = fresh(names, "__dedup_n"), fresh(names, "__dedup_node")
     ties = F.xxhash64(*[c for c in names if c not in ("doc_id", "text")], F.lit(0))
-
-    def first(rows: DataFrame, key: Column) -> DataFrame:
-        order = Window.partitionBy(key).orderBy(F.col("text").asc_nulls_last(), ties)
-        return rows.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).select(*names)
-
-    known = first(docs.where(F.col("doc_id").isNotNull()), F.col("doc_id")).join(wanted, "doc_id", "left_semi")
-    nameless = first(docs.where(F.col("doc_id").isNull()), F.xxhash64("text"))
-    return known.select(*names).unionByName(nameless)
+    order = Window.partitionBy(node).orderBy(F.col("doc_id").asc_nulls_last(), F.col("text"), ties)
+    first = docs.withColumn(node, F.xxhash64("text")).withColumn(number, F.row_number().over(order)).where(F.col(number) == 1)
+    return first.join(wanted.withColumnRenamed("node", node), node, "left_semi").select(*names)
