@@ -36,6 +36,7 @@ LINT = {
       || CASE WHEN doc_id % 5 = 0 THEN 'Vinyl vs wood. Pros and cons. ' ELSE '' END
       || CASE WHEN doc_id % 10 = 0 THEN chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) ELSE '' END
       || CASE WHEN doc_id % 6 = 0 THEN chr(10) || '## Why?' || chr(10) || '## Cost' || chr(10) || '### Cost' || chr(10) ELSE '' END
+      || CASE WHEN doc_id % 11 = 0 THEN chr(10) || '##' || chr(10) || chr(10) || 'Title below' || chr(10) || '##  ' || chr(10) || '  Really? ' || chr(10) ELSE '' END
       || CASE WHEN doc_id % 7 = 0 THEN 'It costs $1,250 and lasts 3x longer since 2019. ' ELSE '' END
       || CASE WHEN doc_id % 14 = 0 THEN 'One. Two. See [1]. ' ELSE '' END
       || CASE WHEN doc_id % 9 = 0 THEN 'PC Fence or Port City fences in Wilmington, NC: +1 (910) 555-0123. ' ELSE '' END

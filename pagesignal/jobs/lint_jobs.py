@@ -40,8 +40,34 @@ def truth(spark):
     return spark.createDataFrame([("wilmington_nc", "+1-910-555-0123", "Wilmington", "NC")], "geo_key string, telephone string, locality string, region string")
 
 
+#: Rules whose severities a rule set names; all others warn.
+GEO_RULES = L.Rules(severity={"geo.nap_mismatch": "error", "geo.region_presence": "info"})
+
+
 def lint_geo(spark, sf_dir):
-    return L.lint_geo(X.texts(spark, sf_dir), truth(spark), "wilmington_nc").select("doc_id", "rule", "severity", "fix")
+    return L.lint_geo(X.texts(spark, sf_dir), truth(spark), "wilmington_nc", GEO_RULES).select("doc_id", "rule", "severity", "fix")
+
+
+def lint_phrase_table(spark, sf_dir):
+    """Phrases of a table, the first two and the next three words of each benchmark item, in all documents."""
+    return L.find_phrases(X.table(spark, sf_dir, "documents"), _phrase_table(spark, sf_dir)).select("doc_id", "phrase", "fix", "at", "line", "start", F.col("end").alias("stop"))
+
+
+def _phrase_table(spark, sf_dir):
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    pairs = F.array(F.struct(F.array_join(F.slice(words, 1, 2), " ").alias("phrase"), F.lit("two").alias("fix")), F.struct(F.upper(F.array_join(F.slice(words, 2, 3), " ")).alias("phrase"), F.lit("three").alias("fix")))
+    return X.table(spark, sf_dir, "benchmark").select(F.inline(pairs)).distinct()
+
+
+def claim_support(spark, sf_dir):
+    return L.numeric_claims(X.texts(spark, sf_dir)).select("doc_id", "sentence", "nth", "claim", "supported")
+
+
+def line_spans(spark, sf_dir):
+    """Where each document's first and last quarter begin and end, as lines and offsets in them."""
+    quarter = F.floor(F.length("text") / 4).cast("int")
+    given = F.array(F.struct(F.lit(-3).alias("start"), quarter.alias("end")), F.struct((3 * quarter).alias("start"), F.length("text").alias("end")), F.struct(quarter.alias("start"), F.lit(0).alias("end")))
+    return L.line_spans(X.table(spark, sf_dir, "documents").withColumn("spans", given)).select("doc_id", "nth", "line", "start", F.col("end").alias("stop"))
 
 
 def lint_style_ordered(spark, sf_dir):
@@ -52,6 +78,7 @@ def lint_style_ordered(spark, sf_dir):
 QUERIES = {
     "lint_tldr": _rule(L.lint_tldr), "lint_forbidden": _rule(L.lint_forbidden), "lint_comparison": _rule(L.lint_comparison), "lint_brand": _rule(L.lint_brand), "lint_quotables": _rule(L.lint_quotables), "lint_h2": _rule(L.lint_h2),
     "lint_readability": lint_readability, "lint_citation_issues": lint_citation_issues, "lint_citation_suggestions": lint_citation_suggestions, "lint_citation_score": lint_citation_score, "lint_geo": lint_geo, "lint_style_ordered": lint_style_ordered,
+    "lint_phrase_table": lint_phrase_table, "claim_support": claim_support, "line_spans": line_spans,
 }
 
 _T = X.TEXTS_SQL
@@ -79,8 +106,11 @@ _COMPARISON = f"""SELECT doc_id, 'comparison.table_missing' AS rule, 'error' AS
 FROM (SELECT doc_id, text, t, strpos(lower(text), t) - 1 AS p0 FROM (SELECT doc_id, text, {_FIRST} AS t FROM texts) WHERE t IS NOT NULL AND NOT {_TABLE})"""
 _SENTENCES = "regexp_extract_all(text, '([^.!?]+[.!?])', 1)"
 _QUOTABLES = _whole("quotables.too_few", "Write at least 5 sentences of at most 140 characters.", rf"len(list_filter({_SENTENCES}, lambda s: length(regexp_replace(s, '^\s+|\s+$', '', 'g')) <= 140)) < 5")
-_H2 = r"""SELECT doc_id, 'scannability.h2_question' AS rule, 'warn' AS severity, n AS line, 0 AS start, length(lines[n]) AS stop, 'Word second-level headings as questions.' AS fix
-FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM texts)) WHERE regexp_matches(lines[n], '^##\s+.+$') AND NOT regexp_matches(lines[n], '\?\s*$')"""
+# The parts of a text in order: a heading, which may go over several lines, a line feed, or the rest of a line.
+_H2 = r"""SELECT doc_id, 'scannability.h2_question' AS rule, 'warn' AS severity, line, 0 AS start, length(s) AS stop, 'Word second-level headings as questions.' AS fix
+FROM (SELECT doc_id, s, 1 + coalesce(sum(length(s) - length(replace(s, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line
+  FROM (SELECT doc_id, p[n] AS s, n FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS n FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^##\s+.+$|\n|[^\n]+') AS p FROM texts))))
+WHERE regexp_matches(s, '^##\s+.') AND NOT regexp_matches(s, '\?\s*$')"""
 _TLDR = _whole("tldr.missing", "Put a summary marker into the first 400 characters.", " AND ".join(f"NOT contains(lower(substr(text, 1, 400)), '{m}')" for m in _R.markers))
 _FORBIDDEN = _phrases("forbidden.phrase", _R.forbidden)
 _BRAND = _phrases("brand.glossary.mismatch", {v: f"Write '{_R.brand}'." for v in _R.brand_variants})
@@ -124,9 +154,18 @@ SELECT doc_id, k - 1 AS nth, c[k] AS claim, 'Cite a source for ' || c[k] || '.'
     "lint_citation_score": f"""WITH {_T}, {_CLAIMS}, summed AS (SELECT doc_id, count(*) AS total, count_if(supported) AS supported FROM claims GROUP BY doc_id)
 SELECT t.doc_id, regexp_matches(text, '{_CITE}') AS has_citation, coalesce(total, 0) AS total, coalesce(supported, 0) AS supported, CASE WHEN total IS NULL THEN 1.0::DOUBLE ELSE round(supported::DOUBLE / total, 3) END AS score FROM texts t LEFT JOIN summed USING (doc_id)""",
     "lint_geo": f"""WITH {_T}, keyed AS (SELECT doc_id, text FROM texts WHERE coalesce(geo_key, 'wilmington_nc') = 'wilmington_nc')
-SELECT doc_id, 'geo.nap_mismatch' AS rule, 'warn' AS severity, 'Give the telephone number as listed.' AS fix FROM keyed WHERE NOT contains({_DIGITS}, '19105550123')
+SELECT doc_id, 'geo.nap_mismatch' AS rule, 'error' AS severity, 'Give the telephone number as listed.' AS fix FROM keyed WHERE NOT contains({_DIGITS}, '19105550123')
 UNION ALL SELECT doc_id, 'geo.city_presence', 'warn', 'Name the city: Wilmington' FROM keyed WHERE NOT contains(lower(text), 'wilmington')
-UNION ALL SELECT doc_id, 'geo.region_presence', 'warn', 'Name the region: NC' FROM keyed WHERE NOT contains(lower(text), 'nc')""",
+UNION ALL SELECT doc_id, 'geo.region_presence', 'info', 'Name the region: NC' FROM keyed WHERE NOT contains(lower(text), 'nc')""",
+    "lint_phrase_table": r"""WITH words AS (SELECT string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS w FROM benchmark),
+phrases AS (SELECT DISTINCT array_to_string(w[1:2], ' ') AS phrase, 'two' AS fix FROM words UNION SELECT DISTINCT upper(array_to_string(w[2:4], ' ')), 'three' FROM words),
+parts AS (SELECT doc_id, text, phrase, fix, string_split(lower(text), lower(phrase)) AS p FROM documents JOIN phrases ON contains(lower(text), lower(phrase))),
+found AS (SELECT doc_id, text, phrase, fix, (k - 1) * length(phrase) + list_sum(list_transform(p[1:k], lambda x: length(x)))::BIGINT AS p0 FROM (SELECT *, unnest(range(1, len(p))) AS k FROM parts))
+SELECT doc_id, phrase, fix, p0 AS at, """ + f"{_AT[0]} AS line, {_AT[1]} AS start, {_AT[1]} + length(phrase) AS stop FROM found",
+    "claim_support": f"WITH {_T}, {_CLAIMS} SELECT doc_id, sentence, nth, claim, supported FROM claims",
+    "line_spans": f"""WITH given AS (SELECT doc_id, text, length(text) // 4 AS q FROM documents),
+placed AS (SELECT doc_id, text, 0 AS nth, 0 AS p0, q AS n FROM given UNION ALL SELECT doc_id, text, 1, 3 * q, length(text) - 3 * q FROM given UNION ALL SELECT doc_id, text, 2, q, 0 FROM given)
+SELECT doc_id, nth, {_AT[0]} AS line, {_AT[1]} AS start, {_AT[1]} + n AS stop FROM placed""",
     "lint_style_ordered": f"""WITH {_T}, issues AS ({_STYLE})
 SELECT doc_id, count(*) AS n_issues, string_agg(line || ':' || start || ':' || rule, ',' ORDER BY line, start, rule, fix) AS issues FROM issues GROUP BY doc_id""",
 }

@@ -1,16 +1,27 @@
 """Checks of texts, each giving rows ``doc_id, rule, severity, line, start, end, fix``.
 
 Texts: ``doc_id, text``. Lines count from 1, offsets within the line from 0, ends exclusive.
-Everything is a projection of the row or an explode of its hits; no rule shuffles.
+
+Rules about a whole text are column expressions. Rules that name places go through a text once in an Arrow batch: the starts of its lines
+are found once and searched by bisection, a sentence scan carries its offsets, and the phrases of a table are found by one
+automaton. All is linear in the text and its hits, and no rule shuffles.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import spans
 from ..functions.text import alphabetic_words, grade_of, let, sentences, split_sentences, strip, word_count
 
 
@@ -67,20 +78,72 @@ def offset_in_line(text: Column, at: Column) -> Column:
     return F.length(F.substring_index(F.substring(text, F.lit(1), at), "\n", -1))
 
 
-def hits_ci(text: Column, needle: Column) -> Column:
-    """Offsets of all hits without regard to case, overlapping ones too."""
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def hits_ci(texts: pd.Series, needles: pd.Series) -> pd.Series:
+    """Offsets of all hits of a needle without regard to case, overlapping ones too."""
+    return pd.Series([[begin for begin, _, _ in spans.hits(spans.automaton([needle or ""]), (text or "").lower())] for text, needle in zip(texts, needles)])
+
+
+def per_text(texts: DataFrame, columns: list[str], schema: str, read: Callable[..., list[tuple]]) -> DataFrame:
+    """``doc_id`` and the rows of ``schema`` that ``read`` makes of each text and its other ``columns``."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    fields = T._parse_datatype_string(schema).fields
+    types, names = [to_arrow_type(f.dataType) for f in fields], [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, rows = [], []
+            for i, given in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+                found = read(*given)
+                of += [i] * len(found)
+                rows += found
+            arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *arrays], names=["doc_id", *names])
+
+    return texts.select("doc_id", _text().alias("text"), *columns).mapInArrow(run, f"doc_id {kind}, {schema}")
+
+
+_PLACED = "rule string, severity string, line int, start int, end int, fix string"
+
+
+def line_spans(texts: DataFrame) -> DataFrame:
+    """``doc_id, nth, line, start, end`` of each of the ``spans`` (start and end offsets) of ``texts(doc_id, text, spans)``."""
+
+    def read(text: str, given: list | None) -> list[tuple]:
+        lines = spans.Lines(text)
+        return [(i, *lines.span(x["start"], x["end"])) for i, x in enumerate(given or [])]
+
+    return per_text(texts, ["spans"], "nth int, line int, start int, end int", read)
+
+
+def find_phrases(texts: DataFrame, phrases: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+    """``doc_id, phrase, fix, at, line, start, end``: every hit, in any case, of each of ``phrases(phrase, fix)`` in each text.
 
-    def starts(z: Column) -> Column:
-        # Splitting before each hit leaves parts whose lengths add up to the hits' places.
-        parts = F.split(z["low"], F.concat(F.lit("(?=\\Q"), z["small"], F.lit("\\E)")))
-        step = F.aggregate(
-            parts,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-            lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
-        )
-        return F.filter(step["starts"], lambda s: F.substring(z["low"], s + 1, F.length(z["small"])) == z["small"])
+    One automaton of all phrases is broadcast and goes through a text once, however many phrases there are. Its size is bounded: phrases of more
+    than ``block_bytes`` come in blocks of about that. Overlapping hits count; null and empty phrases are left out; a phrase
+    listed twice is found twice.
+    """
+    given = phrases.select(F.col("phrase"), F.col("fix")).where(F.length("phrase") > 0)
+    size = given.agg(F.coalesce(F.sum(F.octet_length("phrase") + F.octet_length(F.coalesce("fix", F.lit("")))), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+
+    def search(block: DataFrame) -> DataFrame:
+        rows = block.toArrow()
+        names, fixes = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+        shared = texts.sparkSession.sparkContext.broadcast((spans.automaton(names), names, fixes))
+
+        def read(text: str) -> list[tuple]:
+            found, names, fixes = shared.value
+            hits, lines, out = spans.hits(found, text.lower()), None, []
+            for begin, end, i in hits:
+                lines = lines or spans.Lines(text)
+                out.append((names[i], fixes[i], begin, *lines.span(begin, end)))
+            return out
+
+        return per_text(texts, [], "phrase string, fix string, at int, line int, start int, end int", read)
 
-    return let(F.struct(F.lower(text).alias("low"), F.lower(needle).alias("small")), starts)
+    parts = [search(given if blocks == 1 else given.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b)) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def lint_tldr(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
@@ -91,25 +154,28 @@ def lint_tldr(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     return texts.where(missing).select("doc_id", *whole_text_issue("tldr.missing", rules, f"Put a summary marker into the first {rules.marker_window} characters."))
 
 
-def _phrases(texts: DataFrame, needles: dict[str, str], rule: str, rules: Rules) -> DataFrame:
-    """Issues at every hit of the needles. There are as many needles as the rule set states."""
-    low = F.lower(_text())
-    any_hit = F.lit(False)
-    for needle in needles:
-        any_hit = any_hit | low.contains(needle.lower())
-    pairs = F.array(*[F.struct(F.lit(n).alias("needle"), F.lit(fix).alias("fix")) for n, fix in needles.items()])
-    each = texts.where(any_hit).select("doc_id", _text().alias("text"), F.explode(pairs).alias("p"))
-    at = each.select("doc_id", "text", "p", F.explode(hits_ci(F.col("text"), F.col("p.needle"))).alias("at"))
-    start = offset_in_line(F.col("text"), F.col("at"))
-    return at.select("doc_id", *issue(rule, rules, line_of(F.col("text"), F.col("at")), start, start + F.length("p.needle"), F.col("p.fix")))
+def phrase_issues(texts: DataFrame, phrases: DataFrame, rule: str, rules: Rules = DEFAULT) -> DataFrame:
+    """Issues at every hit of a table ``phrases(phrase, fix)`` of any number of phrases; without a fix, one that names the phrase."""
+    found = find_phrases(texts, phrases)
+    fix = F.coalesce(F.nullif("fix", F.lit("")), F.concat(F.lit("Write something concrete for '"), F.col("phrase"), F.lit("'.")))
+    return found.select("doc_id", *issue(rule, rules, F.col("line"), F.col("start"), F.col("end"), fix))
+
 
+def _listed(texts: DataFrame, needles: dict[str, str]) -> DataFrame:
+    return texts.sparkSession.createDataFrame(list(needles.items()), "phrase string, fix string")
 
-def lint_forbidden(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    return _phrases(texts, rules.forbidden, "forbidden.phrase", rules)
 
+def lint_forbidden(texts: DataFrame, rules: Rules = DEFAULT, phrases: DataFrame | None = None) -> DataFrame:
+    """Forbidden phrases: those of the rule set, or of a table ``phrases(phrase, fix)``."""
+    return phrase_issues(texts, _listed(texts, rules.forbidden) if phrases is None else phrases, "forbidden.phrase", rules)
 
-def lint_brand(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    return _phrases(texts, {v: f"Write '{rules.brand}'." for v in rules.brand_variants}, "brand.glossary.mismatch", rules)
+
+def lint_brand(texts: DataFrame, rules: Rules = DEFAULT, phrases: DataFrame | None = None) -> DataFrame:
+    return phrase_issues(texts, _listed(texts, _brand_fixes(rules)) if phrases is None else phrases, "brand.glossary.mismatch", rules)
+
+
+def _brand_fixes(rules: Rules) -> dict[str, str]:
+    return {v: f"Write '{rules.brand}'." for v in rules.brand_variants}
 
 
 # Fixed value: the row of dashes between the head and the body of a Markdown table.
@@ -144,11 +210,23 @@ def lint_quotables(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     return texts.where(few).select("doc_id", *whole_text_issue("quotables.too_few", rules, f"Write at least {rules.least_quotables} sentences of at most {rules.quotable_chars} characters."))
 
 
+#: A heading of the second level: its words may stand on a later line than its marks.
+_H2 = re.compile(r"(?m)^##\s+.+$")
+_H2_FIX = "Word second-level headings as questions."
+
+
+def _headings(text: str, lines: spans.Lines) -> Iterator[tuple[int, int, int]]:
+    if "##" in text:
+        for m in _H2.finditer(text):
+            if not m[0].strip().endswith("?"):
+                yield lines.span(*m.span())
+
+
 def lint_h2(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """Second-level Markdown headings that don't end with a question mark."""
-    lines = texts.where(_text().contains("##")).select("doc_id", F.posexplode(F.split(_text(), "\n")).alias("n", "line_text"))
-    heading = lines.where(F.col("line_text").rlike(r"^##\s+.+$") & ~strip(F.col("line_text")).endswith("?"))
-    return heading.select("doc_id", *issue("scannability.h2_question", rules, F.col("n") + 1, F.lit(0), F.length("line_text"), F.lit("Word second-level headings as questions.")))
+    rule = "scannability.h2_question"
+    severity = rules.severity_for(rule)
+    return per_text(texts.where(_text().contains("##")), [], _PLACED, lambda text: [(rule, severity, *place, _H2_FIX) for place in _headings(text, spans.Lines(text))])
 
 
 def lint_readability(texts: DataFrame, targets: dict[str, int] | None = None, rules: Rules = DEFAULT) -> DataFrame:
@@ -170,52 +248,44 @@ def lint_readability(texts: DataFrame, targets: dict[str, int] | None = None, ru
     return rows.withColumn("notes", notes)
 
 
-def numeric_claims(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """``doc_id, sentence, claim, supported``: each number and whether a sentence within the window cites.
+def claims_of(text: str, number: re.Pattern, cited: re.Pattern, window: int) -> Iterator[tuple[int, int, str, int, bool]]:
+    """Sentence, place in it, claim, offset, and whether a sentence within the window cites, for each number in a sentence."""
+    own = list(spans.sentences(text))
+    near = spans.near_any([cited.search(text, a, b) is not None for a, b in own], window)
+    for i, (a, b) in enumerate(own):
+        for nth, m in enumerate(number.finditer(text[a:b])):
+            yield i, nth, m[0], a + m.start(), near[i]
 
-    The window is read off the row's own array of sentences, so no document's sentences are shuffled.
-    """
-    cited = F.transform("sentences", lambda s: s.rlike(rules.citation_hint) & s.rlike(rules.citation))
-    rows = texts.select("doc_id", sentences(_text()).alias("sentences")).select("doc_id", "sentences", cited.alias("cited"))
-    each = rows.select("doc_id", "cited", F.posexplode("sentences").alias("sentence", "s"))
-    near = F.exists(F.slice("cited", F.greatest(F.lit(1), F.col("sentence") + 1 - rules.window), F.least(F.col("sentence"), F.lit(rules.window)) + rules.window + 1), lambda c: c)
-    claims = F.regexp_extract_all("s", F.lit(f"({rules.number})"), F.lit(1))
-    return each.where(F.col("s").rlike(rules.number_hint) & (F.size(claims) > 0)).select("doc_id", "sentence", F.posexplode(claims).alias("nth", "claim"), near.alias("supported"))
 
-
-def unit_note(claim: Column, rules: Rules = DEFAULT) -> Column:
-    """The claim's unit, if it is not an allowed one; else null."""
-    unit = F.lower(F.regexp_extract(claim, r"^\$?\d[\d,]*(?:\.\d+)?\s*([A-Za-z%$]+)", 1))
-    return F.when((unit != "") & ~unit.isin(*rules.units), unit)
+def numeric_claims(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """``doc_id, sentence, nth, claim, supported``: each number and whether a sentence within the window cites. One scan of each text."""
+    number, cited, window = re.compile(rules.number), re.compile(rules.citation), rules.window
+    read = lambda text: [(s, n, c, ok) for s, n, c, _, ok in claims_of(text, number, cited, window)]
+    return per_text(texts.where(_text().rlike(rules.number_hint)), [], "sentence int, nth int, claim string, supported boolean", read)
 
 
-def _claim_places(s: Column, claims: Column, pattern: str) -> Column:
-    """Offsets of the claims in their sentence: what stands between them is what is left when they are cut out."""
-    gaps = F.split(F.regexp_replace(F.translate(s, "\x01", " "), pattern, "\x01"), "\x01", -1)
-    return F.transform(claims, lambda c, i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(claims, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)))
+_UNIT = re.compile(r"\$?\d[\d,]*(?:\.\d+)?\s*([A-Za-z%$]+)")
 
 
 def lint_citations(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """Issues ``doc_id, rule, severity, line, start, end, reason, fix`` of numbers without a citation nearby, with ``sentence, nth, claim, unit``."""
-    cited = F.transform("sentences", lambda s: s.rlike(rules.citation_hint) & s.rlike(rules.citation))
-    rows = texts.where(_text().rlike(rules.number_hint)).select("doc_id", _text().alias("text"), sentences(_text()).alias("sentences")).select("doc_id", "text", "sentences", cited.alias("cited"))
-    # A sentence begins at the first place, from the end of the one before, where it can be found: all before it are end marks.
-    place = F.aggregate(
-        "sentences",
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, s: let(F.call_function("locate", s, F.col("text"), a["at"]), lambda p: F.struct((p + F.length(s)).alias("at"), F.concat(a["starts"], F.array(p - 1)).alias("starts"))),
-    )
-    each = rows.select("doc_id", "text", "cited", place["starts"].alias("starts"), F.posexplode("sentences").alias("sentence", "s"))
-    near = F.exists(F.slice("cited", F.greatest(F.lit(1), F.col("sentence") + 1 - rules.window), F.least(F.col("sentence"), F.lit(rules.window)) + rules.window + 1), lambda c: c)
-    claims = F.regexp_extract_all("s", F.lit(f"({rules.number})"), F.lit(1))
-    missing = each.where(F.col("s").rlike(rules.number_hint) & (F.size(claims) > 0) & ~near).select("doc_id", "text", "sentence", "s", F.col("starts")[F.col("sentence")].alias("begins"), claims.alias("claims"))
-    placed = missing.withColumn("places", _claim_places(F.col("s"), F.col("claims"), rules.number)).select("doc_id", "text", "sentence", "begins", "places", F.posexplode("claims").alias("nth", "claim"))
-    at = (F.col("begins") + F.col("places")[F.col("nth")]).alias("at")
-    found = placed.select("doc_id", "text", "sentence", "nth", "claim", at, unit_note(F.col("claim"), rules).alias("unit"))
-    start = offset_in_line(F.col("text"), F.col("at"))
-    note = F.when(F.col("unit").isNotNull(), F.concat(F.lit(" (unit "), F.col("unit"), F.lit(" is not among the allowed ones)"))).otherwise("")
-    reason = F.concat(F.lit("No citation within "), F.lit(rules.window), F.lit(" sentences of "), F.col("claim"), note, F.lit("."))
-    return found.select("doc_id", *issue("citations.numeric_claim_missing", rules, line_of(F.col("text"), F.col("at")), start, start + F.length("claim"), F.lit("Put a footnote or a source address near the number.")), reason.alias("reason"), "sentence", "nth", "claim", "unit")
+    """Issues ``doc_id, rule, severity, line, start, end, fix, reason`` of numbers without a citation nearby, with ``sentence, nth, claim, unit``."""
+    number, cited, window, units = re.compile(rules.number), re.compile(rules.citation), rules.window, rules.units
+    rule = "citations.numeric_claim_missing"
+    severity = rules.severity_for(rule)
+
+    def read(text: str) -> list[tuple]:
+        lines, out = None, []
+        for sentence, nth, claim, at, supported in claims_of(text, number, cited, window):
+            if supported:
+                continue
+            lines = lines or spans.Lines(text)
+            unit = m[1].lower() if (m := _UNIT.match(claim)) else None
+            unit = unit if unit not in units else None
+            note = f" (unit {unit} is not among the allowed ones)" if unit else ""
+            out.append((rule, severity, *lines.span(at, at + len(claim)), "Put a footnote or a source address near the number.", f"No citation within {window} sentences of {claim}{note}.", sentence, nth, claim, unit))
+        return out
+
+    return per_text(texts.where(_text().rlike(rules.number_hint)), [], f"{_PLACED}, reason string, sentence int, nth int, claim string, unit string", read)
 
 
 def citation_suggestions(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
@@ -256,68 +326,57 @@ def lint_geo(texts: DataFrame, truth: DataFrame, default_key: str, rules: Rules
 
     keyed = texts.withColumn("geo_key", F.coalesce(F.when(F.col("geo_key") != "", F.col("geo_key")), F.lit(default_key)))
     rows = keyed.join(broadcast_if_small(truth), "geo_key").select("doc_id", _text().alias("text"), normalize_phone(F.col("telephone")).alias("phone"), F.trim(F.coalesce("locality", F.lit(""))).alias("city"), F.trim(F.coalesce("region", F.lit(""))).alias("state"))
-    low = F.lower("text")
+    low, named = F.lower("text"), lambda rule: (F.lit(rule).alias("rule"), F.lit(rules.severity_for(rule)).alias("severity"))
     checks = F.array_compact(F.array(
-        F.when((F.col("phone") != "") & ~F.contains(normalize_phone(F.col("text")), F.col("phone")), F.struct(F.lit("geo.nap_mismatch").alias("rule"), F.lit("Give the telephone number as listed.").alias("fix"))),
-        F.when((F.col("city") != "") & ~F.contains(low, F.lower("city")), F.struct(F.lit("geo.city_presence").alias("rule"), F.concat(F.lit("Name the city: "), F.col("city")).alias("fix"))),
-        F.when((F.col("state") != "") & ~F.contains(low, F.lower("state")), F.struct(F.lit("geo.region_presence").alias("rule"), F.concat(F.lit("Name the region: "), F.col("state")).alias("fix"))),
+        F.when((F.col("phone") != "") & ~F.contains(normalize_phone(F.col("text")), F.col("phone")), F.struct(*named("geo.nap_mismatch"), F.lit("Give the telephone number as listed.").alias("fix"))),
+        F.when((F.col("city") != "") & ~F.contains(low, F.lower("city")), F.struct(*named("geo.city_presence"), F.concat(F.lit("Name the city: "), F.col("city")).alias("fix"))),
+        F.when((F.col("state") != "") & ~F.contains(low, F.lower("state")), F.struct(*named("geo.region_presence"), F.concat(F.lit("Name the region: "), F.col("state")).alias("fix"))),
     ))
     found = rows.select("doc_id", F.explode(checks).alias("c"))
-    return found.select("doc_id", F.col("c.rule").alias("rule"), F.lit("warn").alias("severity"), F.lit(1).alias("line"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.col("c.fix").alias("fix"))
-
-
-_ISSUES = "array<struct<line:int,start:int,rule:string,fix:string,end:int,severity:string>>"
-
-
-def style_issues(text: Column, rules: Rules = DEFAULT) -> Column:
-    """All style issues of a text in one array, by line, start, rule, fix: one projection of the row."""
-    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), lambda z: _style_issues(z["text"], z["low"], rules))
+    return found.select("doc_id", F.col("c.rule").alias("rule"), F.col("c.severity").alias("severity"), F.lit(1).alias("line"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.col("c.fix").alias("fix"))
 
 
-def _style_issues(text: Column, low: Column, rules: Rules) -> Column:
-    none = F.array().cast(_ISSUES)
-
-    def one(rule: str, line: Column, start: Column, end: Column, fix: Column) -> Column:
-        return F.struct(line.cast("int").alias("line"), start.cast("int").alias("start"), F.lit(rule).alias("rule"), fix.alias("fix"), end.cast("int").alias("end"), F.lit(rules.severity_for(rule)).alias("severity"))
-
-    def whole(rule: str, fix: str, test: Column) -> Column:
-        return F.when(test, F.array(one(rule, F.lit(1), F.lit(0), F.lit(0), F.lit(fix)))).otherwise(none)
-
-    def at_place(rule: str, at: Column, size: Column, fix: Column) -> Column:
-        start = offset_in_line(text, at)
-        return one(rule, line_of(text, at), start, start + size, fix)
-
-    def phrase(rule: str, needle: str, fix: str) -> Column:
-        hits = F.transform(hits_ci(text, F.lit(needle)), lambda at: at_place(rule, at, F.lit(len(needle)), F.lit(fix)))
-        return F.when(low.contains(needle.lower()), hits).otherwise(none)
-
-    def phrases(rule: str, needles: dict[str, str]) -> list[Column]:
-        return [phrase(rule, needle, fix) for needle, fix in needles.items()]
+def ordered_issues(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """``doc_id, issues`` for texts with any: each text's issues by line, start, rule, fix, as one array. One scan, no shuffle.
 
-    missing = F.lit(True)
+    What holds of a whole text is told by column expressions; the places of phrases, headings and the comparison are
+    found in one pass, with one index of the text's lines.
+    """
+    low = F.lower("text")
+    missing, trigger, size = F.lit(True), F.lit(None).cast("int"), F.lit(None).cast("int")
     for marker in rules.markers:
-        missing = missing & ~F.lower(F.substring(text, 1, rules.marker_window)).contains(marker)
-    trigger, size = F.lit(None).cast("int"), F.lit(None).cast("int")
+        missing = missing & ~F.lower(F.substring("text", 1, rules.marker_window)).contains(marker)
     for t in reversed(rules.triggers):
         hit = F.instr(low, t) > 0
         trigger, size = F.when(hit, F.instr(low, t) - 1).otherwise(trigger), F.when(hit, len(t)).otherwise(size)
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    headings = F.filter(lines, lambda z: z["x"].rlike(r"^##\s+.+$") & ~strip(z["x"]).endswith("?"))
-    parts = [
-        whole("tldr.missing", f"Put a summary marker into the first {rules.marker_window} characters.", missing),
-        *phrases("forbidden.phrase", rules.forbidden), *phrases("brand.glossary.mismatch", {v: f"Write '{rules.brand}'." for v in rules.brand_variants}),
-        F.when(trigger.isNotNull() & ~has_table(text), F.array(at_place("comparison.table_missing", trigger, size, F.lit("Sum the comparison up in a table.")))).otherwise(none),
-        whole("quotables.too_few", f"Write at least {rules.least_quotables} sentences of at most {rules.quotable_chars} characters.", count_quotables(text, rules.quotable_chars) < rules.least_quotables),
-        F.when(text.contains("##"), F.transform(headings, lambda z: one("scannability.h2_question", z["i"] + 1, F.lit(0), F.length(z["x"]), F.lit("Word second-level headings as questions.")))).otherwise(none),
-    ]
-    return F.array_sort(F.concat(*parts))
-
-
-def ordered_issues(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """``doc_id, issues`` for texts with any: each text's issues by line, start, rule, fix, as one array. One scan, no shuffle."""
-    # A list of none or one array, so that a text without issues gives no row and none is looked through twice.
-    found = F.filter(F.array(style_issues(_text(), rules)), lambda x: F.size(x) > 0)
-    return texts.select("doc_id", F.explode(found).alias("issues"))
+    told = texts.select("doc_id", _text().alias("text")).select(
+        "doc_id", "text", missing.alias("missing"), (count_quotables(F.col("text"), rules.quotable_chars) < rules.least_quotables).alias("few"),
+        F.when(~has_table(F.col("text")), trigger).alias("trigger"), size.alias("size"),
+    )
+    phrases = [(p, "forbidden.phrase", fix) for p, fix in rules.forbidden.items()] + [(p, "brand.glossary.mismatch", fix) for p, fix in _brand_fixes(rules).items()]
+    found = spans.automaton([p for p, _, _ in phrases])
+    severity = {r: rules.severity_for(r) for r in ("tldr.missing", "forbidden.phrase", "brand.glossary.mismatch", "comparison.table_missing", "quotables.too_few", "scannability.h2_question")}
+
+    def read(text: str, missing: bool, few: bool, trigger: int | None, size: int | None) -> list[tuple]:
+        lines, rows = spans.Lines(text), []
+
+        def add(rule: str, place: tuple[int, int, int], fix: str) -> None:
+            rows.append({"line": place[0], "start": place[1], "rule": rule, "fix": fix, "end": place[2], "severity": severity[rule]})
+
+        if missing:
+            add("tldr.missing", (1, 0, 0), f"Put a summary marker into the first {rules.marker_window} characters.")
+        if few:
+            add("quotables.too_few", (1, 0, 0), f"Write at least {rules.least_quotables} sentences of at most {rules.quotable_chars} characters.")
+        for begin, end, i in spans.hits(found, text.lower()):
+            add(phrases[i][1], lines.span(begin, end), phrases[i][2])
+        if trigger is not None:
+            add("comparison.table_missing", lines.span(trigger, trigger + size), "Sum the comparison up in a table.")
+        for place in _headings(text, lines):
+            add("scannability.h2_question", place, _H2_FIX)
+        rows.sort(key=lambda r: (r["line"], r["start"], r["rule"], r["fix"], r["end"]))
+        return [(rows,)] if rows else []
+
+    return per_text(told, ["missing", "few", "trigger", "size"], "issues array<struct<line:int,start:int,rule:string,fix:string,end:int,severity:string>>", read)
 
 
 def lint_style(texts: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
