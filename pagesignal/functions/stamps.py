@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .json_text import json_stable
+
 
 def parse_utc(s: Column) -> Column:
     """ISO date or timestamp as UTC; null if it can't be read."""
@@ -21,8 +23,11 @@ def floor_time(ts: Column, unit: str) -> Column:
 
 
 def content_version(path: Column, content: Column, jsonld: Column | None = None) -> Column:
-    """Seven hex digits of the SHA-256 of path, content and JSON-LD."""
-    parts = [path, content, *([] if jsonld is None else [F.coalesce(jsonld, F.lit(""))])]
+    """Seven hex digits of the SHA-256 of path, content and JSON-LD in its stable form, so the order of keys and blanks make no difference.
+
+    JSON ``null`` counts as none; what is no JSON counts as it stands.
+    """
+    parts = [path, content, *([] if jsonld is None else [F.nullif(F.coalesce(json_stable(jsonld), jsonld), F.lit("null"))])]
     return F.left(F.sha2(F.concat(*[F.coalesce(p, F.lit("")) for p in parts]).cast("binary"), 256), F.lit(7))
 
 

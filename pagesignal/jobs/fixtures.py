@@ -88,7 +88,8 @@ CONTENT = {
     "path": "'/p/' || CAST(page_id % 150 AS STRING) || CASE page_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.html' ELSE '/index.md' END",
     "markdown": "CASE WHEN page_id % 3 = 1 THEN NULL ELSE html END",
     "html": "CASE WHEN page_id % 3 = 1 THEN html WHEN page_id % 11 = 0 THEN html END",
-    "jsonld": "CASE WHEN page_id % 4 = 0 THEN '{\"@type\":\"WebPage\"}' END",
+    # One object with its keys in two orders, and an empty one.
+    "jsonld": """CASE WHEN page_id % 12 = 0 THEN '{"@type":"WebPage","name":"ü","about":{"@type":"Thing","@id":[1, 2]}}' WHEN page_id % 12 = 4 THEN '{ "name": "ü", "about":{"@id":[1,2],"@type":"Thing"},"@type":"WebPage" }' WHEN page_id % 4 = 0 THEN '{}' END""",
     "embed_jsonld": "page_id % 8 = 0",
     "preview": "page_id % 13 = 0",
     "url": "url",

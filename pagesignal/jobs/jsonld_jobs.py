@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
+from ..functions.json_text import json_stable
 from ..operators import jsonld as J
 from . import fixtures as X
 
@@ -105,14 +109,15 @@ def jsonld_google(spark, sf_dir):
 
 def jsonld_normalize(spark, sf_dir):
     rows = J.normalize(_objects(spark, sf_dir))
-    return rows.select("object_id", J.json_stable(F.col("normal")).alias("normal"))
+    return rows.select("object_id", json_stable(F.col("normal")).alias("normal"))
 
 
 def jsonld_enrich(spark, sf_dir):
     organizations = X.table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "CAST(s_nationkey % 5 AS STRING) AS market", """CASE WHEN s_suppkey % 3 = 0 THEN '{"@type":"Organization","areaServed":"all"}' ELSE '{"@type":"Organization"}' END AS jsonld""")
-    registry = X.table(spark, sf_dir, "nation").selectExpr("CAST(n_regionkey AS STRING) AS market", "CASE n_nationkey % 3 WHEN 0 THEN 'county' WHEN 1 THEN 'city' ELSE 'zips' END AS kind", "n_name AS name")
-    services = X.table(spark, sf_dir, "region").selectExpr("r_name AS service")
-    return J.enrich_organizations(organizations, registry, services, "market").select("s_suppkey", J.json_stable(F.col("jsonld")).alias("jsonld"))
+    # Places stand against the order of their names, one of them twice; the places of one market are listed outright.
+    registry = X.table(spark, sf_dir, "nation").selectExpr("CAST(n_regionkey AS STRING) AS market", "CASE WHEN n_regionkey = 2 THEN 'areaServed' WHEN n_nationkey % 3 = 0 THEN 'county' WHEN n_nationkey % 3 = 1 THEN 'city' ELSE 'zips' END AS kind", "explode(array(-n_nationkey, 50)) AS nth", "n_name AS name").where("nth < 50 OR kind = 'city'")
+    services = X.table(spark, sf_dir, "region").selectExpr("-r_regionkey AS nth", "CASE WHEN r_regionkey = 3 THEN 'AFRICA' WHEN r_regionkey = 4 THEN '' ELSE r_name END AS service")
+    return J.enrich_organizations(organizations, registry, services, "market").select("s_suppkey", json_stable(F.col("jsonld")).alias("jsonld"))
 
 
 QUERIES = {f.__name__: f for f in (jsonld_products, jsonld_businesses, jsonld_faq, jsonld_item_lists, jsonld_breadcrumbs, jsonld_articles, jsonld_web_pages, jsonld_validate, jsonld_validity, jsonld_suggest, jsonld_google, jsonld_normalize, jsonld_enrich)}
@@ -146,6 +151,26 @@ _ADVICE = {
     13: ["add a postal address"], 14: ["number positions from 1"], 17: ["number positions from 1"],
 }
 
+
+def _normalized(text: str) -> str | None:
+    """The rule on one text, plainly: a default context, and a @type list of one as its element."""
+    value = json.loads(text)
+    if not isinstance(value, dict):
+        return None
+    value.setdefault("@context", "https://schema.org")
+    if isinstance(value.get("@type"), list) and len(value["@type"]) == 1:
+        value["@type"] = value["@type"][0]
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def _literal(text: str | None) -> str:
+    return "NULL" if text is None else f"'{text}'"
+
+
+#: The fixture's objects one by one, each put into its normal form; the name is joined in as in the fixture.
+_CASES = re.findall(r"(?:WHEN (\d+) THEN|ELSE) '(.*)'(?: END)?$", OBJECTS["jsonld"], re.M)
+_NORMAL = "CASE c_custkey % 18 " + " ".join(f"{f'WHEN {n} THEN' if n else 'ELSE'} {_literal(_normalized(x))}" for n, x in _CASES) + " END"
+
 SQL = {
     "jsonld_products": "SELECT p_partkey, " + _made("Product", "'name': p_name, 'sku': CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR END, 'brand': CASE WHEN p_partkey % 3 > 0 THEN {'@type': 'Brand', 'name': p_brand} END, 'offers': CASE WHEN p_partkey % 5 > 0 THEN {'@type': 'Offer', 'price': p_size || '.00', 'priceCurrency': 'USD', 'availability': 'https://schema.org/InStock'} END") + " AS jsonld FROM part",
     "jsonld_businesses": "SELECT c_custkey, " + _made("LocalBusiness", """'name': c_name, 'url': CASE WHEN c_custkey % 2 = 0 THEN 'https://b.example.com/' || c_custkey END, 'telephone': '+1-910-555-0123',
@@ -167,7 +192,9 @@ ELSE to_json({'@context': 'https://schema.org', '@type': ['WebPage', 'ItemPage']
     "jsonld_validity": f"WITH {_O} SELECT object_id, {_IN} NOT IN (1, 2, 4, 5, 6, 9, 10, 12, 13, 14, 15, 16, 17) AS valid FROM objects",
     "jsonld_suggest": f"WITH {_O} {_faults(_ADVICE, 'advice')}",
     "jsonld_google": f"WITH {_O} SELECT object_id, CASE WHEN {_IN} = 11 THEN 'HowTo results are limited' ELSE 'FAQPage outside /faq' END AS warning FROM objects WHERE {_IN} = 11 OR ({_IN} IN (5, 6, 15) AND object_id % 7 > 0 AND object_id % 5 > 0)",
-    "jsonld_enrich": """WITH places AS (SELECT n_regionkey AS k, string_agg('{"@type":"Place","name":"' || n_name || '"}', ',' ORDER BY CASE n_nationkey % 3 WHEN 1 THEN 1 ELSE 3 END, n_name) AS names FROM nation WHERE n_nationkey % 3 < 2 GROUP BY n_regionkey),
-offers AS (SELECT string_agg('{"@type":"Offer","itemOffered":{"@type":"Service","name":"' || r_name || '"}}', ',' ORDER BY r_name) AS names FROM region)
+    "jsonld_enrich": """WITH listed AS (SELECT n_regionkey AS k, n_name, n_nationkey AS nth, CASE WHEN n_regionkey = 2 THEN 'areaServed' WHEN n_nationkey % 3 = 0 THEN 'county' WHEN n_nationkey % 3 = 1 THEN 'city' ELSE 'zips' END AS kind FROM nation),
+places AS (SELECT k, string_agg('{"@type":"Place","name":"' || n_name || '"}', ',' ORDER BY rank, last, nth DESC) AS names FROM (SELECT *, CASE kind WHEN 'county' THEN 2 ELSE 1 END AS rank, 0 AS last FROM listed WHERE kind <> 'zips' UNION ALL SELECT *, 1, 1 FROM listed WHERE kind = 'city') GROUP BY k),
+offers AS (SELECT string_agg('{"@type":"Offer","itemOffered":{"@type":"Service","name":"' || CASE r_regionkey WHEN 3 THEN 'AFRICA' ELSE r_name END || '"}}', ',' ORDER BY r_regionkey DESC) AS names FROM region WHERE r_regionkey <> 4)
 SELECT s_suppkey, '{"@type":"Organization",' || CASE WHEN s_suppkey % 3 = 0 THEN '"areaServed":"all",' WHEN names IS NULL THEN '' ELSE '"areaServed":[' || names || '],' END || '"hasOfferCatalog":{"@type":"OfferCatalog","itemListElement":[' || (SELECT names FROM offers) || '],"name":"Services"}}' AS jsonld FROM supplier LEFT JOIN places ON s_nationkey % 5 = k""",
+    "jsonld_normalize": f"SELECT c_custkey AS object_id, {_NORMAL} AS normal FROM customer",
 }

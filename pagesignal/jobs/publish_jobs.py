@@ -16,8 +16,8 @@ def _batch(spark, sf_dir):
 
 
 def _existing(spark, sf_dir):
-    """What an earlier run of the same pages left: some were new since, some have changed since."""
-    good = _batch(spark, sf_dir)[0]
+    """What an earlier run of the same pages left: some were new since, some have changed since, some in their JSON-LD alone."""
+    good = _batch(spark, sf_dir)[0].withColumn("jsonld", F.when(F.col("seq") % 3 == 0, F.lit('{"old":1}')).otherwise(F.col("jsonld")))
     marked = F.when(F.col("seq") % 2 == 0, F.concat("markdown", F.lit("!"))).otherwise(F.col("markdown"))
     return P.prepare_batch(good.withColumn("markdown", marked).withColumn("path", F.when(F.col("seq") % 5 == 0, F.concat(F.lit("/old"), "path")).otherwise(F.col("path"))))
 
@@ -87,21 +87,40 @@ def slugs(spark, sf_dir):
 
 
 def line_diff(spark, sf_dir):
-    pages = X.table(spark, sf_dir, "pages")
+    return _versions(spark, sf_dir).select("page_id", P.line_diff(F.col("url"), F.col("before"), F.col("after")).alias("diff"))
+
+
+def merged_content(spark, sf_dir):
+    return P.merged_content(_existing(spark, sf_dir), P.prepare_batch(_batch(spark, sf_dir)[0])).select("path", "version", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
+
+
+def _versions(spark, sf_dir):
+    """Each page before and after an edit of some of its lines."""
     after = F.replace(F.col("html"), F.lit("</p>"), F.lit("</p>\n"))
-    return pages.select("page_id", P.line_diff(F.col("url"), F.replace(after, F.lit("the"), F.lit("a")), after).alias("diff"))
+    return X.table(spark, sf_dir, "pages").select("page_id", "url", F.replace(after, F.lit("the"), F.lit("a")).alias("before"), after.alias("after"))
+
+
+def line_diff_round_trip(spark, sf_dir):
+    """The diff of each page applied to what it was: gives what it is."""
+    rows = _versions(spark, sf_dir)
+    diff = P.line_diff(F.col("url"), F.col("before"), F.col("after"))
+    return rows.select("page_id", F.sha2(P.apply_diff(F.col("before"), diff).cast("binary"), 256).alias("sha"), (diff == "").alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (content_version_merge, content_state, publish_rejects, content_history, rollback_version, map_url, path_validation, sitemap_touch, indexnow_payload, embed_jsonld, jsonld_sidecars, slugs, line_diff)}
+QUERIES = {f.__name__: f for f in (content_version_merge, content_state, publish_rejects, content_history, rollback_version, map_url, path_validation, sitemap_touch, indexnow_payload, embed_jsonld, jsonld_sidecars, slugs, line_diff, merged_content, line_diff_round_trip)}
 
-_EMBED = """CASE WHEN coalesce(jsonld, '') = '' THEN html WHEN contains(html, '</head>') THEN replace(html, '</head>', '<script type="application/ld+json">' || jsonld || '</script>' || chr(10) || '</head>')
-  WHEN contains(html, '</body>') THEN replace(html, '</body>', '<script type="application/ld+json">' || jsonld || '</script>' || chr(10) || '</body>')
-  ELSE html || CASE WHEN html LIKE '%' || chr(10) THEN '' ELSE chr(10) END || '<script type="application/ld+json">' || jsonld || '</script>' || chr(10) END"""
+# The fixture's JSON-LD in its stable form, and as it is written apart.
+_STABLE = """CASE WHEN jsonld LIKE '%WebPage%' THEN '{"@type":"WebPage","about":{"@id":[1,2],"@type":"Thing"},"name":"ü"}' ELSE jsonld END"""
+_INDENTED = """CASE WHEN jsonld LIKE '{"@type"%' THEN '{|  "@type": "WebPage",|  "name": "ü",|  "about": {|    "@type": "Thing",|    "@id": [|      1,|      2|    ]|  }|}' ELSE '{|  "name": "ü",|  "about": {|    "@id": [|      1,|      2|    ],|    "@type": "Thing"|  },|  "@type": "WebPage"|}' END"""
+_EMBED = f"""CASE WHEN coalesce(jsonld, '{{}}') = '{{}}' THEN html WHEN contains(html, '</head>') THEN replace(html, '</head>', '<script type="application/ld+json">' || {_STABLE} || '</script>' || chr(10) || '</head>')
+  WHEN contains(html, '</body>') THEN replace(html, '</body>', '<script type="application/ld+json">' || {_STABLE} || '</script>' || chr(10) || '</body>')
+  ELSE html || CASE WHEN html LIKE '%' || chr(10) THEN '' ELSE chr(10) END || '<script type="application/ld+json">' || {_STABLE} || '</script>' || chr(10) END"""
 
 
-def _rows(name: str, markdown: str = "markdown", path: str = "path") -> str:
-    return f"""{name} AS (SELECT *, left(sha256(path || coalesce(content, '') || coalesce(jsonld, '')), 7) AS version
-  FROM (SELECT seq, CASE WHEN preview THEN 'preview/' || ltrim({path}, '/') ELSE {path} END AS path, coalesce({markdown}, CASE WHEN embed_jsonld THEN {_EMBED} ELSE html END) AS content, jsonld FROM batch WHERE (markdown IS NULL) <> (html IS NULL)))"""
+def _rows(name: str, markdown: str = "markdown", path: str = "path", jsonld: str = "jsonld") -> str:
+    return f"""{name} AS (SELECT *, left(sha256(path || coalesce(content, '') || coalesce({_STABLE}, '')), 7) AS version
+  FROM (SELECT seq, CASE WHEN preview THEN 'preview/' || ltrim({path}, '/') ELSE {path} END AS path, coalesce({markdown}, CASE WHEN embed_jsonld THEN {_EMBED} ELSE html END) AS content, jsonld
+    FROM (SELECT * REPLACE ({jsonld} AS jsonld) FROM batch) WHERE (markdown IS NULL) <> (html IS NULL)))"""
 
 
 def _last(name: str, rows: str) -> str:
@@ -109,8 +128,9 @@ def _last(name: str, rows: str) -> str:
 
 
 _BATCH = f"batch AS ({X.sql('pages', X.CONTENT)})"
-_MERGE = f"""{_BATCH}, {_rows('old_rows', "CASE WHEN seq % 2 = 0 THEN markdown || '!' ELSE markdown END", "CASE WHEN seq % 5 = 0 THEN '/old' || path ELSE path END")}, {_last('old', 'old_rows')}, {_rows('new_rows')}, {_last('new', 'new_rows')},
-merged AS (SELECT path, CASE WHEN new.version IS NULL THEN 'kept' WHEN old.version IS NULL THEN 'inserted' WHEN old.version = new.version THEN 'not_modified' ELSE 'changed' END AS status, coalesce(new.version, old.version) AS version FROM old FULL JOIN new USING (path))"""
+_OLD = """CASE WHEN seq % 3 = 0 THEN '{"old":1}' ELSE jsonld END"""
+_MERGE = f"""{_BATCH}, {_rows('old_rows', "CASE WHEN seq % 2 = 0 THEN markdown || '!' ELSE markdown END", "CASE WHEN seq % 5 = 0 THEN '/old' || path ELSE path END", _OLD)}, {_last('old', 'old_rows')}, {_rows('new_rows')}, {_last('new', 'new_rows')},
+merged AS (SELECT path, CASE WHEN new.version IS NULL THEN 'kept' WHEN old.version IS NULL THEN 'inserted' WHEN old.content = new.content THEN 'not_modified' ELSE 'changed' END AS status, coalesce(new.version, old.version) AS version FROM old FULL JOIN new USING (path))"""
 _HISTORY = "history AS (SELECT '/p/' || page_id % 20 AS path, 'v' || page_id % 70 AS version, page_id AS committed_at FROM pages)"
 _HOST = "string_split(string_split(regexp_extract(url, '(?i)^[a-z]+://([^/]+)', 1), '@')[-1], ':')[1]"
 _SLUG = "trim(regexp_replace(replace(translate(lower({}), '" + U.ACCENTED + "', '" + U.PLAIN + "'), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '-')"
@@ -118,8 +138,8 @@ _NAME = "'Ümläut & Straße ' || c_name || '!'"
 
 SQL = {
     "content_version_merge": f"WITH {_MERGE} SELECT path, status, version FROM merged",
-    "content_state": f"""WITH {_BATCH}, {_rows('rows')}, ranked AS (SELECT path, version, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS n, lead(version) OVER (PARTITION BY path ORDER BY seq DESC) AS before FROM rows)
-SELECT path, version, CASE WHEN before IS NULL THEN 'inserted' WHEN before = version THEN 'not_modified' ELSE 'changed' END AS status FROM ranked WHERE n = 1""",
+    "content_state": f"""WITH {_BATCH}, {_rows('rows')}, ranked AS (SELECT path, version, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS n, content, lead(content) OVER (PARTITION BY path ORDER BY seq DESC) AS before FROM rows)
+SELECT path, version, CASE WHEN before IS NULL THEN 'inserted' WHEN before = content THEN 'not_modified' ELSE 'changed' END AS status FROM ranked WHERE n = 1""",
     "publish_rejects": f"WITH {_BATCH} SELECT seq, 'exactly one of markdown and html' AS reason FROM batch WHERE (markdown IS NULL) = (html IS NULL)",
     "content_history": f"WITH {_MERGE} SELECT path, new.version, length(content) AS n_chars, '2024-02-01' AS committed_at FROM new JOIN merged USING (path) WHERE status IN ('inserted', 'changed')",
     "rollback_version": f"""WITH {_HISTORY}, wanted AS (SELECT DISTINCT path, version FROM history),
@@ -131,6 +151,8 @@ SELECT path, version, min(age) AS age, max(committed_at) AS committed_at FROM re
     "sitemap_touch": "SELECT ' ' || url || ' ' AS loc, CASE WHEN url IN (SELECT url FROM pages WHERE page_id IN (SELECT user_id FROM events)) THEN '2024-02-01T00:00:00Z' ELSE '2023-12-31T00:00:00Z' END AS lastmod FROM pages",
     "indexnow_payload": f"SELECT host, 0 AS part, string_agg(url, ' ' ORDER BY url) AS urls FROM (SELECT DISTINCT {_HOST} AS host, url FROM pages) GROUP BY host",
     "embed_jsonld": f"WITH {_BATCH} SELECT seq, sha256({_EMBED}) AS sha, contains(html, '<') AS render_ok FROM batch WHERE html IS NOT NULL",
-    "jsonld_sidecars": f"WITH {_BATCH} SELECT path || '.jsonld' AS path, jsonld FROM batch WHERE jsonld IS NOT NULL AND NOT embed_jsonld",
+    "jsonld_sidecars": f"WITH {_BATCH} SELECT path || '.jsonld' AS path, replace({_INDENTED}, '|', chr(10)) AS jsonld FROM batch WHERE jsonld <> '{{}}' AND NOT embed_jsonld",
+    "merged_content": f"""WITH {_MERGE} SELECT path, CASE WHEN status IN ('kept', 'not_modified') THEN old.version ELSE new.version END AS version, sha256(CASE WHEN status IN ('kept', 'not_modified') THEN old.content ELSE new.content END) AS sha FROM merged LEFT JOIN old USING (path) LEFT JOIN new USING (path)""",
+    "line_diff_round_trip": "SELECT page_id, sha256(after) AS sha, before = after AS same FROM (SELECT page_id, replace(html, '</p>', '</p>' || chr(10)) AS after, replace(replace(html, '</p>', '</p>' || chr(10)), 'the', 'a') AS before FROM pages)",
     "slugs": f"SELECT c_custkey, {_SLUG.format(_NAME)} AS slug, {_SLUG.format('c_mktsegment')} || '/' || {_SLUG.format(_NAME)} AS path FROM customer",
 }

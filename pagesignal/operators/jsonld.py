@@ -6,14 +6,11 @@ rules of its type are one projection of it.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import let
 
@@ -103,19 +100,6 @@ def breadcrumbs(rows: DataFrame, key: str, order: str, at: Column, name: Column)
     return listed.select(key, F.to_json(_object("BreadcrumbList", itemListElement=items)).alias("jsonld"))
 
 
-@F.pandas_udf(T.StringType())
-def json_stable(texts: pd.Series) -> pd.Series:
-    """JSON text with keys sorted at every level and no spaces; null for what can't be read."""
-
-    def one(text: str | None) -> str | None:
-        try:
-            return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False) if text is not None else None
-        except ValueError:
-            return None
-
-    return texts.map(one)
-
-
 def normalize(objects: DataFrame) -> DataFrame:
     """Adds ``normal``: the default context where there is none, and a one-element @type list as its element."""
     top = F.try_variant_get(F.try_parse_json("jsonld"), "$", "map<string,variant>")
@@ -329,13 +313,20 @@ def google_warnings(objects: DataFrame) -> DataFrame:
 def enrich_organizations(organizations: DataFrame, registry: DataFrame, services: DataFrame, key: str) -> DataFrame:
     """Adds ``areaServed`` and ``hasOfferCatalog`` to Organization objects (JSON text) that lack them.
 
-    ``registry(key, kind, name)``: places in the order city, neighbors, county, then name. ``services(service)``: few rows.
+    ``registry(key, kind, nth, name)``: the places of a key are those of the kind areaServed, if it has any, else its city, neighbors and
+    county, in that order; places of a kind go by ``nth``. ``services(nth, service)``: few rows. Both keep their order and repeats; empty names
+    are left out.
     """
     from .sizes import broadcast_if_small
 
-    rank = F.when(F.col("kind") == "city", 1).when(F.col("kind") == "neighbors", 2).when(F.col("kind") == "county", 3)
-    places = registry.where(rank.isNotNull()).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "name"))), lambda x: _part("Place", name=x["name"])).alias("places"))
-    offers = services.agg(F.transform(F.array_sort(F.collect_set("service")), lambda s: F.struct(F.lit("Offer").alias("@type"), _part("Service", name=s).alias("itemOffered")))).scalar()
+    rank = F.when(F.col("kind") == "areaServed", 0).when(F.col("kind") == "city", 1).when(F.col("kind") == "neighbors", 2).when(F.col("kind") == "county", 3)
+    filled = lambda c: F.length(F.coalesce(c, F.lit(""))) > 0
+    listed = registry.where(rank.isNotNull() & filled("name")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "nth", "name"))).alias("listed"))
+    # The first is of the kind areaServed if any is.
+    own = F.filter("listed", lambda x: (F.col("listed")[0]["r"] > 0) | (x["r"] == 0))
+    places = listed.select(key, F.transform(own, lambda x: _part("Place", name=x["name"])).alias("places"))
+    ordered = F.array_sort(F.collect_list(F.struct("nth", "service")))
+    offers = services.where(filled("service")).agg(F.transform(ordered, lambda s: F.struct(F.lit("Offer").alias("@type"), _part("Service", name=s["service"]).alias("itemOffered")))).scalar()
     catalog = F.struct(F.lit("OfferCatalog").alias("@type"), F.lit("Services").alias("name"), offers.alias("itemListElement"))
 
     def as_variant(c: Column) -> Column:
@@ -347,4 +338,3 @@ def enrich_organizations(organizations: DataFrame, registry: DataFrame, services
     offered = F.when(~F.map_contains_key(top, "hasOfferCatalog") & (F.size(offers) > 0), F.create_map(F.lit("hasOfferCatalog"), as_variant(catalog))).otherwise(empty)
     joined = organizations.join(broadcast_if_small(places), key, "left")
     return joined.withColumn("jsonld", F.when(top.isNull(), F.col("jsonld")).otherwise(F.to_json(F.map_concat(top, served, offered)))).drop("places")
-

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import line_diff as diffs
+from ..functions.json_text import is_empty_json, json_pretty, or_text
 from ..functions.stamps import content_version
 from ..functions.urls import parse_host, path_is_safe, preview_path
 from .sizes import broadcast_if_small
@@ -23,8 +24,8 @@ def validate_publish(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def embed_jsonld(html: Column, jsonld: Column) -> Column:
-    """The script before every ``</head>``, else before every ``</body>``, else at the end."""
-    script = F.concat(F.lit('<script type="application/ld+json">'), jsonld, F.lit("</script>"))
+    """The script, in stable JSON, before every ``</head>``, else before every ``</body>``, else at the end. Empty JSON, as ``{}``, isn't embedded."""
+    script = F.concat(F.lit('<script type="application/ld+json">'), or_text(jsonld), F.lit("</script>"))
     line = F.concat(script, F.lit("\n"))
     at_end = F.concat(html, F.when(html.endswith("\n"), "").otherwise("\n"), line)
     placed = (
@@ -32,7 +33,7 @@ def embed_jsonld(html: Column, jsonld: Column) -> Column:
         .when(html.contains("</body>"), F.replace(html, F.lit("</body>"), F.concat(line, F.lit("</body>"))))
         .otherwise(at_end)
     )
-    return F.when(F.coalesce(jsonld, F.lit("")) == "", html).otherwise(placed)
+    return F.when(is_empty_json(jsonld), html).otherwise(placed)
 
 
 def render_ok(html: Column) -> Column:
@@ -52,40 +53,54 @@ def prepare_batch(batch: DataFrame, preview_folder: str = "preview", order: str
     return rows.groupBy("path").agg(F.max_by(F.struct("content", "jsonld", "version"), order).alias("r")).select("path", "r.content", "r.jsonld", "r.version")
 
 
+def content_digest(content: Column) -> Column:
+    """Stands for a content in comparisons; none counts as an empty one, as a file that isn't there does."""
+    return F.sha2(F.coalesce(content, F.lit("")).cast("binary"), 256)
+
+
+def _status(is_new: Column, before: Column, after: Column) -> Column:
+    return F.when(F.coalesce(before, content_digest(F.lit(""))) == after, "not_modified").when(is_new, "inserted").otherwise("changed")
+
+
 def content_state(rows: DataFrame, order: str = "seq") -> DataFrame:
-    """The newest of the prepared rows of each path, what it did to the path, and the version before it.
+    """The newest of the prepared rows of each path, what it did to the path, and the content before it.
 
-    ``status``: inserted without a row before it, else not_modified or changed by the versions. Only the two newest rows of a
-    path count, so states merge in any order.
+    ``status`` goes by content alone: not_modified if it is that of the row before, or empty with no row before it; else inserted
+    or changed. Only the two newest rows of a path count, so states merge in any order; older ones stay where they lie.
     """
+    digest = F.coalesce("digest", content_digest(F.col("content"))) if "digest" in rows.columns else content_digest(F.col("content"))
     newest = Window.partitionBy("path").orderBy(F.col(order).desc())
-    two = rows.dropDuplicates(["path", order]).withColumn("__n", F.row_number().over(newest)).where("__n <= 2")
-    last, before = F.when(F.col("__n") == 1, F.struct(order, "version", "content", "jsonld")), F.when(F.col("__n") == 2, F.struct(order, "version"))
+    two = rows.withColumn("digest", digest).withColumn("__n", F.dense_rank().over(newest)).where("__n <= 2")
+    last, before = F.when(F.col("__n") == 1, F.struct(order, "version", "content", "jsonld", "digest")), F.when(F.col("__n") == 2, F.struct(order, "digest"))
     held = two.groupBy("path").agg(F.max(last).alias("a"), F.max(before).alias("b"))
-    status = F.when(F.col("b").isNull(), "inserted").when(F.col("a.version") == F.col("b.version"), "not_modified").otherwise("changed")
-    return held.select("path", "a.*", status.alias("status"), F.col(f"b.{order}").alias("before"), F.col("b.version").alias("version_before"))
+    status = _status(F.col("b").isNull(), F.col("b.digest"), F.col("a.digest"))
+    return held.select("path", f"a.{order}", "a.version", "a.content", "a.jsonld", status.alias("status"), F.col(f"b.{order}").alias("before"), F.col("b.digest").alias("digest_before"))
 
 
 def state_rows(state: DataFrame, order: str = "seq") -> DataFrame:
     """The rows that a content state stands for."""
-    old = state.where(F.col("before").isNotNull()).select("path", F.col("before").alias(order), F.col("version_before").alias("version"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("jsonld"))
-    return state.select("path", order, "version", "content", "jsonld").unionByName(old)
+    none = F.lit(None).cast("string")
+    old = state.where(F.col("before").isNotNull()).select("path", F.col("before").alias(order), none.alias("version"), none.alias("content"), none.alias("jsonld"), F.col("digest_before").alias("digest"))
+    return state.select("path", order, "version", "content", "jsonld", none.alias("digest")).unionByName(old)
 
 
 def content_merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """``path, status, version``: inserted, changed, not_modified, or kept where nothing came in.
+    """``path, status, version``: inserted, changed, not_modified, or kept where nothing came in. The version is that of what came in.
 
-    Versions stand for contents, so the texts of neither side are shuffled.
+    A page has changed if its content has; new JSON-LD alone changes the version, not the page. Digests stand for
+    contents, so the texts of neither side are shuffled.
     """
-    old, new = existing.select("path", F.col("version").alias("old")), incoming.select("path", F.col("version").alias("new"))
-    status = F.when(F.col("new").isNull(), "kept").when(F.col("old").isNull(), "inserted").when(F.col("old") == F.col("new"), "not_modified").otherwise("changed")
-    return old.join(new, "path", "full").select("path", status.alias("status"), F.coalesce("new", "old").alias("version"))
+    old = existing.select("path", F.col("version").alias("old"), content_digest(F.col("content")).alias("had"), F.lit(True).alias("held"))
+    new = incoming.select("path", F.col("version").alias("new"), content_digest(F.col("content")).alias("has"))
+    status = F.when(F.col("has").isNull(), "kept").otherwise(_status(F.col("held").isNull(), F.col("had"), F.col("has")))
+    return old.join(new, "path", "full").select("path", status.alias("status"), F.when(F.col("has").isNull(), F.col("old")).otherwise(F.col("new")).alias("version"))
 
 
 def merged_content(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The content table after the batch."""
+    """The content table after the batch: pages whose content came in unchanged stay as they were, with the JSON-LD that they had."""
     names = ["path", "content", "jsonld", "version"]
-    return existing.join(incoming.select("path"), "path", "left_anti").select(*names).unionByName(incoming.select(*names))
+    written = content_merge(existing, incoming).where("status IN ('inserted', 'changed')").select("path")
+    return existing.join(written, "path", "left_anti").select(*names).unionByName(incoming.join(written, "path", "left_semi").select(*names))
 
 
 def history_append(incoming: DataFrame, status: DataFrame, committed_at: Column, dry_run: bool = False) -> DataFrame:
@@ -121,15 +136,22 @@ def indexnow_payload(urls: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def jsonld_sidecars(batch: DataFrame) -> DataFrame:
-    """``path, jsonld`` of the files next to pages whose JSON-LD is given and not embedded."""
-    return batch.where(F.col("jsonld").isNotNull() & ~F.coalesce("embed_jsonld", F.lit(False))).select(F.concat("path", F.lit(".jsonld")).alias("path"), "jsonld")
+    """``path, jsonld`` of the files next to pages whose JSON-LD is not empty and not embedded, written with an indent."""
+    apart = batch.where(~is_empty_json(F.col("jsonld")) & ~F.coalesce("embed_jsonld", F.lit(False)))
+    return apart.select(F.concat("path", F.lit(".jsonld")).alias("path"), F.coalesce(json_pretty(F.col("jsonld")), "jsonld").alias("jsonld"))
 
 
 @F.pandas_udf(T.StringType())
 def line_diff(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Unified diff of two texts under a path. Meant for changed rows."""
+    """Unified diff of two texts under a path, empty if they are equal. Meant for changed rows. Nulls are empty texts."""
     for path, before, after in batches:
-        yield pd.Series(["".join(difflib.unified_diff((b or "").splitlines(True), (a or "").splitlines(True), f"a/{p}", f"b/{p}")) for p, b, a in zip(path, before, after)])
+        yield pd.Series([diffs.unified(b or "", a or "", p if (p or "").startswith("/") else f"/{p or ''}") for p, b, a in zip(path, before, after)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def apply_diff(before: pd.Series, diff: pd.Series) -> pd.Series:
+    """The text that a ``line_diff`` of ``before`` led to."""
+    return pd.Series([diffs.apply(b or "", d or "") for b, d in zip(before, diff)], dtype=object)
 
 
 def write_sitemap(sitemap: DataFrame, path: str) -> None:

@@ -92,8 +92,8 @@ def stream_kpi_upsert(stream: DataFrame, table: VersionedTable, checkpoint: str,
 
 
 def stream_content_changes(stream: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Page batches merged into the content table: each path's newest row, its version, and its status against the row before it."""
-    names = ["path", "seq", "version", "content", "jsonld", "status", "before", "version_before"]
+    """Page batches merged into the content table: each path's newest row, its version, and its status by content against the row before it."""
+    names = ["path", "seq", "version", "content", "jsonld", "status", "before", "digest_before"]
 
     def prepare(batch: DataFrame) -> DataFrame:
         return publish.content_state(publish.prepared_rows(publish.validate_publish(batch)[0])).select(names)

@@ -187,7 +187,7 @@ def test_publish(spark):
     assert [r.status for r in publish.content_merge(new, new).collect()] == ["not_modified"]
     status = publish.content_merge(new.where("false"), new)
     assert status.first().status == "inserted" and publish.history_append(new, status, F.lit(1), dry_run=True).count() == 0
-    assert values(spark, publish.embed_jsonld, ("<head></head></head>", "{}"), ("x", "{}"), ("x", "")) == ['<head><script type="application/ld+json">{}</script>\n</head><script type="application/ld+json">{}</script>\n</head>', 'x\n<script type="application/ld+json">{}</script>\n', "x"]
+    assert values(spark, publish.embed_jsonld, ("<head></head></head>", "[1]"), ("x", "[1]"), ("x", "{}"), ("x", "")) == ['<head><script type="application/ld+json">[1]</script>\n</head><script type="application/ld+json">[1]</script>\n</head>', 'x\n<script type="application/ld+json">[1]</script>\n', "x", "x"]
 
 
 def test_blocks():
