@@ -48,7 +48,7 @@ LINT = {
 
 PRESENCE = {
     "seq": "event_id",
-    "query": "'query ' || CAST(user_id % 40 AS STRING)",
+    "query": "CASE WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 53 = 0 THEN '' ELSE 'query ' || CAST(user_id % 40 AS STRING) END",
     "engine": "upper(event_type)",
     "geo": "CASE WHEN user_id % 5 > 0 THEN 'g' || CAST(user_id % 3 AS STRING) END",
     "serp_surface": "CASE event_id % 4 WHEN 0 THEN ' AIO ' WHEN 1 THEN 'Copilot Answer' WHEN 2 THEN 'perplexity' ELSE ' Other ' END",
@@ -64,7 +64,7 @@ _STAMP = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")", "strftime(ts, '%Y-%m-%
 
 KPI = {
     "seq": "o_orderkey",
-    "metric": "CASE WHEN o_orderkey % 501 = 0 THEN '' ELSE o_orderpriority END",
+    "metric": "CASE WHEN o_orderkey % 501 = 0 THEN '' WHEN o_orderkey % 499 = 0 THEN NULL ELSE o_orderpriority END",
     "t": "{day}",
     "v": "CASE WHEN o_orderkey % 101 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS STRING) END",
     "geo": "CASE WHEN o_custkey % 4 > 0 THEN 'c' || CAST(o_custkey % 3 AS STRING) END",
@@ -80,6 +80,7 @@ FETCHES = {
     "content_type": "CASE WHEN event_id % 3 = 0 THEN ' text/html ; charset=utf-8' WHEN event_id % 3 = 1 THEN 'application/pdf' END",
     "etag": "CASE WHEN event_id % 4 > 0 THEN 'e' || CAST(event_id AS STRING) END",
     "last_modified": "CASE WHEN event_id % 6 = 0 THEN 'm' || CAST(event_id AS STRING) END",
+    "sent_etag": "CASE WHEN event_id % 10 = 3 THEN 's' || CAST(event_id AS STRING) END",
     "n_bytes": "CASE WHEN event_id % 50 = 0 THEN 9000000 ELSE 1000 + event_id END",
 }
 

@@ -96,7 +96,7 @@ def raw_page_blocks(spark, sf_dir):
 
 
 def _robots(spark, sf_dir):
-    body = F.when(F.col("n_nationkey") % 2 == 0, "User-agent: OurBot\nDisallow: /p/1\nDisallow:").otherwise("User-agent: other\nDisallow: /q")
+    body = F.when(F.col("n_nationkey") % 2 == 0, "USER-AGENT : OurBot\nUser-agent:\ndisallow :  /p/1 \nDisallow:").otherwise("User-agent: other\nDisallow: /q")
     files = X.table(spark, sf_dir, "nation").select(F.concat(F.lit("h"), F.col("n_nationkey").cast("string"), F.lit(".example.com")).alias("host"), F.concat(F.lit("User-agent: *\r\nDisallow: /p/2\nAllow: /p/25\n# Disallow: /p/3\n\n"), body).alias("body"))
     return G.parse_robots(files, "OurBot")
 
@@ -110,7 +110,27 @@ def robots_filter(spark, sf_dir):
     return G.robots_filter(urls, _robots(spark, sf_dir)).select("event_id")
 
 
-QUERIES = {f.__name__: f for f in (page_blocks, page_blocks_with_menu, page_tables, page_text, page_jsonld, page_meta, page_meta_wild, page_jsonld_wild, precheck, raw_page_meta, raw_page_text, raw_precheck, raw_page_blocks, robots_rules, robots_filter)}
+def _many_rules(spark, sf_dir):
+    """A third of all urls, and of all rules, are one host's; rules are of many lengths."""
+    host = "CASE WHEN {0} % 3 = 0 THEN 'hot' ELSE 'h' || CAST({0} % 17 AS STRING) END || '.example.com'"
+    events = X.table(spark, sf_dir, "events")
+    rules = events.selectExpr(host.format("user_id") + " AS host", "'/p/' || CAST(user_id % 100 AS STRING) || CASE WHEN user_id % 2 = 0 THEN '/' || substr('abcdefgh', 1, CAST(1 + user_id % 8 AS INT)) ELSE '' END AS rule").distinct()
+    urls = events.selectExpr("event_id", "'https://' || " + host.format("user_id") + " || '/p/' || CAST(event_id % 997 AS STRING) || '/abcdefgh'  AS url")
+    return urls, rules
+
+
+def robots_filter_prefixes(spark, sf_dir):
+    urls, rules = _many_rules(spark, sf_dir)
+    return G.robots_filter(urls, rules).select("event_id")
+
+
+def robots_filter_joined(spark, sf_dir):
+    """The same with more rules than are broadcast."""
+    urls, rules = _many_rules(spark, sf_dir)
+    return G.robots_filter(urls, rules, most_rules=1).select("event_id")
+
+
+QUERIES = {f.__name__: f for f in (page_blocks, page_blocks_with_menu, page_tables, page_text, page_jsonld, page_meta, page_meta_wild, page_jsonld_wild, precheck, raw_page_meta, raw_page_text, raw_precheck, raw_page_blocks, robots_rules, robots_filter, robots_filter_prefixes, robots_filter_joined)}
 
 _BODY = "/[document][1]/html[1]/body[1]"
 _BLOCKS = f"""blocks AS (
@@ -120,7 +140,14 @@ _BLOCKS = f"""blocks AS (
   UNION ALL SELECT p_partkey, 4, 'list', 'size ' || p_size || chr(10) || 'call', 2, '{_BODY}/ul[1]', 'size ' || p_size || chr(10) || 'call' FROM part
   UNION ALL SELECT p_partkey, 5, 'table', 'a|b/' || p_brand || '|' || p_type, 0, '{_BODY}/table[1]', '[["a", "b"], ["' || p_brand || '", "' || p_type || '"]]' FROM part)"""
 
+_HOST_OF = "CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE 'h' || user_id % 17 END || '.example.com'"
+_PREFIXES = f"""WITH rules AS (SELECT DISTINCT {_HOST_OF} AS host, '/p/' || user_id % 100 || CASE WHEN user_id % 2 = 0 THEN '/' || substr('abcdefgh', 1, 1 + user_id % 8) ELSE '' END AS rule FROM events),
+urls AS (SELECT event_id, {_HOST_OF} AS host, '/p/' || event_id % 997 || '/abcdefgh' AS path FROM events)
+SELECT event_id FROM urls WHERE NOT EXISTS (SELECT 1 FROM rules WHERE rules.host = urls.host AND starts_with(path, rule))"""
+
 SQL = {
+    "robots_filter_prefixes": _PREFIXES,
+    "robots_filter_joined": _PREFIXES,
     "page_blocks": f"WITH {_BLOCKS} SELECT page_id, n, printf('b-%04d-', n) || left(sha1(xpath || '|' || payload), 4) AS id, type, text, n_items, xpath FROM blocks",
     "page_blocks_with_menu": "SELECT type, (SELECT count(*) FROM part) * k AS n FROM (VALUES ('heading', 1), ('para', 2), ('list', 2), ('table', 1)) v(type, k)",
     "page_tables": """SELECT p_partkey AS page_id, 0 AS "row", 0 AS col, 'a' AS value FROM part UNION ALL SELECT p_partkey, 0, 1, 'b' FROM part UNION ALL SELECT p_partkey, 1, 0, p_brand FROM part UNION ALL SELECT p_partkey, 1, 1, p_type FROM part""",

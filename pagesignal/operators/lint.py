@@ -15,14 +15,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import spans
 from ..functions.text import alphabetic_words, grade_of, let, sentences, split_sentences, strip, word_count
+from .per_row import per_row
 
 
 @dataclass(frozen=True)
@@ -86,21 +85,7 @@ def hits_ci(texts: pd.Series, needles: pd.Series) -> pd.Series:
 
 def per_text(texts: DataFrame, columns: list[str], schema: str, read: Callable[..., list[tuple]]) -> DataFrame:
     """``doc_id`` and the rows of ``schema`` that ``read`` makes of each text and its other ``columns``."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    fields = T._parse_datatype_string(schema).fields
-    types, names = [to_arrow_type(f.dataType) for f in fields], [f.name for f in fields]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, rows = [], []
-            for i, given in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
-                found = read(*given)
-                of += [i] * len(found)
-                rows += found
-            arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *arrays], names=["doc_id", *names])
-
-    return texts.select("doc_id", _text().alias("text"), *columns).mapInArrow(run, f"doc_id {kind}, {schema}")
+    return per_row(texts, "doc_id", [_text().alias("text"), *columns], schema, read)
 
 
 _PLACED = "rule string, severity string, line int, start int, end int, fix string"

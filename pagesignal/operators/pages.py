@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import html_blocks
 from ..functions.urls import parse_host, rich_results_url
-from .sizes import broadcast_if_small
+from .per_row import per_row
+from .sizes import is_small
 
 MOST_BYTES = 8 * 1024 * 1024
 BACKOFF_CAP = 60.0
@@ -100,35 +103,75 @@ def classify_fetch(log: DataFrame) -> DataFrame:
     return log.withColumn("outcome", outcome)
 
 
+_AGENT, _RULE = re.compile(r"(?i)user-agent\s*:\s*(.+)"), re.compile(r"(?i)(dis)?allow\s*:\s*(.+)")
+
+
+def robots_rules(body: str | None, agent: str) -> list[str]:
+    """The disallowed prefixes that a file has for an agent, or for ``*`` where it doesn't name the agent, each once.
+
+    A line belongs to the last agent line above it; agents and keys go without regard to case and may have blanks before the colon. A line
+    without a value says nothing, so an empty agent line ends no block. One pass over the lines.
+    """
+    blocks: dict[str, dict[str, None]] = defaultdict(dict)
+    current = None
+    for line in (body or "").splitlines():
+        line = line.strip()
+        if m := _AGENT.match(line):
+            current = m[1].strip().lower()
+            blocks[current]  # an agent that is named has a block, with or without rules
+        elif current is not None and (m := _RULE.match(line)) and m[1]:
+            blocks[current][m[2].strip()] = None
+    return list(blocks.get(agent.lower(), blocks.get("*", {})))
+
+
 def parse_robots(files: DataFrame, agent: str) -> DataFrame:
-    """``host, rule``: disallowed prefixes for the agent, or for ``*`` where the file doesn't name it.
+    """``host, rule``: disallowed prefixes for the agent, or for ``*`` where the file doesn't name it, for ``files(host, body)``."""
+    return per_row(files, "host", ["body"], "rule string", lambda body: [(r,) for r in robots_rules(body, agent)]).distinct()
+
+
+def robots_filter(urls: DataFrame, rules: DataFrame, most_rules: int = 500_000) -> DataFrame:
+    """Urls whose path starts with no rule of their host. Any number of rules a host: a path is cut to the lengths that its host's rules have.
 
-    A line belongs to the last agent line above it in its file, found within the row.
+    Up to ``most_rules`` rules are broadcast as one set for each host, and a url looks up a cut for each length. More are joined: the cuts
+    of the different urls meet the rules by host and cut, hashed, and what is blocked is taken out by url.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce("body", F.lit("")), r"\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
-    step = F.aggregate(
-        lines,
-        F.struct(F.lit("").alias("agent"), F.array().cast("array<struct<agent:string,kind:string,rule:string>>").alias("out")),
-        lambda a, x: F.struct(
-            F.when(x.rlike("(?i)^user-agent:"), F.lower(F.trim(F.regexp_replace(x, "(?i)^user-agent:", "")))).otherwise(a["agent"]).alias("agent"),
-            F.when(
-                x.rlike("(?i)^(dis)?allow:") & (a["agent"] != ""),
-                F.concat(a["out"], F.array(F.struct(a["agent"].alias("agent"), F.lower(F.substring_index(x, ":", 1)).alias("kind"), F.trim(F.regexp_replace(x, "(?i)^(dis)?allow:", "")).alias("rule")))),
-            ).otherwise(a["out"]).alias("out"),
-        ),
-    )
-    known = F.transform(F.filter(lines, lambda x: x.rlike("(?i)^user-agent:")), lambda x: F.lower(F.trim(F.regexp_replace(x, "(?i)^user-agent:", ""))))
-    whose = F.when(F.array_contains(known, agent.lower()), agent.lower()).otherwise("*")
-    rules = files.select("host", whose.alias("whose"), F.explode(step["out"]).alias("r"))
-    return rules.where((F.col("r.agent") == F.col("whose")) & (F.col("r.kind") == "disallow") & (F.col("r.rule") != "")).select("host", F.col("r.rule").alias("rule")).distinct()
-
-
-def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Urls whose path starts with no rule of their host."""
     path = F.regexp_extract("url", r"(?i)^[a-z]+://[^/?#]+([^?#]*)", 1)
-    keyed = urls.withColumn("__host", F.lower(parse_host(F.col("url")))).withColumn("__path", F.when(path == "", "/").otherwise(path))
-    r = broadcast_if_small(rules.select(F.col("host").alias("__rule_host"), F.col("rule").alias("__rule")))
-    return keyed.join(r, (F.col("__host") == F.col("__rule_host")) & F.startswith("__path", F.col("__rule")), "left_anti").drop("__host", "__path")
+    host, whole = F.lower(parse_host(F.col("url"))), F.when(path == "", "/").otherwise(path)
+    rules = rules.select(F.col("host").alias("__host"), F.col("rule").alias("__rule")).where("__host IS NOT NULL AND __rule IS NOT NULL")
+    if is_small(rules, most_rules):
+        return _filter_by_sets(urls, host, whole, rules)
+    # Lengths are few for each host; the rows of a hot host are spread by url, then by cut.
+    lengths = rules.groupBy("__host").agg(F.collect_set(F.length("__rule")).alias("__lengths"))
+    asked = urls.select("url", host.alias("__host"), whole.alias("__path")).distinct()
+    cuts = F.filter("__lengths", lambda n: n <= F.length("__path"))
+    blocked = asked.join(lengths, "__host").select("url", "__host", F.explode(F.transform(cuts, lambda n: F.substring(F.col("__path"), F.lit(1), n))).alias("__rule"))
+    return urls.join(blocked.join(rules.distinct(), ["__host", "__rule"], "left_semi").select("url").distinct(), "url", "left_anti").select(*urls.columns)
+
+
+def _filter_by_sets(urls: DataFrame, host: Column, path: Column, rules: DataFrame) -> DataFrame:
+    held: dict[str, set[str]] = defaultdict(set)
+    for own, rule in zip(*(c.to_pylist() for c in rules.toArrow().columns)):
+        held[own].add(rule)
+    shared = urls.sparkSession.sparkContext.broadcast({h: (sorted({len(r) for r in own}), own) for h, own in held.items()})
+    names = urls.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [not any(path[:n] in own for n in lengths if n <= len(path)) for lengths, own, path in ((*shared.value.get(h, ((), ())), p or "") for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))]
+            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=names).filter(pa.array(keep, pa.bool_()))
+
+    return urls.select(host.alias("__host"), path.alias("__path"), *names).mapInArrow(run, urls.schema)
+
+
+def validators(rows: DataFrame) -> dict[str, Column]:
+    """What each fetch says of the page's ``etag`` and ``last_modified``; null if nothing.
+
+    An answer that came whole, or was too large, gives its own. A failed one says nothing of the page: there the request's count, from
+    ``sent_etag`` and ``sent_last_modified`` where the log has them. Empty texts count as none.
+    """
+    answered = F.col("outcome").isin("ok", "not_modified", "content_too_large")
+    sent = lambda c: F.col(f"sent_{c}") if f"sent_{c}" in rows.columns else F.lit(None).cast("string")
+    return {c: F.nullif(F.when(answered, F.col(c)).otherwise(sent(c)), F.lit("")) for c in ("etag", "last_modified")}
 
 
 def recrawl_state(log: DataFrame) -> DataFrame:
@@ -137,7 +180,8 @@ def recrawl_state(log: DataFrame) -> DataFrame:
     Everything follows from a url's last success and the failures after it, so partial sums by url do:
     no url's history is gathered or sorted.
     """
-    rows = classify_fetch(log).withColumn("ok", F.col("outcome").isin("ok", "not_modified"))
+    rows = classify_fetch(log)
+    rows = rows.withColumns({**validators(rows), "ok": F.col("outcome").isin("ok", "not_modified")})
     good = F.when(F.col("ok"), F.col("seq"))
     last_good = rows.groupBy("url").agg(
         F.max(good).alias("__good"),
@@ -156,7 +200,8 @@ def recrawl_state(log: DataFrame) -> DataFrame:
 
 def recrawl_attempts(log: DataFrame) -> DataFrame:
     """Each fetch with the failures in a row up to it: the history behind ``recrawl_state``."""
-    rows = classify_fetch(log).withColumn("ok", F.col("outcome").isin("ok", "not_modified"))
+    rows = classify_fetch(log)
+    rows = rows.withColumns({**validators(rows), "ok": F.col("outcome").isin("ok", "not_modified")})
     upto = Window.partitionBy("url").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     runs = rows.withColumn("run", F.count_if("ok").over(upto))
     in_run = Window.partitionBy("url", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stamps import floor_time, iso_utc, parse_utc
+from .runs import running
 
 # Spellings of the answer surfaces.
 SURFACES = {
@@ -26,13 +27,18 @@ def norm_surface(s: Column) -> Column:
 
 
 def validate_presence(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good rows with ``citations`` and ``position`` as integers, and the rejected rows with a reason."""
+    """Good rows with ``citations`` and ``position`` as whole numbers of 64 bits, and the rejected rows with a reason. Only absent keys are missing: empty ones are keys."""
+
+    def whole(c: str) -> Column:
+        # A sign, digits and blanks around them; a fraction is no whole number.
+        return F.when(F.col(c).cast("string").rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(F.col(c).cast("string"), F.lit(" \t\n\x0b\f\r")).try_cast("long"))
+
     def bad(c: str) -> Column:
-        return F.col(c).isNotNull() & F.col(c).try_cast("int").isNull()
+        return F.col(c).isNotNull() & whole(c).isNull()
 
-    reason = F.when(F.coalesce("query", F.lit("")) == "", "query missing").when(F.coalesce("engine", F.lit("")) == "", "engine missing").when(bad("citations"), "citations not an integer").when(bad("position"), "position not an integer")
+    reason = F.when(F.col("query").isNull(), "query missing").when(F.col("engine").isNull(), "engine missing").when(bad("citations"), "citations not an integer").when(bad("position"), "position not an integer")
     marked = events.withColumn("reason", reason)
-    good = marked.where("reason IS NULL").drop("reason").withColumn("citations", F.col("citations").try_cast("int")).withColumn("position", F.col("position").try_cast("int"))
+    good = marked.where("reason IS NULL").drop("reason").withColumns({c: whole(c) for c in ("citations", "position")})
     return good, marked.where("reason IS NOT NULL")
 
 
@@ -88,8 +94,8 @@ def presence_query(rows: DataFrame, *, queries: list[str] | None = None, engine:
 
 
 def validate_kpi(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good rows with ``v`` as a number and ``src`` filled, and the rejected rows with a reason."""
-    reason = F.when(F.coalesce("metric", F.lit("")) == "", "metric missing").when(F.coalesce("t", F.lit("")) == "", "t missing").when(F.col("v").try_cast("double").isNull(), "v not a number")
+    """Good rows with ``v`` as a number and ``src`` filled, and the rejected rows with a reason. Only absent keys are missing: empty ones are keys."""
+    reason = F.when(F.col("metric").isNull(), "metric missing").when(F.col("t").isNull(), "t missing").when(F.col("v").try_cast("double").isNull(), "v not a number")
     marked = points.withColumn("reason", reason)
     good = marked.where("reason IS NULL").drop("reason").withColumn("v", F.col("v").try_cast("double")).withColumn("src", F.coalesce(F.nullif(F.col("src"), F.lit("")), F.lit("csv")))
     return good, marked.where("reason IS NOT NULL")
@@ -111,9 +117,24 @@ def kpi_points_of(metrics: DataFrame, points: DataFrame, since: str | None = Non
     return metrics.select("metric").distinct().join(points.select("metric", "t", "v", "src"), "metric", "left")
 
 
-def kpi_series(metrics: DataFrame, points: DataFrame, since: str | None = None, until: str | None = None, geo: str | None = None, src: str | list[str] | None = None, include_src: bool = False) -> DataFrame:
-    """``metric, points``: each metric's points by time in one array, with their source if asked. For bounded ranges; see ``kpi_points_of``."""
+def kpi_series_chunks(metrics: DataFrame, points: DataFrame, since: str | None = None, until: str | None = None, geo: str | None = None, src: str | list[str] | None = None, chunk: int = 10_000) -> DataFrame:
+    """``metric, chunk, points``: each metric's points by time in runs of ``chunk`` points, numbered from 0; one end to end they are its series.
+
+    Points are numbered over ranges of (metric, time), so a metric with very many is spread over many tasks, and no task holds more than a run. A
+    metric without points has one empty run.
+    """
     rows = kpi_points_of(metrics, points, since, until, geo, src)
-    held = F.when(F.col("t").isNotNull(), F.struct("t", "v", "src"))
-    listed = F.array_sort(F.collect_list(held))
-    return rows.groupBy("metric").agg((listed if include_src else F.transform(listed, lambda p: F.struct(p["t"].alias("t"), p["v"].alias("v")))).alias("points"))
+    order = [F.col("t").asc_nulls_first(), F.col("v").asc_nulls_first(), F.col("src").asc_nulls_first()]
+    laid = running(rows, "metric", order, F.lit(0)).withColumn("chunk", F.floor(F.col("__at") / chunk).cast("long"))
+    held = F.when(F.col("t").isNotNull(), F.struct("__at", F.struct("t", "v", "src").alias("p")))
+    return laid.groupBy("metric", "chunk").agg(F.transform(F.array_sort(F.collect_list(held)), lambda x: x["p"]).alias("points"))
+
+
+def kpi_series(metrics: DataFrame, points: DataFrame, since: str | None = None, until: str | None = None, geo: str | None = None, src: str | list[str] | None = None, include_src: bool = False) -> DataFrame:
+    """``metric, points``: each metric's points by time in one array, with their source if asked, from its runs end to end.
+
+    One row holds a whole series, so this is for series of bounded length; see ``kpi_series_chunks`` and ``kpi_points_of`` for others.
+    """
+    runs = kpi_series_chunks(metrics, points, since, until, geo, src).groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("chunk", "points"))).alias("runs"))
+    whole = F.flatten(F.transform("runs", lambda r: r["points"]))
+    return runs.select("metric", (whole if include_src else F.transform(whole, lambda p: F.struct(p["t"].alias("t"), p["v"].alias("v")))).alias("points"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .keyed import KeyedTable
 
 CORPUS = "id string, url string, title string, text string, anchor string, last_modified string, jurisdiction string, place_ids array<string>"
 KPI = "seq long, metric string, t string, v string, geo string, src string"
@@ -26,9 +30,17 @@ def read_corpus(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``url, html`` of page files; bytes that are no UTF-8 become replacement characters."""
+    """``url, html`` of page files; bytes that are no UTF-8 are left out. Spark reads no row of a file without bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("url"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    # Only files with such bytes go through Python.
+    return files.select(F.col("path").alias("url"), F.when(valid, text).otherwise(_without_bad_bytes(F.when(~valid, F.col("content")))).alias("html"))
+
+
+@F.pandas_udf(T.StringType())
+def _without_bad_bytes(contents: pd.Series) -> pd.Series:
+    return contents.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
 
 def read_kpi_points(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:
@@ -41,6 +53,6 @@ def read_presence_stream(spark: SparkSession, path: str, form: str = "json") ->
     return spark.readStream.schema(PRESENCE).format(form).load(path)
 
 
-def write_keyed_table(df: DataFrame, path: str, *partitions: str) -> None:
-    """Write to a fresh path; the caller switches readers to it once it is whole."""
-    df.write.mode("errorifexists").partitionBy(*partitions).parquet(path)
+def write_keyed_table(df: DataFrame, table: KeyedTable, batch: int) -> int:
+    """Upsert rows into a keyed table as a numbered batch; returns the bytes written, which grow with the rows and not with the table."""
+    return table.append(df, batch)

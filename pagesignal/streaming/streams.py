@@ -6,99 +6,56 @@ each value, which row it came from, so a late row finds its place.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, MutableMapping
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators import pages, presence, publish
+from ..sources.keyed import KeyedTable
 
 
-class VersionedTable:
-    """A keyed table in buckets: ``v=<batch>/bucket=<k>`` holds what the batch made of bucket k.
+def presence_table(spark: SparkSession, path: str, null_geo: str = "distinct", **options) -> KeyedTable:
+    """A keyed table of presence rows; it has ``presence_state``'s columns too."""
+    return KeyedTable(spark, path, ["query", "engine", "geo", "ts"], lambda rows: presence.merge_presence(rows, null_geo=null_geo), **options)
 
-    A batch reads and writes only the buckets of its own keys. Readers take the newest whole version of each
-    bucket. What a newer version has replaced is deleted once the batch after that begins, so a batch that is run
-    again finds what it found before.
-    """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-
-    def _files(self) -> tuple[Any, Any]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm.org.apache.hadoop.fs.Path, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def newest(self, below: int | None = None) -> tuple[dict[int, str], list[str]]:
-        """The folder of each bucket's newest version, and the folders of older ones."""
-        path, fs = self._files()
-        if not fs.exists(path(self.path)):
-            return {}, []
-        whole = [s.getPath() for s in fs.listStatus(path(self.path)) if fs.exists(path(s.getPath(), "_SUCCESS"))]
-        found, old = {}, []
-        for _, at in sorted(((int(p.getName().removeprefix("v=")), p) for p in whole), key=lambda x: -x[0]):
-            if below is None or int(at.getName().removeprefix("v=")) < below:
-                for s in fs.listStatus(at):
-                    if s.getPath().getName().startswith("bucket="):
-                        k = int(s.getPath().getName().removeprefix("bucket="))
-                        (old.append if k in found else lambda f, k=k: found.update({k: f}))(s.getPath().toString())
-        return found, old
-
-    def read(self, below: int | None = None, buckets: set[int] | None = None) -> DataFrame | None:
-        own = [f for k, f in self.newest(below)[0].items() if buckets is None or k in buckets]
-        return self.spark.read.parquet(*own) if own else None
-
-    def merge(self, rows: DataFrame, key: list[Column], merged: Callable[[DataFrame], DataFrame], batch: int) -> None:
-        """Put ``rows`` into the table; ``merged`` makes one row for each key of old and new rows."""
-        bucket = F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
-        rows = rows.persist()
-        touched = {r[0] for r in rows.select(bucket).distinct().collect()}  # no more than there are buckets
-        path, fs = self._files()
-        for old in self.newest(batch)[1]:
-            fs.delete(path(old), True)
-        held = self.read(batch, touched)
-        both = rows if held is None else held.unionByName(rows)
-        merged(both).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={batch}")
-        rows.unpersist()
-
-
-def _upsert_stream(stream: DataFrame, table: VersionedTable, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], key: list[str], merged: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    def step(batch: DataFrame, number: int) -> None:
-        table.merge(prepare(batch), [F.col(c) for c in key], merged, number)
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def stream_presence_upsert(stream: DataFrame, table: VersionedTable, checkpoint: str, granularity: str = "second", null_geo: str = "distinct") -> StreamingQuery:
-    """Presence events merged into the keyed table, as ``presence_upsert`` does for a batch; the table has ``presence_state``'s columns too."""
+def kpi_table(spark: SparkSession, path: str, null_geo: str = "distinct", **options) -> KeyedTable:
+    return KeyedTable(spark, path, ["metric", "t", "geo", "src"], lambda rows: presence.kpi_upsert(rows, null_geo=null_geo), **options)
 
-    def prepare(batch: DataFrame) -> DataFrame:
-        rows = presence.normalize_presence(presence.validate_presence(batch)[0], granularity)
-        return presence.merge_presence(presence.presence_state(rows), null_geo=null_geo)
 
-    return _upsert_stream(stream, table, checkpoint, prepare, ["query", "engine", "geo", "ts"], lambda rows: presence.merge_presence(rows, null_geo=null_geo))
+_CONTENT = ["path", "seq", "version", "content", "jsonld", "status", "before", "digest_before"]
 
 
-def stream_kpi_upsert(stream: DataFrame, table: VersionedTable, checkpoint: str, null_geo: str = "distinct") -> StreamingQuery:
-    def prepare(batch: DataFrame) -> DataFrame:
-        return presence.kpi_upsert(presence.validate_kpi(batch)[0], null_geo=null_geo)
+def content_table(spark: SparkSession, path: str, **options) -> KeyedTable:
+    """A keyed table of each path's newest row and what it did to the path."""
+    return KeyedTable(spark, path, ["path"], lambda rows: publish.content_state(publish.state_rows(rows)).select(_CONTENT), **options)
 
-    return _upsert_stream(stream, table, checkpoint, prepare, ["metric", "t", "geo", "src"], lambda rows: presence.kpi_upsert(rows, null_geo=null_geo))
 
+def _upsert_stream(stream: DataFrame, table: KeyedTable, checkpoint: str, prepare: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(lambda batch, number: table.append(prepare(batch), number) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def stream_content_changes(stream: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Page batches merged into the content table: each path's newest row, its version, and its status by content against the row before it."""
-    names = ["path", "seq", "version", "content", "jsonld", "status", "before", "digest_before"]
+
+def stream_presence_upsert(stream: DataFrame, table: KeyedTable, checkpoint: str, granularity: str = "second") -> StreamingQuery:
+    """Presence events appended to a ``presence_table``, which merges them as ``presence_upsert`` does a batch."""
 
     def prepare(batch: DataFrame) -> DataFrame:
-        return publish.content_state(publish.prepared_rows(publish.validate_publish(batch)[0])).select(names)
+        return presence.presence_state(presence.normalize_presence(presence.validate_presence(batch)[0], granularity))
+
+    return _upsert_stream(stream, table, checkpoint, prepare)
+
 
-    return _upsert_stream(stream, table, checkpoint, prepare, ["path"], lambda rows: publish.content_state(publish.state_rows(rows)).select(names))
+def stream_kpi_upsert(stream: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    return _upsert_stream(stream, table, checkpoint, lambda batch: presence.validate_kpi(batch)[0])
+
+
+def stream_content_changes(stream: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Page batches merged into a ``content_table``: each path's newest row, its version, and its status by content against the row before it."""
+    return _upsert_stream(stream, table, checkpoint, lambda batch: publish.content_state(publish.prepared_rows(publish.validate_publish(batch)[0])).select(_CONTENT))
 
 
 def presence_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
@@ -107,47 +64,108 @@ def presence_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
     return rows.groupBy(F.window("ts", width).alias("w"), "engine").agg(F.count("*").alias("events"), F.sum(F.col("seen").cast("int")).alias("seen"), F.sum("citations").alias("citations")).select(F.col("w.start").alias("minute"), "engine", "events", "seen", "citations")
 
 
-def fold_fetch(held: dict, row: dict) -> None:
-    """Take one fetch into a url's state, wherever it comes in the url's history.
+#: Failures are kept as bits, this many places of the log to a word.
+BLOCK = 1024
+_HELD = "good_seq long, good_at timestamp, last_seq long, last_at timestamp, last_status int, attempts long, etag_seq long, etag string, last_modified_seq long, last_modified string"
+_FIELDS = [f.split()[0] for f in _HELD.split(", ")]
+
 
-    Kept: the newest success, the places of the failures after it, the newest fetch, and each validator's newest place.
+def fold_fetches(held: dict, words: MutableMapping[int, int], rows: pd.DataFrame) -> None:
+    """Take fetches into a url's state, wherever they come in its history, and rows that came before once more.
+
+    Kept: the newest success, the newest fetch, each validator's newest place, and the places of the failures after the newest success, as bits in
+    ``words``. Each block of places that the rows touch is read and written once, and blocks before a new success are dropped once, so the
+    time is that of the rows.
     """
-    seq, at = int(row["seq"]), pd.Timestamp(row["fetched_at"]).isoformat()
-    if row["outcome"] in ("ok", "not_modified"):
-        if held.get("good") is None or seq > held["good"][0]:
-            held["good"] = [seq, at]
-            held["failed"] = [s for s in held.get("failed", []) if s > seq]
-    elif (held.get("good") is None or seq > held["good"][0]) and seq not in held.get("failed", []):
-        held.setdefault("failed", []).append(seq)
-    if held.get("last") is None or seq > held["last"][0]:
-        held["last"] = [seq, at, int(row["status"])]
+
+    def newer(name: str, seq: int) -> bool:
+        return held.get(name) is None or seq > held[name]
+
+    good = rows[rows["outcome"].isin(["ok", "not_modified"])]
+    if len(good) and newer("good_seq", int(good["seq"].max())):
+        best = good.loc[good["seq"].idxmax()]
+        held["good_seq"], held["good_at"] = int(best["seq"]), best["fetched_at"]
+        block, bit = divmod(held["good_seq"], BLOCK)
+        for b in [b for b in words if b < block]:
+            held["attempts"] -= words.pop(b).bit_count()
+        if block in words:
+            left = words[block] >> (bit + 1) << (bit + 1)
+            held["attempts"] -= words[block].bit_count() - left.bit_count()
+            words[block] = left
+    last = rows.loc[rows["seq"].idxmax()]
+    if newer("last_seq", int(last["seq"])):
+        held["last_seq"], held["last_at"], held["last_status"] = int(last["seq"]), last["fetched_at"], int(last["status"])
     for c in ("etag", "last_modified"):
-        if isinstance(row[c], str) and (held.get(c) is None or seq > held[c][0]):
-            held[c] = [seq, row[c]]
+        told = rows[rows[c].notna()]
+        if len(told) and newer(f"{c}_seq", int(told["seq"].max())):
+            best = told.loc[told["seq"].idxmax()]
+            held[f"{c}_seq"], held[c] = int(best["seq"]), best[c]
+    held.setdefault("attempts", 0)
+    failed = np.unique(rows.loc[~rows["outcome"].isin(["ok", "not_modified"]), "seq"].to_numpy(np.int64))
+    failed = failed[failed > held["good_seq"]] if held.get("good_seq") is not None else failed
+    blocks, starts = np.unique(failed // BLOCK, return_index=True)
+    for block, own in zip(blocks.tolist(), np.split(failed % BLOCK, starts[1:])):
+        bits = np.zeros(BLOCK, bool)
+        bits[own] = True
+        before = words.get(block, 0)
+        after = before | int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        if after != before:
+            words[block] = after
+            held["attempts"] += after.bit_count() - before.bit_count()
+
+
+class _Words(MutableMapping):
+    """A map state of blocks as a mapping from their number to their bits."""
+
+    def __init__(self, state: Any) -> None:
+        self._state = state
+
+    def __getitem__(self, block: int) -> int:
+        if not self._state.containsKey((block,)):
+            raise KeyError(block)
+        return int.from_bytes(self._state.getValue((block,))[0], "little")
+
+    def __setitem__(self, block: int, bits: int) -> None:
+        self._state.updateValue((block,), (bits.to_bytes(BLOCK // 8, "little"),))
+
+    def __delitem__(self, block: int) -> None:
+        self._state.removeKey((block,))
+
+    def __iter__(self) -> Iterator[int]:
+        return iter([k[0] for k in self._state.keys()])
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self._state.keys())
 
 
 class RecrawlProcessor(StatefulProcessor):
-    """Keeps one row of recrawl state for each url and gives it out after each batch that touched it."""
+    """Keeps a typed row and a map of failure bits for each url, and gives its recrawl state out after each batch that touched it."""
 
     def init(self, handle: Any) -> None:
-        self._state = handle.getValueState("state", "held string")
+        self._held = handle.getValueState("held", _HELD)
+        self._words = _Words(handle.getMapState("failed", "block long", "bits binary"))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        held = json.loads(self._state.get()[0]) if self._state.exists() else {}
+        held = {k: v for k, v in zip(_FIELDS, self._held.get()) if v is not None} if self._held.exists() else {}
         for pdf in rows:
-            for row in pdf.to_dict("records"):
-                fold_fetch(held, row)
-        self._state.update((json.dumps(held),))
-        attempts, good = len(held.get("failed", [])), held.get("good")
-        until = pd.Timestamp(held["last"][1]) + pd.Timedelta(seconds=min(pages.BACKOFF_CAP, 2.0 ** min(attempts, 6))) if attempts else pd.NaT
-        value = lambda c: held[c][1] if held.get(c) else None
-        yield pd.DataFrame({"url": [key[0]], "etag": [value("etag")], "last_modified": [value("last_modified")], "last_status": [held["last"][2]], "attempts": [attempts], "backoff_until": [until], "last_success_at": [pd.Timestamp(good[1]) if good else pd.NaT]})
+            fold_fetches(held, self._words, pdf)
+        self._held.update(tuple(_plain(held.get(c)) for c in _FIELDS))
+        attempts = int(held["attempts"])
+        until = pd.Timestamp(held["last_at"]) + pd.Timedelta(seconds=min(pages.BACKOFF_CAP, 2.0 ** min(attempts, 6))) if attempts else pd.NaT
+        success = pd.Timestamp(held["good_at"]) if held.get("good_at") is not None else pd.NaT
+        yield pd.DataFrame({"url": [key[0]], "etag": [held.get("etag")], "last_modified": [held.get("last_modified")], "last_status": [held["last_status"]], "attempts": [attempts], "backoff_until": [until], "last_success_at": [success]})
 
     def close(self) -> None:
         pass
 
 
+def _plain(value: Any) -> Any:
+    return value.to_pydatetime() if isinstance(value, pd.Timestamp) else value
+
+
 def stream_recrawl_state(log: DataFrame) -> DataFrame:
     """Update stream of ``recrawl_state`` rows; needs the RocksDB state store provider."""
     schema = "url string, etag string, last_modified string, last_status int, attempts int, backoff_until timestamp, last_success_at timestamp"
-    return pages.classify_fetch(log).groupBy("url").transformWithStateInPandas(RecrawlProcessor(), schema, "Update", "None")
+    rows = pages.classify_fetch(log)
+    rows = rows.withColumns(pages.validators(rows)).select("url", "seq", "fetched_at", "status", "outcome", "etag", "last_modified")
+    return rows.groupBy("url").transformWithStateInPandas(RecrawlProcessor(), schema, "Update", "None")
