@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small
-from .runs import by_group, group_starts, running
+from ..operators.runs import by_group, group_starts, running
 from .tokens import encoder
 
 END = "\n</turn>\n"

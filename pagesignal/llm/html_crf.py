@@ -10,8 +10,11 @@ Training: ``labelled_pages`` writes a bounded set of pages of many layouts with
 ``fit`` maximises the regularised conditional likelihood by gradient steps, with sums by the
 forward-backward recursion over all pages at once. The model is one small table of weights.
 
+Prose is measured in words and end marks of whatever script: letters of scripts without spaces count as half a word each. What stands
+side by side in columns counts for what holds the columns. Pages of a single block are pages like others.
+
 Nulls and edges: null and empty pages have no blocks and give empty text. Scripts, styles,
-templates, comments, and the head never make blocks. Broken markup (unclosed, stray, misnested
+templates, text areas, comments, and the head never make blocks. Broken markup (unclosed, stray, misnested
 tags, a file cut off in a tag) is read leniently and never fails; attributes are read as HTML reads
 them, so a quote inside an unquoted value opens nothing. Character references are decoded within
 each run of text. Formulas (``math``) are text. Repeated rows are treated alike; an empty table gives an empty
@@ -38,7 +41,7 @@ from .common import small, texts_of, with_columns
 # Element names by kind.
 BLOCK = frozenset("address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li link main menu meta nav noframes noscript object ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style title noscript template svg iframe noframes".split())
+SILENT = frozenset("script style title noscript template svg iframe noframes textarea".split())
 #: Tags that end an open paragraph, and what an opening tag closes of its own kind.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -50,10 +53,18 @@ _MARKUP = re.compile(rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<close>/?)(?P<name>[A-
 _ATTRIBUTE = re.compile(r"""([^\s/=>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
 _TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 _WORDS = re.compile(r"[a-z]+")
+#: A slash that closes the tag itself, and isn't the end of an unquoted value.
+_CLOSED = re.compile(r"""(?:\A|[\s"'])/\Z""")
 #: Marks of what is no running text of the page.
 ASIDE = frozenset("nav footer aside form hidden button select option textarea".split())
 
 
+#: Letters of scripts that put no spaces between words: Thai to Khmer, kana, Han, Hangul.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+# End marks of other scripts and what they stand for.
+_ENDS = str.maketrans("。．！？：；，、。…।؟", "..!?:;,,....")
+
+
 @dataclass
 class Leaf:
     """A block's text, the characters of it inside links, the marks above it (tags, classes), and the numbers of its nearest containers."""
@@ -64,6 +75,21 @@ class Leaf:
     tag: str
     up: tuple[int, ...] = ()
 
+    @cached_property
+    def unspaced(self) -> int:
+        """Letters that stand for more than one of a spaced script."""
+        return 0 if self.text.isascii() else len(_UNSPACED.findall(self.text))
+
+    @property
+    def size(self) -> int:
+        """Characters, with those of unspaced scripts counted twice, as they say about as much as two others."""
+        return len(self.text) + self.unspaced
+
+    @property
+    def words(self) -> int:
+        """Words, two letters of an unspaced script to one."""
+        return self.text.count(" ") + 1 + self.unspaced // 2
+
 
 def leaves(page: str | None) -> list[Leaf]:
     """The leaf blocks of a page in order."""
@@ -130,7 +156,9 @@ def leaves(page: str | None) -> list[Leaf]:
             parts.append(" ")
             continue
         if name in SILENT:
-            if not m["rest"].endswith("/"):
+            if name == "textarea":
+                flush()
+            if not _CLOSED.search(m["rest"]) or name == "textarea":
                 lower = page.lower() if lower is None else lower
                 end = lower.find(f"</{name}", at)
                 if len(lower) != n:  # lower-casing changed the length somewhere: look without it
@@ -156,7 +184,7 @@ def leaves(page: str | None) -> list[Leaf]:
                 own |= {f"is={w}" for w in _WORDS.findall(value)}
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                 own.add("hidden")
-        if m["rest"].endswith("/") and name not in BLOCK:
+        if name not in BLOCK and _CLOSED.search(m["rest"]):
             continue
         anchors += name == "a"
         where.setdefault(name, []).append(len(stack))
@@ -184,12 +212,11 @@ def _above(marks: frozenset[str]) -> list[int]:
 
 def features(leaf: Leaf) -> list[int]:
     """Hashed features of a block by itself."""
-    text = leaf.text
-    n, words = len(text), text.count(" ") + 1
-    link = leaf.linked / max(1, n)
+    text, n, words = leaf.text, leaf.size, leaf.words
+    link, last = leaf.linked / max(1, len(text)), text[-1].translate(_ENDS)
     names = [
         "bias", f"tag:{leaf.tag}", f"len:{min(7, n.bit_length() // 2)}", f"words:{min(6, words.bit_length())}", f"link:{min(3, int(link * 4))}",
-        f"ends:{text[-1] if text[-1] in '.!?:;,' else 'x'}", f"first:{'U' if text[0].isupper() else 'l' if text[0].islower() else 'd' if text[0].isdigit() else 'o'}",
+        f"ends:{last if last in '.!?:;,' else 'x'}", f"first:{'U' if text[0].isupper() else 'l' if text[0].islower() else 'd' if text[0].isdigit() else 'o'}",
     ]
     if "©" in text[:20]:
         names.append("sign")
@@ -197,9 +224,8 @@ def features(leaf: Leaf) -> list[int]:
 
 
 def prose_of(leaf: Leaf) -> int:
-    """Characters of running text: a block of several words that is not mostly links and not marked as something else."""
-    n = len(leaf.text)
-    return n - leaf.linked if leaf.text.count(" ") >= 5 and 3 * leaf.linked < n and not leaf.marks & ASIDE else 0
+    """Characters of running text: a block of several words, in whatever script, that is not mostly links and not marked as something else."""
+    return leaf.size - leaf.linked if leaf.words > 5 and 3 * leaf.linked < len(leaf.text) and not leaf.marks & ASIDE else 0
 
 
 def page_features(blocks: list[Leaf]) -> list[list[int]]:
@@ -209,12 +235,16 @@ def page_features(blocks: list[Leaf]) -> list[list[int]]:
     for x in prose:
         sums.append(sums[-1] + x)
     held: dict[int, int] = {}
+    around: dict[int, int] = {}  # what holds columns and other parts side by side
     for b, x in zip(blocks, prose):
         # A block's text counts for what holds the block, and half for what holds that.
         for k, at in enumerate(reversed(b.up[:-1])):
             if x and k < 2:
                 held[at] = held.get(at, 0) + (x >> k)
+            if x and k:
+                around[at] = around.get(at, 0) + x
     best = max(held, key=lambda at: (held[at], -at), default=-1)
+    wide = max(around, key=lambda at: (around[at], at), default=-1)
     filled = [i for i, x in enumerate(prose) if x >= 60]
     first, last = (filled[0], filled[-1]) if filled else (len(blocks), -1)
     out = []
@@ -223,7 +253,9 @@ def page_features(blocks: list[Leaf]) -> list[list[int]]:
         sides = [f"{name}:{blocks[j].tag}:{min(2, len(blocks[j].text) // 50)}:{2 * blocks[j].linked > len(blocks[j].text)}" if 0 <= j < len(blocks) else name for name, j in (("prev", i - 1), ("next", i + 1))]
         level = b.up[::-1].index(best) if best in b.up else 9
         place = "before" if i < first else "after" if i > last else "within"
-        names = [f"near:{min(6, near.bit_length() // 2)}", f"best:{level}", f"place:{place}", f"place:{place}:best:{level < 9}", f"own:{min(4, prose[i].bit_length() // 2)}:best:{level < 9}", *sides]
+        names = [f"near:{min(6, near.bit_length() // 2)}", f"best:{level}", f"place:{place}", f"place:{place}:best:{level < 9}", f"own:{min(4, prose[i].bit_length() // 2)}:best:{level < 9}", f"own:{min(4, prose[i].bit_length() // 2)}:wide:{wide in b.up}:{place}", f"few:{min(4, len(blocks))}:{b.tag}:{prose[i] > 0}", *sides]
+        if prose[i] and ("article" in b.marks or "main" in b.marks):
+            names.append(f"prose-in-main:{level < 9}")
         out.append([*features(b), *map(_bucket, names)])
     return out
 
@@ -262,7 +294,8 @@ class Field:
 
 def fit(pages: list[tuple[list[Leaf], list[bool]]], *, rounds: int = 120, rate: float = 0.3, penalty: float = 1e-3) -> Field:
     """Maximise the conditional likelihood of labelled pages by Adam steps."""
-    pages = [p for p in pages if p[0]]
+    # Longest first, so that the pages that reach a place are the first ones.
+    pages = sorted((p for p in pages if p[0]), key=lambda p: -len(p[0]))
     most, size = max(len(b) for b, _ in pages), 1 << BITS
     feats = [f for blocks, _ in pages for f in page_features(blocks)]
     row = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
@@ -271,6 +304,7 @@ def fit(pages: list[tuple[list[Leaf], list[bool]]], *, rounds: int = 120, rate:
     gold = np.array([y for _, labels in pages for y in labels], np.int64)
     length = np.array([len(b) for b, _ in pages])
     on = np.arange(most)[None, :] < length[:, None]
+    reach, rows = on.sum(0), np.arange(len(pages))
     y = np.zeros(len(pages) * most, np.int64)
     y[place] = gold
     y = y.reshape(len(pages), most)
@@ -287,13 +321,13 @@ def fit(pages: list[tuple[list[Leaf], list[bool]]], *, rounds: int = 120, rate:
         b = np.zeros_like(a)
         a[:, 0] = ends + emit[:, 0]
         for t in range(1, most):
-            s = np.logaddexp(a[:, t - 1, :1] + pairs[0], a[:, t - 1, 1:] + pairs[1]) + emit[:, t]
-            a[:, t] = np.where(on[:, t, None], s, a[:, t - 1])
+            k = reach[t]
+            a[:k, t] = np.logaddexp(a[:k, t - 1, :1] + pairs[0], a[:k, t - 1, 1:] + pairs[1]) + emit[:k, t]
         for t in range(most - 2, -1, -1):
-            z = b[:, t + 1] + emit[:, t + 1]
-            s = np.logaddexp(pairs[:, 0] + z[:, :1], pairs[:, 1] + z[:, 1:])
-            b[:, t] = np.where(on[:, t + 1, None], s, 0.0)
-        log_z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
+            k = reach[t + 1]
+            z = b[:k, t + 1] + emit[:k, t + 1]
+            b[:k, t] = np.logaddexp(pairs[:, 0] + z[:, :1], pairs[:, 1] + z[:, 1:])
+        log_z = np.logaddexp(*a[rows, length - 1].T)
         one = np.exp(a[:, :, 1] + b[:, :, 1] - log_z[:, None])
         grad = np.zeros_like(theta)
         grad[:size] = np.bincount(col, (gold - one.reshape(-1)[place])[row], size)
@@ -308,7 +342,7 @@ def fit(pages: list[tuple[list[Leaf], list[bool]]], *, rounds: int = 120, rate:
     return Field(theta[:size], theta[size : size + 4].reshape(2, 2), theta[size + 4 :])
 
 
-def labelled_pages(n: int = 450, seed: int = 3) -> list[tuple[list[Leaf], list[bool]]]:
+def labelled_pages(n: int = 540, seed: int = 3) -> list[tuple[list[Leaf], list[bool]]]:
     """``n`` written pages of varied layout, read into blocks, each with whether it is of the article.
 
     Article text carries a mark character that is taken out again once the blocks are read.
@@ -319,11 +353,17 @@ def labelled_pages(n: int = 450, seed: int = 3) -> list[tuple[list[Leaf], list[b
     def pick(*options):
         return r.choice(options)
 
+    vocabulary = ["".join(r.choices(("a", "e", "i", "o", "u", "an", "er", "on", "st", "th", "re", "le", "ch", "ung", "ción", "té"), k=r.randrange(1, 5))) for _ in range(3000)]
+    scripts = [[chr(c) for c in range(a, b)] for a, b in ((0x3041, 0x3094), (0x4E00, 0x5E00), (0x0E01, 0x0E2F), (0xAC00, 0xB000))]
+    letters: list[str] = []  # of the page's script, where that has no spaces
+
     def word() -> str:
-        return "".join(pick("a", "e", "i", "o", "u", "an", "er", "on", "st", "th", "re", "le", "ch", "ung", "ción", "té") for _ in range(r.randrange(1, 5)))
+        return "".join(r.choices(letters, k=r.randrange(1, 4))) if letters else r.choice(vocabulary)
 
     def say(k: int) -> str:
-        return (" ".join(word() for _ in range(k)).capitalize() + pick(".", ".", ".", "", "!", "?")).strip()
+        if letters:
+            return "".join(r.choices(letters, k=r.randrange(k, 3 * k + 1))) + pick("。", "。", "。", "", "！", "？")
+        return (" ".join(r.choices(vocabulary, k=k)).capitalize() + pick(".", ".", ".", "", "!", "?")).strip()
 
     def prose(most: int = 6) -> str:
         return " ".join(say(r.randrange(1, 25)) for _ in range(r.randrange(1, most)))
@@ -336,6 +376,8 @@ def labelled_pages(n: int = 450, seed: int = 3) -> list[tuple[list[Leaf], list[b
 
     def menu() -> str:
         items = "".join(f'<li><a href="/{word()}">{say(r.randrange(1, 3))}</a></li>' for _ in range(r.randrange(2, 9)))
+        if r.random() < 0.1:
+            return "<nav>" + "".join(f'<a href="/">{say(1)}</a> ' for _ in range(r.randrange(1, 5))) + "</nav>"
         return pick(f"<nav{attrs('menu', 'navbar')}><ul>{items}</ul></nav>", f'<div class="{pick("menu", "nav", "navbar", "navigation", "breadcrumb", "topbar")}"><ul>{items}</ul></div>', f'<ul class="{pick("nav", "menu", "breadcrumbs")}">{items}</ul>', f'<div role="navigation">{items}</div>')
 
     def notice() -> str:
@@ -389,10 +431,25 @@ def labelled_pages(n: int = 450, seed: int = 3) -> list[tuple[list[Leaf], list[b
     def small_print() -> str:
         return pick(f"{pick('&copy;', '©')} {r.randrange(1990, 2030)} {word()} {say(r.randrange(1, 6))}", f"© {word()}.example &middot; {prose(3)}", say(r.randrange(1, 5)))
 
+    def columns(parts: list[str]) -> str:
+        """The parts side by side."""
+        name = pick("col", "column", "col-md-6", "half", f"x{r.randrange(99)}", "")
+        each = "".join(f'<div class="{name}">{x}</div>' if name else f"<div>{x}</div>" for x in parts)
+        return pick(f'<div class="{pick("row", "columns", "grid", "flex")}">{each}</div>', f"<div>{each}</div>", f"<section>{each}</section>")
+
+    def short() -> str:
+        """An article of a paragraph or two, alone or with little around it."""
+        body = "".join(f"<p>{own(pick(say(r.randrange(8, 20)) + ' ' + say(r.randrange(4, 12)), prose(9) + ' ' + prose(9)))}</p>" for _ in range(r.choice((1, 1, 1, 2))))
+        core = pick(f"<article>{body}</article>", f"<article>{body}</article>", f"<main>{body}</main>", f'<div class="{pick("content", "post", "story")}">{body}</div>', f"<div>{body}</div>", body)
+        if r.random() < 0.3:
+            return core
+        return pick(menu(), menu(), header(), "") + core + pick(footer(), footer(), f"<div>{small_print()}</div>", "")
+
     def unnamed() -> str:
         """A page whose classes tell nothing: only its text does."""
         title = pick(f"<h1>{own(say(6))}</h1>", f"<h1>{own(say(6))}</h1>", f"<h2>{own(say(5))}</h2>", "")
-        body = title + "".join(para() if r.random() < 0.6 else f"<p>{own(prose(9) + ' ' + prose(9))}</p>" for _ in range(r.randrange(2, 10)))
+        parts = [para() if r.random() < 0.6 else f"<p>{own(prose(9) + ' ' + prose(9))}</p>" for _ in range(r.randrange(2, 10))]
+        body = title + (columns([f"<p>{own(prose(9) + ' ' + prose(9))}</p>" + x for x in parts[:3]]) if r.random() < 0.2 else "".join(parts))
         head = "".join(x() for x in (lambda: plain(say(2)), lambda: plain(links()), lambda: plain(say(4)), form) if r.random() < 0.6)
         tail = "".join(x() for x in (lambda: plain(links()), lambda: plain(f"<h3>{say(2)}</h3>{links()}"), replies, side) if r.random() < 0.4)
         end = pick(f"<div>{small_print()}</div>", f"<p>{small_print()}</p>", plain(small_print()), f"<footer>{small_print()}</footer>", "")
@@ -402,9 +459,12 @@ def labelled_pages(n: int = 450, seed: int = 3) -> list[tuple[list[Leaf], list[b
 
     out = []
     for number in range(n):
+        letters[:] = r.choice(scripts) if number % 6 == 5 else []
         body = "".join(para() for _ in range(r.randrange(1, 12)))
+        if r.random() < 0.1:
+            body = columns(["".join(para() for _ in range(r.randrange(1, 4))) for _ in range(r.choice((2, 2, 3)))])
         if r.random() < 0.25:
-            body = "".join(f"<p>{own(say(r.randrange(1, 5)))}</p>" for _ in range(r.randrange(1, 4)))
+            body = "".join(f"<p>{own(say(r.choice((2, 4, 9, 14))))}</p>" for _ in range(r.randrange(1, 4)))
         title = pick(f"<h1>{own(say(6))}</h1>", f"<h1>{own(say(6))}</h1>", f"<header><h1>{own(say(5))}</h1></header>", "")
         within = pick("", "", "", advert(), side(), replies(), notice())
         core = title + body + within
@@ -420,6 +480,8 @@ def labelled_pages(n: int = 450, seed: int = 3) -> list[tuple[list[Leaf], list[b
         before = "".join(x() for x in (menu, header, notice, advert, form, side) if r.random() < 0.45)
         after = "".join(x() for x in (side, replies, advert, form, menu, notice) if r.random() < 0.35)
         inside = f"{before}{core}{after}{pick(footer(), footer(), '')}" if number % 3 else unnamed()
+        if number % 4 == 3:
+            inside = short()
         blocks = leaves(f"<!DOCTYPE html><html><head><title>{say(5)}</title></head><body>{inside}" + pick("</body></html>", ""))
         labels = [mark in b.text for b in blocks]
         out.append(([Leaf(b.text.replace(mark, "") or "x", b.linked, b.marks, b.tag, b.up) for b in blocks], labels))

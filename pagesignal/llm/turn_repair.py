@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small
-from .runs import by_group, group_starts, running
+from ..operators.runs import by_group, group_starts, running
 
 SEGMENT, BATCH_ROWS = 512, 20_000
 BLANKS = " \t\n\x0b\x0c\r"

@@ -11,7 +11,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from pagesignal.llm import chat, queries, runs, turn_repair
+from pagesignal.llm import chat, queries, turn_repair
+from pagesignal.operators import runs
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
 CLASHING = ("at", "segment", "h1", "cost", "audit", "step", "window", "tie", "__at", "times")

@@ -606,6 +606,35 @@ def test_pages_of_other_layouts(page, want):
     assert main_text(page) == want
 
 
+ONE = "Prose runs on for a good while here, with commas and a full stop. It says something of its own."
+TWO = "Another paragraph follows the first one and adds a few more facts to it. It ends here."
+KANA = "これは日本語の記事です。空白のない文が続きます。読者はこの文章を最後まで読むでしょう。"
+MORE_KANA = "次の段落も同じように続きます。文字だけで区切りはありません。終わりです。"
+HAN_TITLE = "見出し"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    # One paragraph, alone and with a menu and a footer.
+    (f"<article><p>{ONE}</p></article>", ONE),
+    (f"<html><body><p>{ONE}</p></body></html>", ONE),
+    (f"<main><p>{ONE}</p></main>", ONE),
+    (f"<nav><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul></nav><article><p>{ONE}</p></article><footer>© 2024 Site</footer>", ONE),
+    # Scripts without spaces.
+    (f"<div class=content><p>{KANA}</p><p>{MORE_KANA}</p></div>", f"{KANA}\n{MORE_KANA}"),
+    (f"<article><p>{KANA}</p><p>{MORE_KANA}</p></article>", f"{KANA}\n{MORE_KANA}"),
+    (f"<nav><ul><li><a href=/>ホーム</a><li><a href=/a>会社概要</a></ul></nav><article><h1>{HAN_TITLE}</h1><p>{KANA}</p><p>{MORE_KANA}</p></article><footer>© 2024 会社</footer>", f"{HAN_TITLE}\n{KANA}\n{MORE_KANA}"),
+    # Columns side by side.
+    (f"<div class=row><div class=col><p>{ONE}</p></div><div class=col><p>{TWO}</p></div></div>", f"{ONE}\n{TWO}"),
+    (f"<article><div class=row><div class=col><p>{ONE}</p></div><div class=col><p>{TWO}</p></div></div></article>", f"{ONE}\n{TWO}"),
+    (f"<nav><a href=/>x</a></nav><div class=content><div class=left><p>{ONE} {ONE}</p></div><div class=right><p>{TWO}</p></div></div><footer>© x</footer>", f"{ONE} {ONE}\n{TWO}"),
+    # What a text area holds is a form's, whatever tags it shows.
+    (f"<article><p>{ONE}</p><p>{TWO}</p><textarea><p>form text that is long enough to be prose, really.</textarea></article>", f"{ONE}\n{TWO}"),
+    (f"<article><p>{ONE}</p></article><form><textarea/><p>form text that is long enough to be prose, really.</p></textarea></form>", ONE),
+])
+def test_short_pages_other_scripts_columns_and_forms(page, want):
+    assert main_text(page) == want
+
+
 @HAS_DATA
 def test_main_text_matches_the_article_element(spark):
     import html as h
