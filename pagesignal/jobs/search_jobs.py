@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..operators.text_index import TextIndex
+from ..sources.shared import shared_folder
 from . import fixtures as X
 
 NAMES = ["Wilmington", "Wrightsville Beach", "Carolina Beach", "Leland", "New Hanover County", "the"]
@@ -36,6 +40,29 @@ def bm25_topk(spark, sf_dir):
     return _ranked(S.bm25_search(*_both(spark, sf_dir), 10))
 
 
+def _index(spark):
+    return TextIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+
+
+def index_search(spark, sf_dir):
+    """The stored index, built in one batch."""
+    corpus, queries = _both(spark, sf_dir)
+    index = _index(spark)
+    index.append(corpus, 0)
+    return _ranked(index.search(queries, 10))
+
+
+def index_search_upserted(spark, sf_dir):
+    """The index after batches: first every document with another's text, then some anew, some of these twice, and some that are new."""
+    corpus, queries = _both(spark, sf_dir)
+    number = F.col("id").cast("long")
+    index = _index(spark)
+    index.append(corpus.where(number % 3 < 2).withColumn("text", F.concat(F.lit("the old text the "), F.left("text", F.lit(200)))), 0)
+    index.append(corpus.where(number % 3 == 0).withColumn("title", F.lit("x")), 1)
+    index.append(corpus.where((number % 3 != 1)), 2)
+    return _ranked(index.search(queries, 10))
+
+
 def bm25_dense_corpus(spark, sf_dir):
     """Items of orders as documents of a few words each, so that most terms are in most documents: the mean idf is negative."""
     rows = X.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("m"), F.month("l_shipdate").cast("string")))), " ").alias("months"), F.min("l_linestatus").alias("status"))
@@ -92,7 +119,7 @@ def corpus_upsert(spark, sf_dir):
 
 
 QUERIES = {
-    "corpus_term_stats": corpus_term_stats, "term_frequencies": term_frequencies, "hashed_norms": hashed_norms, "bm25_topk": bm25_topk, "vector_topk": vector_topk,
+    "corpus_term_stats": corpus_term_stats, "term_frequencies": term_frequencies, "hashed_norms": hashed_norms, "bm25_topk": bm25_topk, "index_search": index_search, "index_search_upserted": index_search_upserted, "vector_topk": vector_topk,
     "hybrid_rrf": _hybrid("rrf"), "hybrid_weighted_zscore": _hybrid("weighted"), "hybrid_weighted_minmax": _hybrid("weighted", "minmax"), "hybrid_weighted_none": _hybrid("weighted", "none"), "bm25_dense_corpus": bm25_dense_corpus, "rejected_queries": rejected_queries,
     "search_geo_boost_paged": search_geo_boost_paged, "search_filters": search_filters, "site_filter": site_filter, "snippets": snippets, "corpus_upsert": corpus_upsert,
 }
@@ -165,6 +192,8 @@ SQL = {
     "term_frequencies": f"WITH {_TOKENS} SELECT id, term, tf FROM tf",
     "hashed_norms": f"WITH {_TOKENS}, {_VECTOR} SELECT id, round(norm, 6) AS norm FROM doc_norm",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, rank, id, round(score, 6) AS score FROM bm25 WHERE rank <= 10",
+    "index_search": f"WITH {_BM25} SELECT query_id, rank, id, round(score, 6) AS score FROM bm25 WHERE rank <= 10",
+    "index_search_upserted": "WITH " + _BM25.replace(X.CORPUS_SQL, X.CORPUS_SQL.replace("corpus AS", "given AS") + ", corpus AS (SELECT id, title, CASE WHEN id::BIGINT % 3 = 1 THEN 'the old text the ' || left(text, 200) ELSE text END AS text FROM given)") + " SELECT query_id, rank, id, round(score, 6) AS score FROM bm25 WHERE rank <= 10",
     "bm25_dense_corpus": f"WITH {_DENSE},{_SCORES} SELECT query_id, rank, id, round(score, 6) AS score FROM bm25 WHERE rank <= 10",
     "rejected_queries": "SELECT conv_id || '-' || turn AS query_id FROM conversations WHERE turn % 3 = 0 OR trim(coalesce(text, '')) = ''",
     "hybrid_weighted_none": _hybrid_sql(_weighted("score")),

@@ -37,9 +37,29 @@ def document_tokens(corpus: DataFrame) -> DataFrame:
     return corpus.select("id", tokens.alias("tokens")).select("id", "tokens", F.size("tokens").alias("dl"))
 
 
+def document_counts(corpus: DataFrame) -> DataFrame:
+    """``id, terms, tfs, dl``: each document's different terms in order and how often it holds each, counted in the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(1)
+            sizes, names = tokens.value_lengths().to_numpy(), tokens.flatten().dictionary_encode()
+            # Numbers in the order of the terms, so that a document's cells come sorted.
+            rank = np.empty(len(names.dictionary), np.int64)
+            by_name = pc.sort_indices(names.dictionary).to_numpy()
+            rank[by_name] = np.arange(len(by_name))
+            cells, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(rank)) + rank[names.indices.to_numpy()], return_counts=True)
+            doc, term = np.divmod(cells, max(1, len(rank)))
+            ends = pa.array(np.searchsorted(doc, np.arange(len(sizes) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, names.dictionary.take(pa.array(by_name[term]))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32))), batch.column(2)], names=["id", "terms", "tfs", "dl"])
+
+    return document_tokens(corpus).mapInArrow(run, f"id {corpus.schema['id'].dataType.simpleString()}, terms array<string>, tfs array<int>, dl int")
+
+
 def term_frequencies(corpus: DataFrame) -> DataFrame:
-    """``id, term, tf``."""
-    return document_tokens(corpus).select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """``id, term, tf``, counted in the row: nothing is shuffled. Rows of one id are documents of their own."""
+    pairs = document_counts(corpus).select("id", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    return pairs.select("id", F.col("x.terms").alias("term"), F.col("x.tfs").cast("long").alias("tf"))
 
 
 def document_frequencies(corpus: DataFrame) -> DataFrame:
@@ -127,24 +147,28 @@ def best_of_task(score: Callable[[pa.RecordBatch], np.ndarray], names: list[str]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, scores = [np.empty(0, object)] * len(names), [np.empty(0)] * len(names)
+        # The k-th score that each query holds: only documents that reach it are looked at.
+        least = np.full(len(names), -np.inf)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 own = batch.slice(at, step)
+                found = score(own)
+                rounded = np.round(found, digits)
+                asked, rows = np.nonzero((rounded >= least[None, :]).T)
+                if not len(rows):
+                    continue
                 doc_ids = np.array(own.column(0).to_pylist(), object)
-                by_id = np.argsort(doc_ids.astype(str), kind="stable")
-                doc_ids, found = doc_ids[by_id], np.ascontiguousarray(score(own)[by_id].T)
-                for j, (new, rounded) in enumerate(zip(found, np.round(found, digits))):
-                    if len(new) > k:
-                        # Rows lie by id, so of those that tie for the last places the first ones count.
-                        last = np.partition(rounded, -k)[-k]
-                        over = np.flatnonzero(rounded > last)
-                        at_last = np.flatnonzero(rounded == last)[: k - len(over)]
-                        keep = np.concatenate([over, at_last])
-                    else:
-                        keep = np.arange(len(new))
-                    merged, whose = np.concatenate([scores[j], new[keep]]), np.concatenate([ids[j], doc_ids[keep]])
+                begins = np.searchsorted(asked, np.arange(len(names) + 1))
+                for j in np.flatnonzero(np.diff(begins)).tolist():
+                    new = rows[begins[j] : begins[j + 1]]
+                    if len(new) > 4 * k:
+                        # All that reach the batch's own k-th score, those that tie with it too.
+                        new = new[rounded[new, j] >= np.partition(rounded[new, j], -k)[-k]]
+                    merged, whose = np.concatenate([scores[j], found[new, j]]), np.concatenate([ids[j], doc_ids[new]])
                     first = np.lexsort((whose.astype(str), -np.round(merged, digits)))[:k]
                     scores[j], ids[j] = merged[first], whose[first]
+                    if len(first) == k:
+                        least[j] = np.round(merged[first[-1]], digits)
         for name, own_ids, own_scores in zip(names, ids, scores):
             if len(own_ids):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(own_ids), pa.string()), pa.array(own_ids.tolist(), pa.string()), pa.array(own_scores)], names=["query_id", "id", "score"])
@@ -208,10 +232,18 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, block: in
 
 
 def hashed_norms(corpus: DataFrame, width: int = VECTOR_DIM) -> DataFrame:
-    """``id, norm``: Euclidean length of each document's hashed token counts."""
-    buckets = document_tokens(corpus).select("id", F.explode(F.transform("tokens", lambda t: hash_bucket(t, width))).alias("bucket"))
-    counted = buckets.groupBy("id", "bucket").agg(F.count("*").alias("n"))
-    return counted.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    """``id, norm``: Euclidean length of each document's hashed token counts, in the row. Documents without tokens have none."""
+    counts = document_counts(corpus).where(F.size("terms") > 0).select("id", F.transform("terms", lambda t: hash_bucket(t, width)).alias("buckets"), "tfs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy()
+            cells = np.repeat(np.arange(len(sizes)), sizes) * width + batch.column(1).flatten().to_numpy()
+            cells, place = np.unique(cells, return_inverse=True)
+            n = np.bincount(place, batch.column(2).flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.sqrt(np.bincount(cells // width, n * n, len(sizes))))], names=["id", "norm"])
+
+    return counts.mapInArrow(run, f"id {corpus.schema['id'].dataType.simpleString()}, norm double")
 
 
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, width: int = VECTOR_DIM, block: int = 2000) -> DataFrame:
