@@ -115,7 +115,7 @@ def jsonld_normalize(spark, sf_dir):
 def jsonld_enrich(spark, sf_dir):
     organizations = X.table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "CAST(s_nationkey % 5 AS STRING) AS market", """CASE WHEN s_suppkey % 3 = 0 THEN '{"@type":"Organization","areaServed":"all"}' ELSE '{"@type":"Organization"}' END AS jsonld""")
     # Places stand against the order of their names, one of them twice; the places of one market are listed outright.
-    registry = X.table(spark, sf_dir, "nation").selectExpr("CAST(n_regionkey AS STRING) AS market", "CASE WHEN n_regionkey = 2 THEN 'areaServed' WHEN n_nationkey % 3 = 0 THEN 'county' WHEN n_nationkey % 3 = 1 THEN 'city' ELSE 'zips' END AS kind", "explode(array(-n_nationkey, 50)) AS nth", "n_name AS name").where("nth < 50 OR kind = 'city'")
+    registry = X.table(spark, sf_dir, "nation").selectExpr("CAST(n_regionkey AS STRING) AS market", "CASE WHEN n_regionkey = 2 THEN 'areaServed' WHEN n_nationkey % 3 = 0 THEN 'county' WHEN n_nationkey % 3 = 1 THEN 'city' ELSE 'zips' END AS kind", "explode(array(-n_nationkey, 50 - n_nationkey)) AS nth", "n_name AS name").where("nth <= 0 OR kind = 'city'")
     services = X.table(spark, sf_dir, "region").selectExpr("-r_regionkey AS nth", "CASE WHEN r_regionkey = 3 THEN 'AFRICA' WHEN r_regionkey = 4 THEN '' ELSE r_name END AS service")
     return J.enrich_organizations(organizations, registry, services, "market").select("s_suppkey", json_stable(F.col("jsonld")).alias("jsonld"))
 

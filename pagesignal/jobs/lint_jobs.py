@@ -55,7 +55,7 @@ def lint_phrase_table(spark, sf_dir):
 
 def _phrase_table(spark, sf_dir):
     words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    pairs = F.array(F.struct(F.array_join(F.slice(words, 1, 2), " ").alias("phrase"), F.lit("two").alias("fix")), F.struct(F.upper(F.array_join(F.slice(words, 2, 3), " ")).alias("phrase"), F.lit("three").alias("fix")))
+    pairs = F.array(F.struct(F.array_join(F.slice(words, 1, 2), " ").alias("phrase"), F.lit("two").alias("fix")), F.struct(F.translate(F.array_join(F.slice(words, 2, 3), " "), "aeio", "AEIO").alias("phrase"), F.lit("three").alias("fix")))
     return X.table(spark, sf_dir, "benchmark").select(F.inline(pairs)).distinct()
 
 
@@ -158,7 +158,7 @@ SELECT doc_id, 'geo.nap_mismatch' AS rule, 'error' AS severity, 'Give the teleph
 UNION ALL SELECT doc_id, 'geo.city_presence', 'warn', 'Name the city: Wilmington' FROM keyed WHERE NOT contains(lower(text), 'wilmington')
 UNION ALL SELECT doc_id, 'geo.region_presence', 'info', 'Name the region: NC' FROM keyed WHERE NOT contains(lower(text), 'nc')""",
     "lint_phrase_table": r"""WITH words AS (SELECT string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS w FROM benchmark),
-phrases AS (SELECT DISTINCT array_to_string(w[1:2], ' ') AS phrase, 'two' AS fix FROM words UNION SELECT DISTINCT upper(array_to_string(w[2:4], ' ')), 'three' FROM words),
+phrases AS (SELECT DISTINCT array_to_string(w[1:2], ' ') AS phrase, 'two' AS fix FROM words UNION SELECT DISTINCT translate(array_to_string(w[2:4], ' '), 'aeio', 'AEIO'), 'three' FROM words),
 parts AS (SELECT doc_id, text, phrase, fix, string_split(lower(text), lower(phrase)) AS p FROM documents JOIN phrases ON contains(lower(text), lower(phrase))),
 found AS (SELECT doc_id, text, phrase, fix, (k - 1) * length(phrase) + list_sum(list_transform(p[1:k], lambda x: length(x)))::BIGINT AS p0 FROM (SELECT *, unnest(range(1, len(p))) AS k FROM parts))
 SELECT doc_id, phrase, fix, p0 AS at, """ + f"{_AT[0]} AS line, {_AT[1]} AS start, {_AT[1]} + length(phrase) AS stop FROM found",
