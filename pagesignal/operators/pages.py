@@ -177,25 +177,35 @@ def validators(rows: DataFrame) -> dict[str, Column]:
 def recrawl_state(log: DataFrame) -> DataFrame:
     """State of each url after its fetches: validators, attempts since the last success, backoff.
 
-    Everything follows from a url's last success and the failures after it, so partial sums by url do:
-    no url's history is gathered or sorted.
+    The log is read once. Rows meet by url and word, a word being 64 places of ``seq``: its failures are the bits of a long, all else
+    in it is the newest row that says so, so partial sums do, and a url with many fetches is many tasks' work. What is left of a url is a row
+    for each word. Fetches that come twice count once; of several with one ``seq`` a success ends the failures. A row without a ``seq`` has
+    no place: it counts for nothing but that its url is there.
     """
     rows = classify_fetch(log)
-    rows = rows.withColumns({**validators(rows), "ok": F.col("outcome").isin("ok", "not_modified")})
-    good = F.when(F.col("ok"), F.col("seq"))
-    last_good = rows.groupBy("url").agg(
-        F.max(good).alias("__good"),
-        F.max_by("fetched_at", good).alias("last_success_at"),
-        F.max_by("etag", F.when(F.col("etag").isNotNull(), F.col("seq"))).alias("etag"),
-        F.max_by("last_modified", F.when(F.col("last_modified").isNotNull(), F.col("seq"))).alias("last_modified"),
-        F.max_by("status", "seq").alias("last_status"),
-        F.max_by("fetched_at", "seq").alias("__last_at"),
-    )
-    failed = rows.join(last_good.select("url", "__good"), "url").where(~F.col("ok") & (F.col("__good").isNull() | (F.col("seq") > F.col("__good")))).groupBy("url").agg(F.count("*").cast("int").alias("attempts"))
+    seq = F.col("seq").cast("long")
+    rows = rows.withColumns({**validators(rows), "ok": F.col("outcome").isin("ok", "not_modified"), "seq": seq, "__place": seq.bitwiseAND(63).cast("int")})
+    newest = lambda c, on: F.max(F.when(on & F.col("seq").isNotNull(), F.struct("seq", F.col(c).alias("value"))))
+    always = F.lit(True)
+    figures = {
+        "__good": newest("fetched_at", F.col("ok")),
+        "__last": newest("fetched_at", always),
+        "__status": newest("status", always),
+        "__etag": newest("etag", F.col("etag").isNotNull()),
+        "__modified": newest("last_modified", F.col("last_modified").isNotNull()),
+    }
+    failed = F.bit_or(F.when(~F.col("ok"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__place"))))
+    words = rows.groupBy("url", F.shiftright("seq", 6).alias("__word")).agg(*(f.alias(k) for k, f in figures.items()), failed.alias("__failed"))
+
+    # Only the bits above the last success count, and none below a word that has one.
+    place = F.coalesce(F.col("__good.seq").bitwiseAND(63).cast("int"), F.lit(-1))
+    above = F.when(place < 0, F.col("__failed")).otherwise(F.shiftrightunsigned(F.call_function("shiftrightunsigned", F.col("__failed"), place), 1))
+    later = Window.partitionBy("url").orderBy(F.col("__word").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    counted = words.withColumn("__later", F.max("__good.seq").over(later)).withColumn("__n", F.when(F.col("__later").isNull(), F.bit_count(above)))
+    state = counted.groupBy("url").agg(*(F.max(k).alias(k) for k in figures), F.coalesce(F.sum("__n"), F.lit(0)).cast("int").alias("attempts"))
     wait = F.least(F.lit(BACKOFF_CAP), F.pow(F.lit(2.0), F.col("attempts")))
-    state = last_good.join(failed, "url", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
-    until = F.when(F.col("attempts") > 0, F.timestamp_micros(F.unix_micros(F.col("__last_at").cast("timestamp")) + (wait * 1_000_000).cast("long")))
-    return state.select("url", "etag", "last_modified", "last_status", "attempts", until.alias("backoff_until"), "last_success_at")
+    until = F.when(F.col("attempts") > 0, F.timestamp_micros(F.unix_micros(F.col("__last.value").cast("timestamp")) + (wait * 1_000_000).cast("long")))
+    return state.select("url", F.col("__etag.value").alias("etag"), F.col("__modified.value").alias("last_modified"), F.col("__status.value").alias("last_status"), "attempts", until.alias("backoff_until"), F.col("__good.value").alias("last_success_at"))
 
 
 def recrawl_attempts(log: DataFrame) -> DataFrame:

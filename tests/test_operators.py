@@ -205,6 +205,29 @@ def test_fetch_and_recrawl(spark):
     assert [r.attempts for r in pages.recrawl_attempts(log).orderBy("seq").collect()] == [0, 1, 2, 3, 0, 1]
 
 
+def test_recrawl_state_by_words_of_places(spark):
+    """Histories over several words of 64 places, in any order, one url with a third of the rows, against a walk in order."""
+    import random
+
+    rng = random.Random(5)
+    log = [(seq, "hot" if seq % 3 == 0 else f"u{rng.randrange(40)}", rng.choice((503, 503, 503, 200)), 10) for seq in range(-300, 3000)]
+    log += [(5000 + 64 * k, "sparse", 503, 10) for k in range(70)] + [(63, "edge", 200, 10), (64, "edge", 503, 10), (127, "edge", 503, 10)]
+    log += [(127, "sign", 503, 10), (126, "sign", 200, 10), (None, "sign", 200, 10), (None, "none", 503, 10), (7, None, 503, 10)]
+    log += log[::7]
+    rng.shuffle(log)
+    rows = spark.createDataFrame(log, "seq long, url string, status int, n_bytes long").repartition(5).selectExpr("*", "'e' || seq AS etag", "CAST(NULL AS STRING) AS last_modified", "timestamp_seconds(seq) AS fetched_at")
+    want = {}
+    for seq, url, status, _ in sorted({r for r in log if r[0] is not None}, key=lambda r: r[0]):
+        attempts, good, _, etag = want.get(url, (0, None, None, None))
+        want[url] = (0, seq, status, f"e{seq}") if status == 200 else (attempts + 1, good, status, etag)
+    want["none"] = (0, None, None, None)
+    out = pages.recrawl_state(rows)
+    got = {r.url: (r.attempts, r.last_success_at and int(r.last_success_at.timestamp()), r.last_status, r.etag) for r in out.collect()}
+    assert got == want and want["sparse"][0] == 70 and want["edge"][0] == 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") == 1  # the log is read once
+
+
 def test_robots(spark):
     files = spark.createDataFrame([("h", "User-agent: *\nDisallow: /a\n\nUser-agent: Bot\nDisallow:\nDisallow: /b\nAllow: /b/c\n# x")], "host string, body string")
     assert [r.rule for r in pages.parse_robots(files, "bot").collect()] == ["/b"] and [r.rule for r in pages.parse_robots(files, "other").collect()] == ["/a"]
