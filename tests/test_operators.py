@@ -228,6 +228,27 @@ def test_recrawl_state_by_words_of_places(spark):
     assert "Join" not in plan and plan.count("LogicalRDD") == 1  # the log is read once
 
 
+def test_recrawl_attempts_over_chunks(spark):
+    """Histories over several chunks of 1,024 places, some chunks without a success, against a walk in order."""
+    import random
+
+    rng = random.Random(9)
+    log = [(seq, "hot" if seq % 3 == 0 else None if seq % 50 == 1 else f"u{seq % 11}", 200 if rng.random() < 0.002 else 503, f"e{seq}" if seq % 7 == 0 else None) for seq in range(-1500, 5000)]
+    log += [(9000 + 1024 * k, "sparse", 200 if k == 4 else 503, None) for k in range(12)] + [(None, "early", 503, "first"), (3, "early", 503, None), (2000, "early", 503, None)]
+    log += log[::97]
+    want, held = [], {}
+    for seq, url, status, etag in sorted(log, key=lambda r: (r[0] is not None, r[0] or 0)):
+        attempts, known = held.get(url, (0, None))
+        # A failed fetch says nothing of the page.
+        held[url] = (0, etag or known) if status == 200 else (attempts + 1, known)
+        want.append((str(seq), str(url), *held[url]))
+    rng.shuffle(log)
+    rows = spark.createDataFrame(log, "seq long, url string, status int, etag string").repartition(3).selectExpr("*", "10L AS n_bytes", "CAST(NULL AS STRING) AS last_modified", "timestamp_seconds(seq) AS fetched_at")
+    out = pages.recrawl_attempts(rows)
+    assert sorted((str(r.seq), str(r.url), r.attempts, r.etag or "") for r in out.collect()) == sorted((*w[:3], w[3] or "") for w in want)
+    assert len(out.columns) == len(set(out.columns)) and not any(c.startswith("__") for c in out.columns)
+
+
 def test_robots(spark):
     files = spark.createDataFrame([("h", "User-agent: *\nDisallow: /a\n\nUser-agent: Bot\nDisallow:\nDisallow: /b\nAllow: /b/c\n# x")], "host string, body string")
     assert [r.rule for r in pages.parse_robots(files, "bot").collect()] == ["/b"] and [r.rule for r in pages.parse_robots(files, "other").collect()] == ["/a"]
