@@ -6,8 +6,10 @@ rules of its type are one projection of it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -268,38 +270,59 @@ def validity(objects: DataFrame) -> DataFrame:
     return objects.select("object_id", (F.size(errors_of(F.col("jsonld"))) == 0).alias("valid"))
 
 
-def suggestions(objects: DataFrame) -> DataFrame:
-    """``object_id, advice``: short codes of what would make the object better."""
-    v, kind = F.col("v"), F.col("kind")
+#: What would make an object of a kind better. The kind, the condition by name, its keys (or value), the advice.
+ADVICE = (
+    (None, "untyped", (), "set @type"),
+    ("LocalBusiness", "lacks", ("telephone",), "add telephone"),
+    ("LocalBusiness", "not_of_type", ("address", "PostalAddress"), "add a postal address"),
+    ("LocalBusiness", "lacks", ("geo", "hasMap"), "add geo or hasMap"),
+    ("LocalBusiness", "lacks", ("sameAs",), "add sameAs"),
+    ("Product", "part_lacks", ("offers", "priceCurrency"), "add priceCurrency"),
+    ("Product", "lacks", ("brand",), "add brand"),
+    ("Article", "lacks", ("author", "publisher"), "add author or publisher"),
+    ("Article", "lacks", ("image",), "add image"),
+    ("FAQPage", "empty", ("mainEntity",), "add a question"),
+    ("BreadcrumbList", "out_of_order", ("itemListElement", "position"), "number positions from 1"),
+    ("ItemList", "long_and_lacks", ("itemListElement", 5, "itemListOrder"), "add itemListOrder"),
+)
+
+
+def _items(v: Column, key: str) -> Column:
+    return F.try_variant_get(v, f"$.{key}", "array<variant>")
+
+
+def _lacks(v: Column, *keys: str) -> Column:
+    return reduce(and_, (_at(v, k).isNull() for k in keys))
+
+
+def _empty(v: Column, key: str) -> Column:
+    return _lacks(v, key) | F.to_json(_at(v, key)).isin("{}", "[]", '""', "null", "0", "false")
 
-    def lacks(*keys: str) -> Column:
-        out = F.lit(True)
-        for k in keys:
-            out = out & _at(v, k).isNull()
-        return out
-
-    def empty(key: str) -> Column:
-        return lacks(key) | F.to_json(_at(v, key)).isin("{}", "[]", '""', "null", "0", "false")
-
-    items = F.try_variant_get(v, "$.itemListElement", "array<variant>")
-    # The position of each item that is an object; one that is no whole number is null.
-    objects_of = F.filter(F.coalesce(items, F.array().cast("array<variant>")), lambda x: _is_kind(x, OBJECT))
-    positions = F.transform(objects_of, lambda x: F.when(_is_kind(_at(x, "position"), INTEGER), F.try_variant_get(x, "$.position", "int")))
-    in_order = F.forall(F.transform(positions, lambda p, i: F.coalesce(p == i + 1, F.lit(False))), lambda ok: ok)
-    advice = F.array_compact(F.array(
-        F.when(kind.isNull(), "set @type"),
-        F.when((kind == "LocalBusiness") & lacks("telephone"), "add telephone"),
-        F.when((kind == "LocalBusiness") & ~F.coalesce(F.try_variant_get(v, '$.address["@type"]', "string") == "PostalAddress", F.lit(False)), "add a postal address"),
-        F.when((kind == "LocalBusiness") & lacks("geo", "hasMap"), "add geo or hasMap"),
-        F.when((kind == "LocalBusiness") & lacks("sameAs"), "add sameAs"),
-        F.when((kind == "Product") & ~empty("offers") & lacks("offers.priceCurrency"), "add priceCurrency"),
-        F.when((kind == "Product") & lacks("brand"), "add brand"),
-        F.when((kind == "Article") & lacks("author", "publisher"), "add author or publisher"),
-        F.when((kind == "Article") & lacks("image"), "add image"),
-        F.when((kind == "FAQPage") & empty("mainEntity"), "add a question"),
-        F.when((kind == "BreadcrumbList") & (F.size(positions) > 0) & ~in_order, "number positions from 1"),
-        F.when((kind == "ItemList") & (F.size(items) > 5) & lacks("itemListOrder"), "add itemListOrder"),
-    ))
+
+def _out_of_order(v: Column, key: str, place: str) -> Column:
+    """Whether the items that are objects have other places than 1, 2, 3 and so on; without such items nothing is."""
+    held = F.filter(F.coalesce(_items(v, key), F.array().cast("array<variant>")), lambda x: _is_kind(x, OBJECT))
+    # A place that is no whole number is null.
+    places = F.transform(held, lambda x: F.when(_is_kind(_at(x, place), INTEGER), F.try_variant_get(x, f"$.{place}", "int")))
+    return ~F.forall(F.transform(places, lambda p, i: F.coalesce(p == i + 1, F.lit(False))), lambda ok: ok)
+
+
+#: The conditions of ``ADVICE``: from an object and a row's keys to a boolean.
+CONDITIONS: dict[str, Callable[..., Column]] = {
+    "untyped": lambda v: F.lit(True),
+    "lacks": _lacks,
+    "empty": _empty,
+    "not_of_type": lambda v, key, kind: ~F.coalesce(F.try_variant_get(v, f'$.{key}["@type"]', "string") == kind, F.lit(False)),
+    "part_lacks": lambda v, part, key: ~_empty(v, part) & _lacks(v, f"{part}.{key}"),
+    "out_of_order": _out_of_order,
+    "long_and_lacks": lambda v, items, most, key: (F.size(_items(v, items)) > most) & _lacks(v, key),
+}
+
+
+def suggestions(objects: DataFrame, rules: Iterable[tuple] = ADVICE) -> DataFrame:
+    """``object_id, advice``: for each of the ``rules`` that an object of its kind meets, the rule's advice."""
+    v, kind = F.col("v"), F.col("kind")
+    advice = F.array_compact(F.array(*(F.when(kind.eqNullSafe(of) & CONDITIONS[condition](v, *keys), text) for of, condition, keys, text in rules)))
     return parsed(objects).select("object_id", F.explode(advice).alias("advice"))
 
 
