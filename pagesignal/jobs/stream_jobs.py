@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import presence as P
 from ..operators import publish
 from ..sources import tables as T
+from ..sources.shared import remove, shared_folder
 from ..streaming import streams as S
 from . import fixtures as X
 from . import ingest_jobs, publish_jobs
@@ -21,13 +21,18 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared one; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-        root = tempfile.mkdtemp(prefix="streams-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def _run(spark: SparkSession) -> Iterator[str]:
+    """A fresh folder for streams that end inside the block: then what they read and their checkpoints go, and only results stay."""
+    folder = _folder(spark)
+    try:
+        yield folder
+    finally:
+        remove(spark, f"{folder}/in", f"{folder}/checkpoint")
 
 
 def _as_stream(df: DataFrame, folder: str, files: int = 4) -> DataFrame:
@@ -37,25 +42,25 @@ def _as_stream(df: DataFrame, folder: str, files: int = 4) -> DataFrame:
 
 
 def stream_presence_upsert(spark, sf_dir):
-    folder = _folder(spark)
-    table = S.presence_table(spark, f"{folder}/table")
-    S.stream_presence_upsert(_as_stream(X.shaped(spark, sf_dir, "events", X.PRESENCE), folder), table, f"{folder}/checkpoint", "day").awaitTermination()
+    with _run(spark) as folder:
+        table = S.presence_table(spark, f"{folder}/table")
+        S.stream_presence_upsert(_as_stream(X.shaped(spark, sf_dir, "events", X.PRESENCE), folder), table, f"{folder}/checkpoint", "day").awaitTermination()
     return table.read().select(*ingest_jobs._PRESENCE_COLUMNS)
 
 
 def stream_kpi_upsert(spark, sf_dir):
-    folder = _folder(spark)
-    table = S.kpi_table(spark, f"{folder}/table")
-    S.stream_kpi_upsert(_as_stream(X.shaped(spark, sf_dir, "orders", X.KPI), folder), table, f"{folder}/checkpoint").awaitTermination()
+    with _run(spark) as folder:
+        table = S.kpi_table(spark, f"{folder}/table")
+        S.stream_kpi_upsert(_as_stream(X.shaped(spark, sf_dir, "orders", X.KPI), folder), table, f"{folder}/checkpoint").awaitTermination()
     return table.read().select("metric", "t", "geo", "src", "v")
 
 
 def stream_presence_counts(spark, sf_dir):
-    folder = _folder(spark)
-    stream = _as_stream(X.shaped(spark, sf_dir, "events", X.PRESENCE), folder)
-    rows = P.normalize_presence(P.validate_presence(stream)[0])
-    counts = S.presence_counts(rows, late="3650 days")
-    counts.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    with _run(spark) as folder:
+        stream = _as_stream(X.shaped(spark, sf_dir, "events", X.PRESENCE), folder)
+        rows = P.normalize_presence(P.validate_presence(stream)[0])
+        counts = S.presence_counts(rows, late="3650 days")
+        counts.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(F.date_format("minute", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), "engine", "events", "seen", "citations")
 
 
@@ -71,8 +76,7 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 def stream_recrawl_state(spark, sf_dir):
-    folder = _folder(spark)
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKS):
+    with _run(spark) as folder, _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKS):
         stream = _as_stream(X.shaped(spark, sf_dir, "events", X.FETCHES), folder)
         out = S.stream_recrawl_state(stream).writeStream.outputMode("update").foreachBatch(lambda b, n: b.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
         out.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -82,17 +86,17 @@ def stream_recrawl_state(spark, sf_dir):
 
 
 def stream_content_changes(spark, sf_dir):
-    folder = _folder(spark)
-    table = S.content_table(spark, f"{folder}/table")
-    S.stream_content_changes(_as_stream(X.shaped(spark, sf_dir, "pages", X.CONTENT), folder), table, f"{folder}/checkpoint").awaitTermination()
+    with _run(spark) as folder:
+        table = S.content_table(spark, f"{folder}/table")
+        S.stream_content_changes(_as_stream(X.shaped(spark, sf_dir, "pages", X.CONTENT), folder), table, f"{folder}/checkpoint").awaitTermination()
     return table.read().select("path", "version", "status")
 
 
 def read_presence_stream(spark, sf_dir):
     """Events written as JSON files and taken in as a stream."""
-    folder = _folder(spark)
-    X.shaped(spark, sf_dir, "events", X.PRESENCE).write.json(f"{folder}/in")
-    T.read_presence_stream(spark, f"{folder}/in").writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    with _run(spark) as folder:
+        X.shaped(spark, sf_dir, "events", X.PRESENCE).write.json(f"{folder}/in")
+        T.read_presence_stream(spark, f"{folder}/in").writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("seq", "query", "engine", "geo", "seen", "citations", "ts")
 
 

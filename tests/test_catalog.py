@@ -38,6 +38,14 @@ def test_query_matches_its_sql(spark, oracle, name):
         assert len(got)
 
 
+def test_streams_leave_only_results(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.glob("stream-*"))
+    rows = catalog.QUERIES["stream_kpi_upsert"](spark, str(SF))
+    (folder,) = set(root.glob("stream-*")) - before
+    assert [p.name for p in folder.iterdir()] == ["table"] and rows.count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
