@@ -14,8 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import html_blocks
 from ..functions.urls import parse_host, rich_results_url
+from ..sources.shared import cut
 from .per_row import per_row
-from .sizes import is_small
+from .sizes import broadcast_if_small, is_small
 
 MOST_BYTES = 8 * 1024 * 1024
 BACKOFF_CAP = 60.0
@@ -208,31 +209,42 @@ def recrawl_state(log: DataFrame) -> DataFrame:
     return state.select("url", F.col("__etag.value").alias("etag"), F.col("__modified.value").alias("last_modified"), F.col("__status.value").alias("last_status"), "attempts", until.alias("backoff_until"), F.col("__good.value").alias("last_success_at"))
 
 
-def recrawl_attempts(log: DataFrame) -> DataFrame:
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``attempts``, validators carried on and ``__run``, the successes so far, all within ``key``."""
+    upto = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    in_run = Window.partitionBy(key, "__run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    carried = {c: F.last(c, ignorenulls=True).over(upto) for c in ("etag", "last_modified")}
+    return rows.withColumn("__run", F.count_if("ok").over(upto)).withColumn("attempts", F.count_if(~F.col("ok")).over(in_run).cast("int")).withColumns(carried)
+
+
+def recrawl_attempts(log: DataFrame, hot_rows: int = 1 << 20) -> DataFrame:
     """Each fetch with the failures in a row up to it: the history behind ``recrawl_state``.
 
-    Rows are numbered within chunks of 1,024 places of ``seq``, so a url with many fetches is many tasks' work; what a chunk takes over
-    from those before it comes from a table with a row for each chunk. Rows without a ``seq`` come first; null urls are one url; rows
-    that come twice count twice.
+    Urls of ``hot_rows`` fetches or more are many tasks' work: their rows are numbered within chunks of 1,024 places of ``seq``, and what a
+    chunk takes over from those before it comes from a table with a row for each chunk. Others are numbered whole. Rows without a ``seq`` come
+    first; null urls are one url; rows that come twice count twice.
     """
     rows = classify_fetch(log)
+    rows = rows.withColumns({**validators(rows), "ok": F.col("outcome").isin("ok", "not_modified")})
+    names = [*rows.columns, "attempts"]
+    hot = cut(rows.groupBy(F.col("url").alias("__hot")).agg(F.count("*").alias("__rows")).where(F.col("__rows") >= hot_rows))
+    if hot.isEmpty():
+        return _numbered(rows, "url").select(names)
+    hot, same = broadcast_if_small(hot), F.col("url").eqNullSafe(F.col("__hot"))
+    cold = _numbered(rows.join(hot, same, "left_anti"), "url").select(names)
+
     # A struct is never null, so that urls or places that are null meet, too.
     key = F.struct("url", F.shiftright(F.col("seq").cast("long"), 10).alias("chunk"))
-    rows = rows.withColumns({**validators(rows), "ok": F.col("outcome").isin("ok", "not_modified"), "__key": key})
-    upto = Window.partitionBy("__key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    in_run = Window.partitionBy("__key", "__run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    carried = {c: F.last(c, ignorenulls=True).over(upto) for c in ("etag", "last_modified")}
-    own = rows.withColumn("__run", F.count_if("ok").over(upto)).withColumn("attempts", F.count_if(~F.col("ok")).over(in_run)).withColumns(carried)
-
+    own = _numbered(rows.join(hot, same, "left_semi").withColumn("__key", key), "__key")
+    carried = ("etag", "last_modified")
     ends = own.groupBy("__key").agg(F.max(F.struct("__run", "attempts")).alias("tail"), *(F.max(F.when(F.col(c).isNotNull(), F.struct("seq", c))).alias(c) for c in carried))
     by_chunk = lambda *part: Window.partitionBy(F.col("__key.url"), *part).orderBy(F.col("__key.chunk").asc_nulls_first())
     past = by_chunk().rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("since", F.count_if(F.col("tail.__run") > 0).over(by_chunk())).withColumn("open", F.sum("tail.attempts").over(by_chunk("since")))
     taken = ends.select("__key", F.lag("open", 1, 0).over(by_chunk()).alias("__open"), *(F.last(f"{c}.{c}", ignorenulls=True).over(past).alias(f"__{c}") for c in carried))
-    joined = own.join(taken, "__key")
     attempts = F.col("attempts") + F.when(F.col("__run") == 0, F.col("__open")).otherwise(0)
-    full = joined.withColumns({"attempts": attempts.cast("int"), **{c: F.coalesce(c, f"__{c}") for c in carried}})
-    return full.select(*(c for c in rows.columns if c != "__key"), "attempts")
+    full = own.join(taken, "__key").withColumns({"attempts": attempts.cast("int"), **{c: F.coalesce(c, f"__{c}") for c in carried}})
+    return cold.unionByName(full.select(names))
 
 
 def plan_recrawl(frontier: DataFrame, state: DataFrame, now: Column) -> DataFrame:

@@ -244,8 +244,9 @@ def test_recrawl_attempts_over_chunks(spark):
         want.append((str(seq), str(url), *held[url]))
     rng.shuffle(log)
     rows = spark.createDataFrame(log, "seq long, url string, status int, etag string").repartition(3).selectExpr("*", "10L AS n_bytes", "CAST(NULL AS STRING) AS last_modified", "timestamp_seconds(seq) AS fetched_at")
-    out = pages.recrawl_attempts(rows)
-    assert sorted((str(r.seq), str(r.url), r.attempts, r.etag or "") for r in out.collect()) == sorted((*w[:3], w[3] or "") for w in want)
+    for hot_rows in (1, 500, 1 << 20):  # all urls, the one with a third of the rows, none
+        out = pages.recrawl_attempts(rows, hot_rows)
+        assert sorted((str(r.seq), str(r.url), r.attempts, r.etag or "") for r in out.collect()) == sorted((*w[:3], w[3] or "") for w in want)
     assert len(out.columns) == len(set(out.columns)) and not any(c.startswith("__") for c in out.columns)
 
 
