@@ -132,14 +132,15 @@ def write_sitemap(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (read_presence_stream, read_kpi_points, read_raw_pages, write_keyed_table, write_sitemap, stream_presence_upsert, stream_kpi_upsert, stream_presence_counts, stream_recrawl_state, stream_content_changes)}
+_UPSERTED = f"WITH {ingest_jobs._KPI} SELECT metric, t, geo, src, v FROM points"
 SQL = {
     "stream_presence_upsert": ingest_jobs.SQL["presence_upsert"],
-    "stream_kpi_upsert": ingest_jobs.SQL["kpi_upsert"],
+    "stream_kpi_upsert": _UPSERTED,
     "stream_presence_counts": ingest_jobs.SQL["presence_minute_counts"],
     "read_presence_stream": f"SELECT seq, query, engine, geo, seen, citations, ts FROM ({X.sql('events', X.PRESENCE)})",
     "read_kpi_points": f"SELECT seq, t, v, geo, coalesce(nullif(src, ''), 'csv') AS src FROM ({X.sql('orders', X.KPI)})",
     "read_raw_pages": "SELECT page_id, sha256(b || html || b) AS sha FROM (SELECT page_id, html, CASE page_id % 4 WHEN 1 THEN '((' WHEN 2 THEN chr(65533) ELSE '' END AS b FROM pages)",
-    "write_keyed_table": ingest_jobs.SQL["kpi_upsert"],
+    "write_keyed_table": _UPSERTED,
     "write_sitemap": "SELECT url AS loc, '2024-02-01T00:00:00Z' AS lastmod FROM pages",
     "stream_recrawl_state": ingest_jobs.SQL["recrawl_state"],
     "stream_content_changes": publish_jobs.SQL["content_state"],

@@ -38,6 +38,19 @@ def test_query_matches_its_sql(spark, oracle, name):
         assert len(got)
 
 
+@pytest.fixture(scope="module")
+def few_orders(spark, tmp_path_factory):
+    """Six orders of six days, among them multiples of 499 and 501."""
+    folder = str(tmp_path_factory.mktemp("orders"))
+    rows = ", ".join(f"({k}L, 1L, 'O', 1.5D, timestamp '2024-01-0{d}', '1-URGENT')" for d, k in enumerate((1, 499, 501, 5, 2495, 2505), 1))
+    spark.sql(f"SELECT * FROM VALUES {rows} AS o(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)").write.parquet(f"{folder}/orders.parquet")
+    return folder
+
+
+def test_kpi_upsert_has_every_order(spark, few_orders):
+    assert {r.t[-1] for r in catalog.QUERIES["kpi_upsert"](spark, few_orders).collect()} == set("123456")
+
+
 def test_streams_leave_only_results(spark):
     root = Path(spark.conf.get("spark.checkpoint.dir"))
     before = set(root.glob("stream-*"))
