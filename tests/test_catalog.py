@@ -56,6 +56,11 @@ def test_kpi_series_of_geo_has_every_order(spark, few_orders):
     assert got == {"1-URGENT": "2024-01-04|1.50,2024-01-05|1.50", "": "2024-01-06|1.50"}
 
 
+def test_kpi_points_has_every_order(spark, few_orders):
+    got = {(r.metric, r.t) for r in catalog.QUERIES["kpi_points"](spark, few_orders).collect()}
+    assert got == {("1-URGENT", "2024-01-01"), ("1-URGENT", "2024-01-02"), ("", "2024-01-03")}
+
+
 def test_streams_leave_only_results(spark):
     root = Path(spark.conf.get("spark.checkpoint.dir"))
     before = set(root.glob("stream-*"))
