@@ -21,7 +21,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more. A group without any doc_id keeps one, too."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more, checked on SimHash classes and min-hash buckets. A group without any doc_id keeps one, too."""
     return simhash.keep_one(docs, near_copies.representatives)
 
 

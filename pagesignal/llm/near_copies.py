@@ -3,7 +3,9 @@
 Rule: two texts are linked if the Jaccard similarity of their sets of five-word shingles
 (64-bit hashes, ASCII letters lower-cased) is 0.8 or more. Groups are the components of the links.
 
-Candidates: 64 minima of hashed shingles in 16 bands of four; texts that agree on a band share
+Candidates: first the classes of ``simhash``, each a bucket: texts whose fingerprints link at 2 or fewer bits.
+Pairs at 0.8 differ by up to a dozen bits, a reach at which no vantage-point tree parts the fingerprints, so
+the others come from 64 minima of hashed shingles in 16 bands of four; texts that agree on a band share
 a bucket. A pair at similarity s shares none with probability (1 - s^4)^16: 2 in 10,000 at 0.8,
 fewer above. Buckets with the same members are taken once.
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, join_split, remove, small, texts_of, with_columns, written
-from .simhash import SEED, class_leads, components, named_classes
+from .simhash import SEED, class_leads, components, fingerprint, named_classes, shared_classes
 
 BANDS, ROWS, WIDTH = 16, 4, 5
 _random = np.random.default_rng(SEED)
@@ -88,17 +90,19 @@ def alike_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def link_edges(docs: DataFrame, nodes: DataFrame, drop: list[str], *, block: int = 300, block_shingles: int = 1_000_000) -> DataFrame:
-    """``a, b``: links between ``nodes(node, n, buckets, width)``, the different texts of ``docs(node, text)``.
+    """``a, b``: links between ``nodes(node, n, fp, buckets, width)``, the different texts of ``docs(node, text)``.
 
     A bucket is dealt into so many blocks that each has about ``block`` texts and ``block_shingles`` shingles (``width`` is a text's number of them).
     Adds to ``drop`` the paths of tables that the links are read from; once the links are used up they may go.
     """
-    members = nodes.select("node", "width", F.explode("buckets").alias("bucket"))
+    alike, path = written(shared_classes(nodes.select("node", "width", "fp")).select("node", "width", F.xxhash64(F.lit("simhash"), "class").alias("bucket")))
+    drop.append(path)
+    members = alike.union(nodes.select("node", "width", F.explode("buckets").alias("bucket")))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mix"), F.min("node").alias("least"), F.sum("width").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / block_shingles)).cast("int")
     different = sizes.where("n > 1").groupBy("n", "mix", "least").agg(F.min("bucket").alias("bucket"), F.max("shingles").alias("shingles")).select("bucket", "n", blocks.alias("blocks"))
     of = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    met = join_split(members, different, "bucket", BANDS * nodes.count())
+    met = join_split(members, different, "bucket", (BANDS + 1) * nodes.count())
     dealt, path = written(met.select("bucket", "node", of.alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("bucket", "node", F.least("of", "other").alias("low"), F.greatest("of", "other").alias("high")))
     drop.append(path)
 
@@ -129,13 +133,14 @@ def copy_links(docs: DataFrame, *, block: int = 300) -> tuple[DataFrame, DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            sets = [shingles(t) for t in texts_of(batch)]
-            yield with_columns(batch, ["doc_id", "node"], buckets=pa.array([bands(x) for x in sets], pa.list_(pa.int64())), width=pa.array([len(x) for x in sets], pa.int64()))
+            texts = texts_of(batch)
+            sets, fp = [shingles(t) for t in texts], np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield with_columns(batch, ["doc_id", "node"], fp=pa.array(fp), buckets=pa.array([bands(x) for x in sets], pa.list_(pa.int64())), width=pa.array([len(x) for x in sets], pa.int64()))
 
-    rows = cut(docs.mapInArrow(run, f"doc_id {kind}, node long, buckets array<long>, width long"))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("buckets").alias("buckets"), F.min("width").alias("width")))
+    rows = cut(docs.mapInArrow(run, f"doc_id {kind}, node long, fp long, buckets array<long>, width long"))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("fp").alias("fp"), F.min("buckets").alias("buckets"), F.min("width").alias("width")))
     drop: list[str] = []
-    roots = components(link_edges(docs.select("node", "text"), nodes.select("node", "n", "buckets", "width"), drop, block=block))
+    roots = components(link_edges(docs.select("node", "text"), nodes.select("node", "n", "fp", "buckets", "width"), drop, block=block))
     remove(docs.sparkSession, *drop)
     return rows.select("doc_id", "node"), nodes.select("node", "least", "n"), roots
 

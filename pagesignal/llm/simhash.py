@@ -277,6 +277,14 @@ def fingerprint_links(docs: DataFrame, *, width: int = 3, reach: int = 2, leaf_s
     return prints, nodes, components(link_edges(nodes, reach=reach, leaf_size=leaf_size))
 
 
+def shared_classes(rows: DataFrame, **options) -> DataFrame:
+    """Those of ``rows(fp, ...)`` whose fingerprint other rows have or link to, with their ``class``: the smallest fingerprint that theirs reaches."""
+    prints = cut(rows.groupBy("fp").agg(F.count("*").alias("n")))
+    roots = components(link_edges(prints, **options)).withColumnRenamed("node", "fp")
+    shared = prints.join(roots, "fp", "left").where("n > 1 OR root IS NOT NULL").select("fp", "n", F.coalesce("root", "fp").alias("class"))
+    return join_split(rows, cut(shared), "fp", rows.count())
+
+
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs(doc_id, text)``."""
     prints, nodes, roots = fingerprint_links(docs, **options)

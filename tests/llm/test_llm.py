@@ -828,6 +828,22 @@ def test_pipeline_drops_edited_copies(spark):
     assert {r.doc_id for r in p.near_duplicates(spark, docs, "").collect()} == {0, 2}
 
 
+def test_pipeline_links_by_fingerprints(spark, monkeypatch):
+    """Without any min-hash bucket the stage still links what SimHash does, if it is alike enough."""
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(near_copies, "bands", lambda own: np.zeros(0, np.int64))
+    words = [f"w{i}" for i in range(2000)]
+    often, near = [f"v{i}" for i in range(40)] * 50, words[:]
+    near[1000] = "x"
+    texts = [" ".join(t) for t in (words, near, [*often, *"abcdefghijklmnopqrstuvwxyz"], [*often, *"zyxwvutsrqponmlkjihgfedcba"], [*often, *"abcdefghijklmnopqrstuvwxyz"])]
+    prints = [brute_fingerprint(t) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 and (prints[2] ^ prints[3]).bit_count() <= 2
+    assert brute_alike(texts[0], texts[1]) and not brute_alike(texts[2], texts[3])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id for r in p.near_duplicates(spark, docs, "").collect()} == {0, 2, 3}
+
+
 def test_near_copies_edges(spark, odd):
     got = {(r.doc_id, r.component_id) for r in near_copies.mark(odd).collect()}
     assert {(0, 0), (1, 0), (2, 0), (3, 0), (6, 6), (10, 6), (None, None)} <= got
