@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,12 +108,45 @@ def read_kpi_points(spark, sf_dir):
     return T.read_kpi_points(spark, f"{folder}/csv").select("seq", "t", "v", "geo", "src")
 
 
+def _write_pages(rows: DataFrame, folder: str, parts: int = 1024, local: bool | None = None) -> None:
+    """A file for each of ``rows(page_id, value)``, its bytes and a line feed, below ``parts`` folders, each written by one task and listed as a whole.
+
+    For each folder and file that Spark makes on a local store (``local``, by default as the folder's store is) Hadoop starts a process to set its mode,
+    which took most of the time, so there Python writes them, whole under another name first. A file's name follows from its page, so a task that runs again writes the same files.
+    """
+    path = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(rows.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    root = store.makeQualified(path).toUri()
+    local = root.getScheme() == "file" if local is None else local
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(parts))).repartition("part")
+    if not local:
+        lines = dealt.select("part", F.concat(F.lit("p"), "page_id").alias("page"), F.col("value").cast("string"))
+        lines.write.option("maxRecordsPerFile", 1).partitionBy("part", "page").text(folder)
+        return
+    top = root.getPath()
+    os.makedirs(top)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nth, own = None, 0, f".{uuid.uuid4().hex}"
+        for batch in batches:
+            for part, page, value in zip(*batch.columns):
+                nth = nth + 1 if page == last else 0
+                last = page
+                at = f"{top}/part={part}"
+                os.makedirs(at, exist_ok=True)
+                with open(f"{at}/{own}", "wb") as file:
+                    file.write((value.as_py() or b"") + b"\n")
+                os.replace(f"{at}/{own}", f"{at}/page=p{page}.{nth}")
+        yield from ()
+
+    dealt.sortWithinPartitions("part", "page_id", "value").select("part", "page_id", "value").mapInArrow(run, "part long").write.format("noop").mode("overwrite").save()
+
+
 def read_raw_pages(spark, sf_dir):
     """Pages as files of bytes, one for each page with a line feed at its end, some with bytes that are no text, and read back."""
     folder = _folder(spark)
     broken = F.expr("CASE page_id % 4 WHEN 0 THEN X'FF' WHEN 1 THEN X'C328E28228' WHEN 2 THEN X'EFBFBD' ELSE X'' END")
-    value = F.concat(broken, F.col("html").cast("binary"), broken).cast("string")
-    X.table(spark, sf_dir, "pages").select(value.alias("value"), F.concat(F.lit("p"), "page_id").alias("page")).repartition("page").write.partitionBy("page").text(f"{folder}/pages")
+    _write_pages(X.table(spark, sf_dir, "pages").select("page_id", F.concat(broken, F.col("html").cast("binary"), broken).alias("value")), f"{folder}/pages")
     pages = T.read_raw_pages(spark, f"{folder}/pages")
     return pages.select(F.regexp_extract("url", "page=p([0-9]+)", 1).cast("long").alias("page_id"), F.sha2(F.expr("left(html, length(html) - 1)").cast("binary"), 256).alias("sha"))
 

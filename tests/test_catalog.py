@@ -61,6 +61,13 @@ def test_kpi_points_has_every_order(spark, few_orders):
     assert got == {("1-URGENT", "2024-01-01"), ("1-URGENT", "2024-01-02"), ("", "2024-01-03")}
 
 
+def test_pages_of_one_id_stay_apart(spark, oracle, tmp_path):
+    spark.sql("SELECT * FROM VALUES (1L, 'one'), (1L, 'two'), (1L, 'two'), (4L, 'four') AS p(page_id, html)").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.QUERIES["read_raw_pages"](spark, str(tmp_path)).toPandas()
+    want = oracle.execute(catalog.SQL["read_raw_pages"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).df()
+    pd.testing.assert_frame_equal(plain(got), plain(want), check_dtype=False)
+
+
 def test_streams_leave_only_results(spark):
     root = Path(spark.conf.get("spark.checkpoint.dir"))
     before = set(root.glob("stream-*"))

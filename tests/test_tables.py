@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from pagesignal.jobs import stream_jobs
 from pagesignal.operators import pages, presence
 from pagesignal.sources import tables
 from pagesignal.sources.keyed import KeyedTable
@@ -151,3 +152,22 @@ def test_bytes_that_are_no_text_are_left_out(spark, tmp_path):
         (tmp_path / f"{i}.html").write_bytes(data)
     got = {int(r.url.rsplit("/", 1)[-1].split(".")[0]): r.html for r in tables.read_raw_pages(spark, str(tmp_path)).collect()}
     assert got == {i: data.decode("utf-8", "ignore") for i, data in enumerate(cases)}
+
+
+def test_small_files_are_few_tasks(spark, tmp_path):
+    for i in range(1500):
+        (tmp_path / f"{i}.html").write_bytes(b"%d" % i)
+    pages = tables.read_raw_pages(spark, str(tmp_path))
+    assert pages.rdd.getNumPartitions() <= 16
+    assert {r.html for r in pages.collect()} == {str(i) for i in range(1500)}
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_each_page_is_a_file(spark, tmp_path, local):
+    rows = [(1, b"a"), (1, b"b"), (1, b"b"), (2, b"x\xffy\n\nz"), (3, b""), *((i, b"%d" % i) for i in range(10, 60))]
+    stream_jobs._write_pages(spark.createDataFrame(rows, "page_id long, value binary"), f"{tmp_path}/pages", parts=8, local=local)
+    files = [p for p in (tmp_path / "pages").rglob("*") if p.is_file() and p.name[0] not in "._"]
+    assert sorted(p.read_bytes() for p in files) == sorted(v + b"\n" for _, v in rows)
+    assert len(list((tmp_path / "pages").iterdir())) <= 10
+    got = [(int(r.url.split("page=p")[1].split("/")[0].split(".")[0]), r.html) for r in tables.read_raw_pages(spark, f"{tmp_path}/pages").collect()]
+    assert sorted(got) == sorted((i, v.decode("utf-8", "ignore") + "\n") for i, v in rows)
