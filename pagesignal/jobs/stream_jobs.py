@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import presence as P
 from ..operators import publish
 from ..sources import tables as T
-from ..sources.shared import remove, shared_folder
+from ..sources.shared import local_path, remove, shared_folder
 from ..streaming import streams as S
 from . import fixtures as X
 from . import ingest_jobs, publish_jobs
@@ -108,22 +108,18 @@ def read_kpi_points(spark, sf_dir):
     return T.read_kpi_points(spark, f"{folder}/csv").select("seq", "t", "v", "geo", "src")
 
 
-def _write_pages(rows: DataFrame, folder: str, parts: int = 1024, local: bool | None = None) -> None:
+def _write_pages(rows: DataFrame, folder: str, parts: int = 1024, local: bool = True) -> None:
     """A file for each of ``rows(page_id, value)``, its bytes and a line feed, below ``parts`` folders, each written by one task and listed as a whole.
 
-    For each folder and file that Spark makes on a local store (``local``, by default as the folder's store is) Hadoop starts a process to set its mode,
-    which took most of the time, so there Python writes them, whole under another name first. A file's name follows from its page, so a task that runs again writes the same files.
+    For each folder and file that Spark makes on a local store Hadoop starts a process to set its mode, which took most of the time, so there, unless
+    ``local`` is false, Python writes them, whole under another name first. A file's name follows from its page, so a task that runs again writes the same files.
     """
-    path = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(rows.sparkSession._jsparkSession.sessionState().newHadoopConf())
-    root = store.makeQualified(path).toUri()
-    local = root.getScheme() == "file" if local is None else local
+    top = local_path(rows.sparkSession, folder) if local is not False else None
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(parts))).repartition("part")
-    if not local:
+    if top is None:
         lines = dealt.select("part", F.concat(F.lit("p"), "page_id").alias("page"), F.col("value").cast("string"))
         lines.write.option("maxRecordsPerFile", 1).partitionBy("part", "page").text(folder)
         return
-    top = root.getPath()
     os.makedirs(top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

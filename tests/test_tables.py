@@ -171,3 +171,15 @@ def test_each_page_is_a_file(spark, tmp_path, local):
     assert len(list((tmp_path / "pages").iterdir())) <= 10
     got = [(int(r.url.split("page=p")[1].split("/")[0].split(".")[0]), r.html) for r in tables.read_raw_pages(spark, f"{tmp_path}/pages").collect()]
     assert sorted(got) == sorted((i, v.decode("utf-8", "ignore") + "\n") for i, v in rows)
+
+
+def test_tasks_list_what_spark_lists(spark, tmp_path):
+    """A pattern of paths goes through Spark's own listing, a folder doesn't; its files are not in the plan."""
+    for name in ("a/b/c.html", "a/_no/x", "a/.no/x", "a/_k=1/y z%20ü.html", "a/_no", "a/.no.crc", "a/n._COPYING_", "a/empty", "_no/x", ".no", "d.html", "_metadata"):
+        file = tmp_path / "in" / (name if name not in ("a/_no", ".no") else name + "2")
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(b"" if name == "a/empty" else f"{name}\xff".encode("latin-1"))
+    (tmp_path / "in/link").symlink_to(tmp_path / "in/a/b")
+    pages = tables.read_raw_pages(spark, f"{tmp_path}/in")
+    assert plain(pages) == plain(tables.read_raw_pages(spark, f"{tmp_path}/i[n]")) and pages.count() == 4
+    assert not pages.inputFiles()
